@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, pieces, quality, topk, toxicity, warc
+from . import decontaminate, html_text, line_dedup, pieces, pii, quality, topk, toxicity, warc
 from ._sample import remainder
 from ._store import drop, new_path, stage
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+#: For the registered query only; a real job gets its key from a secret store.
+PII_KEY = "registered query"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, model).drop("text"), 4, 2)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, those dropped, and the text that is left."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -70,6 +77,11 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and the numbers of values by kind."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS n, h, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
@@ -96,10 +108,32 @@ FROM s QUALIFY rank <= 20
 """
 
 
+OP5_SQL = """
+WITH l AS (
+  SELECT doc_id, n - 1 AS no, line, row_number() OVER (ORDER BY doc_id, n) AS place
+  FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, n)
+  WHERE length(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0),
+f AS (SELECT line, min(place) AS first, length(line) AS c FROM l GROUP BY line),
+h AS (
+  SELECT DISTINCT line, first, c, kind, len, CASE kind WHEN 'p' THEN left(line, len) ELSE right(line, len) END AS half
+  FROM (SELECT *, unnest(['p', 's', 'p', 's']) AS kind, unnest([c // 2, c // 2, (c - 1) // 2, (c - 1) // 2]) AS len FROM f WHERE c >= 16)),
+near AS (
+  SELECT DISTINCT a.line FROM h a JOIN h b ON a.kind = b.kind AND a.len = b.len AND a.half = b.half AND b.first < a.first
+  WHERE abs(a.c - b.c) <= 1 AND levenshtein(a.line, b.line) <= 1),
+gone AS (
+  SELECT l.doc_id, l.no FROM l JOIN f USING (line) LEFT JOIN near USING (line) WHERE l.place <> f.first OR near.line IS NOT NULL)
+SELECT d.doc_id, coalesce(string_agg(u.line, chr(10) ORDER BY u.n) FILTER (g.no IS NULL), '') AS text,
+  count(*)::INT AS n_lines, count(g.no)::INT AS n_dropped
+FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(line, n)
+LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.no = u.n - 1
+GROUP BY d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc, op2_sentencepiece, op3_toxicity, op6_html, op7_decontamination, op8_quality, op9_topk)
+    named = (op1_warc, op2_sentencepiece, op3_toxicity, op5_line_dedup, op6_html, op7_decontamination, op8_quality, op9_topk, op10_pii)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op9_topk": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_topk": OP9_SQL}
