@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, pieces, pii, quality, topk, toxicity, warc
+from . import decontaminate, html_text, line_dedup, near_dedup, pieces, pii, quality, topk, toxicity, warc
 from ._sample import remainder
 from ._store import drop, new_path, stage
 
@@ -45,6 +45,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, model).drop("text"), 4, 2)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its lines, those dropped, and the text that is left."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -108,6 +112,26 @@ FROM s QUALIFY rank <= 20
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
+FROM s JOIN m ON m.id = s.doc_id
+"""
+
 OP5_SQL = """
 WITH l AS (
   SELECT doc_id, n - 1 AS no, line, row_number() OVER (ORDER BY doc_id, n) AS place
@@ -131,9 +155,9 @@ GROUP BY d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc, op2_sentencepiece, op3_toxicity, op5_line_dedup, op6_html, op7_decontamination, op8_quality, op9_topk, op10_pii)
+    named = (op1_warc, op2_sentencepiece, op3_toxicity, op4_near_dedup, op5_line_dedup, op6_html, op7_decontamination, op8_quality, op9_topk, op10_pii)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_topk": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op4_near_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_topk": OP9_SQL}
