@@ -5,6 +5,183 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import text
+from ..operators import cursor, outline, paging, ranked
+from ..sources import markdown
+from . import api, bindings, docs
+from .oracles import ORACLES
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def doc_line_search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page, from the eleventh hit, of a literal search of lines."""
+    return docs.search(bindings.docs(spark, sf_dir), "the", limit=50, offset=10)
+
+
+@query
+def doc_line_search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs.search(bindings.docs(spark, sf_dir), r"(?i)\b(th|qu)[a-z]+ (de|of|the) ", regex=True, limit=40)
+
+
+def _talks(spark: SparkSession, sf_dir: str, front_matter: bool = False) -> tuple[DataFrame, DataFrame]:
+    d = markdown.structured(bindings.conversations_md(spark, sf_dir, front_matter))
+    return d, outline.section_paths(markdown.heading_rows(d))
+
+
+@query
+def doc_search_with_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, sections = _talks(spark, sf_dir)
+    return docs.search(d, "e", limit=60, sections=sections)
+
+
+@query
+def doc_search_frontmatter_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, sections = _talks(spark, sf_dir, True)
+    return docs.search(d, "user", limit=60, sections=sections)
+
+
+@query
+def doc_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _talks(spark, sf_dir)[1].drop("n_lines")
+
+
+@query
+def doc_atomic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.block_rows(_talks(spark, sf_dir, True)[0])
+
+
+@query
+def doc_pages_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bindings.docs(spark, sf_dir).withColumns({"body_start": F.lit(1), "blocks": F.array().cast("array<struct<kind:string,start_line:int,end_line:int>>")})
+    return paging.paginate(d, 1000)
+
+
+@query
+def doc_pages_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.paginate(_talks(spark, sf_dir, True)[0], 400)
+
+
+@query
+def doc_line_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every space of a document turned into one of the seven line ends, by its id; then the lines."""
+    ends = ["\r\n", "\r", "\f", "\u0085", " ", " ", "\n"]
+    end = F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("doc_id") % 7 + 1).cast("int"))
+    d = bindings.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" "), end).alias("text"))
+    return d.select("doc_id", F.posexplode(text.lines_of(F.col("text"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+
+
+@query
+def faq_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as questions and answers."""
+    c = bindings.table(spark, sf_dir, "conversations")
+    part = F.when(F.col("role") == "assistant", F.col("text")).otherwise(F.concat(F.lit("## "), text.flatten_line(F.col("text"))))
+    body = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("t"))
+    return body.select("conv_id", F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.col("t.part"), "\n\n")).alias("markdown"))
+
+
+@query
+def input_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bindings.table(spark, sf_dir, "pages").select("page_id", text.repair_column(F.col("html")).alias("html"))
+
+
+def _names(found: DataFrame, limit: int) -> DataFrame:
+    return ranked.page(found, list(api.NAME_ORDER), limit).select("name", "matched_on", "namespace_depth", "position")
+
+
+@query
+def api_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(api.search_names(bindings.types(spark, sf_dir), "NATION_1"), 100)
+
+
+@query
+def api_type_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(api.search_names(bindings.types(spark, sf_dir), "supplier1"), 20)
+
+
+@query
+def api_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.search_prose(bindings.prose(spark, sf_dir), "tion")
+    return ranked.page(found, list(api.PROSE_ORDER), 100).select("symbol", "declaration_id", "element", "text", "is_truncated", "more_from_symbol", "position")
+
+
+@query
+def prose_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bindings.table(spark, sf_dir, "documents")
+    t = F.concat(F.replace("text", F.lit(". "), F.lit(".\n \n")), F.lit(" see <xref:"), F.col("source"), F.lit("%2E"), F.col("lang"), F.lit("*?alt=x>"))
+    return d.select("doc_id", text.normalise_prose(t).alias("text"))
+
+
+@query
+def api_reference_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.filter_references(api.find_references(bindings.uses(spark, sf_dir), "System.ECONOMY"), kind="parameter")
+    return ranked.page(found, ["symbol", "kind", F.coalesce("parameter_name", F.lit("")), "type_expression"], 100).select("symbol", "kind", "parameter_name", "type_expression", "is_exact", "position")
+
+
+@query
+def api_reference_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.reference_totals(api.find_references(bindings.uses(spark, sf_dir), "System.ECONOMY"))
+
+
+@query
+def api_attribute_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.attribute_references(bindings.attribute_uses(spark, sf_dir), bindings.attribute_types(spark, sf_dir))
+
+
+@query
+def api_lookup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged members of one type, named without namespace and arity."""
+    ids = api.resolve_symbol(bindings.types(spark, sf_dir), "Supplier7").select("type_id")
+    found = api.lookup(bindings.members(spark, sf_dir), ids)
+    return ranked.page(found, ["full_name", "name", "signature", "declaration_id"], 100).select("full_name", "name", "signature", "origin", "declaration_id", "position")
+
+
+@query
+def api_members_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All types' members at one framework, merged by priority and counted."""
+    found = api.lookup(bindings.members(spark, sf_dir), bindings.types(spark, sf_dir).select(F.col("declaration_id").alias("type_id")), framework="NET9.0")
+    return found.groupBy("full_name", "origin").agg(F.count("*").alias("n_members"), F.countDistinct("name").alias("n_names"), F.min("signature").alias("first_signature"))
+
+
+@query
+def api_container_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = bindings.types(spark, sf_dir)
+    nested = t.filter("s_suppkey % 2 = 0").select(F.col("full_name").alias("namespace"), F.concat("full_name", F.lit(".Nested")).alias("full_name"))
+    return api.containers(t.select("namespace", "full_name").unionByName(nested))
+
+
+@query
+def docs_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = bindings.members(spark, sf_dir)
+    d = m.filter("origin = 'nuget'").groupBy("declaration_id").agg(F.max("summary").alias("doc"))
+    return api.with_docs(m.select("declaration_id", "origin"), d).select("declaration_id", "origin", F.coalesce("doc", F.lit("")).alias("doc"))
+
+
+@query
+def skip_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.skip_histogram(bindings.skips(spark, sf_dir))
+
+
+@query
+def skip_histogram_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.merge_histograms(api.skip_histogram(bindings.skips(spark, sf_dir)))
+
+
+@query
+def page_cursor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a search, by the cursor that the first one ends with."""
+    here, revisions = cursor.scope("tion", False, None, 20), ["local"]
+    token = cursor.encode("lang-search", here, 20, revisions)
+    return docs.search(bindings.docs(spark, sf_dir), "tion", limit=20, offset=cursor.decode(token, "lang-search", here, revisions))
+
+
+__all__ = ["ORACLES", "QUERIES"]
