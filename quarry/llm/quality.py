@@ -120,7 +120,7 @@ def fit(
     max_rows: int = 40_000, pooled: float = 0.1, ridge: float = 0.05,
 ) -> Model:
     """Trains on at most ``max_rows`` labelled rows outside the held-out fold; the driver gets their statistics only."""
-    rows = sorted(((str(r["sample_id"]), r["x"], r["label"]) for r in _vectors(labelled_sample(docs, labels, id_col, text_col, label_col, folds, held_out, max_rows)).toLocalIterator()), key=lambda r: (r[0], r[1]))
+    rows = sorted(((str(r["sample_id"]), r["x"], r["label"]) for r in _vectors(labelled_sample(docs, labels, id_col, text_col, label_col, folds, held_out, max_rows)).collect()), key=lambda r: (r[0], r[1]))
     x = np.array([r[1] for r in rows], dtype=float).reshape(-1, len(NAMES))
     return train(x, np.array([r[2] for r in rows], dtype=int), pooled, ridge)
 

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A document's features are its distinct 3-, 4- and 5-grams of lower-cased characters inside a word, with the
+A document's features are its distinct n-grams (n from 3 to 8) of lower-cased characters inside a word, with the
 space before and after it, hashed to ``buckets``. For each bucket the ratio r of smoothed document counts
 in the two classes is taken; the ``features`` buckets with the largest likelihood-ratio statistic are kept,
 and an L2-regularised logistic regression is trained on the presence of a bucket times its r. A score is a
@@ -25,8 +25,8 @@ from ._sample import labelled_sample
 from ._store import drop, stage, with_fields
 from ._words import splitmix
 
-SIZES = (3, 4, 5)
-_COEFF = [np.uint32(x & 0xFFFFFFFF | 1) for x in splitmix(8, 5).tolist()]
+SIZES = (3, 4, 5, 6, 7, 8)
+_COEFF = [np.uint32(x & 0xFFFFFFFF | 1) for x in splitmix(16, 5).tolist()]
 _PIECE = 1 << 20
 _WHITE = np.array([9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029, 0x3000], dtype=np.uint32)
 
@@ -127,7 +127,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray
 
 def fit(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2,
-    max_rows: int = 24_000, bits: int = 18, features: int = 4096, l2: float = 1.0, parts: int = 12,
+    max_rows: int = 24_000, bits: int = 19, features: int = 3000, l2: float = 1.0, parts: int = 12,
 ) -> Model:
     """Trains on at most ``max_rows`` labelled rows outside the held-out fold; the sample is read twice.
 
@@ -144,7 +144,7 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary()), pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], ["counts", "n0", "n1"])
 
     counts, n0, n1 = np.zeros((2, 1 << bits)), 0, 0
-    for r in sample.mapInArrow(count, "counts binary, n0 long, n1 long").toLocalIterator():
+    for r in sample.mapInArrow(count, "counts binary, n0 long, n1 long").collect():
         counts += np.frombuffer(r["counts"], dtype=np.int32).reshape(2, -1)
         n0, n1 = n0 + r["n0"], n1 + r["n1"]
     if not n0 or not n1:
@@ -165,7 +165,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([b.column("sample_id"), pa.array(rows, pa.binary()), b.column("label")], ["sample_id", "x", "label"])
 
     kind = sample.schema["sample_id"].dataType.simpleString()
-    got = sorted(((r["sample_id"], r["x"], r["label"]) for r in sample.mapInArrow(pick, f"sample_id {kind}, x binary, label int").toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
+    got = sorted(((r["sample_id"], r["x"], r["label"]) for r in sample.mapInArrow(pick, f"sample_id {kind}, x binary, label int").collect()), key=lambda r: (str(r[0]), r[1]))
     drop(docs.sparkSession, path)
     cols = [np.frombuffer(x, dtype=np.int32) for _, x, _ in got]
     y = np.array([label for _, _, label in got], dtype=float)
