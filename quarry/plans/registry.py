@@ -74,7 +74,7 @@ def doc_pages_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def doc_line_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every space of a document turned into one of the seven line ends, by its id; then the lines."""
-    ends = ["\r\n", "\r", "\f", "\u0085", " ", " ", "\n"]
+    ends = ["\r\n", "\r", "\f", "\u0085", "\u2028", "\u2029", "\n"]
     end = F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("doc_id") % 7 + 1).cast("int"))
     d = bindings.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" "), end).alias("text"))
     return d.select("doc_id", F.posexplode(text.lines_of(F.col("text"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
