@@ -41,8 +41,8 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 _DROP = {"nav", "footer", "aside", "form", "button", "select", "input", "menu", "dialog", "fieldset", "head", "label", "map"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar", "status"}
 _BAD = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay lightbox "
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs pager pagination sidebar aside widget footer footnotes masthead topbar toolbar skip comment comments commentlist disqus reply replies respond "
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox "
+    "nav navbar navigation menu menus submenu toc breadcrumb breadcrumbs pager pagination sidebar sidebars aside widget widgets footer footnotes masthead topbar toolbar skip comment comments commentlist disqus reply replies respond "
     "share sharing social follow related recommended recommendations trending outbrain taboola newsletter subscribe subscription signup login register search paywall legal copyright disclaimer rating reactions".split()
 )
 _GOOD = set("article body content entry main page post story text blog hentry column".split())

@@ -180,3 +180,57 @@ def test_a_permutation_of_its_format(spark):
 def test_pii_plan_is_native(spark):
     plan = pii.pseudonymise(spark.createDataFrame([("a",)], "text string"), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("Scan ExistingRDD")[0]
+
+
+def naive_overlaps(items, doc, min_words, min_identity):
+    """By comparing words at every place of every item, without hashes."""
+    words = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", t).lower().split()
+    d, out = words(doc), set()
+    for i, text in items:
+        w = words(text)
+        masks = [[k for k, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS] if len(w) >= 11 else [list(range(len(w)))]
+        for diagonal in range(-len(w) + 1, len(d)):
+            same = [0 <= j + diagonal < len(d) and w[j] == d[j + diagonal] for j in range(len(w))]
+            inside = [0 <= j + diagonal < len(d) for j in range(len(w))]
+            covered = -1
+            for j in range(len(w)):
+                if j < covered or not any(j + m[-1] < len(w) and all(same[j + p] for p in m) for m in masks):
+                    continue
+                points = [1 if s else -2 for s in same]
+                ends = [e for e in range(j + 1, len(w) + 1) if all(inside[j:e])]
+                end = max(ends, key=lambda e: (sum(points[j:e]), -e))
+                begin = max([b for b in range(j + 1) if all(inside[b:j])], key=lambda b: (sum(points[b:j]), b))
+                covered = end
+                if end - begin >= min(min_words, len(w)) and sum(same[begin:end]) >= min_identity * (end - begin):
+                    out.add((i, begin, begin + diagonal, end - begin, sum(same[begin:end])))
+    return out
+
+
+def test_overlaps_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(40):
+        items = [(i, " ".join(rng.choices("a b c d e f".split(), k=rng.choice([4, 7, 12, 18, 25])))) for i in range(5)]
+        parts = []
+        for _ in range(4):
+            w = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = "z"
+            parts.append(" ".join(w[rng.randint(0, 2) :]) + " " + " ".join(rng.choices("p q r".split(), k=4)))
+        doc = ", ".join(parts)
+        got = {(h["item_id"], h["item_start"], h["doc_start"], h["n_words"], h["n_equal"]) for h in decontaminate.SeedIndex.of(items).overlaps(doc, 8, 0.7)}
+        assert got == naive_overlaps(items, doc, 8, 0.7)
+
+
+def test_articles_of_the_small_table_equal_what_stands_in_their_tags():
+    import html
+    from pathlib import Path
+
+    import pandas as pd
+
+    place = Path("/root/testdata/sf0.001/pages.parquet")
+    if not place.exists():
+        pytest.skip("no driver tables")
+    for page in pd.read_parquet(place).html.dropna():
+        inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", p)).split()) for p in re.split(r"</?(?:p|h\d|ul|li|div|blockquote)[^>]*>", inside)]
+        assert html_text.main_text(page) == "\n".join(p for p in parts if p)
