@@ -1 +1 @@
-
+"""Outlines, pages, first-wins merges and cursors."""

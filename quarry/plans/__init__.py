@@ -1 +1 @@
-
+"""Queries, and their bindings to the driver's tables."""

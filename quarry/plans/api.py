@@ -39,10 +39,16 @@ def search_prose(prose: DataFrame, query: str, cap: int = 2) -> DataFrame:
 
 
 def find_references(uses: DataFrame, symbol: str) -> DataFrame:
-    """Uses of a type, deduplicated, with ``is_exact``; the type's own declarations are left out."""
+    """Uses of a type, deduplicated, with ``is_exact``; the type's own declarations are left out.
+
+    Where package rows carry the canonical names of the types in an expression (``type_names``), these decide.
+    """
     matching.check_symbol(symbol)
     e = F.col("type_expression")
-    found = uses.filter(matching.names_type(e, symbol) & (F.col("owner") != symbol)).withColumn("is_exact", matching.is_exactly(e, symbol, F.col("origin")))
+    named = matching.names_type(e, symbol)
+    if "type_names" in uses.columns:
+        named = F.when((F.col("origin") == "nuget") & F.col("type_names").isNotNull(), F.array_contains("type_names", symbol)).otherwise(named)
+    found = uses.filter(named & (F.col("owner") != symbol)).withColumn("is_exact", matching.is_exactly(e, symbol, F.col("origin")))
     keys = ["declaration_id", "kind", F.coalesce("parameter_name", F.lit("")), "type_expression"]
     return ranked.first_wins(found, keys, ["priority", "symbol"])
 

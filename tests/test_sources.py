@@ -189,3 +189,15 @@ def test_sync_and_snapshots(spark, tmp_path):
     (tmp_path / "s/state.json").write_text("{")
     assert catalog.read_state(cache, "s") is None
     assert catalog.revision_key("git", repo="o/r", fetched_at="t") == catalog.revision_key("git", repo="o/r", fetched_at="u")
+
+
+def test_packages_are_matched_by_canonical_names(spark):
+    from quarry.plans import api
+
+    rows = [("nuget", 1, "M:A.B", "A.B", "parameter", "p", "string?", "A", ["System.String"]), ("nuget", 1, "M:A.C", "A.C", "return", None, "System.String", "A", ["Other.String"]), ("git", 0, "M:A.D", "A.D", "return", None, "System.String", "A", None), ("nuget", 1, "M:A.E", "A.E", "return", None, "string", "A", ["System.String"])]
+    uses = spark.createDataFrame(rows, "origin string, priority int, declaration_id string, symbol string, kind string, parameter_name string, type_expression string, owner string, type_names array<string>")
+    got = {r.declaration_id: r.is_exact for r in api.find_references(uses, "System.String").collect()}
+    assert got == {"M:A.B": False, "M:A.D": True, "M:A.E": True}
+    assert api.reference_totals(api.find_references(uses, "System.String")).first().n_return == 2
+    with pytest.raises(QueryError):
+        api.filter_references(uses, "verb")
