@@ -18,10 +18,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     spark = edges.sparkSession
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
     e, e_path = stage(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels, path = stage(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    labels, path = stage(e.groupBy(F.col("a").cast("long").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     while True:
-        near = e.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        joined = labels.join(near, "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("before"))
+        near = e.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("own"))
+        both = near.unionByName(labels.select("id", "label", F.col("label").alias("own")))
+        joined = both.groupBy("id").agg(F.min("label").alias("label"), F.max("own").alias("before"))
         jump = joined.join(labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left")
         new, new_path = stage(jump.select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "before"), "labels")
         changed = new.filter("label < before").limit(1).count()

@@ -1,17 +1,19 @@
 """Near-duplicate documents: a chosen-path set similarity join on minwise tokens, confirmed on whole sets.
 
 A document is the set of its distinct word shingles (64-bit hashes). ``SIGNATURE`` minwise tokens embed it: coordinates of two
-sets agree with a chance equal to their Jaccard similarity. Documents with one set are a class and go on as its smallest id.
+sets agree with a chance equal to their Jaccard similarity. Documents with one set are a class and go on as its smallest id. Joins that
+grow with the corpus are merge joins at every size, so that the plan at a small size is that at a large one.
 
 Candidates. In each of ``trees`` independent trees a node selects one of the coordinates, sometimes a second (1 / threshold on
 average), and each document in it goes to the child named by its token there. Children with few
-documents are compared exhaustively by a 128-bit sketch of the signatures; those with more branch again. A node still crowded at depth ``depth`` has documents
+documents are compared exhaustively by a 128-bit sketch of the signatures; those with more branch again. A node still crowded at ``depth`` has documents
 that share that many tokens: all of it goes on as one candidate group. Groups that share documents are merged (a superset of the true links within them, up to the trees' recall).
 
 Confirmation, on whole sets. A small group is compared exhaustively in memory, leaving out pairs that are known to be
 connected. In a large one, pivots are compared with every member; members linked to a pivot are connected by it, and by the triangle inequality
 only those whose distance to the pivot is within the link distance of the nearest unlinked member can still link to one: these and the unlinked
-go on to the next round, without the pivot. What ``rounds`` rounds leave is compared by pairs of blocks of bounded size. No link is dropped for the size of a group.
+go on, without the pivot. After at most ``rounds`` pivots what is left is compared by pairs of blocks of bounded size, but for pairs that one pivot
+connects already. No link is dropped for the size of a group.
 
 A link has 100 * |A & B| >= percent * |A | B|. Defined results: documents without words (null or empty texts) have no set, link with nothing and are
 their own component; with fewer words than a shingle the whole sequence is one; texts are read whole; rows with one id count as one document; a row with a null id links with nothing, has no component and is kept.
@@ -145,43 +147,48 @@ def leaf_edges(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("node", "doc_id", "n", "s1", "s2").repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(lambda it: _runs(it, "node", flush), "a long, b long")
 
 
-def candidate_edges(reps: DataFrame, threshold: float, trees: int, depth: int) -> tuple[DataFrame, list[str]]:
-    """Candidate edges of the classes' representatives (doc_id, n, sig, s1, s2), and the paths they lie in."""
-    spark = reps.sparkSession
+def candidate_edges(reps: DataFrame, threshold: float, trees: int, depth: int, paths: list[str]) -> DataFrame:
+    """Candidate edges (a, b) of the classes' representatives (doc_id, n, sig, s1, s2). What ``paths`` gains can go once they have been read.
+
+    A level writes the members of its nodes with the nodes' sizes; the small nodes of all levels are compared in one pass.
+    """
     extra = int((1 / threshold - 1) * 1_000_000)
     # the coordinates that a node selects follow from its name: one always, a second so that 1 / threshold are expected
-    picked = "filter(array(pmod(node, {n}), CASE WHEN pmod(xxhash64(node, 5), 1000000) < {e} THEN pmod(xxhash64(node, 6), {n}) END), i -> i IS NOT NULL)".format(n=SIGNATURE, e=extra)
+    picked = f"filter(array(pmod(node, {SIGNATURE}), CASE WHEN pmod(xxhash64(node, 5), 1000000) < {extra} THEN pmod(xxhash64(node, 6), {SIGNATURE}) END), i -> i IS NOT NULL)"
     rows = reps.select("doc_id", "n", "sig", "s1", "s2", F.explode(F.expr(f"transform(sequence(1, {trees}), t -> xxhash64('root', t))")).alias("node"))
-    found, paths, before = [], [], None
+    small, crowd = None, None
     for level in range(1, depth + 1):
         child = rows.select("doc_id", "n", "s1", "s2", "node", "sig", F.explode(F.expr(f"array_distinct({picked})")).alias("i")).select(
             "doc_id", "n", "s1", "s2", F.expr("xxhash64(node, i, sig[int(i)])").alias("node")
         )
-        sizes, sizes_path = stage(child.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1"), "node-sizes")
-        members, members_path = stage(child.join(sizes, "node"), "node-members")
-        drop(spark, sizes_path)
-        edges, path = stage(leaf_edges(members.filter(F.col("k") <= LEAF), threshold), "leaf-edges")
-        found.append(edges)
+        sizes = child.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1")
+        members, path = stage(child.join(sizes.hint("merge"), "node"), "node-members")
         paths.append(path)
+        leaves = members.filter(F.col("k") <= LEAF)
+        small = leaves if small is None else small.unionByName(leaves)
         crowded = members.filter(F.col("k") > LEAF)
-        if before:
-            drop(spark, before)
         if not crowded.limit(1).count():
-            drop(spark, members_path)
             break
         if level == depth:
             least = crowded.groupBy("node").agg(F.min("doc_id").alias("a"))
-            edges, path = stage(crowded.select("node", F.col("doc_id").alias("b")).join(least, "node").filter("a <> b").select("a", "b").distinct(), "crowd-edges")
-            found.append(edges)
-            paths.append(path)
-            drop(spark, members_path)
+            crowd = crowded.select("node", F.col("doc_id").alias("b")).join(least, "node").filter("a <> b").select("a", "b")
             break
-        rows = crowded.select("doc_id", "n", "s1", "s2", "node").join(reps.select("doc_id", "sig"), "doc_id")
-        before = members_path
-    out = found[0]
-    for e in found[1:]:
-        out = out.union(e)
-    return out, paths
+        # a document's signature is joined once, however many nodes it is in (bounded by the trees and the level)
+        nodes = crowded.groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))
+        rows = reps.select("doc_id", "n", "sig", "s1", "s2").join(nodes.hint("merge"), "doc_id").select("doc_id", "n", "sig", "s1", "s2", F.explode("nodes").alias("node"))
+    edges = leaf_edges(small, threshold)
+    return _thinned(edges if crowd is None else edges.union(crowd))
+
+
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: a document keeps its smallest neighbour, which its other smaller neighbours are joined to instead.
+
+    A document's smaller neighbours are bounded by the nodes it is in and their size.
+    """
+    down = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v")
+    near = down.groupBy("v").agg(F.sort_array(F.collect_set("u")).alias("us"))
+    pair = F.explode(F.expr("concat(array(named_struct('a', us[0], 'b', v)), transform(slice(us, 2, size(us)), x -> named_struct('a', us[0], 'b', x)))"))
+    return near.select(pair.alias("e")).select("e.a", "e.b")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[bool, float]:
@@ -229,23 +236,38 @@ def small_group_edges(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return rows.select("grp", "doc_id", "side", "text").repartition("grp").sortWithinPartitions("grp", "doc_id").mapInArrow(lambda it: _runs(it, "grp", flush), "a long, b long")
 
 
-def large_group_edges(large: DataFrame, texts: DataFrame, k: int, percent: int, rounds: int, paths: list[str]) -> DataFrame | None:
+def _consensus(sample: DataFrame) -> DataFrame:
+    """(grp, t1, t2): of each bit of the sketches in a group's sample the value that most of them have."""
+
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        grp, s1, s2 = (t.column(c).to_numpy() for c in ("grp", "s1", "s2"))
+        bits = np.unpackbits(np.stack([s1, s2], axis=1).view(np.uint8), axis=1)
+        out = [(int(grp[lo]), *np.packbits(2 * bits[lo:hi].sum(0) > hi - lo).view(np.int64).tolist()) for lo, hi in _bounds(grp)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["grp", "t1", "t2"])
+
+    return sample.select("grp", "s1", "s2").repartition("grp").sortWithinPartitions("grp").mapInArrow(lambda it: _runs(it, "grp", flush), "grp long, t1 long, t2 long")
+
+
+def _pivots(free: DataFrame) -> DataFrame:
+    """(grp, pivot): the member whose sketch agrees most with the consensus of at most 64 members; close to what the group was copied from."""
+    sample = free.groupBy("grp", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("b")).agg(F.min_by(F.struct("s1", "s2"), F.xxhash64("doc_id")).alias("x")).select("grp", "x.*")
+    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    rows = free.join(_consensus(sample), "grp").select("grp", "doc_id", differ.alias("differ"))
+    return rows.groupBy("grp").agg(F.min_by("doc_id", F.struct("differ", "doc_id")).alias("pivot"))
+
+
+def large_group_edges(large: DataFrame, texts: DataFrame, k: int, percent: int, rounds: int, paths: list[str]) -> DataFrame:
     """Links that connect the components within large groups. large: (grp, doc_id, s1, s2); texts: (doc_id, text).
 
-    A round's pivot is, of a bounded sample of a group's members, the one whose sketch agrees most with the others'.
+    While more than SMALL_DOCS members of a group have no pivot, another pivot is compared with all that is left of it. In the end only pairs
+    that don't both belong to the pivot with the most members are compared, in blocks: with r of n members outside, that is n * r / BLOCK_DOCS rows.
     """
     spark = large.sparkSession
     link = 1 - percent / 100
     found: list[DataFrame] = []
-    left, left_path = stage(large, "large-groups")
+    left, left_path = stage(large.withColumn("lab", F.lit(None).cast("long")), "large-groups")
     paths.append(left_path)
 
-    def pivots(rows: DataFrame) -> DataFrame:
-        some = rows.groupBy("grp", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("b")).agg(F.min_by(F.struct("doc_id", "s1", "s2"), F.xxhash64("doc_id")).alias("x")).select("grp", "x.*")
-        other = some.select("grp", F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-        agree = some.join(other, "grp").select("grp", "doc_id", (64 - F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("t2"))))).alias("same"))
-        return agree.groupBy("grp", "doc_id").agg(F.sum("same").alias("same")).groupBy("grp").agg(F.max_by("doc_id", F.struct("same", -F.col("doc_id"))).alias("pivot"))
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for b in batches:
@@ -257,66 +279,68 @@ def large_group_edges(large: DataFrame, texts: DataFrame, k: int, percent: int,
                 a, d = _linked(known[pivot], shingle_set(text.as_py(), k), percent)
                 linked.append(a)
                 far.append(d)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("grp", "doc_id", "s1", "s2", "pivot")], pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], ["grp", "doc_id", "s1", "s2", "pivot", "linked", "far"])
+            names = ["grp", "doc_id", "s1", "s2", "lab", "pivot"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], [*names, "linked", "far"])
 
     for _ in range(rounds):
-        sizes = left.groupBy("grp").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL_DOCS)
-        p, p_path = stage(pivots(left).join(sizes, "grp").select("grp", "pivot"), "pivots")
+        free = left.filter("lab is null")
+        busy = free.groupBy("grp").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL_DOCS).select("grp")
+        p, p_path = stage(_pivots(free.join(busy, "grp")), "pivots")
         if not p.limit(1).count():
             drop(spark, p_path)
             break
         ptext = p.join(texts.withColumnRenamed("doc_id", "pivot").withColumnRenamed("text", "ptext"), "pivot")
-        rows = left.join(texts, "doc_id").join(ptext, "grp").filter("doc_id <> pivot").select("grp", "doc_id", "s1", "s2", "text", "pivot", "ptext")
-        done, done_path = stage(rows.mapInArrow(compare, "grp long, doc_id long, s1 long, s2 long, pivot long, linked boolean, far double"), "compared")
+        rows = left.join(texts, "doc_id").join(ptext, "grp").filter("doc_id <> pivot").select("grp", "doc_id", "s1", "s2", "lab", "text", "pivot", "ptext")
+        done, done_path = stage(rows.mapInArrow(compare, "grp long, doc_id long, s1 long, s2 long, lab long, pivot long, linked boolean, far double"), "compared")
         found.append(done.filter("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-        # the size bound gives a lower bound of a distance where sets were not compared, which only keeps more
+        # where sizes alone forbid a link the distance is a lower bound, which only keeps more
         nearest = done.filter("not linked").groupBy("grp").agg(F.min("far").alias("near"))
-        on = done.join(nearest, "grp").filter(f"not linked or far >= near - {link} - 1e-9").select("grp", "doc_id", "s1", "s2")
-        rest = left.join(p.select("grp"), "grp", "left_anti")
-        left, left_path = stage(on.unionByName(rest.select("grp", "doc_id", "s1", "s2")), "left")
+        on = done.join(nearest, "grp").filter(f"not linked or far >= near - {link} - 1e-9").select("grp", "doc_id", "s1", "s2", F.when(F.col("lab").isNull() & F.col("linked"), F.col("pivot")).otherwise(F.col("lab")).alias("lab"))
+        rest = left.join(p.select("grp"), "grp", "left_anti").select("grp", "doc_id", "s1", "s2", "lab")
+        left, left_path = stage(on.unionByName(rest), "left")
         paths += [done_path, left_path]
         drop(spark, p_path)
-    if left.limit(1).count():
-        sizes = left.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("nb"))
-        place = left.join(sizes, "grp").withColumn("x", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-        pair = place.select("grp", "doc_id", "x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"))
-        keyed = pair.select(
-            F.xxhash64("grp", F.least("x", "y"), F.greatest("x", "y")).alias("grp"), "doc_id", F.when(F.col("x") < F.col("y"), 0).when(F.col("x") > F.col("y"), 1).cast("int").alias("side")
-        )
-        found.append(small_group_edges(keyed.join(texts, "doc_id"), k, percent))
-    out = None
+    main = left.filter("lab is not null").groupBy("grp", "lab").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("lab", F.struct("c", "lab")).alias("main"))
+    marked = left.join(main, "grp", "left").withColumn("out", F.coalesce(F.col("lab") != F.col("main"), F.lit(True)))
+    per = lambda c: F.ceil(F.count_if(c) / BLOCK_DOCS).cast("int")
+    sizes = marked.groupBy("grp").agg(per(~F.col("out")).alias("nm"), per(F.col("out")).alias("nr")).filter("nr > 0")
+    # blocks 0 to nm - 1 hold the main pivot's members, the next nr the others; a pair needs one of these
+    x = F.when(F.col("out"), F.col("nm") + F.pmod(F.xxhash64("doc_id"), F.col("nr"))).otherwise(F.try_mod(F.abs(F.hash("doc_id").cast("long")), F.col("nm"))).cast("int")
+    y = F.explode(F.sequence(F.when(F.col("out"), 0).otherwise(F.col("nm")), F.col("nm") + F.col("nr") - 1))
+    pairs = marked.join(sizes, "grp").withColumn("x", x).select("grp", "doc_id", "x", y.alias("y"))
+    keyed = pairs.select(F.xxhash64("grp", F.least("x", "y"), F.greatest("x", "y")).alias("grp"), "doc_id", F.when(F.col("x") < F.col("y"), 0).when(F.col("x") > F.col("y"), 1).cast("int").alias("side"))
+    out = small_group_edges(keyed.join(texts, "doc_id"), k, percent)
     for f in found:
-        out = f if out is None else out.union(f)
+        out = out.union(f)
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, depth: int = 4, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, depth: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     base, _ = stage(signatures(docs, k, id_col, text_col), "signatures")
-    some = base.filter("n > 0 and doc_id is not null")
-    reps, reps_path = stage(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    one = some.join(reps.select(F.col("rep").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"]).dropDuplicates(["doc_id", "n", "f1", "f2"])
-    cand, paths = candidate_edges(one, percent / 100, trees, depth)
-    groups, groups_path = stage(connected_components(cand).select(F.col("id").alias("doc_id"), F.col("component").alias("grp")), "groups")
+    first = F.min_by(F.struct("doc_id", "bytes", "sig", "s1", "s2"), "doc_id").alias("x")
+    classes, classes_path = stage(base.filter("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(first).select("n", "f1", "f2", "x.*"), "classes")
+    paths: list[str] = []
+    groups = connected_components(candidate_edges(classes, percent / 100, trees, depth, paths)).select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
     drop(spark, *paths)
-    member = one.select("doc_id", "n", "bytes", "s1", "s2").join(groups, "doc_id")
+    # a document with several texts, and so several classes, counts each of them
+    member = classes.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.first("s1").alias("s1"), F.first("s2").alias("s2")).join(groups, "doc_id")
     size = member.groupBy("grp").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.sum("bytes").alias("y"))
-    sized, sized_path = stage(member.join(size, "grp").withColumn("small", F.col("c").eqNullSafe(F.lit(2)) | ((F.col("c") <= SMALL_DOCS) & (F.col("w") <= SMALL_SHINGLES) & (F.col("y") <= SMALL_BYTES))), "sized")
-    # the documents are shuffled once, for the texts of members; an id on several rows has a set for each of its texts
-    flags = sized.groupBy("doc_id", "grp").agg(F.bool_and("small").alias("small"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    full, full_path = stage(flags.join(texts, "doc_id"), "member-texts")
-    drop(spark, groups_path, sized_path)
-    links, links_path = stage(small_group_edges(full.filter("small").withColumn("side", F.lit(None).cast("int")), k, percent), "links")
-    paths = [links_path, full_path]
-    large = full.filter("not small").select("grp", "doc_id", "s1", "s2")
+    fits = (F.col("c") == 2) | ((F.col("c") <= SMALL_DOCS) & (F.col("w") <= SMALL_SHINGLES) & (F.col("y") <= SMALL_BYTES))
+    sized = member.join(size, "grp").select("doc_id", "grp", "s1", "s2", fits.alias("small"))
+    # the documents are shuffled once, for the texts of members
+    full, full_path = stage(texts.join(sized.hint("merge"), "doc_id").select("grp", "doc_id", "s1", "s2", "small", "text"), "member-texts")
+    paths = [full_path]
+    links = small_group_edges(full.filter("small").withColumn("side", F.lit(None).cast("int")), k, percent)
+    large = full.filter("not small")
     if large.limit(1).count():
-        more = large_group_edges(large.distinct(), full.filter("not small").select("doc_id", "text"), k, percent, rounds, paths)
-        if more is not None:
-            links = links.union(more)
+        more = large_group_edges(large.select("grp", "doc_id", "s1", "s2").distinct(), large.select("doc_id", "text"), k, percent, rounds, paths)
+        links = links.union(more)
     label = connected_components(links)
     drop(spark, *paths)
-    out = base.join(reps, ["n", "f1", "f2"], "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    kept = classes.select("n", "f1", "f2", F.col("doc_id").alias("rep"))
+    out = base.select("doc_id", "n", "f1", "f2").join(kept.hint("merge"), ["n", "f1", "f2"], "left").join(label.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
