@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -234,3 +235,24 @@ def test_articles_of_the_small_table_equal_what_stands_in_their_tags():
         inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", p)).split()) for p in re.split(r"</?(?:p|h\d|ul|li|div|blockquote)[^>]*>", inside)]
         assert html_text.main_text(page) == "\n".join(p for p in parts if p)
+
+
+def test_masks_hit_every_pattern_of_the_rule():
+    # any longer one has one of these inside: cut in two, one half is at least as equal
+    for n, k in ((11, 2), (12, 3), (13, 3), (16, 4), (20, 5), (24, 6)):
+        whole = (1 << n) - 1
+        patterns = np.array([whole ^ sum(1 << p for p in gone) for gone in itertools.combinations(range(n), k)])
+        hit = np.zeros(len(patterns), dtype=bool)
+        for m in decontaminate.MASKS:
+            for at in range(n - len(m) + 1):
+                bits = int(m, 2) << at
+                hit |= patterns & bits == bits
+        assert hit.all(), (n, k)
+
+
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_evenly_spaced_substitutions_are_found(every):
+    item = " ".join(WORDS[:60])
+    doc = " ".join("other" if j % every == every - 1 else w for j, w in enumerate(item.split()))
+    (found,) = decontaminate.SeedIndex.of([(1, item)]).overlaps("before " + doc + " after", 13, 0.75)
+    assert found["doc_start"] == 1 and found["n_words"] in (59, 60) and found["n_equal"] == 60 - 60 // every
