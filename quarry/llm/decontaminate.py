@@ -6,7 +6,8 @@ have weight 6 and together lose nothing at the default rule: wherever 13 or more
 are at least 75 % equal, one of them hits. A laxer rule finds what has a hit. Seeds of
 the test items and of the documents are joined on their hashes; each hit fixes a diagonal, on which the item and the
 document are compared word by word: the overlap is extended to both sides of the hit while a match counts 1, a
-substitution -2, and the best-scoring extent is kept. A document is contaminated if an overlap has at least
+substitution -2, and the best-scoring extent is kept. What such extents leave of the diagonal is searched for every other
+overlap, longest first, that begins and ends with an equal word; a whole item may also have substitutions at its ends. A document is contaminated if an overlap has at least
 min(``min_words``, words of the item) words, of which at least ``min_identity`` are equal. Items shorter than the masks
 are looked for as exact runs, of all lengths that occur.
 
@@ -54,6 +55,26 @@ def seed_hashes(words: np.ndarray, positions: list[int], salt: int) -> np.ndarra
     return mix(out)
 
 
+def qualifying(equal: np.ndarray, need: int, identity: float) -> list[tuple[int, int]]:
+    """The longest extent of ``need`` words or more that begins and ends with an equal word and is equal enough; then those beside it."""
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        a, b = todo.pop()
+        at = a + np.flatnonzero(equal[a:b])
+        if b - a < need or not len(at):
+            continue
+        k = np.arange(len(at))
+        before, after = k - identity * at, k + 1 - identity * (at + 1)  # equal words less those required, up to each equal word and with it
+        first = np.minimum(np.searchsorted(-np.minimum.accumulate(before), -after - 1e-9), k)  # the earliest begin for each end
+        size = at + 1 - at[first]
+        e = int(size.argmax())
+        if size[e] >= need:
+            begin, end = int(at[first[e]]), int(at[e]) + 1
+            out.append((begin, end))
+            todo += [(a, begin), (end, b)]
+    return out
+
+
 @dataclass
 class SeedIndex:
     """The seeds of one block of items."""
@@ -93,7 +114,8 @@ class SeedIndex:
         maybe[keys >> np.uint64(44)] = True
         return cls(ids, words, masks, keys[order], item[order], start[order], maybe)
 
-    def overlaps(self, text: str | None, min_words: int, min_identity: float) -> list[dict]:
+    def overlaps(self, text: str | None, min_words: int, min_identity: float, rest: bool = False) -> list[dict]:
+        """The accepted best extents of the hits; with ``rest`` also the overlaps that these leave on the hits' diagonals."""
         w = tokens(text)
         pairs: set[tuple[int, int, int]] = set()
         done: list[dict] = []
@@ -106,6 +128,7 @@ class SeedIndex:
             for i, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
                 pairs.update(zip(self.item[a:b].tolist(), (i - self.start[a:b]).tolist(), self.start[a:b].tolist(), strict=True))
         covered: dict[tuple[int, int], int] = {}
+        accepted: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for item, diagonal, j in sorted(pairs):
             if j < covered.get((item, diagonal), -1):
                 continue  # inside the overlap of an earlier hit on this diagonal
@@ -119,8 +142,24 @@ class SeedIndex:
             begin = j - first - (int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0)
             n, same = end - begin, int(equal[begin:end].sum())
             covered[item, diagonal] = end + first
+            extents = accepted.setdefault((item, diagonal), [])
             if n >= min(min_words, len(x)) and same >= min_identity * n:
-                done.append({"item_id": self.ids[item], "item_start": begin + first, "doc_start": begin + first + diagonal, "n_words": n, "n_equal": same, "item_words": len(x)})
+                extents.append((begin + first, end + first))
+        for (item, diagonal), extents in accepted.items():
+            x = self.words[item]
+            first, last = max(0, -diagonal), min(len(x), len(w) - diagonal)
+            need = min(min_words, len(x))
+            equal = x[first:last] == w[first + diagonal : last + diagonal]
+            if rest and (hits := int(equal.sum())) >= min_identity * need:
+                at = first
+                for begin, end in [*sorted(extents), (last, last)]:  # what lies between those accepted
+                    extents += [(at + p, at + q) for p, q in qualifying(equal[at - first : begin - first], need, min_identity)]
+                    at = max(at, end)
+                if not extents and last - first == len(x) and hits >= min_identity * len(x):
+                    extents.append((0, len(x)))
+            for begin, end in extents:
+                same = int(equal[begin - first : end - first].sum())
+                done.append({"item_id": self.ids[item], "item_start": begin, "doc_start": begin + diagonal, "n_words": end - begin, "n_equal": same, "item_words": len(x)})
         return sorted(done, key=lambda d: (d["item_id"], d["doc_start"], d["item_start"]))
 
 
@@ -142,7 +181,7 @@ def find_overlaps(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, more: bool = k > 0) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [shared.value.overlaps(t.as_py(), min_words, min_identity) for t in b.column(at)]
+                found = [shared.value.overlaps(t.as_py(), min_words, min_identity, rest=True) for t in b.column(at)]
                 if more:
                     found = [a + f for a, f in zip(b.column(b.num_columns - 1).to_pylist(), found, strict=True)]
                 rows = b.columns[: b.num_columns - 1] if more else b.columns

@@ -256,3 +256,38 @@ def test_evenly_spaced_substitutions_are_found(every):
     doc = " ".join("other" if j % every == every - 1 else w for j, w in enumerate(item.split()))
     (found,) = decontaminate.SeedIndex.of([(1, item)]).overlaps("before " + doc + " after", 13, 0.75)
     assert found["doc_start"] == 1 and found["n_words"] in (59, 60) and found["n_equal"] == 60 - 60 // every
+
+
+def has_overlap(item, doc, min_words, min_identity):
+    """By all extents of all diagonals, without masks: such as begin and end with an equal word, or the whole item."""
+    need = min(min_words, len(item))
+    for diagonal in range(-len(item) + 1, len(doc)):
+        lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+        same = [item[j] == doc[j + diagonal] for j in range(lo, hi)]
+        if hi - lo == len(item) and sum(same) >= min_identity * len(item):
+            return True
+        at = [j for j, s in enumerate(same) if s]
+        if any(b - a + 1 >= need and m - k + 1 >= min_identity * (b - a + 1) for k, a in enumerate(at) for m, b in enumerate(at) if m >= k):
+            return True
+    return False
+
+
+def test_every_overlap_of_all_diagonals_is_judged():
+    rng = random.Random(23)
+    n = 0
+    for _ in range(400):
+        item = rng.choices(WORDS, k=rng.choice([11, 12, 13, 13, 16, 17, 20, 24, 40]))
+        copy = [w if rng.random() > rng.choice([0.15, 0.25, 0.3]) else "other" for w in item]
+        doc = rng.choices(WORDS, k=5) + copy[rng.choice([0, 0, 0, 2]) :] + rng.choices(WORDS, k=5)
+        found = decontaminate.SeedIndex.of([(1, " ".join(item))]).overlaps(" ".join(doc), 13, 0.75, rest=True)
+        assert bool(found) == has_overlap(item, doc, 13, 0.75), (item, doc)
+        assert all(h["n_words"] >= min(13, len(item)) and h["n_equal"] >= 0.75 * h["n_words"] for h in found)
+        n += bool(found)
+    assert 100 < n < 300
+
+
+def test_exact_runs_in_a_paraphrase_are_found():
+    item = WORDS[:70]
+    doc = [w if j % 19 < 13 else "other" for j, w in enumerate(item)]
+    found = decontaminate.SeedIndex.of([(1, " ".join(item))]).overlaps(" ".join(doc), 13, 0.75, rest=True)
+    assert sum(h["n_equal"] for h in found) == 52 and all(h["n_equal"] >= 0.75 * h["n_words"] for h in found)
