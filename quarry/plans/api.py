@@ -38,17 +38,31 @@ def search_prose(prose: DataFrame, query: str, cap: int = 2) -> DataFrame:
     return ranked.cap_per_key(found, "symbol", list(PROSE_ORDER), cap)
 
 
-def find_references(uses: DataFrame, symbol: str) -> DataFrame:
+def find_references(uses: DataFrame, symbol: str, types: DataFrame | None = None) -> DataFrame:
     """Uses of a type, deduplicated, with ``is_exact``; the type's own declarations are left out.
 
     Where package rows carry the canonical names of the types in an expression (``type_names``), these decide.
+    An applied attribute is a use of the type that it means among ``types`` (see ``attribute_references``) and of those in its
+    arguments; where it means a sibling of the symbol it is left out. Without ``types`` only the symbol is taken to exist.
     """
     matching.check_symbol(symbol)
     e = F.col("type_expression")
     named = matching.names_type(e, symbol)
     if "type_names" in uses.columns:
         named = F.when((F.col("origin") == "nuget") & F.col("type_names").isNotNull(), F.array_contains("type_names", symbol)).otherwise(named)
-    found = uses.filter(named & (F.col("owner") != symbol)).withColumn("is_exact", matching.is_exactly(e, symbol, F.col("origin")))
+    exact = matching.is_exactly(e, symbol, F.col("origin"))
+    applied, suffixed = matching.applied_name(e), F.concat(matching.applied_name(e), F.lit("Attribute"))
+    if types is None:
+        known, means = uses, F.when(F.lit(matching.attribute_short_form(symbol)) == applied, F.lit(symbol)).otherwise(applied)
+    else:
+        long = types.filter(F.col("full_name").isin(symbol, f"{symbol}Attribute")).select(F.col("full_name").alias("_long")).distinct()
+        known, means = uses.join(long, (F.col("kind") == "attribute") & (suffixed == F.col("_long")), "left"), F.coalesce("_long", applied)
+    is_attribute = F.col("kind") == "attribute"
+    if "type_names" in uses.columns:
+        is_attribute &= (F.col("origin") != "nuget") | F.col("type_names").isNull()
+    named = F.when(is_attribute & (means == symbol), True).when(is_attribute & (applied == symbol), False).otherwise(named)
+    exact = F.when(is_attribute, means == symbol).otherwise(exact)
+    found = known.filter(named & (F.col("owner") != symbol)).withColumn("is_exact", exact).select(*uses.columns, "is_exact")
     keys = ["declaration_id", "kind", F.coalesce("parameter_name", F.lit("")), "type_expression"]
     return ranked.first_wins(found, keys, ["priority", "symbol"])
 

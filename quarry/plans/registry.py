@@ -123,13 +123,13 @@ def prose_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def api_reference_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = api.filter_references(api.find_references(bindings.uses(spark, sf_dir), "System.ECONOMY"), kind="parameter")
+    found = api.filter_references(api.find_references(bindings.uses(spark, sf_dir), "System.ECONOMY", bindings.types(spark, sf_dir)), kind="parameter")
     return ranked.page(found, ["symbol", "kind", F.coalesce("parameter_name", F.lit("")), "type_expression"], 100).select("symbol", "kind", "parameter_name", "type_expression", "is_exact", "position")
 
 
 @query
 def api_reference_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.reference_totals(api.find_references(bindings.uses(spark, sf_dir), "System.ECONOMY"))
+    return api.reference_totals(api.find_references(bindings.uses(spark, sf_dir), "System.ECONOMY", bindings.types(spark, sf_dir)))
 
 
 @query

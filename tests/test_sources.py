@@ -201,3 +201,17 @@ def test_packages_are_matched_by_canonical_names(spark):
     assert api.reference_totals(api.find_references(uses, "System.String")).first().n_return == 2
     with pytest.raises(QueryError):
         api.filter_references(uses, "verb")
+
+
+def test_attributes_are_found_by_the_type_they_mean(spark):
+    from quarry.plans import api
+
+    said = ["[Ns.Foo(1)]", "[return: Ns.FooAttribute]", "[Ns.Bar]", "[Ns.Baz(typeof(Ns.Foo))]", "Ns.Foo"]
+    rows = [("git", 0, f"M:A.{i}", f"A.{i}", "attribute", None, a, "A") for i, a in enumerate(said)] + [("git", 0, "M:A.9", "A.9", "return", None, "Ns.Foo", "A")]
+    uses = spark.createDataFrame(rows, "origin string, priority int, declaration_id string, symbol string, kind string, parameter_name string, type_expression string, owner string")
+    types = spark.createDataFrame([("Ns.FooAttribute",), ("Ns.Foo",), ("Ns.Bar",), ("Ns.FooAttribute",)], "full_name string")
+    find = lambda symbol, types=types: {r.declaration_id[-1]: r.is_exact for r in api.find_references(uses, symbol, types).collect()}
+    assert find("Ns.FooAttribute") == find("Ns.FooAttribute", None) == {"0": True, "1": True, "4": True}
+    assert find("Ns.Foo") == {"3": False, "9": True}
+    assert find("Ns.Bar") == find("Ns.Bar", None) == {"2": True} and find("Ns.BarAttribute") == {}
+    assert api.reference_totals(api.find_references(uses, "Ns.FooAttribute", types)).first().n_attribute == 3
