@@ -202,6 +202,23 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
+def _link_heavy(node: Node) -> bool:
+    total, linked = _measure(node)
+    return linked * 2 >= total > 0
+
+
+def _landmark(node: Node) -> Node | None:
+    """The nearest main element around a node or, without one, the nearest with a name of content."""
+    named = None
+    while node is not None and node.tag not in ("body", "html", "#root"):
+        if node.tag == "main":
+            return node
+        if named is None and node.attrs and any(w in _GOOD for w in _names(node.attrs)[0]):
+            named = node
+        node = node.parent
+    return named
+
+
 def main_text(page: str | None) -> str:
     """The article's text, blocks joined by line feeds; empty if there is none."""
     if not page:
@@ -246,13 +263,25 @@ def main_text(page: str | None) -> str:
     x = best
     while x is not None and x.tag != "article":
         x = x.parent
-    best = x or best  # what lies in an article element is one text, whichever part of it scored best
-    chosen = [best]
+    marked = x or _landmark(best)
+    if marked is not None and marked.tag != "article":  # between the landmark and the best part only link lists go
+        x = best
+        while x is not marked:
+            for k in x.parent.kids:
+                if k is not x and not isinstance(k, str) and k.tag in _BLOCK and _link_heavy(k):
+                    k.dropped = True
+            x = x.parent
+    best = marked or best  # what lies in such an element is one text, whichever part of it scored best
+    chosen: list[Node | str] = [best]
     if best.parent is not None and best.tag not in ("body", "html"):
         chosen = []
         names = re.search(r"class\s*=\s*[\"']([^\"']+)", best.attrs)
         for x in best.parent.kids:
-            if isinstance(x, str) or x.dropped:
+            if isinstance(x, str):
+                if marked is None:
+                    chosen.append(x)
+                continue
+            if x.dropped:
                 continue
             if x is best:
                 chosen.append(x)
@@ -260,6 +289,9 @@ def main_text(page: str | None) -> str:
             bonus = top * 0.2 if names and names[1] in x.attrs else 0
             if id(x) in scored and x.points + bonus >= max(10, top * 0.2):
                 chosen.append(x)
+            elif marked is None:
+                if not _link_heavy(x):
+                    chosen.append(x)
             elif x.tag == "p" or x.tag[0] == "h" and x.tag[1:].isdigit():
                 total, linked = _measure(x)
                 if total and linked / total < 0.25 and (total > 80 or linked == 0):

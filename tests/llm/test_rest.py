@@ -291,3 +291,14 @@ def test_exact_runs_in_a_paraphrase_are_found():
     doc = [w if j % 19 < 13 else "other" for j, w in enumerate(item)]
     found = decontaminate.SeedIndex.of([(1, " ".join(item))]).overlaps(" ".join(doc), 13, 0.75, rest=True)
     assert sum(h["n_equal"] for h in found) == 52 and all(h["n_equal"] >= 0.75 * h["n_words"] for h in found)
+
+
+LONG = "".join(f"<p>{'Words of the text, of which there are many, ' + 'and more of them ' * 9}{i}.</p>" for i in range(5))
+SHORT = "<section><p>A short paragraph.</p></section><ul><li>one</li></ul><table><tr><td>cell</td></tr></table><pre>code</pre><blockquote>said</blockquote>"
+
+
+@pytest.mark.parametrize("page", ["<body><main>{}</main><footer>(c)</footer>", "<body><div class=content>{}</div>", "<body><div>{}</div>", "<body><div id=content><div>{}</div></div>"])
+def test_short_parts_beside_the_best_stay(page):
+    links = "<ul><li><a href=a>Another page</a></li><li><a href=b>And one more</a></li></ul>"
+    got = html_text.main_text(page.format(f"<section>{LONG}</section>{SHORT}{links}")).split("\n")
+    assert got[5:10] == ["A short paragraph.", "one", "cell", "code", "said"]
