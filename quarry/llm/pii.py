@@ -8,6 +8,9 @@ permuted value falls outside the format (an area code may not start with 1) the
 which keeps the mapping one-to-one; check digits are computed anew. A value is permuted without its separators and these are put
 back, so equal values get equal pseudonyms whatever their spelling and document.
 
+Dates with slashes are read as MM/dd/yyyy where that is a date and as dd/MM/yyyy otherwise, and written as they were read; so 05/12/1999
+is always the twelfth of May.
+
 The round function is SHA-256 of key, kind, round, place and the other half. Every row is handled by itself: no shuffle,
 nothing collected. The key is a literal in the query plan; keep plans as secret as the key.
 
@@ -106,7 +109,7 @@ def kind_of(x: str) -> str:
     """SQL for the kind of a match, null if it is not valid."""
     d = _digits(x)
     compact = f"replace({x}, ' ', '')"
-    date = f"coalesce(try_to_date({x}, 'yyyy-MM-dd'), try_to_date({x}, 'dd.MM.yyyy'), try_to_date({x}, 'MM/dd/yyyy'))"
+    date = f"coalesce(try_to_date({x}, 'yyyy-MM-dd'), try_to_date({x}, 'dd.MM.yyyy'), try_to_date({x}, 'MM/dd/yyyy'), try_to_date({x}, 'dd/MM/yyyy'))"
     return (
         f"CASE WHEN {x} LIKE '%@%' THEN 'email'"
         f" WHEN {x} RLIKE '^[A-Z]' THEN CASE WHEN length({compact}) BETWEEN 15 AND 34 AND {mod97(f'concat(substr({compact}, 5), substr({compact}, 1, 4))')} = 1 THEN 'iban' END"
@@ -132,11 +135,11 @@ def pseudonym(x: str, kind: str, key: str) -> str:
     iban = f"element_at(transform(array({feistel_text(f'substr({alnum}, 5)', 'iban', key)}), ip -> concat(substr({x}, 1, 2), lpad(string(98 - {mod97(f"concat(ip, substr({x}, 1, 2), '00')")}), 2, '0'), ip)), 1)"
     ip_number = f"aggregate(split({x}, '[.]'), 0L, (ia, io) -> ia * 256 + int(io))"
     ip = f"element_at(transform(array({feistel_number(ip_number, 65536, 'ip', key)}), iv -> concat_ws('.', iv div 16777216, (iv div 65536) % 256, (iv div 256) % 256, iv % 256)), 1)"
-    form = f"CASE WHEN {x} LIKE '%-%' THEN 'yyyy-MM-dd' WHEN {x} LIKE '%/%' THEN 'MM/dd/yyyy' WHEN try_to_date({x}, 'dd.MM.yyyy') IS NOT NULL THEN 'dd.MM.yyyy' END"
-    day = f"datediff(coalesce(try_to_date({x}, 'yyyy-MM-dd'), try_to_date({x}, 'dd.MM.yyyy'), try_to_date({x}, 'MM/dd/yyyy')), DATE'1900-01-01')"
+    form = f"CASE WHEN {x} LIKE '%-%' THEN 'yyyy-MM-dd' WHEN {x} LIKE '%/%' THEN CASE WHEN try_to_date({x}, 'MM/dd/yyyy') IS NULL THEN 'dd/MM/yyyy' ELSE 'MM/dd/yyyy' END WHEN try_to_date({x}, 'dd.MM.yyyy') IS NOT NULL THEN 'dd.MM.yyyy' END"
+    day = f"datediff(coalesce(try_to_date({x}, 'yyyy-MM-dd'), try_to_date({x}, 'dd.MM.yyyy'), try_to_date({x}, 'MM/dd/yyyy'), try_to_date({x}, 'dd/MM/yyyy')), DATE'1900-01-01')"
     date = walk(f"bigint({day})", f"w < {_DATE_DAYS}", feistel_number("w", _DATE_RADIX, "date", key))
     shown = "date_add(DATE'1900-01-01', int(dn))"
-    date = f"element_at(transform(array({date}), dn -> CASE {form} WHEN 'yyyy-MM-dd' THEN date_format({shown}, 'yyyy-MM-dd') WHEN 'MM/dd/yyyy' THEN date_format({shown}, 'MM/dd/yyyy') ELSE date_format({shown}, 'dd.MM.yyyy') END), 1)"
+    date = f"element_at(transform(array({date}), dn -> CASE {form} WHEN 'yyyy-MM-dd' THEN date_format({shown}, 'yyyy-MM-dd') WHEN 'MM/dd/yyyy' THEN date_format({shown}, 'MM/dd/yyyy') WHEN 'dd/MM/yyyy' THEN date_format({shown}, 'dd/MM/yyyy') ELSE date_format({shown}, 'dd.MM.yyyy') END), 1)"
     nanp = walk(f"right({d}, 10)", f"w RLIKE '{_NANP}'", feistel_text("w", "phone", key))
     code = f"CASE WHEN {x} RLIKE '^[+][0-9]{{1,3}}[ (.-]' THEN length({_digits(f"regexp_extract({x}, '^[+][0-9]{{1,3}}', 0)")}) ELSE 2 END"
     other = f"concat(substr({d}, 1, {code}), {feistel_text(f'substr({d}, {code} + 1)', 'phone', key)})"

@@ -302,3 +302,10 @@ def test_short_parts_beside_the_best_stay(page):
     links = "<ul><li><a href=a>Another page</a></li><li><a href=b>And one more</a></li></ul>"
     got = html_text.main_text(page.format(f"<section>{LONG}</section>{SHORT}{links}")).split("\n")
     assert got[5:10] == ["A short paragraph.", "one", "cell", "code", "said"]
+
+
+def test_dates_with_slashes(spark):
+    got = masked(spark, ["25/12/1999", "12/25/1999", "1999-12-25", "32/12/1999 12/32/1999", "né le 25/12/1999."])
+    assert [r.n_date for r in got] == [1, 1, 1, 0, 1] and got[3].text == "32/12/1999 12/32/1999"
+    y, m, d = got[2].text.split("-")
+    assert got[0].text == f"{d}/{m}/{y}" != "25/12/1999" and got[1].text == f"{m}/{d}/{y}" and got[4].text == f"né le {d}/{m}/{y}."
