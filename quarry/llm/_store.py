@@ -62,3 +62,12 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and more fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names with underscores before them, as many as set them apart from all others."""
+    taken = {n.lower() for n in names}
+    prefix = "_"
+    while any(prefix + w in taken for w in wanted):
+        prefix += "_"
+    return [prefix + w for w in wanted]

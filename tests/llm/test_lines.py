@@ -35,7 +35,7 @@ def brute_force(rows, edits=1, min_chars=16):
 
 
 def run(spark, rows, **kw):
-    df = spark.createDataFrame([(i, t, "c", 4) for i, t in rows], "doc_id long, text string, line string, n_lines int")
+    df = spark.createDataFrame([(i, t, "c", 4, 1, 2, 3) for i, t in rows], "doc_id long, text string, line string, n_lines int, _id int, _text int, _dropped int")
     return line_dedup.dedup_lines(df, **kw).collect()
 
 
@@ -52,7 +52,7 @@ def test_equals_brute_force(spark, length):
     want = brute_force(rows)
     got = {r.doc_id: r for r in run(spark, rows)}
     assert {i: r.text for i, r in got.items()} == want
-    assert all(r.n_lines == len(t.split("\n")) and r.line == "c" for (i, t) in rows for r in [got[i]])
+    assert all(r.n_lines == len(t.split("\n")) and (r.line, r._id, r._text, r._dropped) == ("c", 1, 2, 3) for (i, t) in rows for r in [got[i]])
 
 
 def test_exact_only(spark):
