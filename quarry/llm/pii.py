@@ -1,12 +1,16 @@
 """Pseudonyms for personal data that keep the format, as SQL expressions only.
 
 E-mail addresses, payment cards, IBANs, IPv4 addresses, dates, US social security numbers and telephone numbers are found by
-pattern and validated (Luhn and mod-97 check digits, octet ranges, calendar, numbering plans); what is not valid stays as it
+pattern and validated (Luhn and mod-97 check digits, IBAN lengths, octet ranges, calendar, numbering plans); what is not valid stays as it
 is. A valid value is mapped by a keyed Feistel network of eight rounds over its own format: characters
 move within digits, lower or upper case; dates within 1900 to 2099; addresses within 32 bits. Where the
 permuted value falls outside the format (an area code may not start with 1) the network is applied again until it is inside,
-which keeps the mapping one-to-one; check digits are computed anew. A value is permuted without its separators and these are put
-back, so equal values get equal pseudonyms whatever their spelling and document.
+which keeps the mapping one-to-one; check digits are computed anew.
+
+A value is permuted without its separators and, where case does not tell values apart (IBANs, e-mail), in one case; separators and case
+are put back, so equal values get equal pseudonyms whatever their spelling and document. A country's calling code stays, and is read
+from the digits alone by the numbering plan; a North American number is one value with and without +1. An IBAN keeps its country. Of an
+e-mail address the local part and the domain without its last label are permuted, each by itself, so that addresses of one domain stay together.
 
 Dates with slashes are read as MM/dd/yyyy where that is a date and as dd/MM/yyyy otherwise, and written as they were read; so 05/12/1999
 is always the twelfth of May.
@@ -15,7 +19,7 @@ The round function is SHA-256 of key, kind, round, place and the other half. Eve
 nothing collected. The key is a literal in the query plan; keep plans as secret as the key.
 
 Defined results: null texts stay null, with counts of 0; empty texts stay empty; repeated values and rows map alike; texts are read
-whole. Other columns are kept, except those with the names of the added ones.
+whole; an empty table gives an empty one. Other columns are kept, whatever their names, except those with the names of the added ones (n_<kind>).
 """
 
 from __future__ import annotations
@@ -23,17 +27,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import fresh
+
 KINDS = ("email", "iban", "ip", "date", "phone", "card", "ssn")
 ROUNDS = 8
 _DATE_RADIX, _DATE_DAYS = 271, 73_049  # 271^2 is the least square that holds the days from 1900-01-01 to 2099-12-31
+# fixed values: the lengths of IBANs by country (ISO 13616)
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# fixed values: calling codes of one and two digits (ITU E.164); all others have three
+_CODE = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+_IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 #: One pattern, alternatives in the order in which they are tried; loops over groups are bounded, so that no text deepens the matcher's stack.
 PATTERN = "|".join((
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
-    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9])(?i:{_IBAN})(?![A-Za-z0-9])",
     r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
     r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     r"(?<![0-9A-Za-z./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])",
-    r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
+    r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
     r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
     r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z(+-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z-])",
@@ -93,80 +108,121 @@ def feistel_number(x: str, radix: int, kind: str, key: str) -> str:
 
 
 def walk(x: str, valid: str, once: str) -> str:
-    """Applies ``once`` (to ``w``) until ``valid`` (of ``w``) holds: a permutation of the valid values."""
-    return f"aggregate(sequence(1, 48), {x}, (w, wi) -> CASE WHEN wi > 1 AND {valid} THEN w ELSE {once} END)"
+    """Applies ``once`` (to ``w``) until ``valid`` (of ``w``) holds: a permutation of the valid values. A chance of 10^-21 or less to need more rounds fails the job."""
+    steps = f"aggregate(sequence(1, 48), {x}, (w, wi) -> CASE WHEN wi > 1 AND {valid} THEN w ELSE {once} END"
+    return f"{steps}, w -> CASE WHEN {valid} THEN w ELSE raise_error('no value of the format in 48 rounds') END)"
+
+
+def bound(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is so computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def refill(x: str, values: str, pattern: str) -> str:
-    """Puts the characters of ``values`` in place of the characters of ``x`` that match."""
+    """Puts the characters of ``values`` in place of the characters of ``x`` that match, in lower case where those are."""
+    put = f"CASE WHEN rc RLIKE '^[a-z]$' THEN lower(substr({values}, rs.k, 1)) WHEN rc RLIKE '^[A-Z]$' THEN upper(substr({values}, rs.k, 1)) ELSE substr({values}, rs.k, 1) END"
     return (
         f"aggregate(split({x}, ''), named_struct('o', '', 'k', 1), (rs, rc) -> CASE WHEN rc RLIKE '{pattern}'"
-        f" THEN named_struct('o', concat(rs.o, substr({values}, rs.k, 1)), 'k', rs.k + 1) ELSE named_struct('o', concat(rs.o, rc), 'k', rs.k) END, rs -> rs.o)"
+        f" THEN named_struct('o', concat(rs.o, {put}), 'k', rs.k + 1) ELSE named_struct('o', concat(rs.o, rc), 'k', rs.k) END, rs -> rs.o)"
     )
 
 
+_SSN = "^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"
+_NANP = "^[2-9][0-9]{2}[2-9][0-9]{6}$"
+_DATE_FORMS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")  # tried in this order
+
+
+def _date(x: str) -> str:
+    return f"coalesce({', '.join(f'try_to_date({x}, {_q(form)})' for form in _DATE_FORMS)})"
+
+
 def kind_of(x: str) -> str:
     """SQL for the kind of a match, null if it is not valid."""
     d = _digits(x)
-    compact = f"replace({x}, ' ', '')"
-    date = f"coalesce(try_to_date({x}, 'yyyy-MM-dd'), try_to_date({x}, 'dd.MM.yyyy'), try_to_date({x}, 'MM/dd/yyyy'), try_to_date({x}, 'dd/MM/yyyy'))"
+    compact = f"upper(replace({x}, ' ', ''))"
+    iban = f"{mod97(f'concat(substr({compact}, 5), substr({compact}, 1, 4))')} = 1"
+    octets = f"forall(split({x}, '[.]'), io -> int(io) <= 255 AND (length(io) = 1 OR io NOT LIKE '0%'))"
+    day = f"{_date(x)} >= DATE'1900-01-01' AND {_date(x)} < DATE'2100-01-01'"
+    dialled = f"length({d}) BETWEEN 8 AND 15 AND ({d} NOT LIKE '1%' OR substr({d}, 2) RLIKE '{_NANP}')"
     return (
         f"CASE WHEN {x} LIKE '%@%' THEN 'email'"
-        f" WHEN {x} RLIKE '^[A-Z]' THEN CASE WHEN length({compact}) BETWEEN 15 AND 34 AND {mod97(f'concat(substr({compact}, 5), substr({compact}, 1, 4))')} = 1 THEN 'iban' END"
-        f" WHEN {x} RLIKE r'^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$' THEN CASE WHEN forall(split({x}, '[.]'), io -> int(io) <= 255 AND (length(io) = 1 OR io NOT LIKE '0%')) THEN 'ip' END"
-        f" WHEN {x} RLIKE r'^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})$' THEN CASE WHEN {date} >= DATE'1900-01-01' AND {date} < DATE'2100-01-01' THEN 'date' END"
-        f" WHEN {x} LIKE '+%' THEN CASE WHEN length({d}) BETWEEN 8 AND 15 THEN 'phone' END"
+        f" WHEN {x} RLIKE '^[A-Za-z]' THEN CASE WHEN {iban} THEN 'iban' END"
+        f" WHEN {x} RLIKE r'^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$' THEN CASE WHEN {octets} THEN 'ip' END"
+        f" WHEN {x} RLIKE r'^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})$' THEN CASE WHEN {day} THEN 'date' END"
+        f" WHEN {x} LIKE '+%' THEN CASE WHEN {dialled} THEN 'phone' END"
         f" WHEN {x} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN CASE WHEN {d} RLIKE '{_SSN}' THEN 'ssn' END"
         f" WHEN length({d}) = 10 THEN 'phone'"
         f" WHEN length({d}) BETWEEN 13 AND 19 THEN CASE WHEN {d} NOT LIKE '0%' AND {luhn_sum(d, 0)} % 10 = 0 THEN 'card' END END"
     )
 
 
-_SSN = "^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"
-_NANP = "^[2-9][0-9]{2}[2-9][0-9]{6}$"
+def _card(x: str, key: str) -> str:
+    """The first digit stays, the last is the check digit."""
+    d = _digits(x)
+    body = f"concat(substr({d}, 1, 1), {feistel_text(f'substr({d}, 2, length({d}) - 2)', 'card', key)})"
+    return bound("cp", body, f"concat(cp, string((10 - {luhn_sum('cp', 1)} % 10) % 10))")
 
 
-def pseudonym(x: str, kind: str, key: str) -> str:
-    """SQL for the pseudonym of a valid match ``x`` of a kind."""
-    d = _digits(x)
-    card = f"concat(substr({d}, 1, 1), {feistel_text(f'substr({d}, 2, length({d}) - 2)', 'card', key)})"
-    card = f"element_at(transform(array({card}), cp -> concat(cp, string((10 - {luhn_sum('cp', 1)} % 10) % 10))), 1)"
-    alnum = f"regexp_replace({x}, ' ', '')"
-    iban = f"element_at(transform(array({feistel_text(f'substr({alnum}, 5)', 'iban', key)}), ip -> concat(substr({x}, 1, 2), lpad(string(98 - {mod97(f"concat(ip, substr({x}, 1, 2), '00')")}), 2, '0'), ip)), 1)"
-    ip_number = f"aggregate(split({x}, '[.]'), 0L, (ia, io) -> ia * 256 + int(io))"
-    ip = f"element_at(transform(array({feistel_number(ip_number, 65536, 'ip', key)}), iv -> concat_ws('.', iv div 16777216, (iv div 65536) % 256, (iv div 256) % 256, iv % 256)), 1)"
-    form = f"CASE WHEN {x} LIKE '%-%' THEN 'yyyy-MM-dd' WHEN {x} LIKE '%/%' THEN CASE WHEN try_to_date({x}, 'MM/dd/yyyy') IS NULL THEN 'dd/MM/yyyy' ELSE 'MM/dd/yyyy' END WHEN try_to_date({x}, 'dd.MM.yyyy') IS NOT NULL THEN 'dd.MM.yyyy' END"
-    day = f"datediff(coalesce(try_to_date({x}, 'yyyy-MM-dd'), try_to_date({x}, 'dd.MM.yyyy'), try_to_date({x}, 'MM/dd/yyyy'), try_to_date({x}, 'dd/MM/yyyy')), DATE'1900-01-01')"
-    date = walk(f"bigint({day})", f"w < {_DATE_DAYS}", feistel_number("w", _DATE_RADIX, "date", key))
+def _account(x: str, key: str) -> str:
+    """Country, check digits anew, and the rest permuted; without spaces, in capitals."""
+    compact = f"upper(replace({x}, ' ', ''))"
+    check = f"lpad(string(98 - {mod97(f"concat(ip, substr({compact}, 1, 2), '00')")}), 2, '0')"
+    return bound("ip", feistel_text(f"substr({compact}, 5)", "iban", key), f"concat(substr({compact}, 1, 2), {check}, ip)")
+
+
+def _address(x: str, key: str) -> str:
+    number = f"aggregate(split({x}, '[.]'), 0L, (ia, io) -> ia * 256 + int(io))"
+    return bound("iv", feistel_number(number, 65536, "ip", key), "concat_ws('.', iv div 16777216, (iv div 65536) % 256, (iv div 256) % 256, iv % 256)")
+
+
+def _day(x: str, key: str) -> str:
+    moved = walk(f"bigint(datediff({_date(x)}, DATE'1900-01-01'))", f"w < {_DATE_DAYS}", feistel_number("w", _DATE_RADIX, "date", key))
     shown = "date_add(DATE'1900-01-01', int(dn))"
-    date = f"element_at(transform(array({date}), dn -> CASE {form} WHEN 'yyyy-MM-dd' THEN date_format({shown}, 'yyyy-MM-dd') WHEN 'MM/dd/yyyy' THEN date_format({shown}, 'MM/dd/yyyy') WHEN 'dd/MM/yyyy' THEN date_format({shown}, 'dd/MM/yyyy') ELSE date_format({shown}, 'dd.MM.yyyy') END), 1)"
-    nanp = walk(f"right({d}, 10)", f"w RLIKE '{_NANP}'", feistel_text("w", "phone", key))
-    code = f"CASE WHEN {x} RLIKE '^[+][0-9]{{1,3}}[ (.-]' THEN length({_digits(f"regexp_extract({x}, '^[+][0-9]{{1,3}}', 0)")}) ELSE 2 END"
+    cases = " ".join(f"WHEN try_to_date({x}, {_q(form)}) IS NOT NULL THEN date_format({shown}, {_q(form)})" for form in _DATE_FORMS)
+    return bound("dn", moved, f"CASE {cases} END")
+
+
+def _phone(x: str, key: str) -> str:
+    """The calling code stays; North American numbers stay within their plan, with or without the code."""
+    d = _digits(x)
+    american = walk(f"right({d}, 10)", f"w RLIKE '{_NANP}'", feistel_text("w", "phone", key))
+    code = f"CASE WHEN {d} RLIKE '{_CODE}' THEN length(regexp_extract({d}, '{_CODE}', 1)) ELSE 3 END"
     other = f"concat(substr({d}, 1, {code}), {feistel_text(f'substr({d}, {code} + 1)', 'phone', key)})"
-    phone = f"CASE WHEN right({d}, 10) RLIKE '{_NANP}' AND (length({d}) = 10 OR {d} LIKE '1%' AND length({d}) = 11) THEN concat(substr({d}, 1, length({d}) - 10), {nanp}) ELSE {other} END"
-    ssn = walk(d, f"w RLIKE '{_SSN}'", feistel_text("w", "ssn", key))
-    email = f"concat({feistel_text(f"substring_index({x}, '@', 1)", 'email', key)}, '@', substring_index({x}, '@', -1))"
-    filled = {"card": card, "phone": phone, "ssn": ssn}
-    cases = [f"WHEN 'email' THEN {email}", f"WHEN 'iban' THEN {refill(x, iban, '^[0-9A-Z]$')}", f"WHEN 'ip' THEN {ip}", f"WHEN 'date' THEN {date}"]
-    for name, value in filled.items():  # bound once, not once for each character put back
-        cases.append(f"WHEN '{name}' THEN element_at(transform(array({value}), fv -> {refill(x, 'fv', '^[0-9]$')}), 1)")
-    cases[1] = f"WHEN 'iban' THEN element_at(transform(array({iban}), fv -> {refill(x, 'fv', '^[0-9A-Z]$')}), 1)"
+    return f"CASE WHEN length({d}) = 10 AND {x} NOT LIKE '+%' OR {d} LIKE '1%' THEN concat(substr({d}, 1, length({d}) - 10), {american}) ELSE {other} END"
+
+
+def _mail(x: str, key: str) -> str:
+    """Local part and domain by themselves, in lower case; the last label stays."""
+    local, domain = f"lower(substring_index({x}, '@', 1))", f"lower(substring_index({x}, '@', -1))"
+    top = f"substring_index({domain}, '.', -1)"
+    name = f"substr({domain}, 1, length({domain}) - length({top}))"
+    return f"concat({feistel_text(local, 'email', key)}, '@', {feistel_text(name, 'domain', key)}, {top})"
+
+
+def pseudonym(x: str, kind: str, key: str) -> str:
+    """SQL for the pseudonym of a valid match ``x`` of a kind."""
+    ssn = walk(_digits(x), f"w RLIKE '{_SSN}'", feistel_text("w", "ssn", key))
+    cases = [f"WHEN 'ip' THEN {_address(x, key)}", f"WHEN 'date' THEN {_day(x, key)}"]
+    for name, value, pattern in (
+        ("email", _mail(x, key), "^.$"), ("iban", _account(x, key), "^[0-9A-Za-z]$"), ("card", _card(x, key), "^[0-9]$"), ("phone", _phone(x, key), "^[0-9]$"), ("ssn", ssn, "^[0-9]$"),
+    ):
+        cases.append(f"WHEN '{name}' THEN {bound('fv', value, refill(x, 'fv', pattern))}")
     return f"CASE {kind} {' '.join(cases)} ELSE {x} END"
 
 
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns with the text rewritten, and n_<kind> for each kind: the values of it that were replaced."""
     added = [f"n_{k}" for k in KINDS]
-    keep = [F.col(f"`{c}`") for c in df.columns if c != text_col and c not in added]
+    names = [c for c in df.columns if c not in added]
+    found, new = fresh(df.columns, "found", "new")
     text = F.col(f"`{text_col}`")
-    some = text.rlike("[0-9@]")
-    found = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = df.select(*keep, text.alias("_text"), F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
-    rows = rows.withColumn("_found", F.expr(f"transform(_found, m -> named_struct('m', m, 'kind', {kind_of('m')}))"))
-    rows = rows.withColumn("_new", F.expr(f"transform(_found, s -> CASE WHEN s.kind IS NULL THEN s.m ELSE {pseudonym('s.m', 's.kind', key)} END)"))
-    gaps = F.split(F.col("_text"), PATTERN, -1)
-    joined = F.array_join(F.zip_with(gaps, F.col("_new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    new = F.when(F.size("_found") == 0, F.col("_text")).otherwise(joined)
-    names = [c for c in df.columns if c != text_col and c not in added]
-    counts = [F.expr(f"size(filter(_found, s -> s.kind = '{k}'))").alias(f"n_{k}") for k in KINDS]
-    return rows.select(*[F.col(f"`{c}`") for c in names], new.alias(text_col), *counts)
+    none = F.array().cast("array<string>")
+    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.coalesce(matches, none).alias(found))
+    rows = rows.withColumn(found, F.expr(f"transform({found}, m -> named_struct('m', m, 'kind', {kind_of('m')}))"))
+    rows = rows.withColumn(new, F.expr(f"transform({found}, s -> CASE WHEN s.kind IS NULL THEN s.m ELSE {pseudonym('s.m', 's.kind', key)} END)"))
+    gaps = F.split(text, PATTERN, -1)
+    joined = F.array_join(F.zip_with(gaps, F.col(new), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    out = F.when(F.size(found) == 0, text).otherwise(joined)
+    counts = [F.expr(f"size(filter({found}, s -> s.kind = '{k}'))").alias(f"n_{k}") for k in KINDS]
+    return rows.select(*[out.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *counts)
