@@ -1,15 +1,19 @@
 """Main text of HTML pages by tree scoring.
 
 The page becomes a tree (comments, scripts and styles left out, end tags that HTML implies are supplied). Elements
-that are never article text (navigation, page headers and footers, sidebars, forms, notices, adverts, reader comments) are
-taken out by their tag, role or the words of their class and id. Each paragraph of some length passes points for its
-length and its commas to its ancestors, in full to the parent, half to the grandparent and less above; an ancestor's sum
-counts less the more of its text is inside links. The container with the most points and the siblings that resemble
-it are kept, and all their blocks come out in page order.
+that are never article text (navigation, page headers and footers, sidebars, forms and their controls, notices, adverts, reader comments) are
+taken out by their tag, role or the words of their class and id; so is what a browser doesn't show as text (drawings, frames, media).
+
+Each block with text of its own passes points to the block around it: a point for each comma, one for each 100 characters (three at
+most), and one more, in proportion where it has under 25 characters. What a block has received it passes on by half, however deep the page. A block's
+points and those of its tag and name count less the more of its text is inside links. The block with the most points is the best
+container. It is kept whole, and so are its siblings but those that are mostly links; where it lies in an article, a main element or, without these,
+one with a name of content, the siblings of its ancestors up to there are judged alike. All their text comes out in page order.
 
 Defined results: a null or empty page, and a page without text, give an empty text; character references are decoded; white space
-inside a block becomes one space; blocks are joined by one line feed; a page of any length is read whole; markup that
-is broken off or never closed is read as far as it goes.
+inside a block becomes one space; blocks are joined by one line feed; a page of any length or depth is read whole, in time that grows with
+its length; markup that is broken off or never closed is read as far as it goes; repeated rows give the same text; an empty table gives an
+empty one; other columns are kept, whatever their names, but the page and those with the names of the added ones.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import with_fields
+from ._store import fresh, with_fields
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S
 )
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "canvas", "audio", "video", "object"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "canvas", "audio", "video", "object"}
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|\Z", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
@@ -36,14 +40,18 @@ _BLOCK = {
     "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: What the start of an element closes, and what the search for it doesn't cross.
-_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_DROP = {"nav", "footer", "aside", "form", "button", "select", "input", "menu", "dialog", "fieldset", "head", "label", "map"}
+#: Elements whose start ends an open one of their kind, and the elements that such a kind doesn't reach out of.
+_CLOSES = {"li": ("li",), "dt": ("dd",), "dd": ("dd",), "tr": ("tr", "td"), "td": ("td",), "th": ("td",), "option": ("option",)}
+_KIND = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+_BARS = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dd",), "table": ("tr", "td"), "select": ("option",)}
+_TABLE = {"table", "tr", "tbody", "thead", "tfoot", "td", "th"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_DROP = {"nav", "footer", "aside", "form", "button", "select", "input", "menu", "dialog", "head", "map"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar", "status"}
 _BAD = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox "
-    "nav navbar navigation menu menus submenu toc breadcrumb breadcrumbs pager pagination sidebar sidebars aside widget widgets footer footnotes masthead topbar toolbar skip comment comments commentlist disqus reply replies respond "
-    "share sharing social follow related recommended recommendations trending outbrain taboola newsletter subscribe subscription signup login register search paywall legal copyright disclaimer rating reactions".split()
+    "nav navbar navigation menu menus submenu toc breadcrumb breadcrumbs pager pagination sidebar sidebars aside widget widgets footer masthead topbar toolbar skip comment comments commentlist disqus reply replies respond "
+    "share sharing social follow related recommended recommendations trending outbrain taboola newsletter subscribe subscription signup login register search paywall copyright reactions".split()
 )
 _GOOD = set("article body content entry main page post story text blog hentry column".split())
 _TAG_POINTS = {"article": 10, "main": 8, "div": 5, "section": 3, "blockquote": 3, "pre": 3, "td": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5}
@@ -51,88 +59,110 @@ _NAME_WORDS = re.compile(r"[A-Za-z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "points", "dropped")
+    __slots__ = ("tag", "attrs", "parent", "kids", "dropped", "received", "chars", "linked", "score")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.kids, self.points, self.dropped = tag, attrs, parent, [], 0.0, False
+        self.tag, self.attrs, self.parent, self.kids, self.dropped = tag, attrs, parent, [], False
+        self.received, self.chars, self.linked, self.score = 0.0, 0, 0, 0.0
+
+
+class _Tree:
+    """A tree in the making: the chain of open elements, and for each tag and kind where in the chain it is open."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root", "", None)
+        self.chain: list[Node] = [self.root]
+        self.blocks = [0]  # places of blocks in the chain
+        self.places: dict[str, list[int]] = {}
+        self.kinds: list[dict[str, int]] = [{}]  # of each place, where the kinds that it is inside are open
+        self.seen: set[str] = set()
+
+    def text(self, t: str) -> None:
+        self.chain[-1].kids.append(html.unescape(t) if "&" in t else t)
+
+    def cut(self, n: int) -> None:
+        """Leaves the first n elements open."""
+        while len(self.chain) > n:
+            tag = self.chain.pop().tag
+            self.kinds.pop()
+            at = len(self.chain)
+            if self.blocks[-1] == at:
+                self.blocks.pop()
+            if (held := self.places.get(tag)) and held[-1] == at:
+                held.pop()
+
+    def last(self, tag: str) -> int:
+        held = self.places.get(tag)
+        return held[-1] if held else 0
+
+    def end(self, tag: str) -> None:
+        """An end tag closes its element and all inside; without one it is ignored. Tags other than a table's don't reach out of a cell."""
+        at = self.last(tag)
+        if not at or (tag not in _TABLE and tag not in ("html", "body") and at < max(self.last(t) for t in ("table", "td", "th"))):
+            return
+        if tag not in _BLOCK and self.blocks[-1] > at:  # blocks opened inside an unclosed inline element go on
+            self.cut(self.blocks[-1] + 1)
+            self.places[tag].pop()
+        else:
+            self.cut(at)
+
+    def start(self, tag: str, attrs: str) -> Node | None:
+        if tag in ("html", "body"):
+            if tag in self.seen:
+                return None
+            self.seen.add(tag)
+            if tag == "body" and self.last("head"):
+                self.cut(self.last("head"))
+        elif tag in _BLOCK:
+            inner = self.chain[self.blocks[-1]].tag
+            if inner == "p" or tag in _HEADINGS and inner in _HEADINGS:
+                self.cut(self.blocks[-1])
+        for kind in _CLOSES.get(tag, ()):
+            if at := self.kinds[-1].get(kind):
+                self.cut(at)
+        node = Node(tag, attrs, self.chain[-1])
+        self.chain[-1].kids.append(node)
+        # a slash doesn't close an HTML block
+        if tag in _RAW:
+            node.dropped = True
+        elif tag not in _VOID and (tag in _BLOCK or not attrs.endswith("/")):
+            at = len(self.chain)
+            kinds = self.kinds[-1]
+            if (barred := _BARS.get(tag, ())) or tag in _KIND:
+                kinds = {k: v for k, v in kinds.items() if k not in barred}
+                if tag == "tr":
+                    kinds.pop("td", None)
+                if tag in _KIND:
+                    kinds[_KIND[tag]] = at
+            self.chain.append(node)
+            self.kinds.append(kinds)
+            self.places.setdefault(tag, []).append(at)
+            if tag in _BLOCK:
+                self.blocks.append(at)
+        return node
 
 
 def parse(page: str) -> Node:
     """The tree; text is held as strings among ``kids``, references decoded."""
-    root = Node("#root", "", None)
-    at, here, text_at = 0, root, 0
-    size = len(page)
-    find = _TOKEN.search
-    while at < size:
-        m = find(page, at)
-        if m is None:
-            break
+    tree = _Tree()
+    at, text_at, size = 0, 0, len(page)
+    while at < size and (m := _TOKEN.search(page, at)) is not None:
         if m.start() > text_at:
-            t = page[text_at : m.start()]
-            here.kids.append(html.unescape(t) if "&" in t else t)
+            tree.text(page[text_at : m.start()])
         at = text_at = m.end()
-        tag = m[2] or m[5]
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:  # an end tag closes its element and all inside; without one it is ignored
-            if tag == "p" or tag not in _VOID:
-                x = here
-                stop = ("table", "td", "th") if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "html", "body") else ()
-                while x is not root and x.tag != tag and x.tag not in stop:
-                    x = x.parent
-                if x.tag == tag:
-                    inside = here
-                    here = x.parent
-                    if tag not in _BLOCK:  # blocks opened inside an unclosed inline element go on
-                        while inside is not x and inside.tag not in _BLOCK:
-                            inside = inside.parent
-                        if inside is not x:
-                            here = inside
+        if m[1] or m[4]:
+            tree.end(tag)
             continue
-        attrs = m[3] or m[6] or ""
-        if tag in _BLOCK:
-            if tag not in ("html", "body"):
-                x = here
-                while x is not root and x.tag not in _BLOCK:
-                    x = x.parent
-                if x.tag == "p":
-                    here = x.parent
-                elif tag[0] == "h" and tag[1:].isdigit() and x.tag[0] == "h" and x.tag[1:].isdigit():
-                    here = x.parent
-        if tag in _CLOSES:
-            closes, stop = _CLOSES[tag]
-            x = here
-            while x is not root and x.tag not in stop:
-                if x.tag in closes:
-                    here = x.parent
-                x = x.parent
-        if tag in ("body", "html"):
-            y = here
-            while y is not root and y.tag != tag:
-                y = y.parent
-            if y.tag == tag:
-                continue
-            if tag == "body":
-                x = here
-                while x is not root and x.tag != "head":
-                    x = x.parent
-                if x.tag == "head":
-                    here = x.parent
-        node = Node(tag, attrs, here)
-        here.kids.append(node)
-        if tag in _RAW:
-            if not attrs.rstrip().endswith("/"):
-                at = text_at = _RAW_END[tag].search(page, at).end()
-            node.dropped = True
-        elif tag not in _VOID and not attrs.endswith("/"):
-            here = node
-        elif tag not in _VOID and tag in _BLOCK:
-            here = node  # a slash doesn't close an HTML block
+        attrs = (m[3] or m[6] or "").rstrip()
+        tree.start(tag, attrs)
+        if tag in _RAW and not attrs.endswith("/"):
+            at = text_at = _RAW_END[tag].search(page, at).end()
     if text_at < size:
-        t = page[text_at:]
-        here.kids.append(html.unescape(t) if "&" in t else t)
-    return root
+        tree.text(page[text_at:])
+    return tree.root
 
 
 def _names(attrs: str) -> tuple[list[str], dict[str, str]]:
@@ -157,22 +187,6 @@ def _unwanted(node: Node, in_article: bool) -> bool:
     return bool(bad) and node.tag in _BLOCK | {"span", "ins", "a"} and not (node.tag[0] == "h" and node.tag[1:].isdigit()) and (not any(w in _GOOD for w in words) or any(w in ("comment", "comments", "ad", "ads", "advert", "sidebar") for w in words))
 
 
-def _measure(node: Node) -> tuple[int, int]:
-    """(characters, of them inside links) of what is not dropped, white space collapsed roughly."""
-    total = linked = 0
-    stack = [(node, False)]
-    while stack:
-        x, inside = stack.pop()
-        for k in x.kids:
-            if isinstance(k, str):
-                n = len(k.strip())
-                total += n
-                linked += n * inside
-            elif not k.dropped:
-                stack.append((k, inside or k.tag == "a"))
-    return total, linked
-
-
 def blocks(nodes: list[Node]) -> list[str]:
     """The text blocks below the nodes, in page order."""
     out: list[str] = []
@@ -203,30 +217,26 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 
 def _link_heavy(node: Node) -> bool:
-    total, linked = _measure(node)
-    return linked * 2 >= total > 0
+    return node.linked * 2 >= node.chars > 0
 
 
 def _landmark(node: Node) -> Node | None:
-    """The nearest main element around a node or, without one, the nearest with a name of content."""
-    named = None
+    """Of the elements around a node the nearest article; without one the nearest main element; without both the nearest with a name of content."""
+    found: dict[str, Node] = {}
     while node is not None and node.tag not in ("body", "html", "#root"):
-        if node.tag == "main":
-            return node
-        if named is None and node.attrs and any(w in _GOOD for w in _names(node.attrs)[0]):
-            named = node
+        if node.tag in ("article", "main"):
+            found.setdefault(node.tag, node)
+        elif "named" not in found and node.attrs and any(w in _GOOD for w in _names(node.attrs)[0]):
+            found["named"] = node
         node = node.parent
-    return named
+    return found.get("article") or found.get("main") or found.get("named")
 
 
-def main_text(page: str | None) -> str:
-    """The article's text, blocks joined by line feeds; empty if there is none."""
-    if not page:
-        return ""
-    root = parse(page)
+def _kept(root: Node) -> list[Node]:
+    """The elements that are not unwanted, in page order; the others are marked as dropped."""
     order: list[Node] = []
     stack = [(root, False)]
-    while stack:  # in page order
+    while stack:
         x, in_article = stack.pop()
         order.append(x)
         inside = in_article or x.tag in ("article", "main")
@@ -236,66 +246,56 @@ def main_text(page: str | None) -> str:
                     k.dropped = True
                 else:
                     stack.append((k, inside))
-    scored: dict[int, Node] = {}
-    for x in order:
-        if x.tag not in _BLOCK or x.tag in ("html", "body", "article", "main", "ul", "ol", "table", "tr", "tbody", "thead", "dl", "header"):
-            continue
-        own = " ".join(" ".join(_direct(x)).split())
-        if len(own) < 25 or x.tag[0] == "h" and x.tag[1:].isdigit():
-            continue
-        points = 1 + own.count(",") + own.count("、") + own.count("،") + min(len(own) // 100, 3)
-        up, level = x.parent, 0
-        while up is not None and up.tag != "#root" and level < 5:
-            if id(up) not in scored:
-                scored[id(up)] = up
-                words = _names(up.attrs)[0] if up.attrs else []
-                up.points = _TAG_POINTS.get(up.tag, 0) + (15 if any(w in _GOOD for w in words) else 0)
-            up.points += points if level == 0 else points / 2 if level == 1 else points / (level * 3)
-            up, level = up.parent, level + 1
-    best, top = None, 0.0
-    for x in scored.values():
-        total, linked = _measure(x)
-        x.points *= 1 - linked / max(total, 1)
-        if best is None or x.points > top:
-            best, top = x, x.points
-    if best is None:
-        best = next((x for x in order if x.tag in ("article", "main")), None) or next((x for x in order if x.tag == "body"), root)
+    return order
+
+
+def own_points(text: str) -> float:
+    """The points that a block with this text of its own passes."""
+    commas = sum(text.count(c) for c in ",、،")
+    return commas + min(len(text) // 100, 3) + min(1.0, len(text) / 25) if text else 0.0
+
+
+def score_tree(order: list[Node]) -> list[Node]:
+    """Sets received, chars, linked and score of kept elements; returns the blocks that received points, in page order."""
+    around: dict[int, Node] = {}
+    for x in order:  # the block around each element
+        for k in x.kids:
+            if not isinstance(k, str):
+                around[id(k)] = x if x.tag in _BLOCK or x.parent is None else around[id(x)]
+    for x in reversed(order):  # what is inside comes first
+        x.chars = sum(len(k.strip()) if isinstance(k, str) else 0 if k.dropped else k.chars for k in x.kids)
+        x.linked = x.chars if x.tag == "a" else sum(k.linked for k in x.kids if not isinstance(k, str) and not k.dropped)
+        if x.tag in _BLOCK and x.parent is not None:
+            own = 0.0 if x.tag in _HEADINGS else own_points(" ".join(" ".join(_direct(x)).split()))
+            around[id(x)].received += own + x.received / 2
+    found = [x for x in order if x.received > 0 and x.parent is not None]
+    for x in found:
+        named = x.attrs and any(w in _GOOD for w in _names(x.attrs)[0])
+        x.score = (x.received + _TAG_POINTS.get(x.tag, 0) + (15 if named else 0)) * (1 - x.linked / max(x.chars, 1))
+    return found
+
+
+def main_text(page: str | None) -> str:
+    """The article's text, blocks joined by line feeds; empty if there is none."""
+    if not page:
+        return ""
+    root = parse(page)
+    order = _kept(root)
+    scored = score_tree(order)
+    best = max(scored, key=lambda x: x.score, default=None)  # of equals the first
+    if best is None:  # text outside blocks only
+        return "\n".join(blocks([next((x for x in order if x.tag in ("article", "main")), root)]))
+    chosen: list[Node | str] = [best]
+    top = _landmark(best)
     x = best
-    while x is not None and x.tag != "article":
+    while x.parent is not None and x.tag not in ("body", "html") and x is not top:
+        for k in x.parent.kids:
+            if k is not x and not isinstance(k, str) and k.tag in _BLOCK and _link_heavy(k):
+                k.dropped = True
         x = x.parent
-    marked = x or _landmark(best)
-    if marked is not None and marked.tag != "article":  # between the landmark and the best part only link lists go
-        x = best
-        while x is not marked:
-            for k in x.parent.kids:
-                if k is not x and not isinstance(k, str) and k.tag in _BLOCK and _link_heavy(k):
-                    k.dropped = True
-            x = x.parent
-    best = marked or best  # what lies in such an element is one text, whichever part of it scored best
-    chosen: list[Node | str] = [best]
-    if best.parent is not None and best.tag not in ("body", "html"):
-        chosen = []
-        names = re.search(r"class\s*=\s*[\"']([^\"']+)", best.attrs)
-        for x in best.parent.kids:
-            if isinstance(x, str):
-                if marked is None:
-                    chosen.append(x)
-                continue
-            if x.dropped:
-                continue
-            if x is best:
-                chosen.append(x)
-                continue
-            bonus = top * 0.2 if names and names[1] in x.attrs else 0
-            if id(x) in scored and x.points + bonus >= max(10, top * 0.2):
-                chosen.append(x)
-            elif marked is None:
-                if not _link_heavy(x):
-                    chosen.append(x)
-            elif x.tag == "p" or x.tag[0] == "h" and x.tag[1:].isdigit():
-                total, linked = _measure(x)
-                if total and linked / total < 0.25 and (total > 80 or linked == 0):
-                    chosen.append(x)
+        chosen = x.kids
+        if top is None:  # without a landmark the siblings of the best only
+            break
     return "\n".join(blocks(chosen))
 
 
@@ -315,7 +315,7 @@ def _direct(node: Node) -> list[str]:
 def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all but the page and one named as the text), the text, and n_chars, its code points."""
     names = keep if keep is not None else [c for c in df.columns if c not in (html_col, text_col, "n_chars")]
-    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(html_col).alias("_page"))
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{html_col}`").alias(*fresh(names, "page")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
