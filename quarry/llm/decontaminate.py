@@ -11,17 +11,22 @@ overlap, longest first, that begins and ends with an equal word; a whole item ma
 min(``min_words``, words of the item) words, of which at least ``min_identity`` are equal. Items shorter than the masks
 are looked for as exact runs, of all lengths that occur.
 
-The items are split into blocks of at most about ``block_bytes`` of text; only a block's seeds are broadcast, and the
-documents pass through one look-up for each block, with no shuffle. Every window of every text is looked up.
+Items of at most ``block_bytes`` of text together are broadcast as an index of their seeds, and the documents pass it once, with no shuffle.
+Where there are more, nothing that grows with them is: the seeds are a table, documents emit those seeds that a bitmap of fixed size
+(2^``filter_bits``) lets through, both are joined on the hash, and the items that share one with a text are compared with it as rows
+that stream past it. Equal texts are compared once there. Both ways give the same rows. Every window of every text is looked up.
+
+The diagonals of a hash that stands in many places of a document and an item are taken from a convolution, not from their pairs, and all hits of
+a diagonal are judged from two running extremes of its prefix sums, so repeated words cost no more than the diagonals that they have.
 
 Defined results: null and empty texts have no overlaps; null or empty items, and items with a null id, match nothing; each
-(item, diagonal) gives one overlap however many seeds hit it; repeated rows are judged alike; columns of the documents that have the name
-of the added one are replaced.
+(item, diagonal) gives one overlap however many seeds hit it; repeated rows are judged alike; empty tables give no overlaps or no rows; other columns of
+the documents are kept, whatever their names, except one that has the name of the added one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import with_fields
+from ._store import fresh, stage, with_fields
 from ._words import hash_words, mix, splitmix
 
 #: Found greedily: one of them fits every pattern of at least min(13, words of the item) words that are at least 75 % equal.
@@ -75,118 +80,245 @@ def qualifying(equal: np.ndarray, need: int, identity: float) -> list[tuple[int,
     return out
 
 
+SPAN = max(map(len, MASKS))
+_POSITIONS = [[k for k, c in enumerate(m) if c == "1"] for m in MASKS]
+
+
+def masks_of(n: int) -> list[tuple[int, list[int]]]:
+    """(salt, positions) of the masks for an item of n words: the run of all its words if it is shorter than the masks."""
+    return list(enumerate(_POSITIONS)) if n >= SPAN else [(len(MASKS) + n, list(range(n)))]
+
+
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct x - y of two sets of numbers from 0."""
+    if len(a) * len(b) <= 1 << 16:
+        return np.unique(a[:, None] - b)
+    low, high = int(a.min()), int(b.max())
+    x, y = np.zeros(int(a.max()) - low + 1), np.zeros(high - int(b.min()) + 1)
+    x[a - low] = 1
+    y[high - b] = 1
+    size = len(x) + len(y) - 1
+    n = 1 << (size - 1).bit_length()
+    return np.flatnonzero(np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(y, n), n)[:size] > 0.5) + low - high
+
+
+def judge(x: np.ndarray, w: np.ndarray, diagonal: int, min_words: int, min_identity: float, rest: bool) -> list[tuple[int, int, int]]:
+    """(begin, end, equal words) of the accepted extents of an item's words on a diagonal of a document's."""
+    first, last = max(0, -diagonal), min(len(x), len(w) - diagonal)
+    equal = x[first:last] == w[first + diagonal : last + diagonal]
+    n, need = len(equal), min(min_words, len(x))
+    if equal.all():
+        return [(first, last, n)] if n >= need else []
+    hit = np.zeros(n, dtype=bool)
+    for _, positions in masks_of(len(x)):
+        m = n - positions[-1]
+        if m > 0:
+            all_equal = equal[:m].copy()
+            for p in positions[1:]:
+                all_equal &= equal[p : p + m]
+            hit[:m] |= all_equal
+    hits = np.flatnonzero(hit)
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
+    place = np.arange(n)
+    back = total[:0:-1]  # for each place the end after it with the largest sum, of equals the first
+    ends = n - np.maximum.accumulate(np.where(back == np.maximum.accumulate(back), place, 0))[::-1]
+    ahead = total[:n]  # and the begin up to it with the smallest, of equals the last
+    begins = np.maximum.accumulate(np.where(ahead == np.minimum.accumulate(ahead), place, 0))
+    same = np.concatenate([[0], np.cumsum(equal)])
+    covered, extents, k = 0, [], 0
+    while (k := k + int(np.searchsorted(hits[k:], covered))) < len(hits):
+        j = int(hits[k])
+        begin, covered = int(begins[j]), int(ends[j])
+        if covered - begin >= need and same[covered] - same[begin] >= min_identity * (covered - begin):
+            extents.append((begin, covered))
+    if rest and len(hits) and same[n] >= min_identity * need:
+        at, more = 0, []
+        for begin, end in [*sorted(extents), (n, n)]:  # what lies between those accepted
+            if begin > at:
+                more += [(at + p, at + q) for p, q in qualifying(equal[at:begin], need, min_identity)]
+            at = max(at, end)
+        extents += more
+        if not extents and n == len(x) and same[n] >= min_identity * n:
+            extents.append((0, n))
+    return [(b + first, e + first, int(same[e] - same[b])) for b, e in extents]
+
+
 @dataclass
 class SeedIndex:
-    """The seeds of one block of items."""
+    """The seeds of some items."""
 
     ids: list[int]
     words: list[np.ndarray]
-    masks: list[list[int]]
+    masks: list[tuple[int, list[int]]]
     keys: np.ndarray  # sorted, one for each seed
     item: np.ndarray
     start: np.ndarray
-    maybe: np.ndarray
+    maybe: np.ndarray | None
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]]) -> SeedIndex:
+    def of(cls, items: Iterable[tuple[int, str]], bitmap: bool = True) -> SeedIndex:
         ids, words = [], []
         for i, text in items:
             w = tokens(text)
             if len(w):
                 ids.append(i)
                 words.append(w)
-        span = max(map(len, MASKS))
-        masks = [[k for k, c in enumerate(m) if c == "1"] for m in MASKS]
-        short = sorted({len(w) for w in words if len(w) < span})
-        masks += [list(range(n)) for n in short]
-        keys, item, start = [], [], []
+        keys, item, start, masks = [], [], [], {}
         for at, w in enumerate(words):
-            for salt, positions in enumerate(masks):
-                if (len(w) < span) == (salt >= len(MASKS)) and (salt < len(MASKS) or positions[-1] + 1 == len(w)):
-                    h = seed_hashes(w, positions, salt)
-                    keys.append(h)
-                    item.append(np.full(len(h), at))
-                    start.append(np.arange(len(h)))
+            for salt, positions in masks_of(len(w)):
+                masks[salt] = positions
+                h = seed_hashes(w, positions, salt)
+                keys.append(h)
+                item.append(np.full(len(h), at))
+                start.append(np.arange(len(h)))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, dtype=kind)
         keys, item, start = join(keys, np.uint64), join(item, np.int32), join(start, np.int32)
         order = np.argsort(keys, kind="stable")
-        maybe = np.zeros(1 << 20, dtype=bool)
-        maybe[keys >> np.uint64(44)] = True
-        return cls(ids, words, masks, keys[order], item[order], start[order], maybe)
+        maybe = None
+        if bitmap:
+            maybe = np.zeros(1 << 20, dtype=bool)
+            maybe[keys >> np.uint64(44)] = True
+        return cls(ids, words, sorted(masks.items()), keys[order], item[order], start[order], maybe)
 
-    def overlaps(self, text: str | None, min_words: int, min_identity: float, rest: bool = False) -> list[dict]:
-        """The accepted best extents of the hits; with ``rest`` also the overlaps that these leave on the hits' diagonals."""
-        w = tokens(text)
-        pairs: set[tuple[int, int, int]] = set()
-        done: list[dict] = []
-        for salt, positions in enumerate(self.masks):
-            h = seed_hashes(w, positions, salt)
-            at = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+    def diagonals(self, w: np.ndarray, hashes: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
+        """The diagonals with a hit, by item; ``hashes`` keeps a document's seeds by mask for the next index."""
+        found: dict[int, list[np.ndarray]] = {}
+        hashes = {} if hashes is None else hashes
+        for salt, positions in self.masks:
+            if salt not in hashes:
+                hashes[salt] = seed_hashes(w, positions, salt)
+            h = hashes[salt]
+            at = np.flatnonzero(self.maybe[h >> np.uint64(44)]) if self.maybe is not None else np.arange(len(h))
+            lo = np.searchsorted(self.keys, h[at])
+            known = lo < len(self.keys)
+            known[known] = self.keys[lo[known]] == h[at[known]]
+            at, lo = at[known], lo[known]
             if not len(at):
                 continue
-            lo, hi = np.searchsorted(self.keys, h[at]), np.searchsorted(self.keys, h[at], side="right")
-            for i, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                pairs.update(zip(self.item[a:b].tolist(), (i - self.start[a:b]).tolist(), self.start[a:b].tolist(), strict=True))
-        covered: dict[tuple[int, int], int] = {}
-        accepted: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for item, diagonal, j in sorted(pairs):
-            if j < covered.get((item, diagonal), -1):
-                continue  # inside the overlap of an earlier hit on this diagonal
-            x = self.words[item]
-            first, last = max(0, -diagonal), min(len(x), len(w) - diagonal)
-            equal = x[first:last] == w[first + diagonal : last + diagonal]
-            points = np.where(equal, 1, -2)
-            right = np.cumsum(points[j - first :])
-            end = j - first + int(right.argmax()) + 1
-            left = np.cumsum(points[: j - first][::-1])
-            begin = j - first - (int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0)
-            n, same = end - begin, int(equal[begin:end].sum())
-            covered[item, diagonal] = end + first
-            extents = accepted.setdefault((item, diagonal), [])
-            if n >= min(min_words, len(x)) and same >= min_identity * n:
-                extents.append((begin + first, end + first))
-        for (item, diagonal), extents in accepted.items():
-            x = self.words[item]
-            first, last = max(0, -diagonal), min(len(x), len(w) - diagonal)
-            need = min(min_words, len(x))
-            equal = x[first:last] == w[first + diagonal : last + diagonal]
-            if rest and (hits := int(equal.sum())) >= min_identity * need:
-                at = first
-                for begin, end in [*sorted(extents), (last, last)]:  # what lies between those accepted
-                    extents += [(at + p, at + q) for p, q in qualifying(equal[at - first : begin - first], need, min_identity)]
-                    at = max(at, end)
-                if not extents and last - first == len(x) and hits >= min_identity * len(x):
-                    extents.append((0, len(x)))
-            for begin, end in extents:
-                same = int(equal[begin - first : end - first].sum())
-                done.append({"item_id": self.ids[item], "item_start": begin, "doc_start": begin + diagonal, "n_words": end - begin, "n_equal": same, "item_words": len(x)})
-        return sorted(done, key=lambda d: (d["item_id"], d["doc_start"], d["item_start"]))
+            order = np.argsort(lo, kind="stable")
+            at, lo = at[order], lo[order]
+            cuts = np.flatnonzero(lo[1:] != lo[:-1]) + 1
+            for places, a in zip(np.split(at, cuts), lo[np.concatenate([[0], cuts])].tolist(), strict=True):
+                b = int(np.searchsorted(self.keys, self.keys[a], side="right"))
+                items, starts = self.item[a:b], self.start[a:b]
+                edges = [0, *(np.flatnonzero(items[1:] != items[:-1]) + 1).tolist(), b - a]
+                for p, q in zip(edges, edges[1:], strict=False):
+                    found.setdefault(int(items[p]), []).append(differences(places, starts[p:q]))
+        return {i: np.unique(np.concatenate(d)) for i, d in found.items()}
+
+    def overlaps(self, text: str | None | np.ndarray, min_words: int, min_identity: float, rest: bool = False, hashes: dict[int, np.ndarray] | None = None) -> list[dict]:
+        """The accepted best extents of the hits; with ``rest`` also the overlaps that these leave on the hits' diagonals."""
+        w = text if isinstance(text, np.ndarray) else tokens(text)
+        done = []
+        for item, diagonals in self.diagonals(w, hashes).items():
+            for d in diagonals.tolist():
+                for begin, end, same in judge(self.words[item], w, d, min_words, min_identity, rest):
+                    done.append({"item_id": self.ids[item], "item_start": begin, "doc_start": begin + d, "n_words": end - begin, "n_equal": same, "item_words": len(self.words[item])})
+        return sorted(done, key=_place)
+
+
+def _place(hit: dict) -> tuple[int, int, int, int]:
+    return hit["item_id"], hit["doc_start"], hit["item_start"], hit["item_words"]
 
 
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", hits_col: str = "overlaps",
-    min_words: int = 13, min_identity: float = 0.75, block_bytes: int = 8 << 20,
+    min_words: int = 13, min_identity: float = 0.75, block_bytes: int = 1 << 20, filter_bits: int = 27,
 ) -> DataFrame:
     """All columns of the documents and their overlaps (HITS), empty if there are none."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_bytes))
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("item_id is not null and text is not null").distinct()
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != hits_col])
-    at, schema = kept.columns.index(text_col), with_fields(kept, f"`{hits_col}` {HITS}")
-    out = kept
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct()
-        index = SeedIndex.of(sorted((r["item_id"], r["text"]) for r in block.toLocalIterator()))
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, more: bool = k > 0) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = [shared.value.overlaps(t.as_py(), min_words, min_identity, rest=True) for t in b.column(at)]
-                if more:
-                    found = [a + f for a, f in zip(b.column(b.num_columns - 1).to_pylist(), found, strict=True)]
-                rows = b.columns[: b.num_columns - 1] if more else b.columns
-                fields = [b.schema.field(i) for i in range(len(rows))]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(found, pa.list_(_HIT))], schema=pa.schema([*fields, pa.field(hits_col, pa.list_(_HIT))]))
-
-        out = out.mapInArrow(run, schema)
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > block_bytes:
+        return _joined(kept, items, text_col, hits_col, min_words, min_identity, filter_bits)
+    index = SeedIndex.of(sorted((r["item_id"], r["text"]) for r in items.collect()))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    at = kept.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shared.value.overlaps(t.as_py(), min_words, min_identity, rest=True) for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(_HIT))], schema=b.schema.append(pa.field(hits_col, pa.list_(_HIT))))
+
+    return kept.mapInArrow(run, with_fields(kept, f"`{hits_col}` {HITS}"))
+
+
+def _seeds(items: DataFrame) -> DataFrame:
+    """(key, item): the distinct seeds of items (item, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in zip(b.column("item").to_pylist(), b.column("text"), strict=True):
+                keys = np.unique(SeedIndex.of([(0, text.as_py())], bitmap=False).keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), i, dtype=np.int64))], ["key", "item"])
+
+    return items.select("item", "text").mapInArrow(run, "key long, item long")
+
+
+def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The first bits of all keys, as a map of 2^bits bits that the parts are added to one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, dtype=bool)
+        for b in batches:
+            seen[b.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(max(1, 1 << bits >> 3), dtype=np.uint8)
+    for r in seeds.select("key").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], dtype=np.uint8)
     return out
+
+
+def _joined(docs: DataFrame, items: DataFrame, text_col: str, hits_col: str, min_words: int, min_identity: float, filter_bits: int) -> DataFrame:
+    """The same for any number of items, as joins of tables."""
+    spark = docs.sparkSession
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    seeds, _ = stage(_seeds(items), "seeds")
+    shared = spark.sparkContext.broadcast(_bitmap(seeds, filter_bits))
+    masks = [*enumerate(_POSITIONS), *(masks_of(n)[0] for n in range(1, SPAN))]
+    text = F.col(f"`{text_col}`")
+    texts = docs.filter(text.isNotNull()).select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(3), text).alias("h2"), text.alias("text"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for b in batches:
+            for h1, h2, t in zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), b.column("text"), strict=True):
+                w = tokens(t.as_py())
+                keys = np.unique(np.concatenate([seed_hashes(w, positions, salt) for salt, positions in masks]))
+                at = (keys >> np.uint64(64 - filter_bits)).astype(np.int64)
+                keys = keys[(seen[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)].view(np.int64)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), h, dtype=np.int64)) for h in (h1, h2))], ["key", "h1", "h2"])
+
+    pairs, _ = stage(texts.mapInArrow(emit, "key long, h1 long, h2 long").distinct().join(seeds, "key").select("h1", "h2", "item").distinct(), "seed-pairs")
+    # a text comes first, then the items to compare it with
+    first = texts.join(pairs.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("text"))
+    rows = first.select("h1", "h2", F.lit(None).cast("long").alias("item_id"), "text").unionByName(pairs.join(items, "item").select("h1", "h2", "item_id", "text"))
+    rows = rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", F.col("item_id").asc_nulls_first(), "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, w, hashes, hits = None, np.empty(0, dtype=np.uint64), {}, []
+
+        def out() -> pa.RecordBatch:
+            found = [sorted(hits, key=_place)] if hits else []
+            keys = [[here[0]], [here[1]]] if hits else [[], []]
+            return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(found, pa.list_(_HIT))], ["h1", "h2", "hits"])
+
+        for b in batches:
+            for h1, h2, item, text in zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "item_id", "text")), strict=True):
+                if item is None:
+                    if here is not None:
+                        yield out()
+                    here, w, hashes, hits = (h1, h2), tokens(text), {}, []
+                else:
+                    hits += SeedIndex.of([(item, text)], bitmap=False).overlaps(w, min_words, min_identity, True, hashes)
+        if here is not None:
+            yield out()
+
+    f1, f2, hits = fresh(docs.columns, "f1", "f2", "hits")
+    found, _ = stage(rows.mapInArrow(compare, f"h1 long, h2 long, hits {HITS}"), "overlaps")
+    found = found.select(F.col("h1").alias(f1), F.col("h2").alias(f2), F.col("hits").alias(hits))
+    keyed = docs.withColumns({f1: F.xxhash64(text), f2: F.xxhash64(F.lit(3), text)})
+    none = F.array().cast(HITS)
+    return keyed.join(found, [f1, f2], "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(hits), none).alias(hits_col))
