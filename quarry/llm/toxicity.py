@@ -13,6 +13,7 @@ class only, every score is the smoothed share of label 1.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,21 +96,35 @@ def _information(counts: np.ndarray, n0: int, n1: int) -> np.ndarray:
     return out
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, k: int, l2: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on sparse rows by accelerated gradient descent."""
-    n = len(y)
+def logistic(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 200, chunk: int = 1 << 18) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression by accelerated gradient descent: row i has the value scale[j] in each of its columns rows[i].
+
+    Works through chunks of rows with about ``chunk`` entries, so that the entries themselves are all that is held.
+    """
+    n, k = len(y), len(scale)
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    cols = np.concatenate([np.empty(0, dtype=np.uint16), *rows])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + chunk, side="right")) - 1))
+    parts = [(lo, hi, cols[ends[lo] : ends[hi]], np.repeat(np.arange(hi - lo, dtype=np.int32), sizes[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     w, b = np.zeros(k), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    norm = np.bincount(rows, weights=vals**2, minlength=n)
-    step = 1.0 / (0.25 * max(1.0, float(np.quantile(norm, 0.98)) if len(norm) else 1.0) * 0.5 + l2 / n)
+    norm = np.concatenate([np.bincount(r, weights=scale[c] ** 2, minlength=hi - lo) for lo, hi, c, r in parts])
+    step = 1.0 / (0.25 * max(1.0, float(np.quantile(norm, 0.98))) * 0.5 + l2 / n)
     v, vb, t = w.copy(), b, 1.0
     loss_before = np.inf
     for _ in range(rounds):
-        z = np.bincount(rows, weights=vals * v[cols], minlength=n) + vb
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = (p - y) / n
-        w2 = v - step * (np.bincount(cols, weights=vals * g[rows], minlength=k) + l2 / n * v)
-        b2 = vb - step * g.sum()
-        loss = float(np.logaddexp(0, np.where(y > 0, -z, z)).mean() + l2 / n / 2 * (v @ v))
+        u, slope, g_sum, loss = v * scale, np.zeros(k), 0.0, 0.0
+        for lo, hi, c, r in parts:
+            z = np.bincount(r, weights=u[c], minlength=hi - lo) + vb
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[lo:hi]) / n
+            slope += np.bincount(c, weights=g[r], minlength=k)
+            g_sum += g.sum()
+            loss += np.logaddexp(0, np.where(y[lo:hi] > 0, -z, z)).sum() / n
+        w2 = v - step * (slope * scale + l2 / n * v)
+        b2 = vb - step * g_sum
+        loss += l2 / n / 2 * float(v @ v)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         if loss > loss_before:  # restart, with a smaller step
             t2, step = 1.0, step * 0.7
@@ -131,8 +146,10 @@ def fit(
 ) -> Model:
     """Trains on at most ``max_rows`` labelled rows outside the held-out fold; the sample is read twice.
 
-    The driver gets ``parts`` arrays of counts and, of each row of the sample, the kept buckets only.
+    The driver gets ``parts`` compressed arrays of counts, and, of each row of the sample, the kept buckets only: two bytes each.
     """
+    if not 0 < features <= 1 << 16:
+        raise ValueError("features is 1 to 65536")
     sample, path = stage(labelled_sample(docs, labels, id_col, text_col, label_col, folds, held_out, max_rows).repartition(parts), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +158,11 @@ def fit(
             for text, label in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
                 counts[label][distinct_buckets(text.as_py(), bits)] += 1
                 n[label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary()), pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], ["counts", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], ["counts", "n0", "n1"])
 
-    counts, n0, n1 = np.zeros((2, 1 << bits)), 0, 0
+    counts, n0, n1 = np.zeros((2, 1 << bits), dtype=np.int32), 0, 0
     for r in sample.mapInArrow(count, "counts binary, n0 long, n1 long").collect():
-        counts += np.frombuffer(r["counts"], dtype=np.int32).reshape(2, -1)
+        counts += np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int32).reshape(2, -1)
         n0, n1 = n0 + r["n0"], n1 + r["n1"]
     if not n0 or not n1:
         drop(docs.sparkSession, path)
@@ -161,18 +178,17 @@ def fit(
             rows = []
             for text in b.column("text"):
                 x = place[distinct_buckets(text.as_py(), bits)]
-                rows.append(x[x >= 0].astype(np.int32).tobytes())
+                rows.append(x[x >= 0].astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("sample_id"), pa.array(rows, pa.binary()), b.column("label")], ["sample_id", "x", "label"])
 
     kind = sample.schema["sample_id"].dataType.simpleString()
-    got = sorted(((r["sample_id"], r["x"], r["label"]) for r in sample.mapInArrow(pick, f"sample_id {kind}, x binary, label int").collect()), key=lambda r: (str(r[0]), r[1]))
+    got = []
+    for r in sample.mapInArrow(pick, f"sample_id {kind}, x binary, label int").collect():
+        got.append((str(r["sample_id"]), np.frombuffer(r["x"], dtype=np.uint16), r["label"]))
     drop(docs.sparkSession, path)
-    cols = [np.frombuffer(x, dtype=np.int32) for _, x, _ in got]
-    y = np.array([label for _, _, label in got], dtype=float)
-    rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    cols = np.concatenate(cols)
+    got.sort(key=lambda g: (g[0], g[1].tobytes()))  # the same sum of gradients whatever the partitions
     r = log_count_ratios(counts)[kept]
-    w, bias = logistic(rows, cols, r[cols], y, len(kept), l2)
+    w, bias = logistic([x for _, x, _ in got], r, np.array([label for _, _, label in got], dtype=float), l2)
     weight = np.zeros(1 << bits, dtype=np.float32)
     weight[kept] = w * r
     return Model(bits, weight, bias, len(got))

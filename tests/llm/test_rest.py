@@ -12,15 +12,16 @@ from quarry.llm import decontaminate, html_text, pii, topk
 # -- exact top-k
 
 
-def test_top_k_equals_brute_force(spark):
+def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 0.2, (300, 8)).round(2)
     x[50:80] = x[49]
     rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     v = [(i, [math.floor(64 * c) for c in r]) for i, r in rows]
-    for block in (32, 8192):
-        got = topk.top_k(df, F.col("vec_id") % 20 == 0, 7, n_pivots=5, query_block=block, candidate_block=block).collect()
+    monkeypatch.setattr(topk, "MIN_BLOCK", 32)
+    for block_bytes, sample in ((32 * 64, 40), (8 << 20, 1024), (8 << 20, 0)):
+        got = topk.top_k(df, F.col("vec_id") % 20 == 0, 7, n_pivots=5, sample_rows=sample, block_bytes=block_bytes).collect()
         want = set()
         for q, a in v[::20]:
             best = sorted(((-sum(p * r for p, r in zip(a, b, strict=True)), i) for i, b in v if i != q))[:7]
@@ -37,18 +38,34 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
-def test_the_bound_never_excludes(monkeypatch):
+@pytest.mark.parametrize("spread", [0, 400])
+def test_the_bound_never_excludes(spread):
     rng = np.random.default_rng(4)
-    c = rng.integers(-30, 30, (4000, 6))
-    q = rng.integers(-30, 30, (5, 6))
+    c = rng.integers(-30, 30, (4000, 6)) + spread * rng.integers(0, 9, (4000, 1))  # with a spread most candidates are eliminated
+    q = np.concatenate([rng.integers(-30, 30, (5, 6)), c[:35]])
     p = c[:20].astype(float)
-    got = topk.block_top_k(np.arange(10_000, 10_005), q, topk.pivot_distances(q, p), np.arange(4000), c, topk.pivot_distances(c, p), 9, step=16)
-    for i in range(5):
+    qid = np.concatenate([np.arange(10_000, 10_005), np.arange(35)])
+    least = topk.thresholds(qid, q, np.arange(100), c[:100], 9)
+    got = topk.block_top_k(qid, q, topk.pivot_distances(q, p), least, np.arange(4000), c, topk.pivot_distances(c, p), 9, step=16)
+    bound = topk.upper_bounds(q, topk.pivot_distances(q, p).astype(np.float32), (c.astype(float) ** 2).sum(1), topk.pivot_distances(c, p).astype(np.float32))
+    assert (bound >= q @ c.T).all()
+    for i in range(len(q)):
         s = c @ q[i]
+        s = np.where(np.arange(4000) == qid[i], -(10**15), s)
         want = np.lexsort((np.arange(4000), -s))[:9]
+        assert least[i] <= s[want[-1]]
         assert (got[i][0] == want).all() and (got[i][1] == s[want]).all()
 
 
+def test_large_components_are_exact(spark):
+    rows = [(0, [float(1 << 24), 1 / 64]), (1, [float(1 << 24), 3 / 64]), (2, [float(1 << 24), 2 / 64]), (3, [-5.0, 1.0])]
+    for scale in (1.0, 1 / 4096):
+        df = spark.createDataFrame([(i, [x[0] * scale if x[0] > 0 else x[0], x[1]]) for i, x in rows], "vec_id long, embedding array<double>")
+        got = [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0, 3).orderBy("rank").collect()]
+        a = int((1 << 24) * scale) * 64
+        assert got == [(1, a * a + 3), (2, a * a + 2), (3, -320 * a + 64)]
+
+
 # -- benchmark overlaps
 
 WORDS = [f"tok{i}" for i in range(400)]
@@ -82,13 +99,46 @@ def test_overlap_frames(spark):
     item = " ".join(WORDS[:20])
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item), (4, "short exact run"), (1, item), (5, " ".join(WORDS[100:140]))], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x " + item + " y", 1), (2, None, 1), (3, "", 1), (4, "a Short, exact RUN here", 1), (5, "clean words only " * 20_000 + item, 1), (1, "x " + item + " y", 1), (None, "short exact", 1)], "doc_id long, text string, overlaps int")
-    for block in (8 << 20, 100):
-        got = decontaminate.find_overlaps(docs, bench, block_bytes=block).collect()
+    docs = docs.withColumns({c: F.lit(1) for c in ("_f1", "_f2", "_hits", "h1", "key", "item_id")})
+    for block in (8 << 20, 10):  # as one index, and as joined tables
+        got = decontaminate.find_overlaps(docs, bench, block_bytes=block, filter_bits=16).collect()
         assert sorted((str(r.doc_id), [h.item_id for h in r.overlaps]) for r in got) == sorted([("1", [1]), ("2", []), ("3", []), ("4", [4]), ("5", [1]), ("1", [1]), ("None", [])])
     assert decontaminate.find_overlaps(docs, bench.limit(0)).filter("size(overlaps) > 0").count() == 0
     assert decontaminate.find_overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_joined_tables_give_the_rows_of_the_index(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices(WORDS[:60], k=rng.choice([3, 8, 14, 30])))) for i in range(40)]
+    texts = []
+    for i in range(60):
+        w = [x for _ in range(3) for x in [*rng.choice(items)[1].split(), *rng.choices(WORDS, k=5)]]
+        texts.append((i, " ".join("other" if rng.random() < 0.1 else x for x in w)))
+    docs = spark.createDataFrame([*texts, *texts[:20]], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted((r.doc_id, [tuple(h) for h in r.overlaps]) for r in decontaminate.find_overlaps(docs, bench, block_bytes=n, filter_bits=18).collect()) for n in (1 << 20, 1))
+    assert one == many and sum(bool(h) for _, h in one) > 40
+    plan = decontaminate.find_overlaps(docs, bench, block_bytes=1, filter_bits=18)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("words", [["a"], ["a", "b"], ["a", "b", "c"]])
+def test_repeated_words_take_seconds(words):
+    import time
+
+    text = " ".join(words * (20_000 // len(words)))
+    start = time.perf_counter()
+    found = decontaminate.SeedIndex.of([(1, text)]).overlaps(text, 13, 0.75, rest=True)
+    assert found and time.perf_counter() - start < 30
+
+
+def test_differences_of_long_lists():
+    rng = np.random.default_rng(8)
+    for n in (3, 400, 3000):
+        a, b = (np.sort(rng.choice(9000, n, replace=False)) for _ in range(2))
+        assert (decontaminate.differences(a, b) == np.unique(a[:, None] - b)).all()
+
+
 # -- HTML
 
 BODY = "".join(f"<p>Paragraph {i} of the story, which is long enough, with commas, to count as text of the article.</p>" for i in range(4))
@@ -124,6 +174,8 @@ def test_broken_pages_do_not_fail(page):
 def test_extract_frames(spark):
     rows = [(1, "u", f"<div>{BODY}</div>"), (2, None, None), (3, "u", ""), (4, "u", "<p>" + "long text, " * 50_000), (1, "u", f"<div>{BODY}</div>")]
     df = spark.createDataFrame([(*r, "t", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    other = df.withColumns({"_page": F.lit(1), "__page": F.lit(2)})
+    assert html_text.extract(other).columns == ["page_id", "url", "_page", "__page", "text", "n_chars"] and html_text.extract(other).filter("n_chars > 0").count() == 3
     got = {r.page_id: r for r in html_text.extract(df, keep=["page_id", "url"]).collect()}
     assert got[1].text == WANT and got[2].text == got[3].text == "" and got[4].n_chars == len(("long text, " * 50_000).strip()) == len(got[4].text)
     assert html_text.extract(df).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract(df.limit(0)).count() == 0
@@ -143,7 +195,7 @@ def card(rng, n=16):
 
 
 def masked(spark, texts, key="k"):
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_ip int")
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, n_ip int, _text int, _found int")
     return [r for r in pii.pseudonymise(df, key).orderBy("doc_id").collect()]
 
 
@@ -155,7 +207,7 @@ def test_formats_and_links(spark):
     for before, r in zip(cards, got, strict=False):
         assert luhn(r.text) and len(r.text) == len(before) and r.n_card == 1
     assert got[5].text.replace(" ", "") == got[2].text and [len(x) for x in got[5].text.split()] == [4] * 4
-    assert re.fullmatch(r"[a-z]@y\.org, [a-z]{4}\.[a-z]{3}\+\d@mail\.example\.com", got[6].text) and got[6].n_email == 2
+    assert re.fullmatch(r"[a-z]@[a-z]\.org, [a-z]{4}\.[a-z]{3}\+\d@[a-z]{4}\.[a-z]{7}\.com", got[6].text) and got[6].n_email == 2 and (got[6]._text, got[6]._found) == (2, 3)
     assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", got[7].text) and re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}", got[8].text)
     assert all(0 <= int(o) <= 255 for a in got[9].text.split() for o in a.split(".")) and got[9].n_ip == 2
     assert re.fullmatch(r"(19|20)\d\d-\d\d-\d\d \d\d\.\d\d\.(19|20)\d\d", got[10].text)
@@ -178,6 +230,102 @@ def test_a_permutation_of_its_format(spark):
         assert out.count() == df.count() == out.filter("n_date + n_phone = 1").count()
 
 
+def feistel(x, kind, key):
+    """The network by itself, of digits and letters."""
+    import hashlib
+
+    def half(r, a, b):
+        out = []
+        for i, c in enumerate(a):
+            step = int(hashlib.sha256(f"{key}|{kind}|{r}|{i}|{b}".encode()).hexdigest()[:7], 16)
+            first, n = ("0", 10) if c in "0123456789" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else (None, 0)
+            out.append(chr(ord(first) + (ord(c) - ord(first) + step) % n) if first else c)
+        return "".join(out)
+
+    a, b = x[: len(x) // 2], x[len(x) // 2 :]
+    for r in range(1, pii.ROUNDS + 1):
+        a, b = b, half(r, a, b)
+    return a + b
+
+
+def number(x, radix, kind, key):
+    import hashlib
+
+    a, b = divmod(x, radix)
+    for r in range(1, pii.ROUNDS + 1):
+        a, b = b, (a + int(hashlib.sha256(f"{key}|{kind}|{r}|n|{b}".encode()).hexdigest()[:7], 16)) % radix
+    return a * radix + b
+
+
+def walked(x, once, valid):
+    x = once(x)
+    while not valid(x):
+        x = once(x)
+    return x
+
+
+def test_pseudonyms_equal_an_independent_network(spark):
+    import datetime
+
+    rng, key = random.Random(9), "another key"
+    american = lambda d: walked(d, lambda w: feistel(w, "phone", key), lambda w: re.fullmatch(pii._NANP, w))
+    texts, want = [], []
+    for _ in range(25):
+        c = card(rng, rng.choice([13, 15, 16, 19]))
+        body = c[0] + feistel(c[1:-1], "card", key)
+        texts.append(c)
+        want.append(next(body + str(x) for x in range(10) if luhn(body + str(x))))
+        n = "2125" + "".join(rng.choices("0123456789", k=6))
+        m = american(n)
+        texts.append(f"({n[:3]}) {n[3:6]}-{n[6:]}")
+        want.append(f"({m[:3]}) {m[3:6]}-{m[6:]}")
+        n = "".join(rng.choices("0123456789", k=9))
+        texts.append(f"+358{n}")
+        want.append("+358" + feistel(n, "phone", key))
+        d = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(pii._DATE_DAYS))
+        moved = walked((d - datetime.date(1900, 1, 1)).days, lambda w: number(w, pii._DATE_RADIX, "date", key), lambda w: w < pii._DATE_DAYS)
+        texts.append(d.isoformat())
+        want.append((datetime.date(1900, 1, 1) + datetime.timedelta(moved)).isoformat())
+        ip = [rng.randrange(256) for _ in range(4)]
+        texts.append(".".join(map(str, ip)))
+        want.append(".".join(map(str, number(int.from_bytes(bytes(ip), "big"), 65536, "ip", key).to_bytes(4, "big"))))
+        s = f"{rng.randint(1, 665):03d}{rng.randint(1, 99):02d}{rng.randint(1, 9999):04d}"
+        t = walked(s, lambda w: feistel(w, "ssn", key), lambda w: re.fullmatch(pii._SSN, w))
+        texts.append(f"{s[:3]}-{s[3:5]}-{s[5:]}")
+        want.append(f"{t[:3]}-{t[3:5]}-{t[5:]}")
+        name = "".join(rng.choices("abcxyz09", k=rng.randint(1, 9)))
+        texts.append(f"{name}@sub.site.org")
+        want.append(f"{feistel(name, 'email', key)}@{feistel('sub.site.', 'domain', key)}org")
+    assert [r.text for r in masked(spark, texts, key)] == want
+    (r,) = masked(spark, ["de89370400440532013000"], "k")
+    inside = feistel("370400440532013000", "iban", "k")
+    check = 98 - int("".join(str(int(c, 36)) for c in inside + "DE00")) % 97
+    assert r.text == f"de{check:02d}{inside}"
+
+
+@pytest.mark.parametrize("spellings", [
+    ["+358 40 1234567", "+358401234567", "+358-40-123-4567", "+358 (40) 1234567"], ["+33 1 42 68 53 00", "+33142685300", "+33 (1) 42 68 53 00"], ["+44 20 7946 0958", "+442079460958"],
+    ["+1 (212) 555-0199", "(212) 555-0199", "212.555.0199", "+12125550199", "+1 212 555 0199"], ["+7 495 123 45 67", "+74951234567"],
+    ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "gb82 west 1234 5698 7654 32", "Gb82 West 1234 5698 7654 32 and more text"], ["John.Doe@Example.org", "john.doe@example.org", "JOHN.DOE@EXAMPLE.ORG"],
+    ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+])
+def test_all_spellings_of_a_value_get_one_pseudonym(spark, spellings):
+    got = [r.text for r in masked(spark, spellings)]
+    plain = {re.sub(r"[^a-z0-9@]", "", t.lower().replace(" and more text", "")) for t in got}
+    known = {p[-10:] if spellings[0].startswith("+1 ") else p for p in plain}
+    assert len(known) == 1 and not any(a == b for a, b in zip(got, spellings, strict=True))
+    assert [re.sub(r"[a-z]", "x", re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "X", t))) for t in got] == [re.sub(r"[a-z]", "x", re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "X", t))) for t in spellings]
+    if spellings[0].startswith("+"):
+        code = re.match(r"\+\d+", spellings[0])[0]
+        assert all(t.startswith(code) for t, s in zip(got, spellings, strict=True) if s.startswith("+"))
+
+
+def test_pii_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    out = pii.pseudonymise(df, "k")
+    assert out.count() == 0 and out.columns == ["doc_id", "text", *(f"n_{k}" for k in pii.KINDS)]
+
+
 def test_pii_plan_is_native(spark):
     plan = pii.pseudonymise(spark.createDataFrame([("a",)], "text string"), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("Scan ExistingRDD")[0]
@@ -222,7 +370,9 @@ def test_overlaps_equal_brute_force():
         assert got == naive_overlaps(items, doc, 8, 0.7)
 
 
-def test_articles_of_the_small_table_equal_what_stands_in_their_tags():
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section"])
+def test_articles_of_the_small_table_equal_what_stands_in_their_tags(tag):
+    """Whatever the element is called: the points alone find it."""
     import html
     from pathlib import Path
 
@@ -234,7 +384,77 @@ def test_articles_of_the_small_table_equal_what_stands_in_their_tags():
     for page in pd.read_parquet(place).html.dropna():
         inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", p)).split()) for p in re.split(r"</?(?:p|h\d|ul|li|div|blockquote)[^>]*>", inside)]
-        assert html_text.main_text(page) == "\n".join(p for p in parts if p)
+        assert html_text.main_text(page.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")) == "\n".join(p for p in parts if p)
+
+
+def test_points_equal_brute_force():
+    """By the definition: for each block the sum over all paragraphs below it of their points, halved for each block between."""
+    rng = random.Random(6)
+    words = "some words, and others, that stand in a text; in no order, " * 20
+    for _ in range(60):
+        def make(depth):
+            if depth == 0 or rng.random() < 0.2:
+                k = rng.randrange(200)
+                return f"<p>{words[k : k + rng.choice([5, 20, 30, 150, 450])]}</p>"
+            tag = rng.choice(["div", "section", "ul", "div class=content", "blockquote", "b", "td", "h2"])
+            inner = "".join(make(depth - 1) for _ in range(rng.randint(1, 3)))
+            return f"<{tag}>{inner if rng.random() < 0.8 else '<a href=x>' + words[:40] + '</a>' + inner}</{tag.split()[0]}>"
+
+        root = html_text.parse("<body>" + "".join(make(4) for _ in range(3)) + "</body>")
+        order = html_text._kept(root)
+        html_text.score_tree(order)
+        blocks = [x for x in order if x.tag in html_text._BLOCK]
+
+        def block_around(x):
+            x = x.parent
+            while x.parent is not None and x.tag not in html_text._BLOCK:
+                x = x.parent
+            return x
+
+        def whole(x, linked, inside=False):
+            inside = inside or x.tag == "a"
+            return sum((len(k.strip()) if inside or not linked else 0) if isinstance(k, str) else whole(k, linked, inside) for k in x.kids)
+
+        want = {id(x): 0.0 for x in blocks}
+        for x in blocks:
+            if x.tag[0] == "h" and x.tag[1:].isdigit():
+                continue
+            t = " ".join(" ".join(html_text._direct(x)).split())
+            points = t.count(",") + min(len(t) // 100, 3) + min(1, len(t) / 25)
+            up = block_around(x)
+            while up.parent is not None:
+                want[id(up)] += points
+                points, up = points / 2, block_around(up)
+        for x in blocks:
+            assert x.received == pytest.approx(want[id(x)])
+            if want[id(x)] > 0:
+                bonus = html_text._TAG_POINTS.get(x.tag, 0) + (15 if "content" in x.attrs else 0)
+                assert x.score == pytest.approx((want[id(x)] + bonus) * (1 - whole(x, True) / max(whole(x, False), 1)))
+
+
+@pytest.mark.parametrize("part, text", [
+    ("<div class=footnotes><ol><li>The first note.</ol></div>", "The first note."), ("<fieldset><legend>Boxed</legend>A remark in a box.</fieldset>", "Boxed\nA remark in a box."),
+    ("<section class=legal><p>On the law.</p></section>", "On the law."), ("<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn></math> shows.</p>", "As x=2 shows."),
+    ("<div class=disclaimer>Said without warranty.</div>", "Said without warranty."), ("<label>A label</label>", "A label"), ("<p>Short.</p>", "Short."),
+    ("<form><p>Write to us, today, by this form.</p></form><button>Send</button>", ""), ("<svg><text>drawn</text></svg>", ""),
+])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>"])
+def test_parts_of_an_article(part, text, around):
+    assert html_text.main_text(around.format(BODY + part)) == WANT + ("\n" + text if text else "")
+
+
+def test_deep_paragraphs_pass_points_to_all_around():
+    deep = "<div>" * 9 + BODY + "</div>" * 9
+    assert html_text.main_text(f"<body><div id=content><h1>Title</h1>{deep}</div><div class=sidebar><p>{'Aside, aside, aside, ' * 9}</p></div>") == "Title\n" + WANT
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "<p>x" * 1000, "<b>" * 100_000 + "</i>" * 100_000, "<b><div>" * 100_000 + "</b>" * 100_000, "<li><b>" * 100_000, "<table><tr><td>" * 50_000, "<div>" * 100_000 + "x"])
+def test_deep_pages_take_seconds(page):
+    import time
+
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 20
 
 
 def test_masks_hit_every_pattern_of_the_rule():
