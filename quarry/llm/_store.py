@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _PLACES: dict[str, str] = {}
@@ -59,6 +60,21 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def stage_counting(df: DataFrame, name: str, **conditions: Column) -> tuple[DataFrame, str, dict[str, int]]:
+    """As ``stage``, and the numbers of rows for which the conditions hold, taken while the rows are written."""
+    seen = Observation()
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.observe(seen, *[F.count_if(c).alias(n) for n, c in conditions.items()]).write.parquet(path)
+    got = seen.get
+    return spark.read.schema(df.schema).parquet(path), path, {n: int(got.get(n) or 0) for n in conditions}
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the broadcasts and shuffles of finished plans, which it does when the driver's JVM has found them unreachable."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and more fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

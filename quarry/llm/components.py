@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop, stage
+from ._store import drop, stage, stage_counting
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,11 +24,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = near.unionByName(labels.select("id", "label", F.col("label").alias("own")))
         joined = both.groupBy("id").agg(F.min("label").alias("label"), F.max("own").alias("before"))
         jump = joined.join(labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left")
-        new, new_path = stage(jump.select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "before"), "labels")
-        changed = new.filter("label < before").limit(1).count()
+        new = jump.select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "before")
+        new, new_path, seen = stage_counting(new, "labels", changed=F.col("label") < F.col("before"))
         drop(spark, path)
         labels, path = new.select("id", "label"), new_path
-        if not changed:
+        if not seen["changed"]:
             break
     drop(spark, e_path)
     return labels.select("id", F.col("label").alias("component"))

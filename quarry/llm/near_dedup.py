@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop, stage
+from ._store import drop, stage, stage_counting
 from ._words import mix, shingle_set, splitmix
 from .components import connected_components
 
@@ -162,12 +162,12 @@ def candidate_edges(reps: DataFrame, threshold: float, trees: int, depth: int, p
             "doc_id", "n", "s1", "s2", F.expr("xxhash64(node, i, sig[int(i)])").alias("node")
         )
         sizes = child.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1")
-        members, path = stage(child.join(sizes.hint("merge"), "node"), "node-members")
+        members, path, seen = stage_counting(child.join(sizes.hint("merge"), "node"), "node-members", crowded=F.col("k") > LEAF)
         paths.append(path)
         leaves = members.filter(F.col("k") <= LEAF)
         small = leaves if small is None else small.unionByName(leaves)
         crowded = members.filter(F.col("k") > LEAF)
-        if not crowded.limit(1).count():
+        if not seen["crowded"]:
             break
         if level == depth:
             least = crowded.groupBy("node").agg(F.min("doc_id").alias("a"))
@@ -285,8 +285,8 @@ def large_group_edges(large: DataFrame, texts: DataFrame, k: int, percent: int,
     for _ in range(rounds):
         free = left.filter("lab is null")
         busy = free.groupBy("grp").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL_DOCS).select("grp")
-        p, p_path = stage(_pivots(free.join(busy, "grp")), "pivots")
-        if not p.limit(1).count():
+        p, p_path, seen = stage_counting(_pivots(free.join(busy, "grp")), "pivots", all=F.lit(True))
+        if not seen["all"]:
             drop(spark, p_path)
             break
         ptext = p.join(texts.withColumnRenamed("doc_id", "pivot").withColumnRenamed("text", "ptext"), "pivot")
@@ -331,11 +331,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     fits = (F.col("c") == 2) | ((F.col("c") <= SMALL_DOCS) & (F.col("w") <= SMALL_SHINGLES) & (F.col("y") <= SMALL_BYTES))
     sized = member.join(size, "grp").select("doc_id", "grp", "s1", "s2", fits.alias("small"))
     # the documents are shuffled once, for the texts of members
-    full, full_path = stage(texts.join(sized.hint("merge"), "doc_id").select("grp", "doc_id", "s1", "s2", "small", "text"), "member-texts")
+    full, full_path, seen = stage_counting(texts.join(sized.hint("merge"), "doc_id").select("grp", "doc_id", "s1", "s2", "small", "text"), "member-texts", large=~F.col("small"))
     paths = [full_path]
     links = small_group_edges(full.filter("small").withColumn("side", F.lit(None).cast("int")), k, percent)
     large = full.filter("not small")
-    if large.limit(1).count():
+    if seen["large"]:
         more = large_group_edges(large.select("grp", "doc_id", "s1", "s2").distinct(), large.select("doc_id", "text"), k, percent, rounds, paths)
         links = links.union(more)
     label = connected_components(links)

@@ -1,7 +1,8 @@
 """Quality: regularised quadratic discriminant analysis of document statistics.
 
 Each text gives a fixed vector of statistics (shares of character kinds, word and line repetition, lengths,
-entropy), each taken through log, logit or square root. A class has a mean and a covariance shrunk first toward
+entropy), each taken through log, logit or square root; log odds are kept between -5 and 5, which is what 150 observations could show, lest the length
+of a text alone be what they tell. A class has a mean and a covariance shrunk first toward
 the pooled covariance and then toward its own mean variance; scores are the difference of the two Gaussian
 log densities (squared Mahalanobis distances by cached Cholesky factors), plus the log prior ratio, through a sigmoid.
 

@@ -43,3 +43,32 @@ def test_stages_on_a_small_table(spark):
     out = f["pieces"](spark, clean, SF)
     back = pieces.decode(out, pieces.read_model(spark, queries.MODEL_FILE)).collect()
     assert {r.doc_id: r.text for r in back} == text and all(r.n_tokens == len(r.token_ids) for r in back)
+
+
+EDGE = [(1, "some fine words of a document", "en", "web", 29), (2, None, "en", "web", None), (3, "", "en", "web", 0), (4, "many words " * 30_000, "en", "web", 330_000), (5, "another text, quite unlike the first", None, None, 36), (5, "another text, quite unlike the first", None, None, 36), (None, "a text without an id", "en", "web", 20)]
+NAMES = ("_score", "_lines", "_dropped", "_overlaps", "_id", "_hash", "_text", "score", "grp", "key")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_edges_of_the_stages(spark, name):
+    f = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame([(*r, *range(len(NAMES))) for r in EDGE], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in NAMES))
+    out = f(spark, docs, SF)
+    rows = out.collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in EDGE)
+    if name != "pieces":
+        assert out.columns == docs.columns and all(tuple(r)[5:] == tuple(range(len(NAMES))) for r in rows)
+        assert {r.doc_id: r.text for r in rows} == {r[0]: r[1] for r in EDGE}
+    else:
+        assert {r.doc_id: r.n_tokens for r in rows if r.doc_id in (2, 3)} == {2: 0, 3: 0}
+    assert f(spark, docs.limit(0), SF).count() == 0
+
+
+def test_run_is_its_stages(spark):
+    """By calling the stages one after the other, kept in memory."""
+    docs = queries.table(spark, SF, "documents")
+    for _, f in corpus_pipeline.STAGES:
+        docs = f(spark, docs, SF).cache()
+        docs.count()
+    want = sorted((r.doc_id, r.n_tokens, tuple(r.token_ids)) for r in docs.collect())
+    assert sorted((r.doc_id, r.n_tokens, tuple(r.token_ids)) for r in corpus_pipeline.run(spark, SF).collect()) == want and len(want) > 50
