@@ -49,7 +49,7 @@ def is_exactly(expression: Column, symbol: str, origin: Column) -> Column:
     return (expression == symbol) | ((origin == "nuget") & (expression == word) if word else F.lit(False))
 
 
-def selects_member(name: Column, member: str) -> Column:
+def selects_member(name: Column, member: str | Column) -> Column:
     """Equal, or equal up to the type arguments."""
     return (name == member) | ((F.instr(name, "<") > 1) & (F.substring_index(name, "<", 1) == member))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,27 @@ def strip_arity(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)`\d+$", "")
 
 
+def strip_all_arity(name: Column) -> Column:
+    """``Outer`1.Inner`2`` becomes Outer.Inner."""
+    return F.regexp_replace(name, r"`\d*", "")
+
+
+def strip_arguments(name: Column) -> Column:
+    """``Outer<T>.Inner<K, V>`` becomes Outer.Inner: what stands between angle brackets goes, however deep they are nested."""
+    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)
+        return F.struct(F.concat(s["out"], F.when((s["depth"] == 0) & ~c.isin("<", ">"), c).otherwise(F.lit(""))).alias("out"), depth.alias("depth"))
+
+    return F.when(F.contains(name, F.lit("<")), F.aggregate(F.split(name, ""), state, step, lambda s: s["out"])).otherwise(name)
+
+
+def longest_token(query: str) -> str:
+    """The longest run of characters other than white space, the first of equals; the query itself if it has none."""
+    return max(query.split(), key=len, default=query)
+
+
 def collapse_quoted(message: Column) -> Column:
     """``The 'x' of 'y'`` becomes ``The '<>' of '<>'``; an unclosed quote keeps ``'<``."""
     return F.regexp_replace(F.regexp_replace(message, "'[^']*'", "'<>'"), "(^|[^>])'(?!<>')[^']*$", "$1'<")
@@ -83,10 +106,15 @@ def repair_input(value: str) -> tuple[str, bool]:
 
 
 def repair_column(text: Column) -> Column:
-    """The same for a column, for the five XML entities, &copy;, &middot; and &nbsp;."""
-    for entity, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(value))
-    return F.translate(text, "‘’“”\u00a0", "''\"\" ")
+    """The same for a column. Every entity is decoded, by an Arrow batch; rows without an ampersand don't leave the JVM's values as they are."""
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(html.unescape, na_action="ignore")
+
+    decoded = F.when(F.contains(text, F.lit("&")), decode(text)).otherwise(text)
+    return F.translate(decoded, "‘’“”\u00a0", "''\"\" ")
 
 
 def literal_pattern(value: str) -> str:

@@ -10,11 +10,15 @@ from ..functions import matching, ranking, text
 from ..operators import ranked
 
 
-def search_names(types: DataFrame, pattern: str) -> DataFrame:
-    """(name, matched_on, namespace_depth and the ranks) of types that the pattern names."""
+def search_names(types: DataFrame, pattern: str, first: tuple[str, ...] = ()) -> DataFrame:
+    """(name, matched_on, namespace_depth and the ranks) of types that the pattern names; of types with one name the first by ``first``.
+
+    Composed backends name a type by ``search_name``, which repositories and packages spell alike, and carry their ``revision``.
+    """
     m = matching.match_name(F.col("namespace"), F.col("type_name"), pattern)
-    found = types.withColumn("m", m).filter("m is not null").select(F.col("full_name").alias("name"), F.col("m.matched_on").alias("matched_on"), F.col("m.depth").alias("namespace_depth"))
-    found = ranked.first_wins(found, ["name"], ["matched_on"])
+    name = F.col("search_name" if first else "full_name")
+    found = types.withColumn("m", m).filter("m is not null").select(name.alias("name"), F.col("m.matched_on").alias("matched_on"), F.col("m.depth").alias("namespace_depth"), *([*first, "revision"] if first else []))
+    found = ranked.first_wins(found, ["name"], [*first, "matched_on"])
     return found.withColumns({
         "match_tier": ranking.match_tier(F.col("matched_on")), "depth_rank": F.coalesce("namespace_depth", F.lit(0)),
         "name_tier": ranking.name_tier(F.col("name"), F.col("matched_on"), pattern), "dots": ranking.dot_count(F.col("name")),
@@ -38,9 +42,12 @@ def search_prose(prose: DataFrame, query: str, cap: int = 2) -> DataFrame:
     return ranked.cap_per_key(found, "symbol", list(PROSE_ORDER), cap)
 
 
-def find_references(uses: DataFrame, symbol: str, types: DataFrame | None = None) -> DataFrame:
+def find_references(uses: DataFrame, symbol: str, types: DataFrame | None = None, by: tuple[str, ...] = (), siblings: bool = False) -> DataFrame:
     """Uses of a type, deduplicated, with ``is_exact``; the type's own declarations are left out.
 
+    ``by`` names the columns within which a type exists: composed backends see their own types only. With ``siblings`` the applications
+    left out because they mean a sibling come along, marked ``is_sibling``, and all rows carry their ``attribute_type``.
+
     Where package rows carry the canonical names of the types in an expression (``type_names``), these decide.
     An applied attribute is a use of the type that it means among ``types`` (see ``attribute_references``) and of those in its
     arguments; where it means a sibling of the symbol it is left out. Without ``types`` only the symbol is taken to exist.
@@ -55,23 +62,37 @@ def find_references(uses: DataFrame, symbol: str, types: DataFrame | None = None
     if types is None:
         known, means = uses, F.when(F.lit(matching.attribute_short_form(symbol)) == applied, F.lit(symbol)).otherwise(applied)
     else:
-        long = types.filter(F.col("full_name").isin(symbol, f"{symbol}Attribute")).select(F.col("full_name").alias("_long")).distinct()
-        known, means = uses.join(long, (F.col("kind") == "attribute") & (suffixed == F.col("_long")), "left"), F.coalesce("_long", applied)
+        here = [F.col(c).alias(f"_{c}") for c in by]
+        long = types.filter(F.col("full_name").isin(symbol, f"{symbol}Attribute")).select(F.col("full_name").alias("_long"), *here).distinct()
+        same = (F.col("kind") == "attribute") & (suffixed == F.col("_long"))
+        for c in by:
+            same &= F.col(c) == F.col(f"_{c}")
+        known, means = uses.join(long, same, "left"), F.coalesce("_long", applied)
     is_attribute = F.col("kind") == "attribute"
     if "type_names" in uses.columns:
         is_attribute &= (F.col("origin") != "nuget") | F.col("type_names").isNull()
-    named = F.when(is_attribute & (means == symbol), True).when(is_attribute & (applied == symbol), False).otherwise(named)
+    sibling = is_attribute & (means != symbol) & (applied == symbol)
+    if "attribute_type" in uses.columns:  # packages state what an application means
+        stated = (F.col("origin") == "nuget") & (F.col("kind") == "attribute") & F.col("attribute_type").isNotNull()
+        means = F.when(stated, F.col("attribute_type")).otherwise(means)
+        exact = F.when(stated, F.col("attribute_type") == symbol).otherwise(exact)
+        sibling |= stated & (F.col("attribute_type") == f"{symbol}Attribute") & (applied == symbol)
+    named = F.when(is_attribute & (means == symbol), True).when(sibling, False).otherwise(named)
     exact = F.when(is_attribute, means == symbol).otherwise(exact)
-    found = known.filter(named & (F.col("owner") != symbol)).withColumn("is_exact", exact).select(*uses.columns, "is_exact")
-    keys = ["declaration_id", "kind", F.coalesce("parameter_name", F.lit("")), "type_expression"]
+    kept = named | sibling if siblings else named
+    found = known.filter(kept & (F.col("owner") != symbol)).withColumn("is_exact", exact)
+    if siblings:
+        found = found.withColumns({"is_sibling": F.coalesce(sibling, F.lit(False)), "attribute_type": F.when(F.col("kind") == "attribute", means)})
+    found = found.select(*[c for c in uses.columns if c != "attribute_type" or not siblings], *(["is_sibling", "attribute_type"] if siblings else []), "is_exact")
+    keys = ["declaration_id", "kind", F.coalesce("parameter_name", F.lit("")), F.coalesce("type_expression", F.lit(""))]
     return ranked.first_wins(found, keys, ["priority", "symbol"])
 
 
-def filter_references(found: DataFrame, kind: str | None = None, exact: bool = False) -> DataFrame:
+def filter_references(found: DataFrame, kind: str | None = None, exact: bool | None = None) -> DataFrame:
     if kind is not None and kind not in matching.KINDS:
         raise QueryError("invalid_request", f"kind is one of {', '.join(matching.KINDS)}")
     found = found.filter(F.col("kind") == kind) if kind else found
-    return found.filter("is_exact") if exact else found
+    return found if exact is None else found.filter(F.col("is_exact") == exact)
 
 
 def reference_totals(found: DataFrame) -> DataFrame:
@@ -140,9 +161,9 @@ def skip_histogram(skips: DataFrame, top: int = 10) -> DataFrame:
 
 
 def merge_histograms(histogram: DataFrame) -> DataFrame:
-    """(reason, n, partial): sums over packages, not cut again; partial if any package's was."""
-    any_partial = histogram.agg(F.bool_or("partial").alias("partial"))
-    return histogram.groupBy("reason").agg(F.sum("n").alias("n")).join(F.broadcast(any_partial))
+    """(reason, n, partial): sums over packages, not cut again; partial if any package's was. The rows are few: ten of each package at most."""
+    sums = histogram.groupBy("reason").agg(F.sum("n").alias("n"), F.bool_or("partial").alias("_partial"))
+    return sums.withColumn("partial", F.bool_or("_partial").over(Window.partitionBy(F.lit(0)))).drop("_partial")
 
 
 def with_docs(members: DataFrame, docs: DataFrame) -> DataFrame:

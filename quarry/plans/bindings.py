@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .service import Backend
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,13 +50,22 @@ def types(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRAMEWORKS = ("net8.0", "net9.0", "net10.0", "netstandard2.0")
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipped(spark: SparkSession, sf_dir: str, of: DataFrame) -> DataFrame:
+    """The types ``of`` with each part that their supplier ships. Line items of other suppliers go before they are made distinct."""
+    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(of.select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_semi").distinct()
+    return pairs.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(of, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def members(spark: SparkSession, sf_dir: str, type_ids: DataFrame | None = None) -> DataFrame:
     """(origin, priority, framework, type_id, full_name, declaration_id, name, signature, summary): a member for each part a supplier ships.
 
-    A third of the parts is documented by both origins; a member's signature names its origin, so that the merge shows.
+    A third of the parts is documented by both origins; a member's signature names its origin, so that the merge shows. ``type_ids``
+    (type_id) restricts the types at their scan.
     """
-    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    rows = pairs.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(types(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+    of = types(spark, sf_dir)
+    if type_ids is not None:
+        of = of.join(type_ids, F.col("declaration_id") == F.col("type_id"), "left_semi")
+    rows = shipped(spark, sf_dir, of)
     name = "replace(initcap(p_name), ' ', '')"
     origin = F.explode(F.expr("filter(array(CASE WHEN p_partkey % 3 <> 0 THEN 'git' END, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 2 = 0 THEN 'nuget' END), o -> o IS NOT NULL)"))
     rows = rows.withColumn("origin", origin)
@@ -96,6 +107,44 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def backends(spark: SparkSession, sf_dir: str) -> list[Backend]:
+    """A source of repositories only, ``lib``, and one with two packages, ``app``.
+
+    ``lib`` documents three of four types; the packages share the types between them by even and odd supplier, under display names with type
+    arguments. A part is a member of its supplier's type, by repository, package, or both.
+    """
+    t = types(spark, sf_dir).withColumn("search_name", F.col("full_name"))
+    shown = {"full_name": F.replace("full_name", F.lit("`1"), F.lit("<T>")), "display_name": F.replace("type_name", F.lit("`1"), F.lit("<T>"))}
+    name = "concat('Part', p_partkey % 10, CASE WHEN p_partkey % 20 >= 10 THEN '<T>' ELSE '' END)"
+
+    def of(rows: DataFrame, origin: str) -> DataFrame:
+        held = "p_partkey % 3 <> 0" if origin == "git" else "p_partkey % 3 = 0 OR p_partkey % 2 = 0"
+        m = shipped(spark, sf_dir, rows).filter(held)
+        return m.select(
+            F.expr("element_at(array('net8.0', 'net9.0', 'net10.0', 'netstandard2.0'), p_size % 4 + 1)").alias("framework"), F.col("declaration_id").alias("type_id"),
+            F.expr("concat('M:', substr(declaration_id, 3), '.Part', p_partkey % 10, '(', p_partkey, ')')").alias("declaration_id"), F.expr(name).alias("name"),
+            F.expr(f"concat('public ', p_type, ' ', {name}, '(', p_brand, ' ', p_partkey, ')')").alias("signature"), F.col("p_partkey").alias("ord"),
+            F.expr(f"concat('{origin} ', p_name)").alias("summary"), F.expr("concat('a size of ', p_size)").alias("returns"), F.lit(None).cast("string").alias("remarks"),
+        )
+
+    def package(name: str, keep: str, **more: DataFrame) -> Backend:
+        rows = t.filter(keep)
+        tables = {"types": rows.withColumns(shown), "members": of(rows, "nuget"), "skipped": skips(spark, sf_dir).filter(F.col("package_id") == f"package{len(name) % 3}").select(F.col("message").alias("reason"))}
+        return Backend("nuget", "app", f"nuget:{name}", tables | more, (name, name, "1.0.0", "digest", "feed"), "net8.0", FRAMEWORKS)
+
+    p, u = prose(spark, sf_dir), uses(spark, sf_dir)
+    plain = lambda df, keep: df.filter(keep).drop("origin", "priority")
+    lib = t.filter("s_suppkey % 4 <> 3")
+    long = spark.range(1).select(F.lit("T:System.ECONOMYAttribute").alias("declaration_id"), F.lit("System").alias("namespace"), F.lit("ECONOMYAttribute").alias("type_name"), F.lit("System.ECONOMYAttribute").alias("full_name"), F.lit("System.ECONOMYAttribute").alias("search_name"))
+    nothing = lib.limit(0)
+    return [
+        Backend("git", "lib", "git:lib", {"types": lib.unionByName(long, allowMissingColumns=True), "members": of(lib, "git").drop("framework"), "prose": plain(p, "origin = 'git' AND ord % 2 = 0"), "uses": plain(u, "origin = 'git'")}),
+        Backend("git", "app", "git:app", {"types": nothing, "members": of(nothing, "git").drop("framework"), "prose": plain(p, "origin = 'git' AND ord % 2 = 1"), "uses": plain(u, "false")}),
+        package("Pack.Odd", "s_suppkey % 2 = 1", prose=plain(p, "origin = 'nuget'"), uses=plain(u, "origin = 'nuget'")),
+        package("Pack.Even", "s_suppkey % 2 = 0", prose=plain(p, "false"), uses=plain(u, "false")),
+    ]
+
+
 def skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(package_id, message): declarations left out of a package's corpus."""
     return table(spark, sf_dir, "events").select(

@@ -82,6 +82,50 @@ HISTOGRAM = """n AS (
 k AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY n DESC, reason) AS rn, (sum(n) OVER (PARTITION BY package_id))::BIGINT AS total, count(*) OVER (PARTITION BY package_id) > 10 AS partial FROM n),
 histogram AS (SELECT package_id, reason, n, total, partial FROM k WHERE rn <= 10)"""
 
+BACKENDS = TYPES + """,
+st AS (SELECT s_suppkey, namespace, type_name, namespace || '.' || type_name AS stored, 'T:' || namespace || '.' || type_name AS type_id FROM types),
+b AS (
+  SELECT 0 AS priority, 'git:app' AS revision, 'git' AS origin, stored AS full_name, * FROM st WHERE false UNION ALL
+  SELECT 1, 'git:lib', 'git', stored, * FROM st WHERE s_suppkey % 4 <> 3 UNION ALL
+  SELECT 2, 'nuget:Pack.Even', 'nuget', replace(stored, '`1', '<T>'), * FROM st WHERE s_suppkey % 2 = 0 UNION ALL
+  SELECT 3, 'nuget:Pack.Odd', 'nuget', replace(stored, '`1', '<T>'), * FROM st WHERE s_suppkey % 2 = 1),
+parts AS (
+  SELECT b.*, p.*, 'Part' || p_partkey % 10 || CASE WHEN p_partkey % 20 >= 10 THEN '<T>' ELSE '' END AS name, ['net8.0', 'net9.0', 'net10.0', 'netstandard2.0'][p_size % 4 + 1] AS framework
+  FROM b JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l ON l_suppkey = s_suppkey JOIN part p ON p_partkey = l_partkey
+  WHERE CASE origin WHEN 'git' THEN p_partkey % 3 <> 0 ELSE p_partkey % 3 = 0 OR p_partkey % 2 = 0 END),
+mm AS (
+  SELECT *, 'M:' || stored || '.Part' || p_partkey % 10 || '(' || p_partkey || ')' AS member_id, 'public ' || p_type || ' ' || name || '(' || p_brand || ' ' || p_partkey || ')' AS signature,
+    origin || ' ' || p_name AS summary, 'a size of ' || p_size AS returns FROM parts)"""
+
+
+def looked_up(framework: str, member: str | None) -> str:
+    named = f"WHERE name = '{member}' OR name LIKE '{member}<%'" if member else ""
+    return f"""{BACKENDS},
+found AS (SELECT * FROM b WHERE type_name = 'Supplier7' OR starts_with(type_name, 'Supplier7`')),
+held AS (SELECT mm.* FROM mm JOIN found USING (priority, type_id) WHERE mm.origin = 'git' OR framework = '{framework}'),
+chosen AS (SELECT * FROM held {named}),
+first AS (SELECT type_id, arg_min(full_name, priority) AS full_name, arg_min(revision, priority) AS revision FROM found {"WHERE type_id IN (SELECT type_id FROM chosen)" if member else ""} GROUP BY type_id),
+merged AS (SELECT * FROM chosen QUALIFY row_number() OVER (PARTITION BY type_id, member_id ORDER BY priority) = 1),
+r AS (
+  SELECT f.full_name, f.revision, m.name, m.signature, m.origin AS member_origin, m.summary, m.returns,
+    row_number() OVER (ORDER BY f.full_name, f.revision, f.type_id, coalesce(m.name, ''), coalesce(m.signature, ''), m.member_id)::INT AS position, count(*) OVER () AS n
+  FROM first f LEFT JOIN merged m USING (type_id))"""
+
+
+COMPOSED_USES = """WITH u AS (
+  SELECT CASE WHEN l_partkey % 3 = 0 THEN 3 ELSE 1 END AS priority, CASE WHEN l_partkey % 3 = 0 THEN 'nuget:Pack.Odd' ELSE 'git:lib' END AS revision, 'M:Order' || l_orderkey || '.Line' || l_linenumber AS declaration_id,
+    'Order' || l_orderkey || '.Line' || l_linenumber AS symbol, ['parameter', 'return', 'base', 'interface', 'constraint', 'attribute'][l_linenumber % 6 + 1] AS kind,
+    CASE p_size % 5 WHEN 0 THEN 'System.' || p_type WHEN 1 THEN 'System.' || p_type || '[]' WHEN 2 THEN 'System.' || p_type || '&'
+      WHEN 3 THEN 'System.Collections.Generic.IEnumerable<System.' || p_type || '>' ELSE 'System.' || p_type || 'Comparer' END AS type_expression,
+    'System.' || CASE WHEN l_orderkey % 50 = 0 THEN p_type ELSE 'Order' || l_orderkey END AS owner
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+f AS (
+  SELECT *, CASE WHEN kind = 'attribute' THEN CASE WHEN priority = 1 AND applied = 'System.ECONOMY' THEN 'System.ECONOMYAttribute' ELSE applied END END AS attribute_type,
+    kind = 'attribute' AND priority = 1 AND applied = 'System.ECONOMY' AS is_sibling
+  FROM (SELECT *, replace(type_expression, '[]', '') AS applied FROM u)
+  WHERE owner <> 'System.ECONOMY' AND regexp_matches(type_expression, '(^|[^\\pL\\p{Nd}_.+])System\\.ECONOMY($|[^\\pL\\p{Nd}_.+])')
+  QUALIFY row_number() OVER (PARTITION BY declaration_id, kind, type_expression ORDER BY priority) = 1)"""
+
 ORACLES = {
     "doc_line_search_literal": line_search("contains(line, 'the')", 50, 10),
     "doc_line_search_regex": line_search("regexp_matches(line, '(?i)\\b(th|qu)[a-z]+ (de|of|the) ')", 40, 0),
@@ -112,7 +156,7 @@ k AS (SELECT name, CASE WHEN contains(lower(type_name), 'nation_1') THEN 'type'
 SELECT name, matched_on, CASE WHEN matched_on = 'namespace' THEN d END::INT AS namespace_depth,
   row_number() OVER (ORDER BY CASE matched_on WHEN 'type' THEN 1 ELSE 2 END, coalesce(CASE WHEN matched_on = 'namespace' THEN d END, 0), length(name) - length(replace(name, '.', '')), name)::INT AS position
 FROM k WHERE matched_on IS NOT NULL QUALIFY position <= 100""",
-    "api_type_search": f"""WITH {TYPES}, t AS (SELECT namespace || '.' || type_name AS name, lower(regexp_replace(type_name, '`[0-9]+$', '')) AS simple FROM types WHERE contains(lower(type_name), 'supplier1')),
+    "api_type_search": f"""WITH {TYPES}, t AS (SELECT namespace || '.' || type_name AS name, lower(regexp_replace(type_name, '`[0-9]+$', '')) AS simple FROM types WHERE contains(lower(type_name), 'supplier')),
 k AS (SELECT name, 'type' AS matched_on, CASE WHEN simple = 'supplier1' THEN 0 WHEN starts_with(simple, 'supplier1') THEN 1 ELSE 2 END AS tier FROM t),
 r AS (SELECT name, matched_on, NULL::INT AS namespace_depth, row_number() OVER (ORDER BY tier, length(name) - length(replace(name, '.', '')), name)::INT AS position FROM k)
 SELECT * FROM r WHERE position <= 20""",
@@ -157,4 +201,44 @@ SELECT m.declaration_id, m.origin, coalesce(d.text, '') AS doc FROM members m LE
     "page_cursor_round_trip": f"""WITH {DOCS}, r AS (SELECT repo, path, line_no, left(line, 300) AS text, length(line) > 300 AS is_truncated,
   row_number() OVER (ORDER BY {TIER}, CASE WHEN ltrim(line) LIKE '#%' THEN 0 ELSE 1 END, path, line_no, repo)::INT AS position FROM lines WHERE contains(line, 'tion'))
 SELECT * FROM r WHERE position > 20 AND position <= 40""",
+    "api_lookup_nested": f"""WITH {looked_up('net9.0', None)}
+SELECT full_name, revision, 'signatures' AS detail, to_json(list({{'name': name, 'signature': signature}} ORDER BY position)) AS members, any_value(n) > 10 AS is_partial
+FROM r WHERE position > 5 AND position <= 10 GROUP BY full_name, revision""",
+    "api_lookup_member": f"""WITH {looked_up('net8.0', 'Part4')}
+SELECT full_name, revision, 'full' AS detail, name, signature, member_origin, summary, returns, position, n > 50 AS is_partial FROM r WHERE position <= 50""",
+    "api_lookup_outcomes": f"""WITH {BACKENDS},
+q AS (SELECT * FROM (VALUES ('Supplier7<T>', 'Supplier7<T>', NULL), ('Supplier7.Part4', 'Supplier7', 'Part4'), ('Supplier7.Part77', 'Supplier7', 'Part77'), ('Nothing.Such', 'Nothing', 'Such')) v(symbol, head, member)),
+found AS (SELECT q.symbol, q.member, b.* FROM q JOIN b ON CASE b.origin WHEN 'git' THEN type_name = head OR starts_with(type_name, head || '`') ELSE head IN (type_name, replace(type_name, '`1', ''), replace(type_name, '`1', '<T>')) END),
+hit AS (SELECT f.symbol FROM found f WHERE member IS NULL UNION SELECT f.symbol FROM found f JOIN mm USING (priority, type_id) WHERE (mm.origin = 'git' OR framework = 'net8.0') AND (name = member OR name LIKE member || '<%'))
+SELECT q.symbol, CASE WHEN q.symbol IN (SELECT symbol FROM hit) THEN 'found' WHEN count(f.type_id) > 0 THEN 'member_not_found' ELSE 'not_found' END AS outcome,
+  coalesce(array_to_string(list_sort(list(DISTINCT f.full_name) FILTER (f.full_name IS NOT NULL)), ' '), '') AS resolved_types
+FROM q LEFT JOIN found f USING (symbol) GROUP BY q.symbol""",
+    "api_search_composed": f"""WITH {BACKENDS},
+f AS (SELECT stored AS name, 'type' AS matched_on, NULL::INT AS namespace_depth, revision, lower(replace(type_name, '`1', '')) AS simple FROM b WHERE contains(lower(type_name), 'supplier')
+  QUALIFY row_number() OVER (PARTITION BY stored ORDER BY priority) = 1),
+r AS (SELECT name, matched_on, namespace_depth, revision, count(*) OVER () > 8 AS is_partial,
+  row_number() OVER (ORDER BY CASE WHEN simple = 'supplier' THEN 0 ELSE 1 END, length(name) - length(replace(name, '.', '')), name, revision)::INT AS position FROM f)
+SELECT * FROM r WHERE position > 4 AND position <= 8""",
+    "api_text_composed": """WITH p AS (
+  SELECT CASE WHEN l.doc_id IS NULL THEN 0 ELSE 3 END AS priority, CASE WHEN l.doc_id IS NULL THEN 'git:app' ELSE 'nuget:Pack.Odd' END AS revision, 'M:' || source || '.' || d.doc_id AS declaration_id,
+    source || '.' || d.doc_id % 50 AS symbol, ['summary', 'returns', 'remarks', 'param:x', 'exception'][((n - 1) % 5)::INT + 1] AS element, n - 1 AS ord, line
+  FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, n)),
+f AS (
+  SELECT *, left(line, 300) AS text, length(line) > 300 AS is_truncated FROM p WHERE (priority = 3 OR ord % 2 = 1) AND contains(lower(line), 'tion')
+  QUALIFY row_number() OVER (PARTITION BY declaration_id, element, trim(regexp_replace(left(line, 300), '\\s+', ' ', 'g')) ORDER BY priority, ord) = 1),
+o AS (
+  SELECT *, CASE element WHEN 'summary' THEN 0 WHEN 'returns' THEN 1 WHEN 'remarks' THEN 2 WHEN 'exception' THEN 5 ELSE 4 END AS er,
+    CASE WHEN regexp_matches(text, '(?i)(^|[^\\pL\\p{Nd}])tion($|[^\\pL\\p{Nd}])') THEN 0 ELSE 1 END AS wr FROM f),
+c AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY er, wr, symbol, element, text, declaration_id) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM o QUALIFY k <= 2),
+r AS (SELECT symbol, element, text, is_truncated, CASE WHEN k = 2 AND n > 2 THEN n - 2 END AS more_from_symbol, revision, count(*) OVER () > 40 AS is_partial,
+  row_number() OVER (ORDER BY er, wr, symbol, element, text, revision, declaration_id)::INT AS position FROM c)
+SELECT * FROM r WHERE position <= 40""",
+    "api_references_composed": f"""{COMPOSED_USES},
+r AS (SELECT symbol, kind, type_expression, attribute_type, attribute_type = 'System.ECONOMY' AS is_exact, revision, count(*) OVER () > 60 AS is_partial,
+  row_number() OVER (ORDER BY symbol, kind, type_expression, revision, declaration_id)::INT AS position FROM f WHERE kind = 'attribute' AND NOT is_sibling)
+SELECT * FROM r WHERE position <= 60""",
+    "api_references_summary": f"""{COMPOSED_USES}
+SELECT {', '.join(f"count(*) FILTER (kind = '{k}' AND NOT is_sibling) AS n_{k}" for k in ('parameter', 'return', 'base', 'interface', 'constraint', 'attribute'))},
+  count(*) FILTER (is_sibling) AS sibling_applications, 'System.ECONOMYAttribute' AS sibling_type FROM f""",
+    "api_skipped_composed": f"WITH {HISTOGRAM}, h AS (SELECT * FROM histogram WHERE package_id IN ('package0', 'package2')) SELECT reason, sum(n)::BIGINT AS n, (SELECT bool_or(partial) FROM h) AS partial FROM h GROUP BY reason",
 }
