@@ -5,6 +5,11 @@ Each binding gives one of the engine's tables; the SQL twins in ``oracles`` say
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +112,58 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def faq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a question-and-answer file of each conversation, JSON being YAML; every tenth is another kind of file, every eleventh has no questions."""
+    turn = F.struct("turn", F.concat_ws(" ", "role", "turn").alias("question"), F.col("text").alias("answer"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    questions = F.when(F.col("conv_id") % 11 == 0, F.array().cast("array<struct<question:string,answer:string>>")).otherwise(F.transform("t", lambda t: F.struct(t["question"], t["answer"])))
+    section = F.struct(F.concat(F.lit("Conversation  "), F.col("conv_id").cast("string")).alias("name"), questions.alias("questions"))
+    head = F.when(F.col("conv_id") % 10 == 0, "### YamlMime:Landing\n").otherwise("\n### YamlMime:FAQ\n")
+    body = F.to_json(F.struct(F.lit("left out").alias("title"), F.lit("A talk.").alias("summary"), F.array(section).alias("sections")))
+    return c.select(F.concat(F.lit("talks/"), F.col("conv_id").cast("string"), F.lit(".yml")).alias("path"), F.concat(head, body).cast("binary").alias("content"))
+
+
+def xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): an XML description of a type for each nation, its suppliers the members; every fifth has no C# signature, every seventh a bad id."""
+    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    place = "concat('Corp.', replace(r_name, ' ', ''))"
+    name = "replace(n_name, ' ', '_')"
+    signature = "CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('<MemberSignature Language=\"C#\" Value=\"old\"/><MemberSignature Language=\"C#\" Value=\"public string S', s_suppkey, ' (int index);\"/>') END"
+    member = f"""concat('<Member MemberName="S', s_suppkey, '">', {signature}, '<MemberSignature Language="DocId" Value="M:', {place}, '.', {name}, CASE WHEN s_suppkey % 7 = 0 THEN '.S(' ELSE '.S' END, s_suppkey, '(System.Int32)"/>',
+      '<MemberType>Method</MemberType><Attributes><Attribute><AttributeName Language="F#">[&lt;X&gt;]</AttributeName><AttributeName>[Corp.Marked(', s_suppkey, ')]</AttributeName></Attribute></Attributes>',
+      '<ReturnValue><ReturnType>System.String</ReturnType></ReturnValue><Parameters><Parameter Name="index" Type="System.Int32"/></Parameters><Docs><summary>Supplier', char(10), '   <see cref="T:', {place}, '.', {name}, '"/> at
+      <paramref name="index"/>.</summary><param name="index">Balance ', s_acctbal, '</param><remarks>To be added.</remarks></Docs></Member>')"""
+    types = rows.groupBy("r_name", "n_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", F.expr(member).alias("m")))), lambda x: x["m"]), "").alias("members"))
+    body = f"""concat('<Type Name="', {name}, '" FullName="', {place}, '.', {name}, '"><TypeSignature Language="DocId" Value="T:', {place}, '.', {name}, '"/><Base><BaseTypeName>System.Object</BaseTypeName></Base>',
+      '<Docs><summary>Of ', n_name, ' &amp; others.</summary></Docs><Members>', members, '</Members>', CASE WHEN n_name LIKE 'U%' THEN '' ELSE '</Type>' END)"""
+    return types.select(F.expr(f"concat({place}, '/', {name}, '.xml')").alias("path"), F.expr(body).cast("binary").alias("content"))
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): an archive of each region, with an assembly and its documentation for two frameworks; that of every third region is unsafe."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    member = F.expr("concat('<member name=\"M:Corp.', replace(n_name, ' ', '_'), '.Run\"><summary> Runs  ', n_nationkey, ' </summary><param name=\"p\">The p.</param></member>')")
+    docs = rows.groupBy("r_regionkey").agg(F.array_join(F.sort_array(F.collect_list(member)), "").alias("m")).select("r_regionkey", F.concat(F.lit("<doc><members>"), "m", F.lit("</members></doc>")).alias("xml"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, xml in zip(b.column("r_regionkey").to_pylist(), b.column("xml").to_pylist(), strict=True):
+                f = io.BytesIO()
+                with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                    for framework in ("net8.0", "netstandard2.0"):
+                        z.writestr(f"lib/{framework}/Corp.dll", b"MZ" + bytes([key]))
+                        z.writestr(f"LIB/{framework}/corp.XML", xml)
+                    if key % 3 == 2:
+                        z.writestr("../escape", b"")
+                out.append(f.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([f"region{k}.nupkg" for k in b.column("r_regionkey").to_pylist()]), pa.array(out, pa.binary())], ["path", "content"])
+
+    return docs.mapInArrow(run, "path string, content binary")
+
+
 def backends(spark: SparkSession, sf_dir: str) -> list[Backend]:
     """A source of repositories only, ``lib``, and one with two packages, ``app``.
 

@@ -126,6 +126,14 @@ f AS (
   WHERE owner <> 'System.ECONOMY' AND regexp_matches(type_expression, '(^|[^\\pL\\p{Nd}_.+])System\\.ECONOMY($|[^\\pL\\p{Nd}_.+])')
   QUALIFY row_number() OVER (PARTITION BY declaration_id, kind, type_expression ORDER BY priority) = 1)"""
 
+XML = """WITH x AS (
+  SELECT *, 'Corp.' || replace(r_name, ' ', '') AS namespace, replace(n_name, ' ', '_') AS type_name, n_name LIKE 'U%' AS broken
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+y AS (
+  SELECT *, namespace || '.' || type_name AS full_name, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1 AS ord, 'M:' || namespace || '.' || type_name || '.S' || s_suppkey || '(System.Int32)' AS id,
+    CASE WHEN s_suppkey % 5 <> 0 THEN 'public string S' || s_suppkey || ' (int index);' END AS signature FROM x WHERE NOT broken),
+z AS (SELECT *, full_name || '.S' || s_suppkey AS symbol FROM y WHERE s_suppkey % 7 <> 0)"""
+
 ORACLES = {
     "doc_line_search_literal": line_search("contains(line, 'the')", 50, 10),
     "doc_line_search_regex": line_search("regexp_matches(line, '(?i)\\b(th|qu)[a-z]+ (de|of|the) ')", 40, 0),
@@ -146,8 +154,11 @@ w AS (
 SELECT repo, path, page, min(line_no)::INT AS start_line, (max(line_no) + 1)::INT AS end_line FROM w GROUP BY repo, path, page""",
     "doc_line_normalization": """SELECT doc_id, n::INT AS line_no, line FROM documents,
 unnest(string_split(replace(text, ' ', chr(10)), chr(10))) WITH ORDINALITY AS u(line, n)""",
-    "faq_render": """WITH q AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line, text, role FROM conversations)
-SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg(CASE WHEN role = 'assistant' THEN text ELSE '## ' || line END, chr(10) || chr(10) ORDER BY turn) AS markdown FROM q GROUP BY conv_id""",
+    "faq_render": """WITH q AS (SELECT conv_id, string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || CASE WHEN trim(text) = '' THEN '' ELSE regexp_replace(text, '\\s+$', '') || chr(10) || chr(10) END, '' ORDER BY turn) AS body
+  FROM conversations GROUP BY conv_id)
+SELECT 'talks' AS repo, 'talks/' || conv_id || '.yml' AS path, CASE WHEN conv_id % 11 <> 0 THEN 'A talk.' || chr(10) || chr(10) || '# Conversation ' || conv_id || chr(10) || chr(10) || body END AS text, 'FAQ' AS rendered_from,
+  CASE WHEN conv_id % 11 = 0 THEN 'FAQ section ' || chr(39) || 'Conversation  ' || conv_id || chr(39) || ' has no questions' END AS skipped
+FROM q WHERE conv_id % 10 <> 0""",
     "input_repair": """SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&') AS html FROM pages""",
     "api_name_search": f"""WITH {TYPES},
 t AS (SELECT *, namespace || '.' || type_name AS name, string_split(lower(namespace || '.' || type_name), '.') AS seg FROM types),
@@ -241,4 +252,36 @@ SELECT * FROM r WHERE position <= 60""",
 SELECT {', '.join(f"count(*) FILTER (kind = '{k}' AND NOT is_sibling) AS n_{k}" for k in ('parameter', 'return', 'base', 'interface', 'constraint', 'attribute'))},
   count(*) FILTER (is_sibling) AS sibling_applications, 'System.ECONOMYAttribute' AS sibling_type FROM f""",
     "api_skipped_composed": f"WITH {HISTOGRAM}, h AS (SELECT * FROM histogram WHERE package_id IN ('package0', 'package2')) SELECT reason, sum(n)::BIGINT AS n, (SELECT bool_or(partial) FROM h) AS partial FROM h GROUP BY reason",
+    "source_xml_members": f"""{XML}
+SELECT 'T:' || full_name AS type_id, id AS declaration_id, 'S' || s_suppkey AS name, 'Method' AS kind, signature, ord::INT AS ord, to_json([{{'name': 'index', 'description': 'Balance ' || s_acctbal}}]) AS parameters,
+  'Supplier ' || full_name || ' at index.' AS summary, NULL::VARCHAR AS returns, NULL::VARCHAR AS remarks, namespace, type_name, full_name FROM z WHERE signature IS NOT NULL""",
+    "source_xml_uses": f"""{XML}
+SELECT id AS declaration_id, symbol, kind, parameter_name, type_expression, full_name AS owner, signature FROM z, (VALUES ('parameter', 'index', 'System.Int32'), ('return', NULL, 'System.String')) v(kind, parameter_name, type_expression)
+UNION ALL SELECT id, symbol, 'attribute', NULL, '[Corp.Marked(' || s_suppkey || ')]', full_name, signature FROM z
+UNION ALL SELECT DISTINCT 'T:' || full_name, full_name, 'base', NULL, 'System.Object', full_name, NULL FROM y""",
+    "source_xml_prose": f"""{XML}
+SELECT id AS declaration_id, symbol, 'summary' AS element, 'Supplier ' || full_name || ' at index.' AS text, 0 AS ord FROM z
+UNION ALL SELECT id, symbol, 'param:index', 'Balance ' || s_acctbal, 1 FROM z
+UNION ALL SELECT DISTINCT 'T:' || full_name, full_name, 'summary', 'Of ' || n_name || ' & others.', 0 FROM y""",
+    "source_xml_skipped": f"""{XML}
+SELECT namespace || '/' || type_name || '.xml' AS path, count(*) AS n FROM y WHERE s_suppkey % 7 = 0 GROUP BY ALL UNION ALL SELECT DISTINCT namespace || '/' || type_name || '.xml', 1 FROM x WHERE broken""",
+    "source_package_docs": """
+SELECT 'region' || r_regionkey || '.nupkg|' || f AS path, 'M:Corp.' || replace(n_name, ' ', '_') || '.Run' AS id, 'Runs ' || n_nationkey AS summary, 1 AS n_parameters, false AS refused
+FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('net8.0'), ('netstandard2.0')) v(f) WHERE r_regionkey % 3 <> 2
+UNION ALL SELECT 'region' || r_regionkey || '.nupkg', NULL, NULL, 0, true FROM region WHERE r_regionkey % 3 = 2""",
+    "doc_pages_atomic": f"""WITH RECURSIVE {talks(True)},
+c AS (SELECT path, line_no, body_start, n_lines, line, sum(length(line) + 1) OVER (PARTITION BY path ORDER BY line_no) AS cost FROM l),
+k AS (SELECT path, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) AS i FROM c WHERE line LIKE '```%'),
+blocks AS (SELECT a.path, a.line_no AS a, b.line_no + 1 AS b FROM k a JOIN k b ON a.path = b.path AND b.i = a.i + 1 WHERE a.i % 2 = 1 UNION ALL SELECT DISTINCT path, 1, body_start FROM c WHERE body_start > 1),
+p AS (
+  SELECT DISTINCT path, 1 AS page, body_start AS start_line, n_lines FROM c
+  UNION ALL
+  SELECT path, page + 1, end_line, n_lines FROM (
+    SELECT p.path, p.page, p.n_lines, (SELECT coalesce(max(b.b), e.e) FROM blocks b WHERE b.path = p.path AND b.a < e.e AND e.e < b.b AND b.b <= p.n_lines + 1) AS end_line
+    FROM p, LATERAL (SELECT greatest(p.start_line + 1, (SELECT count(*) FROM c WHERE c.path = p.path AND c.cost <= 400 + coalesce((SELECT d.cost FROM c d WHERE d.path = p.path AND d.line_no = p.start_line - 1), 0)) + 1) AS e) e)
+  WHERE end_line <= n_lines)
+SELECT 'talks' AS repo, path, page::INT AS page, start_line::INT AS start_line, coalesce(lead(start_line) OVER (PARTITION BY path ORDER BY page), n_lines + 1)::INT AS end_line FROM p""",
 }
+
+_PAGES = ORACLES["doc_pages_atomic"]
+ORACLES["doc_slice"] = f"WITH g AS ({_PAGES}), {talks(True)} SELECT l.path, l.line_no, l.line FROM l JOIN g ON g.path = l.path WHERE g.page = 2 AND l.line_no >= g.start_line AND l.line_no < g.end_line"

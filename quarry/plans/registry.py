@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cursor, outline, paging, ranked
-from ..sources import markdown
+from ..sources import api_xml, documents, markdown, packages
 from . import api, bindings, docs, service
 from .oracles import ORACLES
 
@@ -83,11 +83,49 @@ def doc_line_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def faq_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as questions and answers."""
-    c = bindings.table(spark, sf_dir, "conversations")
-    part = F.when(F.col("role") == "assistant", F.col("text")).otherwise(F.concat(F.lit("## "), text.flatten_line(F.col("text"))))
-    body = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("t"))
-    return body.select("conv_id", F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.col("t.part"), "\n\n")).alias("markdown"))
+    """Conversations as question-and-answer files, read, rendered as Markdown, or skipped with the reason."""
+    return documents.parse_files(bindings.faq_files(spark, sf_dir), "talks")
+
+
+@query
+def source_xml_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and members of XML descriptions, with their documentation."""
+    t = api_xml.tables(api_xml.parse_files(bindings.xml_files(spark, sf_dir)))
+    members = t["members"].withColumn("parameters", F.to_json("parameters")).drop("value")
+    return members.join(t["types"].select(F.col("declaration_id").alias("type_id"), "namespace", "type_name", "full_name"), "type_id")
+
+
+@query
+def source_xml_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api_xml.tables(api_xml.parse_files(bindings.xml_files(spark, sf_dir)))["uses"]
+
+
+@query
+def source_xml_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api_xml.tables(api_xml.parse_files(bindings.xml_files(spark, sf_dir)))["prose"]
+
+
+@query
+def source_xml_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and members that could not be read, counted by file."""
+    return api_xml.tables(api_xml.parse_files(bindings.xml_files(spark, sf_dir)))["skipped"].groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query
+def source_package_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documentation files of package archives, by framework; an archive that is refused is a row with an error."""
+    assets = packages.read_archives(bindings.package_files(spark, sf_dir), "Corp")
+    docs = api_xml.compiler_doc_rows(assets.filter("error is null").select(F.concat_ws("|", "path", "framework").alias("path"), F.col("xml").alias("content")))
+    refused = assets.filter("error is not null").select("path", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("summary"), F.lit(0).alias("n_parameters"), F.lit(True).alias("refused"))
+    return docs.select("path", "id", "summary", F.size("parameters").alias("n_parameters"), F.lit(False).alias("refused")).unionByName(refused)
+
+
+@query
+def doc_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of each document under a budget, from where the first one ends."""
+    d = _talks(spark, sf_dir, True)[0]
+    pages = paging.paginate(d, 400).filter("page = 2")
+    return docs.lines(d).join(pages, ["repo", "path"]).filter("line_no >= start_line and line_no < end_line").select("path", "line_no", "line")
 
 
 @query

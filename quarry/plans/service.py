@@ -10,12 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions import matching, text
 from ..operators import cursor, ranked
+from ..sources import catalog
 from . import api
 
 DETAIL = ("signatures", "full")
@@ -90,15 +91,34 @@ def compose(backends: list[Backend], source: str | None = None, framework: str |
     return Composition(chosen, effective, packages[0].default_framework if packages else None, packages[0].frameworks if packages else ())
 
 
+def snapshot_backends(spark: SparkSession, sources: dict[str, catalog.Source], cache: str) -> list[Backend]:
+    """The backends of all sources that hold declarations, as they are synced; any that isn't is an error, never left out."""
+    out = []
+    for name, source in sorted(sources.items()):
+        if source.markdown:
+            continue
+        state, tables = catalog.snapshot(spark, sources, cache, name)
+        revision = catalog.revision_key("git", repository=state["repository"], ref=state["ref"], commit=state["commit"])
+        out.append(Backend("git", name, revision, {t: df for t, df in tables.items() if t != "skipped"}))
+        for p, found in catalog.package_tables(spark, cache, name, state):
+            revision = catalog.revision_key("nuget", package=p["packageId"], version=p["version"], sha512=p["sha512"], feed=p["feed"])
+            package = tuple(p[k] for k in ("packageId", "assemblyName", "version", "sha512", "feed"))
+            default = next(f for f in p["availableFrameworks"] if f.lower() == p["defaultFramework"].lower())
+            out.append(Backend("nuget", name, revision, {t: df.drop("source") for t, df in found.items()}, package, default, tuple(p["availableFrameworks"])))
+    return out
+
+
 def selects_type(symbol: str) -> Column:
     """Whether a type row is named by the symbol: repositories by file name, with or without arity; packages also by display name, with or without arguments.
 
     A dotted symbol is compared with whole names, any other with simple ones.
     """
-    shown, stored = ("full_name", "search_name") if "." in symbol else ("display_name", "type_name")
-    shown = F.coalesce(F.col(shown), F.col("type_name" if shown == "display_name" else "full_name"))
-    package = (shown == symbol) | (text.strip_arguments(shown) == symbol) | (F.col(stored) == symbol) | (text.strip_all_arity(F.col(stored)) == symbol)
-    return F.when(F.col("origin") == "nuget", package).otherwise((F.col(stored) == symbol) | F.startswith(F.col(stored), F.lit(symbol + "`")))
+    dotted = "." in symbol
+    shown = F.col("full_name") if dotted else F.coalesce("display_name", "type_name")
+    stored = F.col("search_name") if dotted else F.substring_index("search_name", ".", -1)
+    package = (shown == symbol) | (text.strip_arguments(shown) == symbol) | (stored == symbol) | (text.strip_all_arity(stored) == symbol)
+    file = F.col("search_name") if dotted else F.col("type_name")
+    return F.when(F.col("origin") == "nuget", package).otherwise((file == symbol) | F.startswith(file, F.lit(symbol + "`")))
 
 
 def resolve(c: Composition, symbol: str) -> DataFrame:

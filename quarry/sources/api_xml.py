@@ -10,6 +10,8 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..errors import QueryError
 from ..functions import declaration_ids as ids
@@ -18,8 +20,11 @@ from ..functions.text import PLACEHOLDER
 TYPES = "declaration_id string, namespace string, type_name string, full_name string, search_name string"
 MEMBERS = "type_id string, declaration_id string, name string, kind string, signature string, ord int, parameters array<struct<name:string,description:string>>, summary string, returns string, value string, remarks string"
 PROSE = "declaration_id string, symbol string, element string, text string, ord int"
-USES = "declaration_id string, symbol string, kind string, parameter_name string, type_expression string, owner string"
+USES = "declaration_id string, symbol string, kind string, parameter_name string, type_expression string, owner string, signature string"
 SKIPPED = "path string, reason string"
+NESTED = {"types": TYPES, "members": MEMBERS, "prose": PROSE, "uses": USES, "skipped": SKIPPED}
+# fixed values: the documentation elements that hold prose
+ELEMENTS = ("summary", "remarks", "returns", "value", "param", "typeparam", "exception")
 
 
 def normalise(text: str, collapse: bool = True) -> str | None:
@@ -60,8 +65,8 @@ def render(element: ET.Element | None) -> str | None:
 def _doc_rows(docs: ET.Element | None, declaration_id: str, symbol: str) -> list[dict]:
     rows = []
     for e in docs if docs is not None else ():
-        if (text := render(e)) is not None and e.tag in ("summary", "remarks", "returns", "value", "param", "typeparam", "exception"):
-            label = f"{e.tag}:{e.get('name')}" if e.tag in ("param", "typeparam") else e.tag
+        if e.tag in ELEMENTS and (text := render(e)) is not None:
+            label = f"{e.tag}:{e.get('name')}" if e.get("name") else e.tag
             rows.append({"declaration_id": declaration_id, "symbol": symbol, "element": label, "text": text, "ord": len(rows)})
     return rows
 
@@ -84,8 +89,11 @@ def _attributes(node: ET.Element) -> list[str]:
 
 
 def parse_type(path: str, content: bytes) -> dict[str, list[dict]]:
-    """types, members, prose and uses of one file; ValueError for XML that can't be read; other roots give nothing."""
-    out: dict[str, list[dict]] = {"types": [], "members": [], "prose": [], "uses": []}
+    """types, members, prose, uses and skipped rows of one file; ValueError for XML that can't be read; other roots give nothing.
+
+    A member without a canonical id is skipped; one without a C# signature has no row among the members, but its prose and uses count.
+    """
+    out: dict[str, list[dict]] = {k: [] for k in NESTED}
     try:
         root = ET.fromstring(content)
     except ET.ParseError as e:
@@ -93,7 +101,9 @@ def parse_type(path: str, content: bytes) -> dict[str, list[dict]]:
     parts = path.split("/")
     stem, folder = parts[-1].rsplit(".", 1)[0], parts[-2] if len(parts) > 1 else ""
     if root.tag == "Namespace":
-        name = root.get("Name") or ""
+        name = root.get("FullName") or root.get("Name") or ""
+        if not ids.is_namespace_name(name):
+            raise QueryError("source_invalid", f"{path}: no canonical namespace name")
         out["prose"] = _doc_rows(root.find("Docs"), f"N:{name}", name)
         return out
     if root.tag != "Type":
@@ -101,13 +111,14 @@ def parse_type(path: str, content: bytes) -> dict[str, list[dict]]:
     spelled = [s.get("Value") for s in root.iterfind("TypeSignature") if s.get("Language") == "DocId"]
     if len(spelled) != 1 or not ids.is_type_id(spelled[0]):
         raise QueryError("source_invalid", f"{path}: no canonical type id")
-    type_id, full = spelled[0], root.get("FullName") or f"{folder}.{stem}"
+    type_id, full = spelled[0], root.get("FullName") or root.get("Name") or f"{folder}.{stem}"
     out["types"].append({"declaration_id": type_id, "namespace": folder, "type_name": stem, "full_name": full, "search_name": f"{folder}.{stem}"})
     out["prose"] += _doc_rows(root.find("Docs"), type_id, full)
 
-    def use(declaration_id: str, symbol: str, kind: str, expression: str | None, parameter: str | None = None) -> None:
+    def use(declaration_id: str, symbol: str, kind: str, expression: str | None, parameter: str | None = None, signature: str | None = None) -> None:
         if expression and expression.strip():
-            out["uses"].append({"declaration_id": declaration_id, "symbol": symbol, "kind": kind, "parameter_name": parameter, "type_expression": expression.strip(), "owner": full})
+            row = {"declaration_id": declaration_id, "symbol": symbol, "kind": kind, "parameter_name": parameter, "type_expression": expression.strip(), "owner": full}
+            out["uses"].append(row | {"signature": signature})
 
     use(type_id, full, "base", root.findtext("Base/BaseTypeName"))
     for x in root.iterfind("Interfaces/Interface/InterfaceName"):
@@ -117,49 +128,72 @@ def parse_type(path: str, content: bytes) -> dict[str, list[dict]]:
     for x in _attributes(root):
         use(type_id, full, "attribute", x)
     for n, m in enumerate(root.iterfind("Members/Member")):
-        signatures = [s.get("Value") for s in m.iterfind("MemberSignature") if s.get("Language") == "C#"]
-        if not signatures:
+        spellings = [(s.get("Language"), s.get("Value") or "") for s in m.iterfind("MemberSignature")]
+        try:
+            member_id = ids.choose_member_id([v for language, v in spellings if language == "DocId"], type_id)
+        except QueryError as e:
+            out["skipped"].append({"path": path, "reason": f"member '{m.get('MemberName')}': {e}"})
             continue
-        member_id = ids.choose_member_id([s.get("Value") or "" for s in m.iterfind("MemberSignature") if s.get("Language") == "DocId"], type_id)
+        signature = next((v for language, v in reversed(spellings) if language == "C#"), None)
         name, docs = m.get("MemberName") or "", m.find("Docs")
-        said = {e.get("name"): render(e) for e in reversed(docs.findall("param"))} if docs is not None else {}
-        prose = {t: render(docs.find(t)) if docs is not None else None for t in ("summary", "returns", "value", "remarks")}
-        parameters = [{"name": p.get("Name"), "description": said.get(p.get("Name"))} for p in m.iterfind("Parameters/Parameter")]
-        out["members"].append({"type_id": type_id, "declaration_id": member_id, "name": name, "kind": m.findtext("MemberType"), "signature": signatures[-1], "ord": n, "parameters": parameters, **prose})
-        symbol = f"{full}.{name}"
+        symbol = f"{full}.{name}" if name else full
+        if signature is not None:
+            said = {e.get("name"): render(e) for e in reversed(docs.findall("param"))} if docs is not None else {}
+            prose = {t: render(docs.find(t)) if docs is not None else None for t in ("summary", "returns", "value", "remarks")}
+            parameters = [{"name": p.get("Name"), "description": said.get(p.get("Name"))} for p in m.iterfind("Parameters/Parameter")]
+            row = {"type_id": type_id, "declaration_id": member_id, "name": name, "kind": m.findtext("MemberType"), "signature": signature, "ord": n}
+            out["members"].append(row | {"parameters": parameters, **prose})
         out["prose"] += _doc_rows(docs, member_id, symbol)
         for p in m.iterfind("Parameters/Parameter"):
-            use(member_id, symbol, "parameter", p.get("Type"), p.get("Name"))
-        use(member_id, symbol, "return", m.findtext("ReturnValue/ReturnType"))
+            use(member_id, symbol, "parameter", p.get("Type"), p.get("Name"), signature)
+        use(member_id, symbol, "return", m.findtext("ReturnValue/ReturnType"), None, signature)
         for p, x in _constraints(m):
-            use(member_id, symbol, "constraint", x, p)
+            use(member_id, symbol, "constraint", x, p, signature)
         for x in _attributes(m):
-            use(member_id, symbol, "attribute", x)
+            use(member_id, symbol, "attribute", x, None, signature)
     return out
 
 
-def scan(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables types, members, prose, uses and skipped (files that can't be read) of a tree of XML files.
+def _fields(ddl: str) -> list[str]:
+    return [f.strip() for f in re.split(r",\s*(?![^<]*>)", ddl)]
 
-    The tree is parsed once, into rows of one nested table, from which the five are taken.
-    """
-    nested = {"types": TYPES, "members": MEMBERS, "prose": PROSE, "uses": USES, "skipped": SKIPPED}
-    schema = ", ".join(f"{k} array<struct<{', '.join(f'{n}:{t}' for n, t in (f.split(' ', 1) for f in _fields(v)))}>>" for k, v in nested.items())
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(root).select("path", "content")
 
-    @F.udf(schema)
-    def parse(path: str, content: bytes) -> dict:
-        try:
-            return parse_type(path, bytes(content)) | {"skipped": []}
-        except ValueError as e:
-            return {k: [] for k in nested} | {"skipped": [{"path": path, "reason": str(e)}]}
+_SCHEMA = ", ".join(f"{k} array<struct<{', '.join(f'{n}:{t}' for n, t in (f.split(' ', 1) for f in _fields(v)))}>>" for k, v in NESTED.items())
 
-    parsed = files.select(parse("path", "content").alias("x"))
-    return {k: parsed.select(F.explode(f"x.{k}").alias("r")).select("r.*") for k in nested}
 
+def parse_files(files: DataFrame) -> DataFrame:
+    """One row of nested tables for each of (path, content), by Arrow batches; a file that can't be read gives a skipped row."""
+    schema = to_arrow_schema(StructType.fromDDL(_SCHEMA))
 
-def _fields(ddl: str) -> list[str]:
-    return [f.strip() for f in re.split(r",\s*(?![^<]*>)", ddl)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    rows.append(parse_type(path, content.as_py()))
+                except (ValueError, QueryError) as e:
+                    rows.append({k: [] for k in NESTED} | {"skipped": [{"path": path, "reason": str(e)}]})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, _SCHEMA)
+
+
+def tables(parsed: DataFrame) -> dict[str, DataFrame]:
+    """types, members, prose, uses and skipped of parsed files."""
+    return {k: parsed.select(F.explode(k).alias("r")).select("r.*") for k in NESTED}
+
+
+def scan(spark: SparkSession, root: str, staging: str | None = None) -> dict[str, DataFrame]:
+    """The tables types, members, prose, uses and skipped (files and members that can't be read) of a tree of XML files.
+
+    The files are parsed where a table is read. Whoever reads more than one names a folder for the parsed rows, which are then written once.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(root)
+    parsed = parse_files(files)
+    if staging is not None:
+        parsed.write.mode("overwrite").parquet(staging)
+        parsed = spark.read.schema(_SCHEMA).parquet(staging)
+    return tables(parsed)
 
 
 def check_unique(df: DataFrame, key: str = "declaration_id") -> DataFrame:
@@ -168,6 +202,31 @@ def check_unique(df: DataFrame, key: str = "declaration_id") -> DataFrame:
     return df.withColumn("_n", n).withColumn(key, F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("source_invalid: repeated id "), F.col(key))).cast("string")).otherwise(F.col(key))).drop("_n")
 
 
+def checked(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of a source; writing them fails if two types, or two members, have one id."""
+    return found | {t: check_unique(found[t]) for t in ("types", "members")}
+
+
+DOC = "id string, summary string, remarks string, returns string, value string, parameters {n}, type_parameters {n}, exceptions {n}".format(n="array<struct<name:string,text:string>>")
+
+
+def compiler_doc_rows(files: DataFrame) -> DataFrame:
+    """(path, DOC's columns, error) of compilers' documentation files (path, content): a row of each member, or one with the reason why a file is refused."""
+    ddl = f"path string, {DOC}, error string"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    rows = [{"path": path, "id": i, **entry} for i, entry in compiler_docs(content.as_py()).items()]
+                except QueryError as e:
+                    rows = [{"path": path, "error": str(e)}]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, ddl)
+
+
 def compiler_docs(content: bytes) -> dict[str, dict]:
     """{member id: {summary, remarks, returns, value, parameters, type_parameters, exceptions}} of a compiler's documentation file."""
     if b"<!DOCTYPE" in content:

@@ -1,25 +1,27 @@
 """The catalog of sources, their snapshots, and the two queries about them.
 
-A snapshot is a folder of Parquet tables that is never changed; a small file names the current one. A reader resolves
-that name once, so a query sees one generation whatever is published meanwhile.
+A snapshot is a folder of Parquet tables and package corpora that is never changed; a small file names the current one. A reader resolves
+that name once, so a query sees one generation whatever is published meanwhile: generations that are no longer current stay for ``grace`` seconds, for
+the readers that still hold their tables. Everything goes through Spark's file systems, so writers and readers may be on any machine.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import json
-import os
 import re
-import shutil
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import QueryError
-from .packages import valid_package_id
+from . import corpus_rules, packages
+from .files import Files
+from .packages import safe_framework, valid_package_id, valid_version
 
 CATALOG_VERSION, STATE_VERSION = 1, 2
 
@@ -37,6 +39,14 @@ class Source:
     api_packages: list[dict] = field(default_factory=list)
 
 
+def _defined(package: dict) -> bool:
+    """Whether a package's definition is whole; what is not stated is not checked when it is fetched, and never counts as synced."""
+    assembly = package.get("assemblyName") or package.get("packageId") or ""
+    framework, version = package.get("defaultFramework"), package.get("version")
+    named = valid_package_id(package.get("packageId")) and bool(assembly.strip()) and not re.search(r"[/\\:]", assembly)
+    return named and str(package.get("feed", "")).startswith("https://") and safe_framework(framework) and (version is None or valid_version(version))
+
+
 def read_catalog(text: str) -> dict[str, Source]:
     """The sources of a catalog; ValueError names the first that is incomplete."""
     data = json.loads(text)
@@ -49,98 +59,198 @@ def read_catalog(text: str) -> dict[str, Source]:
         unsafe = [p for p in sparse if not p.strip() or p[0] in "/\\-" or ":" in p or ".." in re.split(r"[/\\]", p)]
         if not re.fullmatch(r"[A-Za-z0-9_-]+", name) or not all(t and t.strip() for t in texts) or not sparse or unsafe or d["head"].startswith("-") or not re.fullmatch("[0-9A-Fa-f]{40}", d["pin"]):
             raise ValueError(f"incomplete or invalid source {name!r}")
-        packages = d.get("apiPackages") or []
-        known = [str(p.get("packageId")).lower() for p in packages]
-        if len(set(known)) != len(known) or not all(valid_package_id(p.get("packageId")) and str(p.get("feed", "")).startswith("https://") and p.get("defaultFramework") for p in packages):
+        listed = d.get("apiPackages") or []
+        known = [str(p.get("packageId")).lower() for p in listed]
+        if len(set(known)) != len(known) or not all(_defined(p) for p in listed):
             raise ValueError(f"source {name!r} has an invalid package")
-        out[name] = Source(name, *texts[:4], sparse, texts[4], bool(d.get("markdown")), packages)
+        out[name] = Source(name, *texts[:4], sparse, texts[4], bool(d.get("markdown")), listed)
     return out
 
 
-def _state_path(cache: str, name: str) -> str:
-    return os.path.join(cache, name, "state.json")
-
-
-def read_state(cache: str, name: str) -> dict | None:
-    """The published state; none if there is no readable one of this version."""
+def _published(files: Files, cache: str, name: str) -> dict | None:
+    """The published state; none if there is no readable one of this version, or its tables or corpora are of another."""
     try:
-        with open(_state_path(cache, name)) as f:
-            state = json.load(f)
-        return state if state["schemaVersion"] == STATE_VERSION and os.path.isdir(os.path.join(cache, name, state["generation"])) else None
-    except (OSError, ValueError, KeyError, TypeError):
+        state = json.loads(files.read(f"{cache}/{name}/state.json") or "null")
+        fits = state["schemaVersion"] == STATE_VERSION and state.get("corpusSchema", corpus_rules.VERSION) == corpus_rules.VERSION
+        return state if fits and files.exists(f"{cache}/{name}/{state['generation']}") else None
+    except Exception:  # noqa: BLE001  whatever is wrong with it, it isn't there
         return None
 
 
-@contextmanager
-def writer_lock(cache: str, name: str):
-    """One writer of a source at a time."""
-    import fcntl
+def read_state(spark: SparkSession, cache: str, name: str) -> dict | None:
+    return _published(Files(spark), cache, name)
+
+
+def _origin(source: Source, ref: str, commit: str) -> str:
+    """What a generation is made of; two with one origin hold the same rows."""
+    return json.dumps({"repository": source.repository, "url": source.url, "sparse": source.sparse, "ref": ref, "commit": commit, "packages": source.api_packages}, sort_keys=True)
+
 
-    os.makedirs(os.path.join(cache, name), exist_ok=True)
-    with open(os.path.join(cache, name, ".lock"), "w") as f:
-        fcntl.flock(f, fcntl.LOCK_EX)
-        yield
+def _unfinished(files: Files, place: str, origin: str, current: str | None) -> str | None:
+    """A generation of this origin that was begun and not published."""
+    for name in files.names(place):
+        if name.startswith("gen-") and name != current and files.read(f"{place}/{name}/origin.json") == origin and not files.exists(f"{place}/{name}/published"):
+            return name
+    return None
 
 
-def sync_source(spark: SparkSession, catalog: dict[str, Source], cache: str, name: str, build: Callable[[Source], dict[str, DataFrame]], ref: str | None = None, commit: str | None = None, progress: Callable[[int, int, str], None] = lambda i, n, what: None) -> dict:
-    """Writes the tables that ``build`` gives as a new generation, then makes it the current one and removes the others.
+STEPS = ("prepare", "read", "write", "publish", "prune")
+PACKAGE_STEPS = ("prepare", "read", "write", "fetch packages", "validate packages", "build corpora", "publish", "prune")
 
-    A failure leaves the published generation as it was.
+
+def sync_source(
+    spark: SparkSession, catalog: dict[str, Source], cache: str, name: str, build: Callable[[Source], dict[str, DataFrame]], ref: str | None = None, commit: str | None = None,
+    progress: Callable[[int, int, str], None] = lambda i, n, what: None, fetch: Callable[[dict], bytes] | None = None, read_metadata: Callable[[bytes], dict] | None = None,
+    grace: float = 24 * 3600.0,
+) -> dict:
+    """Writes the tables that ``build`` gives, and the corpora of the source's packages, as a new generation, then makes it the current one.
+
+    A failure leaves the published generation as it was; what was written of the new one is taken up by the next attempt at the same
+    origin. ``fetch`` gives the archive of a package's definition, ``read_metadata`` the corpus of an assembly.
     """
     if name not in catalog:
         raise QueryError("unknown_source", f"no source {name!r}")
     if ref not in (None, "head"):
         raise QueryError("invalid_ref", "ref is omitted or head")
-    source, steps = catalog[name], 5
-    with writer_lock(cache, name):
-        progress(1, steps, "prepare")
-        generation = f"gen-{uuid.uuid4().hex}"
-        place = os.path.join(cache, name, generation)
+    source, files, place = catalog[name], Files(spark), f"{cache}/{name}"
+    steps = PACKAGE_STEPS if source.api_packages else STEPS
+    at = lambda what: progress(steps.index(what) + 1, len(steps), what)
+    with files.lock(f"{place}/.lock"):
+        at("prepare")
+        state = _published(files, cache, name)
+        said, commit = source.head if ref else "pin", commit or source.pin
+        origin = _origin(source, said, commit)
+        generation = _unfinished(files, place, origin, (state or {}).get("generation"))
+        if generation is None:
+            generation = f"gen-{uuid.uuid4().hex}"
+            files.create(f"{place}/{generation}/origin.json", origin)
+        here, fetched = f"{place}/{generation}", datetime.now(UTC).isoformat()
         try:
-            progress(2, steps, "read")
+            at("read")
             tables = build(source)
-            progress(3, steps, "write")
+            at("write")
             for table, df in tables.items():
-                df.write.parquet(os.path.join(place, table))
-            os.makedirs(place, exist_ok=True)
+                if not files.exists(f"{here}/{table}/_SUCCESS"):
+                    df.write.mode("overwrite").parquet(f"{here}/{table}")
+            supplements = [_supplement(spark, files, here, d, fetch, read_metadata, fetched, at) for d in source.api_packages]
         except Exception as e:
-            shutil.rmtree(place, ignore_errors=True)
-            if isinstance(e, QueryError):
+            if isinstance(e, QueryError):  # the content is refused; another attempt would find the same
+                files.delete(here)
                 raise
             raise QueryError("sync_failed", str(e)) from e
+        at("publish")
         state = {
-            "schemaVersion": STATE_VERSION, "name": name, "repository": source.repository, "url": source.url, "ref": source.head if ref else "pin", "commit": commit or source.pin,
-            "fetchedAt": datetime.now(UTC).isoformat(), "sparse": source.sparse, "generation": generation, "tables": sorted(tables),
+            "schemaVersion": STATE_VERSION, "name": name, "repository": source.repository, "url": source.url, "ref": said, "commit": commit, "fetchedAt": fetched, "sparse": source.sparse,
+            "generation": generation, "tables": sorted(tables), "corpusSchema": corpus_rules.VERSION, "apiPackages": supplements,
         }
-        progress(4, steps, "publish")
-        path = _state_path(cache, name)
-        with open(path + ".tmp", "w") as f:
-            json.dump(state, f)
-        os.replace(path + ".tmp", path)
-        progress(5, steps, "prune")
-        for old in os.listdir(os.path.join(cache, name)):
-            if old.startswith("gen-") and old != generation:
-                shutil.rmtree(os.path.join(cache, name, old), ignore_errors=True)
+        files.create(f"{here}/published", fetched, overwrite=True)
+        files.replace(f"{place}/state.json", json.dumps(state))
+        at("prune")
+        now = datetime.now(UTC).timestamp()
+        for old in files.names(place):
+            if old.startswith("gen-") and old != generation and now - files.changed(f"{place}/{old}") >= grace:
+                files.delete(f"{place}/{old}")
     return state
 
 
+def _supplement(spark: SparkSession, files: Files, here: str, definition: dict, fetch: Callable | None, read_metadata: Callable | None, fetched: str, at: Callable[[str], None]) -> dict:
+    """The state of one package: its archive fetched, verified, and its corpora built and stored, a file of each framework."""
+    if fetch is None or read_metadata is None:
+        raise QueryError("sync_failed", f"package {definition['packageId']!r} needs a way to be fetched and read")
+    at("fetch packages")
+    content = fetch(definition)
+    at("validate packages")
+    packages.verify_sha512(content, definition["sha512"])
+    archive = spark.createDataFrame([(definition["packageId"], bytearray(content))], "path string, content binary")
+    assets = packages.read_archives(archive, definition["assemblyName"])
+    at("build corpora")
+    if (refused := assets.filter("error is not null").first()) is not None:
+        raise QueryError("source_invalid", refused["error"])
+    folder, frameworks = f"packages/{definition['packageId']}", []
+    built = packages.build_corpora(assets, definition["packageId"], definition["version"], definition["sha512"], read_metadata)
+    for r in built.toLocalIterator():  # a file at a time; each is bounded
+        if r["error"]:
+            raise QueryError("source_invalid", r["error"])
+        files.create(f"{here}/{folder}/{r['framework']}.json", bytes(r["corpus"]), overwrite=True)
+        frameworks.append(r["framework"])
+    keys = ("packageId", "assemblyName", "version", "sha512", "feed", "defaultFramework")
+    return {k: definition[k] for k in keys} | {"fetchedAt": fetched, "availableFrameworks": sorted(frameworks), "corpusDirectory": folder}
+
+
+def _complete(state: dict) -> bool:
+    try:
+        digest = len(base64.b64decode(state["sha512"], validate=True)) == 64
+        frameworks = [state["defaultFramework"], *state["availableFrameworks"]]
+        safe = not re.search(r"[/\\:]", state["assemblyName"]) and bool(state["assemblyName"].strip()) and not re.search(r"^/|:|\\|(^|/)\.{0,2}(/|$)", state["corpusDirectory"])
+        named = valid_package_id(state["packageId"]) and valid_version(state["version"]) and state["feed"].startswith("https://") and bool(state["fetchedAt"])
+        return digest and safe and named and len(frameworks) > 1 and all(map(safe_framework, frameworks))
+    except (KeyError, TypeError, AttributeError, binascii.Error, ValueError):
+        return False
+
+
+def supplement_state(definition: dict, state: dict | None) -> dict | None:
+    """The synced state of a package, if there is exactly one, and it is that which the catalog describes now."""
+    same = lambda a, b: str(a).lower() == str(b).lower()
+    found = [p for p in (state or {}).get("apiPackages") or [] if same(p.get("packageId"), definition["packageId"])]
+    if len(found) != 1 or not _complete(found[0]):
+        return None
+    p = found[0]
+    fits = p["assemblyName"] == definition.get("assemblyName") and p["feed"] == definition.get("feed") and same(p["defaultFramework"], definition.get("defaultFramework"))
+    fits = fits and any(same(f, definition["defaultFramework"]) for f in p["availableFrameworks"])
+    pinned = state["ref"] != "pin" or (p["version"], p["sha512"]) == (definition.get("version"), definition.get("sha512"))
+    return p if fits and pinned else None
+
+
+def _current(state: dict | None, source: Source) -> bool:
+    """Whether a state is of the source as the catalog describes it now."""
+    if state is None or (state["repository"], state["url"], state["sparse"]) != (source.repository, source.url, source.sparse):
+        return False
+    return state["ref"] != "pin" or str(state["commit"]).lower() == source.pin.lower()
+
+
 def snapshot(spark: SparkSession, catalog: dict[str, Source], cache: str, name: str) -> tuple[dict, dict[str, DataFrame]]:
-    """(state, tables) of the current generation, if it is of the source as the catalog describes it now."""
+    """(state, tables) of the current generation, if it is of the source as the catalog describes it now; all its packages must be."""
     if name not in catalog:
         raise QueryError("unknown_source", f"no source {name!r}")
-    state, source = read_state(cache, name), catalog[name]
-    if state is None or (state["repository"], state["url"], state["sparse"]) != (source.repository, source.url, source.sparse):
+    state, source = read_state(spark, cache, name), catalog[name]
+    if not _current(state, source) or not all(supplement_state(d, state) for d in source.api_packages):
         raise QueryError("source_not_synced", f"sync {name!r} first")
-    return state, {t: spark.read.parquet(os.path.join(cache, name, state["generation"], t)) for t in state["tables"]}
+    return state, {t: spark.read.parquet(f"{cache}/{name}/{state['generation']}/{t}") for t in state["tables"]}
+
+
+def package_tables(spark: SparkSession, cache: str, name: str, state: dict) -> list[tuple[dict, dict[str, DataFrame]]]:
+    """(state, tables) of each package of a snapshot, in the order in which they are composed."""
+    order = ("packageId", "assemblyName", "version", "sha512", "feed", "defaultFramework")
+    found = sorted(state.get("apiPackages") or [], key=lambda p: tuple(p[k] for k in order))
+    read = lambda p: packages.corpus_tables(packages.read_corpora(spark, f"{cache}/{name}/{state['generation']}/{p['corpusDirectory']}"))
+    return [(p, read(p)) for p in found]
+
+
+_SUPPLEMENTS = "array<struct<package_id:string,assembly_name:string,feed:string,version:string,sha512:string,synced:boolean,fetched_at:string,default_framework:string,available_frameworks:array<string>>>"
 
 
 def list_sources(spark: SparkSession, catalog: dict[str, Source], cache: str) -> DataFrame:
-    """A row of each source: what it is, whether it is synced, and at which commit."""
+    """A row of each source: what it is, whether it and its packages are synced, at which commit, and what to do next."""
     rows = []
     for name, s in sorted(catalog.items()):
-        state = read_state(cache, name)
-        rows.append((name, s.repository, s.pin, s.purpose, state is not None, *((state or {}).get(k) for k in ("ref", "commit", "fetchedAt")), os.path.join(cache, name), [p["packageId"] for p in s.api_packages], None if state else f"sync_source({name!r})"))
-    return spark.createDataFrame(rows, "name string, repository string, pin string, purpose string, synced boolean, ref string, commit string, fetched_at string, cache_dir string, packages array<string>, next_action string")
+        state = read_state(spark, cache, name)
+        state = state if _current(state, s) else None
+        supplements = []
+        for d in s.api_packages:
+            p = supplement_state(d, state)
+            shown = d | (p or {})
+            supplements.append((d["packageId"], *(shown.get(k) for k in ("assemblyName", "feed", "version", "sha512")), p is not None, (p or {}).get("fetchedAt"), shown.get("defaultFramework"), (p or {}).get("availableFrameworks") or []))
+        synced = state is not None and all(x[5] for x in supplements)
+        place = f"{cache}/{name}" + (f"/{state['generation']}" if state else "")
+        rows.append((name, s.repository, s.purpose, s.url, s.pin, s.head, synced, *((state or {}).get(k) for k in ("ref", "commit", "fetchedAt")), place, supplements, None if synced else f"sync_source({name!r})"))
+    ddl = "name string, repository string, purpose string, url string, pin string, head_branch string, synced boolean, ref string, commit string, fetched_at string, cache_dir string"
+    return spark.createDataFrame(rows, f"{ddl}, supplements {_SUPPLEMENTS}, next_action string")
+
+
+def combined_note(*notes: str | None) -> str | None:
+    """Notes in one, each a sentence of its own; none without any."""
+    said = [n.strip() for n in notes if n and n.strip()]
+    return " ".join(said) or None
 
 
 def revision_key(kind: str, **parts: str | None) -> str:

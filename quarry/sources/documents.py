@@ -60,7 +60,12 @@ def scan(spark: SparkSession, root: str, repo: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/")).select("path", "content")
     base = re.sub(r"^file:/*", "/", root.rstrip("/")) if not re.match(r"^(?!file:)[a-z]+://", root) else root.rstrip("/")
     inside = F.regexp_replace(F.regexp_replace(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/"), "^" + re.escape(base) + "/+", "")
-    rows = files.select(inside.alias("path"), "content").filter(F.lower("path").rlike(r"\.(md|yml|yaml)$"))
+    return parse_files(files.select(inside.alias("path"), "content"), repo)
+
+
+def parse_files(files: DataFrame, repo: str) -> DataFrame:
+    """The documents among files (path, content), by Arrow batches."""
+    rows = files.select("path", "content").filter(F.lower("path").rlike(r"\.(md|yml|yaml)$"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,15 +10,20 @@ import os
 import re
 import struct
 import zipfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..errors import QueryError
+from . import api_xml, corpus_rules
 
 # fixed values: limits of archives and of stored corpora
 MAX_ENTRIES, MAX_ENTRY_BYTES, MAX_TOTAL_BYTES = 1024, 32 << 20, 128 << 20
-MAX_ARCHIVE_BYTES, MAX_CORPUS_BYTES, CORPUS_VERSION = 64 << 20, 16 << 20, 3
+MAX_ARCHIVE_BYTES, MAX_CORPUS_BYTES, CORPUS_VERSION = 64 << 20, corpus_rules.MAX_BYTES, corpus_rules.VERSION
 _RESERVED = {"CON", "PRN", "AUX", "NUL", *(f"{n}{i}" for n in ("COM", "LPT") for i in range(1, 10))}
 
 
@@ -95,40 +100,87 @@ _NAMED = "array<struct<Name:string,Text:string>>"
 _DOC = f"struct<Summary:string,Parameters:{_NAMED},TypeParameters:{_NAMED},Returns:string,Value:string,Remarks:string,Exceptions:{_NAMED}>"
 _USE = "struct<Name:string,TypeExpression:string,TypeNames:array<string>>"
 _ATTRIBUTE = "array<struct<Application:string,AttributeType:string,ArgumentTypeNames:array<string>>>"
-_MEMBER = f"struct<EcmaId:string,Name:string,Kind:string,Signature:string,Parameters:array<{_USE}>,ReturnType:{_USE},Constraints:array<{_USE}>,Attributes:{_ATTRIBUTE},Documentation:{_DOC}>"
-_TYPE = f"struct<EcmaId:string,Name:string,FullName:string,BaseType:{_USE},Interfaces:array<{_USE}>,Constraints:array<{_USE}>,Attributes:{_ATTRIBUTE},Documentation:{_DOC},Members:array<{_MEMBER}>>"
-CORPUS = f"SchemaVersion int, PackageId string, Version string, Sha512 string, Framework string, Corpus struct<SchemaVersion:int,Types:array<{_TYPE}>,Skipped:array<struct<Kind:string,DeclaringType:string,Name:string,Reason:string>>>"
+_MEMBER = (
+    f"struct<EcmaId:string,Name:string,Kind:string,Signature:string,Parameters:array<{_USE}>,ReturnType:{_USE},Constraints:array<{_USE}>,"
+    f"Attributes:{_ATTRIBUTE},Documentation:{_DOC}>"
+)
+_TYPE = (
+    f"struct<EcmaId:string,Name:string,FullName:string,BaseType:{_USE},Interfaces:array<{_USE}>,Constraints:array<{_USE}>,"
+    f"Attributes:{_ATTRIBUTE},Documentation:{_DOC},Members:array<{_MEMBER}>>"
+)
+_SKIPPED = "array<struct<Kind:string,DeclaringType:string,Name:string,Reason:string>>"
+_CORPUS = f"struct<SchemaVersion:int,Types:array<{_TYPE}>,Skipped:{_SKIPPED}>"
+CORPUS = f"SchemaVersion int, PackageId string, Version string, Sha512 string, Framework string, Corpus {_CORPUS}"
+
+
+def read_archives(files: DataFrame, assembly: str) -> DataFrame:
+    """(path, framework, dll, xml, error) of package archives (path, content): a row of each framework, or one with the reason why an archive is refused."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    rows = [(path, f, v.get("dll"), v.get("xml"), None) for f, v in sorted(read_archive(content.as_py(), assembly).items())]
+                except QueryError as e:
+                    rows = [(path, None, None, None, str(e))]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                kinds = [pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["path", "framework", "dll", "xml", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, framework string, dll binary, xml binary, error string")
 
 
 def read_corpora(spark: SparkSession, path: str) -> DataFrame:
-    """Stored corpora, one row of each file: explicit schema, malformed files fail, and so do files over the size limit or of another version."""
-    rows = spark.read.schema(CORPUS).option("multiLine", "true").option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_size").alias("_size"))
-    bad = (F.col("SchemaVersion") != CORPUS_VERSION) | (F.col("Corpus.SchemaVersion") != CORPUS_VERSION) | (F.col("_size") > MAX_CORPUS_BYTES) | F.col("PackageId").isNull() | F.col("Framework").isNull()
-    return rows.withColumn("PackageId", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("source_invalid: corpus of another version or size"))).otherwise(F.col("PackageId"))).drop("_size")
+    """Stored corpora, one row of each file. The job fails at the first that is too large, malformed, of another version or against the rules."""
+    schema = to_arrow_schema(StructType.fromDDL(CORPUS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, size, content in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), b.column("content"), strict=True):
+                try:
+                    if size > MAX_CORPUS_BYTES:
+                        raise QueryError("source_invalid", f"more than {MAX_CORPUS_BYTES} bytes")
+                    stored = corpus_rules.load(content.as_py())
+                except QueryError as e:
+                    raise ValueError(f"{e.code}: {name}: {e}") from e
+                yield pa.RecordBatch.from_pylist([stored], schema=schema)
+
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInArrow(run, CORPUS)
 
 
 def canonical(corpus: dict) -> dict:
     """A corpus in storage order, whatever order it was built in."""
     by = lambda *keys: lambda x: tuple(str(x.get(k) or "") for k in keys)
-    types = []
-    for t in sorted(corpus["Types"], key=by("FullName")):
-        members = [m | {"Attributes": sorted(m.get("Attributes") or [], key=by("Application", "AttributeType"))} for m in sorted(t["Members"], key=by("EcmaId"))]
-        types.append(t | {"Members": members, "Interfaces": sorted(t.get("Interfaces") or [], key=by("TypeExpression")), "Attributes": sorted(t.get("Attributes") or [], key=by("Application", "AttributeType"))})
-    for kind in (types, [m for t in types for m in t["Members"]]):
-        keys = [x["EcmaId"] for x in kind]
-        if len(set(keys)) != len(keys):
-            raise QueryError("source_invalid", "repeated declaration id")
-    return corpus | {"Types": types, "Skipped": sorted(corpus.get("Skipped") or [], key=by("DeclaringType", "Kind", "Name", "Reason"))}
+    listed = lambda x, key, *order: sorted(x.get(key) or [], key=by(*order))
 
+    def documented(d: dict | None) -> dict:
+        d = d or {}
+        named = {k: listed(d, k, "Name", "Text") for k in ("Parameters", "TypeParameters", "Exceptions")}
+        return {k: d.get(k) for k in ("Summary", "Returns", "Value", "Remarks")} | named
 
-def write_corpus(path: str, package_id: str, version: str, sha512: str, framework: str, corpus: dict) -> None:
-    """Writes one corpus file under a temporary name and renames it into place."""
+    def common(x: dict) -> dict:
+        uses = {k: listed(x, k, "TypeExpression", "Name") for k in ("Interfaces", "Constraints") if k in x}
+        return x | uses | {"Attributes": listed(x, "Attributes", "Application", "AttributeType"), "Documentation": documented(x.get("Documentation"))}
+
+    types = [common(t) | {"Members": [common(m) for m in listed(t, "Members", "EcmaId")]} for t in listed(corpus, "Types", "FullName", "EcmaId")]
+    return corpus | {"Types": types, "Skipped": listed(corpus, "Skipped", "DeclaringType", "Kind", "Name", "Reason")}
+
+
+def corpus_json(package_id: str, version: str, sha512: str, framework: str, corpus: dict) -> bytes:
+    """A corpus as it is stored: in storage order, checked by the rules that a reader applies."""
     if not (valid_package_id(package_id) and valid_version(version) and safe_framework(framework)):
         raise QueryError("source_invalid", "invalid package identity")
     data = {"SchemaVersion": CORPUS_VERSION, "PackageId": package_id, "Version": version, "Sha512": sha512, "Framework": framework, "Corpus": canonical({"SchemaVersion": CORPUS_VERSION} | corpus)}
+    corpus_rules.check(data)
     text = json.dumps(data, ensure_ascii=False, separators=(",", ":")).encode()
     if len(text) > MAX_CORPUS_BYTES:
         raise QueryError("source_invalid", "the corpus is too large")
+    return text
+
+
+def write_corpus(path: str, package_id: str, version: str, sha512: str, framework: str, corpus: dict) -> None:
+    """Writes one corpus file under a temporary name and renames it into place."""
+    text = corpus_json(package_id, version, sha512, framework, corpus)
     with open(path + ".tmp", "wb") as f:
         f.write(text)
         f.flush()
@@ -136,26 +188,95 @@ def write_corpus(path: str, package_id: str, version: str, sha512: str, framewor
     os.replace(path + ".tmp", path)
 
 
+def documented(corpus: dict, docs: dict[str, dict]) -> dict:
+    """A corpus with the compilers' documentation of its declarations, empty where there is none."""
+
+    def of(x: dict) -> dict:
+        d = docs.get(x["EcmaId"]) or {}
+        named = {k: [{"Name": e["name"], "Text": e["text"]} for e in d.get(f) or []] for k, f in (("Parameters", "parameters"), ("TypeParameters", "type_parameters"), ("Exceptions", "exceptions"))}
+        return x | {"Documentation": {k: d.get(k.lower()) for k in ("Summary", "Returns", "Value", "Remarks")} | named}
+
+    return corpus | {"Types": [of(t) | {"Members": [of(m) for m in t["Members"]]} for t in corpus["Types"]]}
+
+
+def build_corpora(assets: DataFrame, package_id: str, version: str, sha512: str, read_metadata: Callable[[bytes], dict]) -> DataFrame:
+    """(framework, corpus: the stored form, error) of a package's assets (framework, dll, xml): metadata joined with documentation, one framework a row.
+
+    Both files must be there; a framework that can't be read is a row with the reason.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for framework, dll, xml in zip(*(b.column(c).to_pylist() for c in ("framework", "dll", "xml")), strict=True):
+                text, error = None, None
+                try:
+                    if dll is None or xml is None:
+                        raise QueryError("source_invalid", "the assembly and its documentation file are both required")
+                    text = corpus_json(package_id, version, sha512, framework, documented(read_metadata(dll), api_xml.compiler_docs(xml)))
+                except QueryError as e:
+                    error = f"{framework}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([framework]), pa.array([text], pa.binary()), pa.array([error], pa.string())], ["framework", "corpus", "error"])
+
+    return assets.select("framework", "dll", "xml").mapInArrow(run, "framework string, corpus binary, error string")
+
+
+def _head() -> list[Column]:
+    return [F.col("PackageId").alias("source"), F.col("Framework").alias("framework")]
+
+
+def _types(t: DataFrame) -> DataFrame:
+    """Types with the namespace of the outermost type around them: every dotted prefix of a name is looked up, no pairs of types are compared."""
+    name, full, simple = F.regexp_replace("t.EcmaId", "^T:", ""), F.col("t.FullName"), F.col("t.Name")
+    bare = F.when(full == simple, "").when(F.endswith(full, F.concat(F.lit("."), simple)), F.expr("substr(t.FullName, 1, length(t.FullName) - length(t.Name) - 1)")).otherwise(F.regexp_replace(name, r"\.?[^.]*$", ""))
+    rows = t.select(*_head(), F.col("t.EcmaId").alias("declaration_id"), full.alias("full_name"), simple.alias("display_name"), name.alias("search_name"), bare.alias("own"))
+    dots = "split(search_name, '[.]')"
+    prefixes = F.explode(F.expr(f"transform(sequence(1, size({dots}) - 1), i -> array_join(slice({dots}, 1, i), '.'))"))
+    inner = rows.filter(F.contains("search_name", F.lit("."))).select("source", "framework", "search_name", F.col("full_name").alias("inner_name"), prefixes.alias("prefix"))
+    outer = rows.select("source", "framework", F.col("search_name").alias("prefix"), F.col("full_name").alias("outer_name"), F.col("own").alias("outer_own"))
+    held = inner.join(outer, ["source", "framework", "prefix"]).filter(F.startswith("inner_name", F.concat("outer_name", F.lit("."))))
+    around = held.groupBy("source", "framework", "search_name").agg(F.min_by("outer_own", F.length("prefix")).alias("outer_own"))
+    found = rows.join(around, ["source", "framework", "search_name"], "left").withColumn("namespace", F.coalesce("outer_own", "own"))
+    type_name = F.when(F.col("namespace") == "", F.col("search_name")).otherwise(F.expr("substr(search_name, length(namespace) + 2)"))
+    return found.select("source", "framework", "declaration_id", "namespace", type_name.alias("type_name"), "full_name", "search_name", "display_name")
+
+
+def _prose(rows: DataFrame, documentation: str) -> DataFrame:
+    """A row of each documentation element of (source, framework, declaration_id, symbol, documentation), in the order of the elements."""
+    plain = lambda e: f"array(named_struct('element', '{e.lower()}', 'text', {documentation}.{e}))"
+    named = lambda e, label: f"transform({documentation}.{e}, d -> named_struct('element', {label}, 'text', d.Text))"
+    parts = [
+        plain("Summary"), named("Parameters", "concat('param:', d.Name)"), named("TypeParameters", "concat('typeparam:', d.Name)"), plain("Returns"), plain("Value"), plain("Remarks"),
+        named("Exceptions", "'exception'"),
+    ]
+    listed = F.posexplode(F.expr(f"filter(concat({', '.join(f'coalesce({p}, array())' for p in parts)}), x -> x.text IS NOT NULL)")).alias("ord", "x")
+    return rows.select("source", "framework", "declaration_id", "symbol", listed).select("source", "framework", "declaration_id", "symbol", "x.element", "x.text", "ord")
+
+
+def _uses(rows: DataFrame, holder: str, single: tuple[str, str], listed: tuple[tuple[str, str], ...]) -> DataFrame:
+    """A row of each use of a type that a declaration makes: one field, several lists, and the attributes."""
+    shape = "named_struct('kind', '{k}', 'name', {n}, 'expression', {x}.TypeExpression, 'names', {x}.TypeNames, 'attribute', CAST(NULL AS STRING))"
+    one = f"CASE WHEN {holder}.{single[0]} IS NULL THEN array() ELSE array({shape.format(k=single[1], n='CAST(NULL AS STRING)', x=f'{holder}.{single[0]}')}) END"
+    lists = [f"coalesce(transform({holder}.{f}, u -> {shape.format(k=k, n='u.Name', x='u')}), array())" for f, k in listed]
+    applied = "named_struct('kind', 'attribute', 'name', CAST(NULL AS STRING), 'expression', a.Application, 'names', concat(array(a.AttributeType), a.ArgumentTypeNames), 'attribute', a.AttributeType)"
+    attributes = f"coalesce(transform(array_distinct({holder}.Attributes), a -> {applied}), array())"
+    exploded = rows.withColumn("u", F.explode(F.expr(f"concat({', '.join([one, *lists, attributes])})")))
+    fields = [F.col(f"u.{a}").alias(b) for a, b in (("kind", "kind"), ("name", "parameter_name"), ("expression", "type_expression"), ("names", "type_names"), ("attribute", "attribute_type"))]
+    return exploded.select("source", "framework", "declaration_id", "symbol", "owner", "signature", *fields)
+
+
 def corpus_tables(corpora: DataFrame) -> dict[str, DataFrame]:
-    """types, members, uses, prose and skipped rows of stored corpora, as those of the XML tree."""
+    """types, members, prose, uses and skipped rows of stored corpora, as those of the XML tree."""
     t = corpora.select("PackageId", "Framework", F.explode("Corpus.Types").alias("t"))
-    m = t.select("PackageId", "Framework", F.col("t.EcmaId").alias("type_id"), F.col("t.FullName").alias("owner"), F.posexplode("t.Members").alias("ord", "m"))
-    head = [F.col("PackageId").alias("source"), F.col("Framework").alias("framework")]
-    named = F.regexp_replace("t.EcmaId", "^T:", "")
-    types = t.select(*head, F.col("t.EcmaId").alias("declaration_id"), F.regexp_replace(named, r"\.[^.]*$", "").alias("namespace"), F.substring_index(named, ".", -1).alias("type_name"), F.col("t.FullName").alias("full_name"), named.alias("search_name"))
-    described = F.expr("transform(m.Parameters, p -> named_struct('name', p.Name, 'description', try_element_at(map_from_entries(transform(m.Documentation.Parameters, d -> struct(d.Name, d.Text))), p.Name)))")
-    members = m.select(*head, "type_id", F.col("m.EcmaId").alias("declaration_id"), F.col("m.Name").alias("name"), F.col("m.Kind").alias("kind"), F.col("m.Signature").alias("signature"), "ord", described.alias("parameters"), *[F.col(f"m.Documentation.{x}").alias(x.lower()) for x in ("Summary", "Returns", "Value", "Remarks")])
-    use = "named_struct('kind', '{k}', 'name', {n}, 'expression', {x}.TypeExpression, 'names', {x}.TypeNames)"
-    listed = lambda e, k, f: f"transform({e}, u -> {use.format(k=k, n='u.Name', x='u')})" if f else f"CASE WHEN {e} IS NULL THEN array() ELSE array({use.format(k=k, n='CAST(NULL AS STRING)', x=e)}) END"
-    attrs = lambda e: f"transform({e}, a -> named_struct('kind', 'attribute', 'name', CAST(NULL AS STRING), 'expression', a.Application, 'names', concat(array(a.AttributeType), a.ArgumentTypeNames)))"
-    of_type = f"concat({listed('t.BaseType', 'base', False)}, {listed('t.Interfaces', 'interface', True)}, {listed('t.Constraints', 'constraint', True)}, {attrs('t.Attributes')})"
-    of_member = f"concat({listed('m.Parameters', 'parameter', True)}, {listed('m.ReturnType', 'return', False)}, {listed('m.Constraints', 'constraint', True)}, {attrs('m.Attributes')})"
-    u = t.select(*head, F.col("t.EcmaId").alias("declaration_id"), F.col("t.FullName").alias("symbol"), F.col("t.FullName").alias("owner"), F.explode(F.expr(of_type)).alias("u")).unionByName(
-        m.select(*head, F.col("m.EcmaId").alias("declaration_id"), F.concat_ws(".", "owner", "m.Name").alias("symbol"), "owner", F.explode(F.expr(of_member)).alias("u"))
-    )
-    uses = u.select("source", "framework", "declaration_id", "symbol", "owner", F.col("u.kind").alias("kind"), F.col("u.name").alias("parameter_name"), F.col("u.expression").alias("type_expression"), F.col("u.names").alias("type_names"))
-    skipped = corpora.select(*head, F.explode("Corpus.Skipped").alias("s")).select("source", "framework", "s.Kind", "s.DeclaringType", "s.Name", F.col("s.Reason").alias("reason"))
-    return {"types": types, "members": members, "uses": uses, "skipped": skipped}
+    head = t.select(*_head(), F.col("t.EcmaId").alias("type_id"), F.col("t.FullName").alias("owner"), "t")
+    m = head.select("source", "framework", "type_id", "owner", F.posexplode("t.Members").alias("ord", "m")).withColumns({"declaration_id": F.col("m.EcmaId"), "symbol": F.concat_ws(".", "owner", "m.Name"), "signature": F.col("m.Signature")})
+    texts = "map_from_entries(transform(m.Documentation.Parameters, d -> struct(d.Name, d.Text)))"
+    described = F.expr(f"transform(m.Parameters, p -> named_struct('name', p.Name, 'description', try_element_at({texts}, p.Name)))")
+    prose = [F.col(f"m.Documentation.{x}").alias(x.lower()) for x in ("Summary", "Returns", "Value", "Remarks")]
+    members = m.select("source", "framework", "type_id", "declaration_id", F.col("m.Name").alias("name"), F.col("m.Kind").alias("kind"), "signature", "ord", described.alias("parameters"), *prose)
+    of_types = head.withColumns({"declaration_id": F.col("type_id"), "symbol": F.col("owner"), "signature": F.lit(None).cast("string")})
+    uses = _uses(of_types, "t", ("BaseType", "base"), (("Interfaces", "interface"), ("Constraints", "constraint"))).unionByName(_uses(m, "m", ("ReturnType", "return"), (("Parameters", "parameter"), ("Constraints", "constraint"))))
+    skipped = corpora.select(*_head(), F.explode("Corpus.Skipped").alias("s")).select("source", "framework", "s.Kind", "s.DeclaringType", "s.Name", F.col("s.Reason").alias("reason"))
+    return {"types": _types(t), "members": members, "prose": _prose(of_types, "t.Documentation").unionByName(_prose(m, "m.Documentation")), "uses": uses, "skipped": skipped}
 
 
 def cohort_version(manifest: str, prefix: str, packages: list[str]) -> str:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,46 +88,126 @@ def test_symbols_that_are_paths(symbol):
         matching.check_symbol(symbol)
 
 
-TYPE = "T:Lib.Box`1"
-GOOD = ["#ctor(System.Int32)", "Map``1(`0@,``0*,System.String[],System.Int32[0:,0:])", "Low(System.Int32[-1:4])", "op_Explicit(Lib.Box{`0})~System.Int32", "IFace#Run(System.String)", "Use(`0@|Lib.InAttribute)", "Call(=FUNC:System.Void(System.IntPtr))", "Plain", "<Clone>$"]
-BAD = ["Run/Bad", "Run(", "Run)", "Run()", "Run(A,)", "Run(,A)", "Run(A[]]", "Run(L{A)", "Run(A[-:])", "Run(A[00:])", "Run(A[-0:])", "Run(A[0:0])", "Run(A[2147483648:])", "Run(A[0:2147483648])", "Run``", "Run``0", "Run(A)~", "Run~A~B", "op_Implicit~A", "op_Implicit(A,B)~C", "Run x"]
-
-
-@pytest.mark.parametrize("body", GOOD)
-def test_canonical_members(body):
-    assert ids.is_member_id(f"M:Lib.Box`1.{body}", TYPE)
-
-
-@pytest.mark.parametrize("body", BAD)
-def test_malformed_members(body):
-    assert not ids.is_member_id(f"M:Lib.Box`1.{body}", TYPE)
-
-
-def test_other_kinds_and_names():
-    assert ids.is_member_id("P:Lib.Box`1.Item(System.Int32)", TYPE) and ids.is_member_id("F:Lib.Box`1.Field", TYPE)
-    assert not ids.is_member_id("P:Lib.Box`1.Item~A", TYPE) and not ids.is_member_id("F:Lib.Box`1.Field(A)", TYPE) and not ids.is_member_id("M:Other.Run", TYPE)
-    for n in ("Á.Type", "Link‿Name.T", "Sup\U00010400.T"):
-        assert ids.is_namespace_name(n) and ids.is_type_id("T:" + n)
-    for n in ("A`1.B", "A..B", ".A", "A."):
-        assert not ids.is_namespace_name(n)
-    for n in ("T:A.B`", "T:A.B`0", "T:A.B`01", "T:A.B`1X", "T:A.`1B"):
-        assert not ids.is_type_id(n)
-    assert not ids.is_type_name("A`2147483648") and not ids.is_type_name("<" * 70 + "a" + ">" * 70)
+TYPE = "T:Shop.Till`1"
+
+
+class Maker:
+    """Random ids that the grammar allows, and changes after which it doesn't."""
+
+    def __init__(self, seed):
+        self.rng = random.Random(seed)
+
+    def name(self):
+        first, rest = "abYZ_éΩж", "abYZ_09éΩж\u0301\u203f"
+        return self.rng.choice(first) + "".join(self.rng.choices(rest, k=self.rng.randint(0, 6)))
+
+    def type_name(self):
+        parts = [self.name() + (f"`{self.rng.randint(1, 40)}" if self.rng.random() < 0.2 else "") for _ in range(self.rng.randint(1, 4))]
+        return ".".join(parts)
+
+    def bounds(self):
+        one = lambda: f"{self.rng.choice(['0', '7', '-12', '2147483647', '-2147483648'])}:{self.rng.choice(['', '1', '30'])}"
+        return ",".join(one() for _ in range(self.rng.randint(1, 3)))
+
+    def type(self, depth=3):
+        kind = self.rng.random()
+        if kind < 0.15:
+            x = self.rng.choice("` ``".split()) + str(self.rng.randint(0, 12))
+        elif kind < 0.2 and depth:
+            x = f"=FUNC:{self.type(depth - 1)}({','.join(self.type(depth - 1) for _ in range(self.rng.randint(0, 3)))})"
+        else:
+            x = self.type_name()
+            if depth and self.rng.random() < 0.3:
+                x += "{" + ",".join(self.type(depth - 1) for _ in range(self.rng.randint(1, 3))) + "}"
+        for _ in range(self.rng.choice([0, 0, 0, 1, 2])):
+            x += self.rng.choice(["[]", "*", "@", "^", f"[{self.bounds()}]", f"|{self.type_name()}", f"!{self.type_name()}"])
+        return x
+
+    def parameters(self):
+        return "(" + ",".join(self.type() for _ in range(self.rng.randint(1, 4))) + ")"
+
+    def method(self):
+        if self.rng.random() < 0.15:
+            return f"{self.rng.choice(ids.CONVERSIONS)}({self.type()})~{self.type()}"
+        head = self.rng.choice(["#ctor", "#cctor", self.name(), f"{self.name()}#{self.name()}", f"<{self.name()}>$"])
+        return head + (f"``{self.rng.randint(1, 5)}" if self.rng.random() < 0.2 else "") + (self.parameters() if self.rng.random() < 0.7 else "")
+
+    def broken(self):
+        """A good method id with one fault."""
+        head, good = self.name(), self.type(1)
+        return self.rng.choice([
+            f"{head}()", f"{head}({good},)", f"{head}(,{good})", f"{head}({good}", f"{head}{good})", f"{head} {good}", f"{head}({good} )", f"{head}\t", "", f"9{head}", f"{head}.{head}", f"{head}``", f"{head}``0", f"{head}``01({good})",
+            f"{head}({good})~{good}", f"op_Explicit({good})~", f"op_Implicit~{good}", f"op_Implicit({good},{good})~{good}", f"{head}({{{good}}})", f"{head}({self.name()}{{{good})", f"{head}({self.name()}{{{good},}})", f"{head}({good}])",
+            f"{head}({good}[)", f"{head}({self.name()}[:])", f"{head}({self.name()}[5])", f"{head}({self.name()}[01:])", f"{head}({self.name()}[-0:])", f"{head}({self.name()}[2:0])", f"{head}({self.name()}[9999999999:])", f"{head}({self.name()}[0:,])",
+            f"{head}({self.name()}`x)", f"{head}(`)", f"{head}(=FUNC:{good})", f"{head}({good}|)", f"{head}({self.name()}..{self.name()})", f"{head}/{head}", f"{head}({good})({good})", f"{head}\u0000", f"#{head}#",
+        ])
+
+
+def test_made_ids_are_canonical_and_broken_ones_are_not():
+    make = Maker(4)
+    for _ in range(1500):
+        good, bad = f"M:Shop.Till`1.{make.method()}", f"M:Shop.Till`1.{make.broken()}"
+        assert ids.is_member_id(good, TYPE), good
+        assert not ids.is_member_id(bad, TYPE), bad
+        assert not ids.is_member_id(good, "T:Shop.Other") and not ids.is_member_id("T" + good[1:], TYPE) and not ids.is_member_id(good[2:], TYPE)
+
+
+def test_fields_events_properties_and_names():
+    make = Maker(5)
+    for _ in range(300):
+        n, t = make.name(), make.type_name()
+        assert ids.is_identifier(n) and ids.is_type_name(t) and ids.is_type_id(f"T:{t}") and ids.is_type_id(f"T:{t}.{n}`2")
+        assert ids.is_namespace_name(t) is ("`" not in t)
+        for kind in "FEP":
+            assert ids.is_member_id(f"{kind}:Shop.Till`1.{n}", TYPE) and not ids.is_member_id(f"{kind}:Shop.Till`1.{n}~{t}", TYPE)
+            assert ids.is_member_id(f"{kind}:Shop.Till`1.{n}{make.parameters()}", TYPE) is (kind == "P")
+        for fault in ("", ".", f"{n}.", f".{n}", f"{n}..{n}", f"{n} ", f"{n}-", f"7{n}", f"{n}`", f"{n}`0", f"{n}`03", f"{n}`5{n}", f"`1{n}", f"{n}`99999999999"):
+            assert not ids.is_type_name(fault) and not ids.is_type_id("T:" + fault) and not ids.is_namespace_name(fault)
+
+
+def test_limits_of_ids():
+    nested = lambda n: f"M:Shop.Till`1.A({'L{' * n}X{'}' * n})"
+    assert ids.is_member_id(nested(ids.MAX_DEPTH - 1), TYPE) and not ids.is_member_id(nested(ids.MAX_DEPTH + 1), TYPE)
+    ranks = lambda n: f"M:Shop.Till`1.A(X[{','.join(['0:'] * n)}])"
+    assert ids.is_member_id(ranks(ids.MAX_RANK), TYPE) and not ids.is_member_id(ranks(ids.MAX_RANK + 1), TYPE)
+    assert not ids.is_type_name("<" * 80 + "a" + ">" * 80)
 
 
 def test_conversions_prefer_the_named_result():
-    plain, named = "M:Lib.Box`1.op_Implicit(A)", "M:Lib.Box`1.op_Implicit(A)~B"
+    plain, named = "M:Shop.Till`1.op_Implicit(A)", "M:Shop.Till`1.op_Implicit(A)~B"
     assert ids.choose_member_id([plain, named], TYPE) == named and ids.choose_member_id([plain, plain], TYPE) == plain
     with pytest.raises(QueryError):
-        ids.choose_member_id(["M:Lib.Box`1.A", "M:Lib.Box`1.B"], TYPE)
-
-
-@pytest.mark.parametrize("lengths, blocks, start, bound, budget, end", [
-    ([10, 5, 5, 5], [], 1, 5, 17, 3), ([46, 4], [], 1, 3, 5, 2), ([6, 7, 3, 9, 3, 5], [(3, 6)], 1, 7, 20, 6), ([3, 4, 3], [(1, 4)], 1, 3, 1, 2), ([1, 1, 1], [], 1, 4, 1000, 4),
-])
-def test_page_ends(lengths, blocks, start, bound, budget, end):
-    cost = paging.np.concatenate([[0], paging.np.cumsum([n + 1 for n in lengths])])
-    assert paging.page_end(cost, blocks, start, bound, budget) == end
+        ids.choose_member_id(["M:Shop.Till`1.A", "M:Shop.Till`1.B"], TYPE)
+
+
+def test_pages_equal_a_walk_line_by_line():
+    rng = random.Random(2)
+    for _ in range(400):
+        lengths = [rng.randint(0, 12) for _ in range(rng.randint(1, 30))]
+        n = len(lengths)
+        cuts = sorted(rng.sample(range(1, n + 2), min(n + 1, 2 * rng.randint(0, 3)) // 2 * 2))
+        blocks = list(zip(cuts[::2], cuts[1::2], strict=True))
+        start = rng.randint(1, n)
+        bound, budget = rng.randint(start + 1, n + 1), rng.randint(1, 60)
+        end, spent = start, 0
+        while end < bound and (end == start or spent + lengths[end - 1] + 1 <= budget):
+            spent += lengths[end - 1] + 1
+            end += 1
+        while inside := [b for a, b in blocks if a < end < b <= bound]:
+            end = inside[0]
+        cost = paging.np.concatenate([[0], paging.np.cumsum([x + 1 for x in lengths])])
+        assert paging.page_end(cost, blocks, start, bound, budget) == end, (lengths, blocks, start, bound, budget)
+
+
+@pytest.mark.parametrize("name, stripped", [("Pair<A, B>", "Pair"), ("Out<T>.In<List<K>>", "Out.In"), ("Plain", "Plain"), ("A<B", "A")])
+def test_type_arguments_are_stripped(spark, name, stripped):
+    assert one(spark, text.strip_arguments(F.col("t")), t=name) == stripped
+
+
+def test_small_text_forms(spark):
+    assert one(spark, text.strip_all_arity(F.col("t")), t="Out`1.In`22") == "Out.In" and one(spark, text.strip_id_prefix(F.col("t")), t="T:A.B") == "A.B"
+    assert text.longest_token("a longer word, longest") == "longest" and text.longest_token("same size") == "same" and text.longest_token("  ") == "  "
+    assert one(spark, text.repair_column(F.col("t")), t="&eacute;&#x41;&hellip;&nbsp;&lt;b&gt; & c") == "éA… <b> & c" and one(spark, text.repair_column(F.lit(None).cast("string"))) is None
 
 
 def test_cursors():

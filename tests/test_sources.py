@@ -5,8 +5,8 @@ import zipfile
 import pytest
 
 from quarry.errors import QueryError
-from quarry.plans import docs
-from quarry.sources import api_xml, catalog, documents, packages
+from quarry.plans import docs, service
+from quarry.sources import api_xml, catalog, corpus_rules, documents, packages
 
 FAQ = "### YamlMime:FAQ\ntitle: T\nsummary: About it.\nsections:\n  - name: First\n    questions:\n      - question: |\n          Why\n          so?\n        answer: Because.\n      - question: How?\n        answer: Like this.\n"
 TYPE = """<Type Name="Box" FullName="Lib.Box&lt;T&gt;"><TypeSignature Language="C#" Value="class Box"/><TypeSignature Language="DocId" Value="T:Lib.Box`1"/>
@@ -17,7 +17,8 @@ TYPE = """<Type Name="Box" FullName="Lib.Box&lt;T&gt;"><TypeSignature Language="
 <Members><Member MemberName="Get"><MemberSignature Language="C#" Value="old"/><MemberSignature Language="C#" Value="public string Get(int index)"/><MemberSignature Language="DocId" Value="M:Lib.Box`1.Get(System.Int32)"/>
 <MemberType>Method</MemberType><ReturnValue><ReturnType>System.String</ReturnType></ReturnValue><Parameters><Parameter Name="index" Type="System.Int32"/></Parameters>
 <Docs><param name="index">Where <paramref name="index"/> points.</param><summary>Gets it.</summary><returns>The text.</returns><exception cref="T:E">Never.</exception></Docs></Member>
-<Member MemberName="Gone"><MemberSignature Language="DocId" Value="bad id"/></Member></Members></Type>"""
+<Member MemberName="Gone"><MemberSignature Language="DocId" Value="bad id"/></Member>
+<Member MemberName="Silent"><MemberSignature Language="F#" Value="x"/><MemberSignature Language="DocId" Value="F:Lib.Box`1.Silent"/><ReturnValue><ReturnType>System.String</ReturnType></ReturnValue><Docs><summary>Said all the same.</summary></Docs></Member></Members></Type>"""
 
 
 def test_document_tree(spark, tmp_path):
@@ -73,8 +74,11 @@ def test_api_tree(spark, tmp_path):
     prose = {(r.symbol, r.element): r.text for r in t["prose"].collect()}
     assert prose[("Lib.Box<T>", "summary")] == "Holds a System.String or null, & more." and ("Lib.Box<T>", "remarks") not in prose and prose[("Lib", "summary")] == "A library."
     assert ("Lib.Box<T>.Get", "exception") in prose and ("Lib.Box<T>.Get", "param:index") in prose
-    assert sorted(r.kind for r in t["uses"].collect()) == ["attribute", "base", "constraint", "interface", "parameter", "return"]
-    assert t["skipped"].count() == 1 and api_xml.check_unique(t["types"]).count() == 1
+    assert sorted(r.kind for r in t["uses"].collect()) == ["attribute", "base", "constraint", "interface", "parameter", "return", "return"]
+    assert prose[("Lib.Box<T>.Silent", "summary")] == "Said all the same."  # no signature, so no member, but prose and uses
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in t["skipped"].collect()) in (["Box`1.xml", "bad.xml"], ["Box%601.xml", "bad.xml"]) and api_xml.checked(t)["types"].count() == 1
+    staged = api_xml.scan(spark, str(tmp_path), str(tmp_path / "staged"))
+    assert all(staged[k].count() == t[k].count() for k in t)
     with pytest.raises(Exception, match="repeated id"):
         api_xml.check_unique(t["types"].unionByName(t["types"])).collect()
 
@@ -133,11 +137,53 @@ def test_corpus_round_trip(spark, tmp_path):
     m = t["members"].first()
     assert (m.name, m.parameters[0].description, m.type_id) == ("Run", "The p.", "T:Lib.A")
     assert sorted((r.kind, r.type_names[0]) for r in t["uses"].filter("owner = 'Lib.A'").collect()) == [("attribute", "XAttribute"), ("base", "System.Object"), ("parameter", "System.String")]
-    (tmp_path / "old.json").write_text(json.dumps(json.loads((tmp_path / "0.json").read_text()) | {"SchemaVersion": 2}))
+    assert sorted((r.symbol, r.element, r.text) for r in t["prose"].collect()) == [("Lib.A", "summary", "An A."), ("Lib.A.Run", "param:p", "The p."), ("Lib.B", "summary", "An A.")]
+    stored = json.loads((tmp_path / "0.json").read_text())
+    (tmp_path / "old.json").write_text(json.dumps(stored | {"SchemaVersion": 2}))
     with pytest.raises(Exception, match="source_invalid"):
         packages.read_corpora(spark, str(tmp_path / "old.json")).collect()
-    with pytest.raises(QueryError):
-        packages.canonical({"Types": [a, a]})
+
+
+def stored_corpus(**change):
+    member = {"EcmaId": "M:Lib.A.Run", "Name": "Run", "Kind": "Method", "Signature": "void Run()", "Parameters": [], "ReturnType": None, "Constraints": [], "Attributes": [], "Documentation": doc()}
+    one = {"EcmaId": "T:Lib.A", "Name": "A", "FullName": "Lib.A", "BaseType": None, "Interfaces": [], "Constraints": [], "Attributes": [], "Documentation": doc(), "Members": [member]}
+    corpus = {"SchemaVersion": 3, "Types": [one | {k: v for k, v in change.items() if k in one}], "Skipped": change.get("Skipped", [])}
+    corpus["Types"][0]["Members"] = [member | change.get("member", {})] + change.get("more", [])
+    return {"SchemaVersion": 3, "PackageId": "Lib", "Version": "1.0", "Sha512": "h", "Framework": "net8.0", "Corpus": corpus | change.get("corpus", {})}
+
+
+@pytest.mark.parametrize("change", [
+    {"EcmaId": "Lib.A"}, {"Name": " A"}, {"FullName": ""}, {"Interfaces": None}, {"member": {"EcmaId": "M:Lib.B.Run"}}, {"member": {"Signature": None}}, {"Documentation": None}, {"corpus": {"Types": None}},
+    {"member": {"Parameters": [{"Name": None, "TypeExpression": "int", "TypeNames": []}]}}, {"Interfaces": [{"Name": None, "TypeExpression": x, "TypeNames": []} for x in "ba"]},
+    {"BaseType": {"Name": None, "TypeExpression": "x", "TypeNames": ["B", "A"]}}, {"BaseType": {"Name": None, "TypeExpression": "x", "TypeNames": ["A", "A"]}}, {"Attributes": [{"Application": "[X]", "AttributeType": "not a name", "ArgumentTypeNames": []}]},
+    {"Documentation": doc(Parameters=[{"Name": "p", "Text": "a"}, {"Name": "p", "Text": "b"}])}, {"Documentation": doc(Exceptions=[{"Name": "no id", "Text": "a"}])}, {"Documentation": doc(Summary="x" * 1_048_577)},
+    {"Skipped": [{"Kind": "Type", "DeclaringType": "", "Name": None, "Reason": "r"}]}, {"more": [{"EcmaId": "M:Lib.A.Aim", "Name": "Aim", "Kind": "Method", "Signature": "s", "Parameters": [], "ReturnType": None, "Constraints": [], "Attributes": [], "Documentation": doc()}]},
+])
+def test_corpora_against_the_rules(change):
+    corpus_rules.check(stored_corpus())
+    with pytest.raises(QueryError) as e:
+        corpus_rules.check(stored_corpus(**change))
+    assert e.value.code == "source_invalid"
+
+
+def test_corpora_are_bounded_before_they_are_built():
+    whole = json.dumps(stored_corpus()).encode()
+    assert corpus_rules.load(whole)["Framework"] == "net8.0"
+    for bad in (whole[:-1], whole.replace(b'"Lib"', b'"\\ud800"'), b"[" * 40 + b"]" * 40, b'{"a":"' + b"x" * 1_048_577 + b'"}', whole.replace(b'"Version"', b'"PackageId"'), b" " * (16 << 20) + whole, b"\xff"):
+        with pytest.raises(QueryError):
+            corpus_rules.load(bad)
+
+
+def test_nested_types_take_the_namespace_around_them(spark, tmp_path):
+    made = [("T:Lib.Out`1", "Out<T>", "Lib.Out<T>"), ("T:Lib.Out`1.In", "In", "Lib.Out<T>.In"), ("T:Lib.Out`1.In.Deep`2", "Deep<K, V>", "Lib.Out<T>.In.Deep<K, V>"), ("T:Bare", "Bare", "Bare"), ("T:Lib.Sub.Other", "Other", "Lib.Sub.Other")]
+    empty = {"BaseType": None, "Interfaces": [], "Constraints": [], "Attributes": [], "Documentation": doc(), "Members": []}
+    packages.write_corpus(str(tmp_path / "c.json"), "Lib", "1.0", "h", "net8.0", {"Types": [empty | {"EcmaId": i, "Name": n, "FullName": f} for i, n, f in made], "Skipped": []})
+    t = packages.corpus_tables(packages.read_corpora(spark, str(tmp_path / "c.json")))["types"]
+    assert {r.declaration_id: (r.namespace, r.type_name) for r in t.collect()} == {"T:Lib.Out`1": ("Lib", "Out`1"), "T:Lib.Out`1.In": ("Lib", "Out`1.In"), "T:Lib.Out`1.In.Deep`2": ("Lib", "Out`1.In.Deep`2"), "T:Bare": ("", "Bare"), "T:Lib.Sub.Other": ("Lib.Sub", "Other")}
+    c = service.Composition([service.Backend("nuget", "s", "r", {"types": t}, ("Lib",), "net8.0", ("net8.0",))], "net8.0", "net8.0", ("net8.0",))
+    named = lambda symbol: sorted(r.declaration_id for r in service.resolve(c, symbol).filter("member is null").collect())
+    assert all(named(s) == ["T:Lib.Out`1"] for s in ("Out", "Out<T>", "Out`1", "Lib.Out", "Lib.Out<T>", "Lib.Out`1"))
+    assert all(named(s) == ["T:Lib.Out`1.In.Deep`2"] for s in ("Deep", "Deep<K, V>", "Deep`2", "Lib.Out.In.Deep", "Lib.Out`1.In.Deep`2")) and named("Lib.Deep") == []
 
 
 def test_cohorts():
@@ -179,16 +225,141 @@ def test_sync_and_snapshots(spark, tmp_path):
     with pytest.raises(QueryError) as e:
         catalog.sync_source(spark, c, cache, "s", fails)
     assert e.value.code == "sync_failed" and catalog.snapshot(spark, c, cache, "s")[1]["docs"].first().text == "old"
-    state = catalog.sync_source(spark, c, cache, "s", lambda s: {"docs": spark.createDataFrame([("r", "new")], "repo string, text string")}, ref="head")
+    _, held = catalog.snapshot(spark, c, cache, "s")
+    new = lambda s: {"docs": spark.createDataFrame([("r", "new")], "repo string, text string")}
+    state = catalog.sync_source(spark, c, cache, "s", new, ref="head")
     assert state["ref"] == "main" and catalog.snapshot(spark, c, cache, "s")[1]["docs"].first().text == "new"
+    assert held["docs"].first().text == "old"  # a reader's generation stays for a while
+    catalog.sync_source(spark, c, cache, "s", new, ref="head", grace=0)
     assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("gen-")]) == 1
     for name, ref, code in (("x", None, "unknown_source"), ("s", "v1", "invalid_ref")):
         with pytest.raises(QueryError) as e:
             catalog.sync_source(spark, c, cache, name, fails, ref)
         assert e.value.code == code
+    moved = catalog.read_catalog(json.dumps({"schemaVersion": 1, "sources": {"s": SOURCE | {"sparse": ["other"]}}}))
+    assert not catalog.list_sources(spark, moved, cache).first().synced
     (tmp_path / "s/state.json").write_text("{")
-    assert catalog.read_state(cache, "s") is None
+    assert catalog.read_state(spark, cache, "s") is None
     assert catalog.revision_key("git", repo="o/r", fetched_at="t") == catalog.revision_key("git", repo="o/r", fetched_at="u")
+    assert catalog.combined_note("A.", None, " ", "B.") == "A. B." and catalog.combined_note(None) is None
+
+
+def test_an_unfinished_generation_is_taken_up(spark, tmp_path):
+    c, cache = catalog.read_catalog(json.dumps({"schemaVersion": 1, "sources": {"s": SOURCE}})), str(tmp_path)
+    made = lambda text: spark.createDataFrame([("r", text)], "repo string, text string")
+
+    def broken(s):
+        return {"a": made("first"), "b": made("x").selectExpr("raise_error('disk full') AS repo")}
+
+    with pytest.raises(QueryError):
+        catalog.sync_source(spark, c, cache, "s", broken)
+    state = catalog.sync_source(spark, c, cache, "s", lambda s: {"a": made("not written again"), "b": made("second")})
+    _, tables = catalog.snapshot(spark, c, cache, "s")
+    assert tables["a"].first().text == "first" and tables["b"].first().text == "second" and len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("gen-")]) == 1
+    again = catalog.sync_source(spark, c, cache, "s", lambda s: {"a": made("anew"), "b": made("second")})
+    assert again["generation"] != state["generation"] and catalog.snapshot(spark, c, cache, "s")[1]["a"].first().text == "anew"
+
+
+XML_DOCS = b'<doc><members><member name="T:Lib.A"><summary>An A.</summary></member><member name="M:Lib.A.Run(System.String)"><param name="p">The p.</param></member></members></doc>'
+
+
+def a_corpus(dll):
+    """What a reader of assemblies would give for any bytes."""
+    use = {"Name": "p", "TypeExpression": "string", "TypeNames": ["System.String"]}
+    member = {"EcmaId": "M:Lib.A.Run(System.String)", "Name": "Run", "Kind": "Method", "Signature": "void Run(string p)", "Parameters": [use], "ReturnType": None, "Constraints": [], "Attributes": []}
+    one = {"EcmaId": "T:Lib.A", "Name": "A", "FullName": "Lib.A", "BaseType": None, "Interfaces": [], "Constraints": [], "Attributes": [], "Members": [member]}
+    return {"Types": [one], "Skipped": [{"Kind": "Method", "DeclaringType": "Lib.A", "Name": "Gone", "Reason": "The method 'Gone' is strange"}]}
+
+
+def test_packages_are_built_published_and_asked(spark, tmp_path):
+    import base64
+    import hashlib
+
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w") as z:
+        for framework in ("net8.0", "net9.0"):
+            z.writestr(f"lib/{framework}/Lib.dll", b"MZ")
+            z.writestr(f"lib/{framework}/Lib.xml", XML_DOCS)
+    content = f.getvalue()
+    package = {"packageId": "Lib", "assemblyName": "Lib", "version": "1.0.0", "sha512": base64.b64encode(hashlib.sha512(content).digest()).decode(), "feed": "https://feed.example", "defaultFramework": "net8.0"}
+    xml = tmp_path / "tree"
+    (xml / "Lib").mkdir(parents=True)
+    (xml / "Lib/Box`1.xml").write_text(TYPE)
+    source = SOURCE | {"markdown": False, "apiPackages": [package]}
+    c, cache, steps = catalog.read_catalog(json.dumps({"schemaVersion": 1, "sources": {"app": source}})), str(tmp_path / "cache"), []
+    tree = lambda s: api_xml.checked(api_xml.scan(spark, str(xml)))
+    sync = lambda **kw: catalog.sync_source(spark, c, cache, "app", tree, **({"fetch": lambda d: content, "read_metadata": a_corpus} | kw))
+    for kw in ({"fetch": lambda d: content + b"x"}, {"read_metadata": lambda dll: a_corpus(dll) | {"Types": [{"EcmaId": "bad", "FullName": "x", "Members": []}]}}):
+        with pytest.raises(QueryError):
+            sync(**kw)
+    assert not catalog.list_sources(spark, c, cache).first().synced
+    sync(progress=lambda i, n, what: steps.append((i, n)))
+    assert steps == [(i, 8) for i in range(1, 9)]
+    row = catalog.list_sources(spark, c, cache).first()
+    assert row.synced and row.next_action is None and row.supplements[0].available_frameworks == ["net8.0", "net9.0"]
+    behind = catalog.read_catalog(json.dumps({"schemaVersion": 1, "sources": {"app": source | {"apiPackages": [package | {"version": "1.0.1"}]}}}))
+    row = catalog.list_sources(spark, behind, cache).first()
+    assert not row.synced and not row.supplements[0].synced and row.next_action == "sync_source('app')"
+
+    b = service.snapshot_backends(spark, c, cache)
+    found = service.lookup_api(b, "Lib.A.Run", framework="NET9.0")
+    assert found["outcome"] == "found" and found["effective_framework"] == "net9.0" and found["types"][0]["members"][0]["parameters"] == [{"name": "p", "description": "The p."}]
+    assert found["skipped_declarations"] == {"declarations": 1, "reasons": [{"reason": "The method '<>' is strange", "count": 1}], "reasons_are_partial": False}
+    assert service.lookup_api(b, "Lib.A.Walk")["outcome"] == "member_not_found" and service.lookup_api(b, "Lib.No.Walk") | {"outcome": None} == service.lookup_api(b, "Lib.No.Walk") | {"outcome": None}
+    short = service.lookup_api(b, "A")
+    assert short["types"][0]["detail"] == "signatures" and short["types"][0]["members"][0]["parameters"] is None and '"nextPageToken"' not in service.to_json(short)
+    assert [h["symbol"] for h in service.search_api_text(b, "an a.")["hits"]] == ["Lib.A"]
+    refs = service.find_api_references(b, "System.String")
+    assert refs["totals"]["parameter"] == 1 and refs["totals"]["return"] == 2 and refs["note"] is None
+    assert service.search_api(b, "Lib.A.Nothing")["note"].endswith('search_api(pattern: "Nothing").') and service.search_api(b, "nothing")["note"] is None
+    for kw, code in (({"framework": "net1"}, "framework_not_available"), ({"source": "x"}, "invalid_request"), ({"limit": 0}, "invalid_request"), ({"token": "x"}, "invalid_cursor")):
+        with pytest.raises(QueryError) as e:
+            service.lookup_api(b, "A", **kw)
+        assert e.value.code == code
+    with pytest.raises(QueryError) as e:
+        service.snapshot_backends(spark, behind, cache)
+    assert e.value.code == "source_not_synced"
+
+
+def test_pages_of_a_look_up_make_up_the_whole(spark, small):
+    from quarry.plans import bindings
+
+    b = bindings.backends(spark, small)
+    whole = service.lookup_api(b, "Supplier7", limit=100)
+    parts, token = [], None
+    while True:
+        page = service.lookup_api(b, "Supplier7", limit=7, token=token)
+        parts += [(t["full_name"], m["signature"]) for t in page["types"] for m in t["members"]]
+        if (token := page["next_page_token"]) is None:
+            break
+    assert parts[:100] == [(t["full_name"], m["signature"]) for t in whole["types"] for m in t["members"]] and len(parts) > 7
+    with pytest.raises(QueryError):
+        service.lookup_api(b, "Supplier7", limit=7, token=cursor_beyond(service, b))
+
+
+def cursor_beyond(service, b):
+    from quarry.operators import cursor
+
+    c = service.compose(b)
+    return cursor.encode("lookup", cursor.scope("Supplier7", None, c.framework), 10_000, c.revisions)
+
+
+def test_a_type_without_members_takes_a_place(spark):
+    t = spark.createDataFrame([("T:N.A", "N", "A", "N.A", "N.A")], "declaration_id string, namespace string, type_name string, full_name string, search_name string")
+    m = spark.createDataFrame([], "type_id string, declaration_id string, name string, signature string, ord int, summary string")
+    found = service.lookup_api([service.Backend("git", "s", "r", {"types": t, "members": m})], "A")
+    assert found["outcome"] == "found" and found["types"] == [{"full_name": "N.A", "revision": "r", "detail": "signatures", "members": []}] and found["resolved_types"] == ["N.A"]
+
+
+def test_packages_must_agree_on_frameworks(spark):
+    t = spark.range(0)
+    b = lambda name, *f: service.Backend("nuget", "s", name, {"types": t}, (name,), f[0], f)
+    with pytest.raises(QueryError) as e:
+        service.compose([b("A", "net8.0"), b("B", "net9.0")])
+    assert e.value.code == "source_invalid"
+    assert [x.revision for x in service.compose([b("B", "net8.0"), b("A", "net8.0"), service.Backend("git", "z", "g", {}), service.Backend("git", "a", "h", {})]).backends] == ["h", "g", "A", "B"]
+    with pytest.raises(QueryError):
+        service.compose([service.Backend("git", "z", "g", {})], framework="net8.0")
 
 
 def test_packages_are_matched_by_canonical_names(spark):
