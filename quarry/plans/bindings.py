@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import assembly_writer
 from .service import Backend
 
 
@@ -164,6 +165,32 @@ def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(run, "path string, content binary")
 
 
+def assembly_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): an assembly of each supplier with one class, a generic method, a constant, and a field that C# has no word for; every seventh is no assembly."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("s_suppkey").to_pylist()
+            made = [_assembly(k, n) for k, n in zip(keys, b.column("s_nationkey").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"Supplier{k}.dll" for k in keys]), pa.array(made, pa.binary())], ["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def _assembly(key: int, nation: int) -> bytes:
+    if key % 7 == 0:
+        return b"no assembly"
+    w = assembly_writer
+    b = w.Builder(f"Supplier{key}")
+    t = b.type(f"Supplier{key}`1", "Corp", 1, b.outer("System.Object"), parameters=["T"])
+    visible = 6 if key % 3 else 1
+    b.method(f"Run{nation}", w.signature(w.vector(w.TEXT), w.INT, w.of(t, w.mvar(0)), generic=1), visible | 0x140, [("index", 0), ("other", 0)], generic=["K"])
+    b.field("Nation", w.INT, 0x8056, (8, nation.to_bytes(4, "little")))
+    b.field("Skewed", b"\x14" + w.INT + b"\1\0\0")
+    return b.build()
+
+
 def backends(spark: SparkSession, sf_dir: str) -> list[Backend]:
     """A source of repositories only, ``lib``, and one with two packages, ``app``.
 

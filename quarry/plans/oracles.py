@@ -265,6 +265,12 @@ UNION ALL SELECT id, symbol, 'param:index', 'Balance ' || s_acctbal, 1 FROM z
 UNION ALL SELECT DISTINCT 'T:' || full_name, full_name, 'summary', 'Of ' || n_name || ' & others.', 0 FROM y""",
     "source_xml_skipped": f"""{XML}
 SELECT namespace || '/' || type_name || '.xml' AS path, count(*) AS n FROM y WHERE s_suppkey % 7 = 0 GROUP BY ALL UNION ALL SELECT DISTINCT namespace || '/' || type_name || '.xml', 1 FROM x WHERE broken""",
+    "source_assembly_members": """WITH s AS (SELECT *, 'Supplier' || s_suppkey AS name FROM supplier), g AS (SELECT * FROM s WHERE s_suppkey % 7 <> 0)
+SELECT name || '.dll' AS path, 'T:Corp.' || name || '`1' AS type_id, 'Corp.' || name || '<T>' AS full_name, 'M:Corp.' || name || '`1.Run' || s_nationkey || '``1(System.Int32,Corp.' || name || '{``0})' AS declaration_id,
+  'Run' || s_nationkey AS name, 'method' AS kind, 'public virtual string[] Run' || s_nationkey || '<K>(int index, Corp.' || name || '<K> other);' AS signature, 'string[]' AS return_type, false AS is_skipped, false AS is_refused FROM g WHERE s_suppkey % 3 <> 0
+UNION ALL SELECT name || '.dll', 'T:Corp.' || name || '`1', 'Corp.' || name || '<T>', 'F:Corp.' || name || '`1.Nation', 'Nation', 'field', 'public const int Nation;', 'int', false, false FROM g
+UNION ALL SELECT name || '.dll', NULL, 'Corp.' || name || '`1', NULL, 'Skewed', 'field', NULL, NULL, true, false FROM g
+UNION ALL SELECT name || '.dll', NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, true FROM s WHERE s_suppkey % 7 = 0""",
     "source_package_docs": """
 SELECT 'region' || r_regionkey || '.nupkg|' || f AS path, 'M:Corp.' || replace(n_name, ' ', '_') || '.Run' AS id, 'Runs ' || n_nationkey AS summary, 1 AS n_parameters, false AS refused
 FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('net8.0'), ('netstandard2.0')) v(f) WHERE r_regionkey % 3 <> 2

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cursor, outline, paging, ranked
-from ..sources import api_xml, documents, markdown, packages
+from ..sources import api_xml, assemblies, documents, markdown, packages
 from . import api, bindings, docs, service
 from .oracles import ORACLES
 
@@ -120,6 +120,13 @@ def source_package_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("path", "id", "summary", F.size("parameters").alias("n_parameters"), F.lit(False).alias("refused")).unionByName(refused)
 
 
+@query
+def source_assembly_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible members of compiled assemblies, what was skipped, and which files are none."""
+    found = assemblies.member_rows(bindings.assembly_files(spark, sf_dir))
+    return found.select("path", "type_id", "full_name", "declaration_id", "name", "kind", "signature", "return_type", F.col("skipped").isNotNull().alias("is_skipped"), F.col("error").isNotNull().alias("is_refused"))
+
+
 @query
 def doc_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of each document under a budget, from where the first one ends."""

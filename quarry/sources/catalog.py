@@ -19,7 +19,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import QueryError
-from . import corpus_rules, packages
+from . import assemblies, corpus_rules, packages
 from .files import Files
 from .packages import safe_framework, valid_package_id, valid_version
 
@@ -106,7 +106,7 @@ def sync_source(
     """Writes the tables that ``build`` gives, and the corpora of the source's packages, as a new generation, then makes it the current one.
 
     A failure leaves the published generation as it was; what was written of the new one is taken up by the next attempt at the same
-    origin. ``fetch`` gives the archive of a package's definition, ``read_metadata`` the corpus of an assembly.
+    origin. ``fetch`` gives the archive of a package's definition; ``read_metadata`` the corpus of an assembly, if not by its compiled metadata.
     """
     if name not in catalog:
         raise QueryError("unknown_source", f"no source {name!r}")
@@ -155,8 +155,9 @@ def sync_source(
 
 def _supplement(spark: SparkSession, files: Files, here: str, definition: dict, fetch: Callable | None, read_metadata: Callable | None, fetched: str, at: Callable[[str], None]) -> dict:
     """The state of one package: its archive fetched, verified, and its corpora built and stored, a file of each framework."""
-    if fetch is None or read_metadata is None:
-        raise QueryError("sync_failed", f"package {definition['packageId']!r} needs a way to be fetched and read")
+    if fetch is None:
+        raise QueryError("sync_failed", f"package {definition['packageId']!r} needs a way to be fetched")
+    read_metadata = read_metadata or (lambda dll: assemblies.read_named(dll, definition["assemblyName"]))
     at("fetch packages")
     content = fetch(definition)
     at("validate packages")
