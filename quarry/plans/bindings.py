@@ -195,18 +195,18 @@ def backends(spark: SparkSession, sf_dir: str) -> list[Backend]:
     """A source of repositories only, ``lib``, and one with two packages, ``app``.
 
     ``lib`` documents three of four types; the packages share the types between them by even and odd supplier, under display names with type
-    arguments. A part is a member of its supplier's type, by repository, package, or both.
+    arguments. A part is a member of one of the first ten suppliers' types, by repository, package, or both.
     """
     t = types(spark, sf_dir).withColumn("search_name", F.col("full_name"))
     shown = {"full_name": F.replace("full_name", F.lit("`1"), F.lit("<T>")), "display_name": F.replace("type_name", F.lit("`1"), F.lit("<T>"))}
-    name = "concat('Part', p_partkey % 10, CASE WHEN p_partkey % 20 >= 10 THEN '<T>' ELSE '' END)"
+    name = "concat('Part', (p_partkey div 10) % 10, CASE WHEN (p_partkey div 10) % 20 >= 10 THEN '<T>' ELSE '' END)"
 
     def of(rows: DataFrame, origin: str) -> DataFrame:
         held = "p_partkey % 3 <> 0" if origin == "git" else "p_partkey % 3 = 0 OR p_partkey % 2 = 0"
-        m = shipped(spark, sf_dir, rows).filter(held)
+        m = table(spark, sf_dir, "part").filter(held).join(rows, F.col("s_suppkey") == F.col("p_partkey") % 10 + 1)
         return m.select(
             F.expr("element_at(array('net8.0', 'net9.0', 'net10.0', 'netstandard2.0'), p_size % 4 + 1)").alias("framework"), F.col("declaration_id").alias("type_id"),
-            F.expr("concat('M:', substr(declaration_id, 3), '.Part', p_partkey % 10, '(', p_partkey, ')')").alias("declaration_id"), F.expr(name).alias("name"),
+            F.expr("concat('M:', substr(declaration_id, 3), '.Part', (p_partkey div 10) % 10, '(', p_partkey, ')')").alias("declaration_id"), F.expr(name).alias("name"),
             F.expr(f"concat('public ', p_type, ' ', {name}, '(', p_brand, ' ', p_partkey, ')')").alias("signature"), F.col("p_partkey").alias("ord"),
             F.expr(f"concat('{origin} ', p_name)").alias("summary"), F.expr("concat('a size of ', p_size)").alias("returns"), F.lit(None).cast("string").alias("remarks"),
         )
@@ -218,7 +218,7 @@ def backends(spark: SparkSession, sf_dir: str) -> list[Backend]:
 
     p, u = prose(spark, sf_dir), uses(spark, sf_dir)
     plain = lambda df, keep: df.filter(keep).drop("origin", "priority")
-    lib = t.filter("s_suppkey % 4 <> 3")
+    lib = t.filter("s_suppkey % 4 <> 1")
     long = spark.range(1).select(F.lit("T:System.ECONOMYAttribute").alias("declaration_id"), F.lit("System").alias("namespace"), F.lit("ECONOMYAttribute").alias("type_name"), F.lit("System.ECONOMYAttribute").alias("full_name"), F.lit("System.ECONOMYAttribute").alias("search_name"))
     nothing = lib.limit(0)
     return [

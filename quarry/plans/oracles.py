@@ -86,15 +86,15 @@ BACKENDS = TYPES + """,
 st AS (SELECT s_suppkey, namespace, type_name, namespace || '.' || type_name AS stored, 'T:' || namespace || '.' || type_name AS type_id FROM types),
 b AS (
   SELECT 0 AS priority, 'git:app' AS revision, 'git' AS origin, stored AS full_name, * FROM st WHERE false UNION ALL
-  SELECT 1, 'git:lib', 'git', stored, * FROM st WHERE s_suppkey % 4 <> 3 UNION ALL
+  SELECT 1, 'git:lib', 'git', stored, * FROM st WHERE s_suppkey % 4 <> 1 UNION ALL
   SELECT 2, 'nuget:Pack.Even', 'nuget', replace(stored, '`1', '<T>'), * FROM st WHERE s_suppkey % 2 = 0 UNION ALL
   SELECT 3, 'nuget:Pack.Odd', 'nuget', replace(stored, '`1', '<T>'), * FROM st WHERE s_suppkey % 2 = 1),
 parts AS (
-  SELECT b.*, p.*, 'Part' || p_partkey % 10 || CASE WHEN p_partkey % 20 >= 10 THEN '<T>' ELSE '' END AS name, ['net8.0', 'net9.0', 'net10.0', 'netstandard2.0'][p_size % 4 + 1] AS framework
-  FROM b JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l ON l_suppkey = s_suppkey JOIN part p ON p_partkey = l_partkey
+  SELECT b.*, p.*, 'Part' || (p_partkey // 10) % 10 || CASE WHEN (p_partkey // 10) % 20 >= 10 THEN '<T>' ELSE '' END AS name, ['net8.0', 'net9.0', 'net10.0', 'netstandard2.0'][p_size % 4 + 1] AS framework
+  FROM b JOIN part p ON s_suppkey = p_partkey % 10 + 1
   WHERE CASE origin WHEN 'git' THEN p_partkey % 3 <> 0 ELSE p_partkey % 3 = 0 OR p_partkey % 2 = 0 END),
 mm AS (
-  SELECT *, 'M:' || stored || '.Part' || p_partkey % 10 || '(' || p_partkey || ')' AS member_id, 'public ' || p_type || ' ' || name || '(' || p_brand || ' ' || p_partkey || ')' AS signature,
+  SELECT *, 'M:' || stored || '.Part' || (p_partkey // 10) % 10 || '(' || p_partkey || ')' AS member_id, 'public ' || p_type || ' ' || name || '(' || p_brand || ' ' || p_partkey || ')' AS signature,
     origin || ' ' || p_name AS summary, 'a size of ' || p_size AS returns FROM parts)"""
 
 
@@ -167,7 +167,7 @@ k AS (SELECT name, CASE WHEN contains(lower(type_name), 'nation_1') THEN 'type'
 SELECT name, matched_on, CASE WHEN matched_on = 'namespace' THEN d END::INT AS namespace_depth,
   row_number() OVER (ORDER BY CASE matched_on WHEN 'type' THEN 1 ELSE 2 END, coalesce(CASE WHEN matched_on = 'namespace' THEN d END, 0), length(name) - length(replace(name, '.', '')), name)::INT AS position
 FROM k WHERE matched_on IS NOT NULL QUALIFY position <= 100""",
-    "api_type_search": f"""WITH {TYPES}, t AS (SELECT namespace || '.' || type_name AS name, lower(regexp_replace(type_name, '`[0-9]+$', '')) AS simple FROM types WHERE contains(lower(type_name), 'supplier')),
+    "api_type_search": f"""WITH {TYPES}, t AS (SELECT namespace || '.' || type_name AS name, lower(regexp_replace(type_name, '`[0-9]+$', '')) AS simple FROM types WHERE contains(lower(type_name), 'supplier1')),
 k AS (SELECT name, 'type' AS matched_on, CASE WHEN simple = 'supplier1' THEN 0 WHEN starts_with(simple, 'supplier1') THEN 1 ELSE 2 END AS tier FROM t),
 r AS (SELECT name, matched_on, NULL::INT AS namespace_depth, row_number() OVER (ORDER BY tier, length(name) - length(replace(name, '.', '')), name)::INT AS position FROM k)
 SELECT * FROM r WHERE position <= 20""",

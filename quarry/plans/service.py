@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -122,39 +122,51 @@ def selects_type(symbol: str) -> Column:
 
 
 def resolve(c: Composition, symbol: str) -> DataFrame:
-    """Type rows with ``member``: the whole symbol as a type, and, of the backends that have no such type, its last segment as a member."""
+    """Type rows with ``member``: the whole symbol as a type, and, of the backends that have no such type, its last segment as a member.
+
+    One pass over the types; what a backend has is decided among the rows that match.
+    """
     matching.check_symbol(symbol)
     types = c.table("types")
     types = types if "display_name" in types.columns else types.withColumn("display_name", F.col("type_name"))
-    whole = types.filter(selects_type(symbol)).withColumn("member", F.lit(None).cast("string"))
     head, dot, tail = symbol.rpartition(".")
+    whole = F.coalesce(selects_type(symbol), F.lit(False))
     if not dot or not head:
-        return whole
-    split = types.filter(selects_type(head)).join(whole.select("priority").distinct(), "priority", "left_anti").select(*types.columns)
-    return whole.unionByName(split.withColumn("member", F.lit(tail)))
+        return types.filter(whole).withColumn("member", F.lit(None).cast("string"))
+    split = F.coalesce(selects_type(head), F.lit(False))
+    found = types.filter(whole | split).withColumn("_whole", whole)
+    found = found.withColumn("_any", F.bool_or("_whole").over(Window.partitionBy("priority"))).filter("_whole OR NOT _any")
+    return found.withColumn("member", F.when(~F.col("_whole"), F.lit(tail))).drop("_whole", "_any")
 
 
 DOCS = ("summary", "parameters", "returns", "remarks")
 
 
+def _held(c: Composition, symbol: str) -> DataFrame:
+    """Every type that a symbol resolves to in some backend, with each of that backend's members that it selects, or none."""
+    found = resolve(c, symbol).select("priority", F.col("declaration_id").alias("type_id"), "full_name", "revision", "source", F.col("member").alias("wanted"))
+    m = c.table("members")
+    keep = [d for d in DOCS if d in m.columns]
+    m = m.select(F.col("priority").alias("_p"), F.col("type_id").alias("_t"), F.col("declaration_id").alias("member_id"), "name", "signature", "ord", F.col("origin").alias("member_origin"), *keep)
+    selected = F.col("wanted").isNull() | matching.selects_member(F.col("name"), F.col("wanted"))
+    return found.join(m, (F.col("priority") == F.col("_p")) & (F.col("type_id") == F.col("_t")) & selected, "left").drop("_p", "_t")
+
+
 def lookup_rows(c: Composition, symbol: str) -> DataFrame:
     """One row of each member of each type found, and one with a null member of each type without; with ``detail``, in no order.
 
     A type that is found as the holder of a member counts only if some backend has that member. Of the types with one id the first backend's
     gives the type's row; the members of all of them are merged by id.
     """
-    found = resolve(c, symbol)
-    keys = ["priority", "type_id"]
-    held = found.select("priority", F.col("declaration_id").alias("type_id"), F.col("member").alias("wanted"))
-    members = c.table("members").join(held, keys).filter(F.col("wanted").isNull() | matching.selects_member(F.col("name"), F.col("wanted")))
-    matched = held.filter("wanted is null").select("type_id").union(members.select("type_id")).distinct()
-    first = ranked.first_wins(found.join(matched, F.col("declaration_id") == F.col("type_id"), "left_semi"), ["declaration_id"], ["priority", "full_name"])
-    merged = ranked.first_wins(members, ["type_id", "declaration_id"], ["priority", "ord", "signature"])
-    full = F.col("member").isNotNull()
-    types = first.select(F.col("declaration_id").alias("type_id"), "full_name", "revision", "source", F.when(full, "full").otherwise("signatures").alias("detail"))
-    kept = merged.select("type_id", F.col("declaration_id").alias("member_id"), "name", "signature", F.col("origin").alias("member_origin"), *[d for d in DOCS if d in merged.columns])
-    rows = types.join(kept, "type_id", "left")
-    return rows.withColumns({d: F.when(F.col("detail") == "full", F.col(d)) for d in DOCS if d in rows.columns})
+    rows = _held(c, symbol)
+    by_type = Window.partitionBy("type_id")
+    first = F.first(F.struct("full_name", "revision", "source", F.when(F.col("wanted").isNull(), "signatures").otherwise("full").alias("detail"))).over(by_type.orderBy("priority", "full_name"))
+    counts = F.bool_or(F.col("wanted").isNull() | F.col("member_id").isNotNull()).over(by_type)
+    merged = F.row_number().over(Window.partitionBy("type_id", "member_id").orderBy("priority", "ord", "signature"))
+    rows = rows.withColumns({"_type": first, "_counts": counts, "_n": F.count("member_id").over(by_type), "_rn": merged})
+    rows = rows.filter("_counts AND _rn = 1 AND (member_id IS NOT NULL OR _n = 0)")
+    docs = [F.when(F.col("_type.detail") == "full", F.col(d)).alias(d) for d in DOCS if d in rows.columns]
+    return rows.select("type_id", "_type.*", "member_id", "name", "signature", "member_origin", *docs)
 
 
 def lookup_order() -> list[str | Column]:
@@ -175,11 +187,8 @@ def nest(page: DataFrame) -> DataFrame:
 
 def lookup_outcome(c: Composition, symbol: str) -> DataFrame:
     """One row: outcome, and the names of all types that the symbol resolved to, sorted."""
-    found = resolve(c, symbol)
-    shown = lookup_rows(c, symbol).agg(F.count("*").alias("n"))
-    names = found.agg(F.array_sort(F.collect_set("full_name")).alias("resolved_types"))
-    both = names.select("resolved_types", F.lit(0).alias("k")).join(shown.select("n", F.lit(0).alias("k")), "k")
-    return both.select(F.when(F.col("n") > 0, "found").when(F.size("resolved_types") > 0, "member_not_found").otherwise("not_found").alias("outcome"), "resolved_types")
+    got = _held(c, symbol).agg(F.count_if(F.col("wanted").isNull() | F.col("member_id").isNotNull()).alias("n"), F.array_sort(F.collect_set("full_name")).alias("resolved_types"))
+    return got.select(F.when(F.col("n") > 0, "found").when(F.size("resolved_types") > 0, "member_not_found").otherwise("not_found").alias("outcome"), "resolved_types")
 
 
 def search_page(c: Composition, pattern: str, limit: int = 20, offset: int = 0) -> DataFrame:
