@@ -11,6 +11,7 @@ from . import decontaminate, html_text, line_dedup, near_dedup, pieces, pii, qua
 from ._sample import remainder
 from ._store import drop, new_path, stage
 
+#: The vocabulary file of the registered query and the pipeline; both take another as an argument.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: For the registered query only; a real job gets its key from a secret store.
 PII_KEY = "registered query"
@@ -30,9 +31,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
     """The three best segmentations of every document: scores, digests of the ids, and whether the best decodes to the text."""
-    return pieces.encode_digests(table(spark, sf_dir, "documents"), pieces.read_model(spark, MODEL_FILE), n_best=3)
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), pieces.read_model(spark, model_file), n_best=3)
 
 
 def _scored(scored: DataFrame, folds: int, held_out: int) -> DataFrame:

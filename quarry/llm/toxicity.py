@@ -28,7 +28,7 @@ from ._words import splitmix
 
 SIZES = (3, 4, 5, 6, 7, 8)
 _COEFF = [np.uint32(x & 0xFFFFFFFF | 1) for x in splitmix(16, 5).tolist()]
-_PIECE = 1 << 20
+_PIECE = 1 << 16
 _WHITE = np.array([9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029, 0x3000], dtype=np.uint32)
 
 
