@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import regex
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..errors import QueryError
 
@@ -105,13 +99,3 @@ def choose_member_id(ids: list[str], type_id: str) -> str:
     if len(distinct) > 1:
         raise QueryError("source_invalid", f"several ids: {ids}")
     return distinct[0]
-
-
-@F.pandas_udf(BooleanType())
-def _valid_member(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for ids, types in batches:
-        yield pd.Series([is_member_id(i, t) for i, t in zip(ids, types, strict=True)])
-
-
-def valid_member(member_id: Column, type_id: Column) -> Column:
-    return _valid_member(member_id, type_id)

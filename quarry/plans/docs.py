@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions import matching, ranking, text
 from ..operators import cursor, outline, paging, ranked
-from ..sources import markdown
+from ..sources import catalog, markdown
 
 ORDER = ("tier", "head", "path", "line_no", "repo")
 
@@ -47,6 +49,49 @@ def search_repaired(docs: DataFrame, query: str, regex: bool = False, limit: int
     return search(docs, fixed, False, limit, offset), fixed, True
 
 
+def snapshot_documents(spark: SparkSession, sources: dict[str, catalog.Source], cache: str, source: str | None = None) -> tuple[DataFrame, list[str]]:
+    """(documents, revisions) of one source that holds documents, or of all; any that isn't synced is an error, never left out."""
+    names = sorted(n for n, s in sources.items() if s.markdown)
+    if source is not None and source not in names:
+        raise QueryError("invalid_request", f"source is one of {', '.join(names)}")
+    found, revisions = [], []
+    for name in [source] if source is not None else names:
+        state, tables = catalog.snapshot(spark, sources, cache, name)
+        found.append(tables["docs"])
+        revisions.append(catalog.revision_key("git", repository=state["repository"], ref=state["ref"], commit=state["commit"]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), revisions
+
+
+def search_docs(docs: DataFrame, query: str, regex: bool = False, source: str | None = None, limit: int = 20, token: str | None = None, revisions: list[str] | None = None) -> dict:
+    """One page of line hits with their sections, where it ends, and notes: how the query was read, and which documents could not be.
+
+    ``docs`` are a source's documents, those that could not be read marked by ``skipped``. The cursor is bound to the query as it was used.
+    """
+    if not 1 <= limit <= 100:
+        raise QueryError("invalid_request", "limit is 1 to 100")
+    if not query or not query.strip():
+        raise QueryError("invalid_request", "the query is empty")
+    missing = docs.filter("skipped is not null").select("repo", "path", F.col("skipped").alias("reason")) if "skipped" in docs.columns else None
+    readable = markdown.structured(docs.filter("skipped is null").drop("skipped") if missing is not None else docs)
+    used, fixed = query, text.repair_input(query)[0]
+    if not regex and fixed != query and fixed.strip() and line_hits(readable, query).isEmpty() and not line_hits(readable, fixed).isEmpty():
+        used = fixed
+    here = cursor.scope(used, regex, source, limit)
+    offset = cursor.decode(token, "lang-search", here, revisions or [])
+    found = line_hits(readable, used, regex)
+    ranked.check_offset(found, offset)
+    page = ranked.page(found, list(ORDER), limit, offset, more="is_partial").drop("tier", "head")
+    rows = outline.attribute_sections(page, outline.section_paths(markdown.heading_rows(readable))).orderBy("position").collect()
+    partial = bool(rows) and rows[0]["is_partial"]
+    skips = [r.asDict() for r in missing.orderBy("repo", "path").collect()] if missing is not None else []
+    read = f"The query was read as {used!r}." if used != query else None
+    return {
+        "hits": [{k: v for k, v in r.asDict().items() if k != "is_partial"} for r in rows], "is_partial": partial, "skipped_documents": skips,
+        "next_page_token": cursor.encode("lang-search", here, offset + limit, revisions or []) if partial else None, "searched_sources": revisions or [],
+        "note": catalog.combined_note(read, f"{len(skips)} documents could not be read." if skips else None),
+    }
+
+
 def get_outline(docs: DataFrame, repo: str, path: str, limit: int = 100, offset: int = 0) -> DataFrame:
     one = markdown.structured(docs.filter((F.col("repo") == repo) & (F.col("path") == check_path(path))))
     return ranked.page(outline.section_paths(markdown.heading_rows(one)), ["start_line"], limit, offset)

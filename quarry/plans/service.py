@@ -208,7 +208,7 @@ def text_page(c: Composition, query: str, limit: int = 20, offset: int = 0) -> D
 
 
 def references(c: Composition, symbol: str) -> DataFrame:
-    """All references with their sibling flag; see ``api.find_references``, which see the types of each backend by themselves."""
+    """All references with their sibling flag. Whether the attribute's long name is a type, each backend's own types decide."""
     return api.find_references(c.table("uses"), symbol, c.table("types"), by=("priority",), siblings=True)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..errors import QueryError
+from ..functions.text import strip_id_prefix
 from . import api_xml, corpus_rules
 
 # fixed values: limits of archives and of stored corpora
@@ -226,7 +227,7 @@ def _head() -> list[Column]:
 
 def _types(t: DataFrame) -> DataFrame:
     """Types with the namespace of the outermost type around them: every dotted prefix of a name is looked up, no pairs of types are compared."""
-    name, full, simple = F.regexp_replace("t.EcmaId", "^T:", ""), F.col("t.FullName"), F.col("t.Name")
+    name, full, simple = strip_id_prefix(F.col("t.EcmaId")), F.col("t.FullName"), F.col("t.Name")
     bare = F.when(full == simple, "").when(F.endswith(full, F.concat(F.lit("."), simple)), F.expr("substr(t.FullName, 1, length(t.FullName) - length(t.Name) - 1)")).otherwise(F.regexp_replace(name, r"\.?[^.]*$", ""))
     rows = t.select(*_head(), F.col("t.EcmaId").alias("declaration_id"), full.alias("full_name"), simple.alias("display_name"), name.alias("search_name"), bare.alias("own"))
     dots = "split(search_name, '[.]')"

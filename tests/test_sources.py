@@ -386,3 +386,78 @@ def test_attributes_are_found_by_the_type_they_mean(spark):
     assert find("Ns.Foo") == {"3": False, "9": True}
     assert find("Ns.Bar") == find("Ns.Bar", None) == {"2": True} and find("Ns.BarAttribute") == {}
     assert api.reference_totals(api.find_references(uses, "Ns.FooAttribute", types)).first().n_attribute == 3
+
+
+def test_a_search_of_all_sources(spark, tmp_path):
+    for name, content in {"a.md": "# A\nsome text here\n## B\nmore text", "f.yml": FAQ, "bad.yaml": "### YamlMime:FAQ\ntitle: x"}.items():
+        (tmp_path / name).write_text(content)
+    c, cache = catalog.read_catalog(json.dumps({"schemaVersion": 1, "sources": {"s": SOURCE, "t": SOURCE, "api": SOURCE | {"markdown": False}}})), str(tmp_path / "cache")
+    for name in "st":
+        with pytest.raises(QueryError):
+            docs.snapshot_documents(spark, c, cache)
+        catalog.sync_source(spark, c, cache, name, lambda s, name=name: {"docs": documents.scan(spark, str(tmp_path), name)})
+    found, revisions = docs.snapshot_documents(spark, c, cache)
+    first = docs.search_docs(found, "text", limit=3, revisions=revisions)
+    assert [(h["repo"], h["path"], h["line_no"], h["section_path"]) for h in first["hits"]] == [("s", "a.md", 2, "A"), ("t", "a.md", 2, "A"), ("s", "a.md", 4, "A > B")] and first["is_partial"]
+    assert len(first["skipped_documents"]) == 2 and first["note"] == "2 documents could not be read."
+    rest = docs.search_docs(found, "text", limit=3, token=first["next_page_token"], revisions=revisions)
+    assert [(h["repo"], h["line_no"], h["position"]) for h in rest["hits"]] == [("t", 4, 4)] and rest["next_page_token"] is None
+    one, of_one = docs.snapshot_documents(spark, c, cache, "t")
+    assert {h["repo"] for h in docs.search_docs(one, "Why so", revisions=of_one)["hits"]} == {"t"}
+    assert docs.search_docs(one, "s&#111;me text")["note"].startswith("The query was read as 'some text'.")
+    for f in (lambda: docs.snapshot_documents(spark, c, cache, "api"), lambda: docs.search_docs(one, " "), lambda: docs.search_docs(one, "x", limit=0), lambda: docs.search_docs(one, "text", token=first["next_page_token"], revisions=of_one)):
+        with pytest.raises(QueryError):
+            f()
+
+
+def test_checkouts(tmp_path):
+    from quarry.sources import git
+
+    origin, place = tmp_path / "origin", tmp_path / "here"
+    origin.mkdir()
+    made = lambda *a: git.run(str(origin), "-c", "user.name=a", "-c", "user.email=a@b.c", *a, seconds=60)
+    made("init", "--quiet", "-b", "trunk")
+    made("config", "uploadpack.allowAnySHA1InWant", "true")
+    made("config", "uploadpack.allowFilter", "true")
+    for n in (1, 2):
+        for p in ("docs/a.md", "src/b.cs", "README.md"):
+            (origin / p).parent.mkdir(exist_ok=True)
+            (origin / p).write_text(f"version {n}")
+        made("add", "-A")
+        made("commit", "--quiet", "-m", f"Version {n}")
+    url = f"file://{origin}"
+    old = made("rev-parse", "HEAD~1")
+    assert git.checkout(url, str(place), ["docs"], commit=old) == old
+    assert sorted(str(p.relative_to(place)) for p in place.rglob("*.*") if ".git" not in p.parts) == ["docs/a.md"] and (place / "docs/a.md").read_text() == "version 1"
+    tip = git.checkout(url, str(place), ["docs", "README.md"], head="trunk")
+    assert tip == made("rev-parse", "HEAD") and (place / "README.md").read_text() == "version 2" and not (place / "src").exists()
+    (place / "docs/a.md").write_text("changed")
+    with pytest.raises(QueryError, match="changed"):
+        git.validate(str(place), url, tip)
+    for f in (lambda: git.checkout("file:///elsewhere", str(place), ["docs"], head="trunk"), lambda: git.checkout(url, str(place), ["docs"], head="--upload-pack=x"), lambda: git.checkout(url, str(place), ["docs"]), lambda: git.checkout(url, str(place), ["docs"], head="none")):
+        with pytest.raises(QueryError):
+            f()
+    with pytest.raises(QueryError) as e:
+        git.run(str(place), "-c", "alias.wait=!sleep 5", "wait", seconds=1)
+    assert e.value.code == "git_timeout"
+
+
+def test_feeds():
+    import base64
+    import hashlib
+
+    from quarry.sources import feed
+
+    digest = base64.b64encode(hashlib.sha512(b"archive").digest()).decode()
+    package = {"packageId": "Lib.A", "version": "1.0.0-B+c", "sha512": digest, "feed": "https://feed/index.json"}
+    index = lambda *bases: (200, {}, json.dumps({"resources": [{"@id": b, "@type": "PackageBaseAddress/3.0.0"} for b in bases] + [{"@id": "x", "@type": "Search"}]}).encode())
+    at = "https://files/flat/lib.a/1.0.0-b/lib.a.1.0.0-b.nupkg"
+    pages = {"https://feed/index.json": index("https://files/flat/"), at: (302, {"location": "/moved"}, b""), "https://files/moved": (200, {}, b"archive")}
+    ask = lambda **change: feed.fetch(package, lambda url, most: ({**pages, **{k.replace("INDEX", "https://feed/index.json").replace("AT", at): v for k, v in change.items()}}).get(url, (404, {}, b"")))
+    assert ask() == b"archive"
+    for change in (
+        {"INDEX": index()}, {"INDEX": index("https://a", "https://b")}, {"INDEX": index("http://files/flat")}, {"INDEX": (200, {}, b"[]")}, {"AT": (404, {}, b"")}, {"AT": (200, {}, b"other")}, {"AT": (302, {"location": "http://files/moved"}, b"")},
+        {"AT": (302, {"location": at}, b"")}, {"AT": (200, {"content-length": str(1 << 30)}, b"archive")}, {"INDEX": (200, {}, b" " * ((1 << 20) + 1))},
+    ):
+        with pytest.raises(QueryError):
+            ask(**change)
