@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -99,9 +100,17 @@ def collapse_quoted(message: Column) -> Column:
 _STRAIGHT = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "\u00a0": " "})
 
 
+_ENTITY = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def decode_entities(value: str) -> str:
+    """Numeric and known named entities that end in a semicolon, each decoded once; all else stays."""
+    return _ENTITY.sub(lambda m: html.unescape(m[0]) if m[1][0] == "#" or f"{m[1]};" in html5 else m[0], value)
+
+
 def repair_input(value: str) -> tuple[str, bool]:
     """Entities decoded, curly quotes straightened, no-break spaces made plain; and whether anything changed."""
-    fixed = html.unescape(value).translate(_STRAIGHT)
+    fixed = decode_entities(value).translate(_STRAIGHT)
     return fixed, fixed != value
 
 
@@ -111,7 +120,7 @@ def repair_column(text: Column) -> Column:
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(html.unescape, na_action="ignore")
+            yield s.map(decode_entities, na_action="ignore")
 
     decoded = F.when(F.contains(text, F.lit("&")), decode(text)).otherwise(text)
     return F.translate(decoded, "‘’“”\u00a0", "''\"\" ")

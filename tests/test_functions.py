@@ -207,6 +207,7 @@ def test_type_arguments_are_stripped(spark, name, stripped):
 def test_small_text_forms(spark):
     assert one(spark, text.strip_all_arity(F.col("t")), t="Out`1.In`22") == "Out.In" and one(spark, text.strip_id_prefix(F.col("t")), t="T:A.B") == "A.B"
     assert text.longest_token("a longer word, longest") == "longest" and text.longest_token("same size") == "same" and text.longest_token("  ") == "  "
+    assert text.decode_entities("&amp; &ampx &amp &nothing; &#x26;lt; &copy") == "& &ampx &amp &nothing; &lt; &copy"
     assert one(spark, text.repair_column(F.col("t")), t="&eacute;&#x41;&hellip;&nbsp;&lt;b&gt; & c") == "éA… <b> & c" and one(spark, text.repair_column(F.lit(None).cast("string"))) is None
 
 
