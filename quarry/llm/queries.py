@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, near_dedup, pieces, pii, quality, topk, toxicity, warc
+from . import collocations, decontaminate, html_text, line_dedup, near_dedup, pieces, pii, quality, topk, toxicity, warc
 from ._sample import remainder
 from ._store import drop, new_path, stage
 
@@ -87,6 +87,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS n, h, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
@@ -154,11 +158,32 @@ LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.no = u.n - 1
 GROUP BY d.doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(1, 1 + least(5, len(w) - i + 1)), lambda k: w[i : i + k - 1])))) AS p FROM w),
+f AS (SELECT lang, p, count(*)::BIGINT AS f FROM g GROUP BY lang, p HAVING count(*) >= 100),
+c AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+s AS (
+  SELECT c.lang, c.p, c.a, c.k, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.a * t.n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM c JOIN t USING (lang) JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (SELECT lang, unnest(list_distinct(flatten(list_transform(range(2, len(p)), lambda m: list_transform(range(1, len(p) - m + 2), lambda i: p[i : i + m - 1]))))) AS p, f FROM f WHERE len(p) > 2),
+inner_of AS (SELECT lang, p, max(f) AS f FROM longer GROUP BY lang, p),
+o AS (
+  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.n, b.score
+  FROM b LEFT JOIN inner_of i ON i.lang = b.lang AND i.p = b.p WHERE i.f IS NULL OR 100 * i.f < 100 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc, op2_sentencepiece, op3_toxicity, op4_near_dedup, op5_line_dedup, op6_html, op7_decontamination, op8_quality, op9_topk, op10_pii)
+    named = (op1_warc, op2_sentencepiece, op3_toxicity, op4_near_dedup, op5_line_dedup, op6_html, op7_decontamination, op8_quality, op9_topk, op10_pii, op11_collocations)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_near_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_topk": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op4_near_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_topk": OP9_SQL, "op11_collocations": OP11_SQL}
