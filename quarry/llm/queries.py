@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, html_text, line_dedup, mixing, near_dedup, pieces, pii, quality, topk, toxicity, warc
+from . import collocations, decontaminate, html_text, line_dedup, mixing, near_dedup, pieces, pii, quality, topk, toxicity, warc, whitening
 from ._sample import remainder
 from ._store import drop, new_path, stage
 
@@ -95,6 +95,10 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS n, h, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
@@ -185,7 +189,7 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc, op2_sentencepiece, op3_toxicity, op4_near_dedup, op5_line_dedup, op6_html, op7_decontamination, op8_quality, op9_topk, op10_pii, op11_collocations, op12_mixing)
+    named = (op1_warc, op2_sentencepiece, op3_toxicity, op4_near_dedup, op5_line_dedup, op6_html, op7_decontamination, op8_quality, op9_topk, op10_pii, op11_collocations, op12_mixing, op13_whitening)
     return {f.__name__: f for f in named}
 
 
