@@ -2,13 +2,16 @@
 
 The page becomes a tree (comments, scripts and styles left out, end tags that HTML implies are supplied). Elements
 that are never article text (navigation, page headers and footers, sidebars, forms and their controls, notices, adverts, reader comments) are
-taken out by their tag, role or the words of their class and id; so is what a browser doesn't show as text (drawings, frames, media).
+taken out by their tag or role, or by the words of their class and id. A name that says nothing else (``comments``, ``cookie-notice``) is enough; a word among others
+(``related-work``, ``recipe cookies``), or the id of a section or paragraph, counts only where the element lies outside the page's articles and main element, is mostly links, or holds no
+sentence. Elements around an article are not taken out by name. So is what a browser doesn't show as text (drawings, frames, media).
 
 Each block with text of its own passes points to the block around it: a point for each comma, one for each 100 characters (three at
 most), and one more, in proportion where it has under 25 characters. What a block has received it passes on by half, however deep the page. A block's
 points and those of its tag and name count less the more of its text is inside links. The block with the most points is the best
-container. It is kept whole, and so are its siblings but those that are mostly links; where it lies in an article, a main element or, without these,
-one with a name of content, the siblings of its ancestors up to there are judged alike. All their text comes out in page order.
+container. Where it lies in an article or main element, that is kept whole; so are other articles of the page with at least a quarter of its points. Elsewhere the best container is
+kept, and so are its siblings and, up to an element with a name of content or the whole page, those of its ancestors, but for those that are mostly links and neither sentences nor a list under a heading;
+without a name of content, those of its ancestors need a fifth of the points of the best. All their text comes out in page order.
 
 Defined results: a null or empty page, and a page without text, give an empty text; character references are decoded; white space
 inside a block becomes one space; blocks are joined by one line feed; a page of any length or depth is read whole, in time that grows with
@@ -55,15 +58,28 @@ _BAD = set(
 )
 _GOOD = set("article body content entry main page post story text blog hentry column".split())
 _TAG_POINTS = {"article": 10, "main": 8, "div": 5, "section": 3, "blockquote": 3, "pre": 3, "td": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5}
+#: Words that say what an element is laid out as, not what it holds.
+_NEUTRAL = _GOOD | set(
+    "box block wrapper wrap container section area list item items link links button buttons bar top bottom left right inner outer header head title row column col unit slot group panel region "
+    "site primary secondary first last odd even fixed sticky mobile desktop".split()
+)
+#: Names that are enough even beside others.
+_SURE = set(
+    "ad ads adv advert adverts advertisement advertising sponsored comment comments commentlist disqus sidebar sidebars masthead navbar breadcrumb breadcrumbs pagination newsletter outbrain taboola paywall cookie consent gdpr "
+    "popup modal lightbox".split()
+)
 _NAME_WORDS = re.compile(r"[A-Za-z][a-z]*")
+_SENTENCE = re.compile(r"[.!?;:,。！？،、](?:\s|$)|\w{2,}\W+\w{2,}\W+\w{2,}\W+\w{2,}\W+\w{2,}\W+\w{2,}\W+\w{2,}\W+\w{2,}")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "dropped", "received", "chars", "linked", "score")
+    __slots__ = ("tag", "attrs", "parent", "kids", "dropped", "received", "chars", "linked", "score", "prose", "sentence", "around")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids, self.dropped = tag, attrs, parent, [], False
         self.received, self.chars, self.linked, self.score = 0.0, 0, 0, 0.0
+        self.prose = 0.0  # points of all blocks inside
+        self.sentence = self.around = False  # whether there is one outside links; whether it holds an article or main element
 
 
 class _Tree:
@@ -173,18 +189,39 @@ def _names(attrs: str) -> tuple[list[str], dict[str, str]]:
     return words, found
 
 
-def _unwanted(node: Node, in_article: bool) -> bool:
+def _name_says(node: Node) -> str:
+    """What the class and id say: ``sure`` (not article text), ``maybe`` or nothing."""
+    _, found = _names(node.attrs)
+    tokens = [(t, "class") for t in found.get("class", "").split()] + [(t, "id") for t in found.get("id", "").split()]
+    said, other = "", False
+    for token, kind in tokens:
+        parts = [w.lower() for w in _NAME_WORDS.findall(token)]
+        bad = [w for w in parts if w in _BAD]
+        if not bad:
+            other = other or not all(w in _NEUTRAL for w in parts)
+        elif all(w in _BAD or w in _NEUTRAL for w in parts) and (kind == "class" or node.tag not in ("section", "p")):
+            if any(w in _SURE for w in parts):
+                return "sure"
+            said = said or "alone"
+        else:
+            said = "maybe"
+    return "sure" if said == "alone" and not other else "maybe" if said else ""
+
+
+def _unwanted(node: Node, in_article: bool, landmarks: bool) -> bool:
     if node.tag in _DROP or (node.tag == "header" and not in_article):
         return True
     if not node.attrs or node.tag in ("html", "body", "article", "main") and "comment" not in node.attrs:
         return False
-    words, found = _names(node.attrs)
+    _, found = _names(node.attrs)
     if found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
-    bad = [w for w in words if w in _BAD]
-    return bool(bad) and node.tag in _BLOCK | {"span", "ins", "a"} and not (node.tag[0] == "h" and node.tag[1:].isdigit()) and (not any(w in _GOOD for w in words) or any(w in ("comment", "comments", "ad", "ads", "advert", "sidebar") for w in words))
+    if node.around or node.tag not in _BLOCK | {"span", "ins", "a"} or node.tag in _HEADINGS:
+        return False
+    says = _name_says(node)
+    return says == "sure" or says == "maybe" and (landmarks and not in_article or _link_heavy(node) or not node.sentence)
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -232,9 +269,27 @@ def _landmark(node: Node) -> Node | None:
     return found.get("article") or found.get("main") or found.get("named")
 
 
+def _measure(root: Node) -> bool:
+    """Sets chars, linked, sentence and around of all elements; returns whether the page has an article or main element with text."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += [k for k in x.kids if not isinstance(k, str) and not k.dropped]
+    for x in reversed(order):
+        kids = [k for k in x.kids if not isinstance(k, str) and not k.dropped]
+        own = [k for k in x.kids if isinstance(k, str)]
+        x.chars = sum(len(k.strip()) for k in own) + sum(k.chars for k in kids)
+        x.linked = x.chars if x.tag == "a" else sum(k.linked for k in kids)
+        x.sentence = any(k.sentence for k in kids) or x.tag != "a" and any(_SENTENCE.search(k) for k in own)
+        x.around = any(k.around or k.tag in ("article", "main") for k in kids)
+    return any(x.tag in ("article", "main") and x.chars > 0 for x in order)
+
+
 def _kept(root: Node) -> list[Node]:
     """The elements that are not unwanted, in page order; the others are marked as dropped."""
     order: list[Node] = []
+    landmarks = _measure(root)
     stack = [(root, False)]
     while stack:
         x, in_article = stack.pop()
@@ -242,7 +297,7 @@ def _kept(root: Node) -> list[Node]:
         inside = in_article or x.tag in ("article", "main")
         for k in reversed(x.kids):
             if not isinstance(k, str) and not k.dropped:
-                if _unwanted(k, inside):
+                if _unwanted(k, inside, landmarks):
                     k.dropped = True
                 else:
                     stack.append((k, inside))
@@ -268,6 +323,8 @@ def score_tree(order: list[Node]) -> list[Node]:
         if x.tag in _BLOCK and x.parent is not None:
             own = 0.0 if x.tag in _HEADINGS else own_points(" ".join(" ".join(_direct(x)).split()))
             around[id(x)].received += own + x.received / 2
+            x.prose += own
+            around[id(x)].prose += x.prose
     found = [x for x in order if x.received > 0 and x.parent is not None]
     for x in found:
         named = x.attrs and any(w in _GOOD for w in _names(x.attrs)[0])
@@ -275,6 +332,24 @@ def score_tree(order: list[Node]) -> list[Node]:
     return found
 
 
+def _menu_like(node: Node, before: Node | None) -> bool:
+    """Mostly links, neither sentences nor a list under a heading."""
+    listed = node.tag in ("ul", "ol", "dl") and before is not None and before.tag in _HEADINGS
+    return _link_heavy(node) and not listed and not (node.tag in ("p", "blockquote", "pre", "li", "td", "dd") and node.sentence)
+
+
+def _beside(node: Node, least: float | None) -> None:
+    """Drops the siblings of a node that aren't kept with it; ``least``: the points that they need."""
+    before = None
+    for k in node.parent.kids:
+        if isinstance(k, str) or k.dropped or k.tag not in _BLOCK:
+            continue
+        if k is not node and (_menu_like(k, before) or least is not None and k.prose < least and k.tag not in _HEADINGS):
+            k.dropped = True
+        else:
+            before = k
+
+
 def main_text(page: str | None) -> str:
     """The article's text, blocks joined by line feeds; empty if there is none."""
     if not page:
@@ -285,18 +360,27 @@ def main_text(page: str | None) -> str:
     best = max(scored, key=lambda x: x.score, default=None)  # of equals the first
     if best is None:  # text outside blocks only
         return "\n".join(blocks([next((x for x in order if x.tag in ("article", "main")), root)]))
-    chosen: list[Node | str] = [best]
     top = _landmark(best)
-    x = best
+    if top is not None and top.tag in ("article", "main"):
+        chosen = {id(top)}
+        if top.tag == "article":
+            chosen |= {id(x) for x in order if x.tag == "article" and x.prose >= top.prose / 4 and not _link_heavy(x)}
+        return "\n".join(blocks([x for x in order if id(x) in chosen and not _inside(x, chosen)]))
+    chosen_kids: list[Node | str] = [best]
+    x, need = best, best.prose / 5
     while x.parent is not None and x.tag not in ("body", "html") and x is not top:
-        for k in x.parent.kids:
-            if k is not x and not isinstance(k, str) and k.tag in _BLOCK and _link_heavy(k):
-                k.dropped = True
+        _beside(x, None if x is best or top is not None else need)
         x = x.parent
-        chosen = x.kids
-        if top is None:  # without a landmark the siblings of the best only
-            break
-    return "\n".join(blocks(chosen))
+        chosen_kids = x.kids
+    return "\n".join(blocks(chosen_kids))
+
+
+def _inside(node: Node, chosen: set[int]) -> bool:
+    """Whether an element around the node is chosen."""
+    while (node := node.parent) is not None:
+        if id(node) in chosen:
+            return True
+    return False
 
 
 def _direct(node: Node) -> list[str]:

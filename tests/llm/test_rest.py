@@ -524,6 +524,36 @@ def test_short_parts_beside_the_best_stay(page):
     assert got[5:10] == ["A short paragraph.", "one", "cell", "code", "said"]
 
 
+@pytest.mark.parametrize("part, text", [
+    (f"<section id={i}><p>What others have done, and why, is told here.</p></section>", "What others have done, and why, is told here.") for i in ("related-work", "search-algorithms", "follow-the-money", "search", "comments-on-the-law")
+] + [
+    ("<p id=ad-hoc>Ad hoc networks form by themselves.</p>", "Ad hoc networks form by themselves."),
+    ("<div class='recipe cookies'><p>Mix butter, sugar and flour.</p></div>", "Mix butter, sugar and flour."),
+    ("<p>See <a href=r>the full report of the committee</a>.</p>", "See the full report of the committee."),
+    ("<h2>Sources</h2><ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul>", "Sources\nFirst source\nSecond source"),
+    ("<div class=cookie-notice><p>We use cookies, and more, to please you.</p></div>", ""), ("<div class='comments-area post-comments'><p>Nice, thanks, and so on.</p></div>", ""),
+    ("<section class=related><ul><li><a href=x>Another story</a></ul></section>", ""), ("<div id=share-buttons><a href=x>Share this</a></div>", ""),
+    ("<div class='ad css-1x2y3z'><p>Buy this, now, or never.</p></div>", ""), ("<div class='widget widget_categories'><a href=q>All</a> <a href=r>None</a></div>", ""),
+])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<article><div>{}</div></article>", "<main><section>{}</section></main>", "<div>{}</div>"])
+def test_names_and_links_need_evidence(part, text, around):
+    assert html_text.main_text(around.format(BODY + part)) == WANT + ("\n" + text if text else "")
+
+
+def test_second_articles_teasers_and_wrappers():
+    second = BODY.replace("story", "other story")
+    both = f"<main><article>{BODY}</article><article>{second}</article><article><a href=x>A teaser, with a link</a></article></main>"
+    assert html_text.main_text(both) == WANT + "\n" + WANT.replace("story", "other story")
+    assert html_text.main_text(f"<div class=widget><article>{BODY}</article></div>") == WANT
+    assert html_text.main_text(f"<div class=related-stories><p>Read this, and that, and more.</p></div><article>{BODY}</article>") == WANT
+
+
+def test_text_two_levels_away_without_a_landmark():
+    far = BODY.replace("Paragraph", "Chapter")
+    page = f"<body><div>Site name</div><div><div><div>{BODY}</div></div></div><div><ul><li><a href=x>Home, sweet home</a><li><a href=y>Away, far away</a></ul></div><div><div>{far}</div></div><div>All rights reserved</div>"
+    assert html_text.main_text(page) == WANT + "\n" + WANT.replace("Paragraph", "Chapter")
+
+
 def test_dates_with_slashes(spark):
     got = masked(spark, ["25/12/1999", "12/25/1999", "1999-12-25", "32/12/1999 12/32/1999", "né le 25/12/1999."])
     assert [r.n_date for r in got] == [1, 1, 1, 0, 1] and got[3].text == "32/12/1999 12/32/1999"
