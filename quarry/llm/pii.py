@@ -9,11 +9,13 @@ which keeps the mapping one-to-one; check digits are computed anew.
 
 A value is permuted without its separators and, where case does not tell values apart (IBANs, e-mail), in one case; separators and case
 are put back, so equal values get equal pseudonyms whatever their spelling and document. A country's calling code stays, and is read
-from the digits alone by the numbering plan; a North American number is one value with and without +1. An IBAN keeps its country. Of an
-e-mail address the local part and the domain without its last label are permuted, each by itself, so that addresses of one domain stay together.
+from the digits alone by the numbering plan; a North American number is one value with and without +1. A trunk zero in parentheses, which is not dialled from
+abroad (+44 (0)20), is no part of the number and stays; in Italy it is one. An IBAN keeps its country. Of an
+e-mail address the local part and the domain without its last label are permuted, each by itself, so that addresses of one domain stay together. Both may have any Latin letters;
+those of Latin-1 with marks move among themselves, others beyond a to z stay.
 
-Dates with slashes are read as MM/dd/yyyy where that is a date and as dd/MM/yyyy otherwise, and written as they were read; so 05/12/1999
-is always the twelfth of May.
+Dates are written as they were read: years first or last, with dots, slashes or dashes, days and months of one digit too. Those with slashes are read as month, day, year where that
+is a date and as day, month, year otherwise, so 05/12/1999 is always the twelfth of May; those with dashes and the year last the other way round.
 
 The round function is SHA-256 of key, kind, round, place and the other half. Every row is handled by itself: no shuffle,
 nothing collected. The key is a literal in the query plan; keep plans as secret as the key.
@@ -38,18 +40,21 @@ IBAN_LENGTHS = {
     23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
+#: Letters with marks that are permuted among themselves, all with a capital of one character.
+MARKED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 # fixed values: calling codes of one and two digits (ITU E.164); all others have three
 _CODE = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 _IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 #: One pattern, alternatives in the order in which they are tried; loops over groups are bounded, so that no text deepens the matcher's stack.
 PATTERN = "|".join((
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
+    r"(?<![\p{IsLatin}\p{M}0-9._%+-])[\p{IsLatin}0-9][\p{IsLatin}\p{M}0-9._%+-]{0,63}@[\p{IsLatin}\p{M}0-9-]{1,63}(?:\.[\p{IsLatin}\p{M}0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
     rf"(?<![A-Za-z0-9])(?i:{_IBAN})(?![A-Za-z0-9])",
     r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
-    r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
-    r"(?<![0-9A-Za-z./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])",
+    r"(?<![0-9A-Za-z./-])[0-9]{4}(?:-[0-9]{2}-[0-9]{2}|/[0-9]{2}/[0-9]{2})(?![0-9]|[/-][0-9])",
+    r"(?<![0-9A-Za-z./-])(?:[0-9]{1,2}\.[0-9]{1,2}\.|[0-9]{1,2}/[0-9]{1,2}/|[0-9]{1,2}-[0-9]{1,2}-)[0-9]{4}(?![0-9]|[./-][0-9])",
     r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
     r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
+    r"(?<![0-9A-Za-z.-])[0-9]{4}\.[0-9]{4}\.[0-9]{4}\.[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
     r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z(+-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z-])",
 ))
@@ -84,12 +89,13 @@ def _random(key: str, kind: str, rnd: str, place: str, half: str) -> str:
 
 
 def feistel_text(x: str, kind: str, key: str) -> str:
-    """Permutes digits, lower and upper case letters among themselves; other characters stay."""
+    """Permutes digits, lower and upper case letters, and those with marks, among themselves; other characters stay."""
     step = _random(key, kind, "fr", "fi", "fs.b")
     moved = (
         f"CASE WHEN fc RLIKE '^[0-9]$' THEN char(48 + int((ascii(fc) - 48 + {step}) % 10))"
         f" WHEN fc RLIKE '^[a-z]$' THEN char(97 + int((ascii(fc) - 97 + {step}) % 26))"
-        f" WHEN fc RLIKE '^[A-Z]$' THEN char(65 + int((ascii(fc) - 65 + {step}) % 26)) ELSE fc END"
+        f" WHEN fc RLIKE '^[A-Z]$' THEN char(65 + int((ascii(fc) - 65 + {step}) % 26))"
+        f" WHEN fc <> '' AND instr('{MARKED}', fc) > 0 THEN substr('{MARKED}', 1 + int((instr('{MARKED}', fc) - 1 + {step}) % {len(MARKED)}), 1) ELSE fc END"
     )
     turned = f"array_join(transform(split(fs.a, ''), (fc, fi) -> {moved}), '')"
     return (
@@ -120,7 +126,7 @@ def bound(name: str, value: str, body: str) -> str:
 
 def refill(x: str, values: str, pattern: str) -> str:
     """Puts the characters of ``values`` in place of the characters of ``x`` that match, in lower case where those are."""
-    put = f"CASE WHEN rc RLIKE '^[a-z]$' THEN lower(substr({values}, rs.k, 1)) WHEN rc RLIKE '^[A-Z]$' THEN upper(substr({values}, rs.k, 1)) ELSE substr({values}, rs.k, 1) END"
+    put = f"CASE WHEN rc RLIKE '^[a-z]$' THEN lower(substr({values}, rs.k, 1)) WHEN rc <> lower(rc) THEN upper(substr({values}, rs.k, 1)) ELSE substr({values}, rs.k, 1) END"
     return (
         f"aggregate(split({x}, ''), named_struct('o', '', 'k', 1), (rs, rc) -> CASE WHEN rc RLIKE '{pattern}'"
         f" THEN named_struct('o', concat(rs.o, {put}), 'k', rs.k + 1) ELSE named_struct('o', concat(rs.o, rc), 'k', rs.k) END, rs -> rs.o)"
@@ -129,13 +135,18 @@ def refill(x: str, values: str, pattern: str) -> str:
 
 _SSN = "^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"
 _NANP = "^[2-9][0-9]{2}[2-9][0-9]{6}$"
-_DATE_FORMS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")  # tried in this order
+_DATE_FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "d.M.yyyy", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "M-d-yyyy")  # tried in this order
 
 
 def _date(x: str) -> str:
     return f"coalesce({', '.join(f'try_to_date({x}, {_q(form)})' for form in _DATE_FORMS)})"
 
 
+def _trunk(x: str) -> str:
+    """A number with its trunk zero, if it has one, marked."""
+    return f"CASE WHEN {x} LIKE '+39%' THEN {x} ELSE replace({x}, '(0', '(\\u0001') END"
+
+
 def kind_of(x: str) -> str:
     """SQL for the kind of a match, null if it is not valid."""
     d = _digits(x)
@@ -143,12 +154,13 @@ def kind_of(x: str) -> str:
     iban = f"{mod97(f'concat(substr({compact}, 5), substr({compact}, 1, 4))')} = 1"
     octets = f"forall(split({x}, '[.]'), io -> int(io) <= 255 AND (length(io) = 1 OR io NOT LIKE '0%'))"
     day = f"{_date(x)} >= DATE'1900-01-01' AND {_date(x)} < DATE'2100-01-01'"
-    dialled = f"length({d}) BETWEEN 8 AND 15 AND ({d} NOT LIKE '1%' OR substr({d}, 2) RLIKE '{_NANP}')"
+    number = _digits(_trunk(x))
+    dialled = f"length({number}) BETWEEN 8 AND 15 AND ({d} NOT LIKE '1%' OR substr({d}, 2) RLIKE '{_NANP}')"
     return (
         f"CASE WHEN {x} LIKE '%@%' THEN 'email'"
         f" WHEN {x} RLIKE '^[A-Za-z]' THEN CASE WHEN {iban} THEN 'iban' END"
         f" WHEN {x} RLIKE r'^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$' THEN CASE WHEN {octets} THEN 'ip' END"
-        f" WHEN {x} RLIKE r'^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})$' THEN CASE WHEN {day} THEN 'date' END"
+        f" WHEN {x} RLIKE r'^([0-9]{{4}}[/-][0-9]{{2}}[/-][0-9]{{2}}|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}})$' THEN CASE WHEN {day} THEN 'date' END"
         f" WHEN {x} LIKE '+%' THEN CASE WHEN {dialled} THEN 'phone' END"
         f" WHEN {x} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN CASE WHEN {d} RLIKE '{_SSN}' THEN 'ssn' END"
         f" WHEN length({d}) = 10 THEN 'phone'"
@@ -203,10 +215,10 @@ def pseudonym(x: str, kind: str, key: str) -> str:
     """SQL for the pseudonym of a valid match ``x`` of a kind."""
     ssn = walk(_digits(x), f"w RLIKE '{_SSN}'", feistel_text("w", "ssn", key))
     cases = [f"WHEN 'ip' THEN {_address(x, key)}", f"WHEN 'date' THEN {_day(x, key)}"]
-    for name, value, pattern in (
-        ("email", _mail(x, key), "^.$"), ("iban", _account(x, key), "^[0-9A-Za-z]$"), ("card", _card(x, key), "^[0-9]$"), ("phone", _phone(x, key), "^[0-9]$"), ("ssn", ssn, "^[0-9]$"),
-    ):
+    for name, value, pattern in (("email", _mail(x, key), "^.$"), ("iban", _account(x, key), "^[0-9A-Za-z]$"), ("card", _card(x, key), "^[0-9]$"), ("ssn", ssn, "^[0-9]$")):
         cases.append(f"WHEN '{name}' THEN {bound('fv', value, refill(x, 'fv', pattern))}")
+    number = bound("fv", _phone("px", key), refill("px", "fv", "^[0-9]$"))
+    cases.append(f"WHEN 'phone' THEN {bound('px', _trunk(x), f"replace({number}, '\\u0001', '0')")}")
     return f"CASE {kind} {' '.join(cases)} ELSE {x} END"
 
 

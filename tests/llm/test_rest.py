@@ -239,6 +239,9 @@ def feistel(x, kind, key):
         for i, c in enumerate(a):
             step = int(hashlib.sha256(f"{key}|{kind}|{r}|{i}|{b}".encode()).hexdigest()[:7], 16)
             first, n = ("0", 10) if c in "0123456789" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else (None, 0)
+            if c in pii.MARKED:
+                out.append(pii.MARKED[(pii.MARKED.index(c) + step) % len(pii.MARKED)])
+                continue
             out.append(chr(ord(first) + (ord(c) - ord(first) + step) % n) if first else c)
         return "".join(out)
 
@@ -307,7 +310,7 @@ def test_pseudonyms_equal_an_independent_network(spark):
     ["+358 40 1234567", "+358401234567", "+358-40-123-4567", "+358 (40) 1234567"], ["+33 1 42 68 53 00", "+33142685300", "+33 (1) 42 68 53 00"], ["+44 20 7946 0958", "+442079460958"],
     ["+1 (212) 555-0199", "(212) 555-0199", "212.555.0199", "+12125550199", "+1 212 555 0199"], ["+7 495 123 45 67", "+74951234567"],
     ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "gb82 west 1234 5698 7654 32", "Gb82 West 1234 5698 7654 32 and more text"], ["John.Doe@Example.org", "john.doe@example.org", "JOHN.DOE@EXAMPLE.ORG"],
-    ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+    ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "4111.1111.1111.1111"],
 ])
 def test_all_spellings_of_a_value_get_one_pseudonym(spark, spellings):
     got = [r.text for r in masked(spark, spellings)]
@@ -320,6 +323,25 @@ def test_all_spellings_of_a_value_get_one_pseudonym(spark, spellings):
         assert all(t.startswith(code) for t, s in zip(got, spellings, strict=True) if s.startswith("+"))
 
 
+def test_trunk_zeros_marked_letters_and_more_dates(spark):
+    a, b, c, d = (r.text for r in masked(spark, ["+44 20 7946 0958", "+44 (0)20 7946 0958", "+44 (020) 7946 0958", "+39 (06) 6982 0000"]))
+    assert b == a.replace("+44 ", "+44 (0)") and c == f"+44 (0{a[4:6]}) {a[7:]}" and re.fullmatch(r"\+39 \(\d\d\) \d{4} \d{4}", d) and d != "+39 (06) 6982 0000"
+    mails = ["jürgen@müller.example.com", "JÜRGEN@Müller.example.com", "josé.garcía@example.es", "jurgen@muller.example.com", "请联系zhang@example.com"]
+    got = masked(spark, mails)
+    assert [r.n_email for r in got] == [1] * 5 and got[0].text.lower() == got[1].text.lower() and got[0].text.split("@")[0].upper() == got[1].text.split("@")[0]
+    assert all(m[0] != t.text[0] or not m[0].isascii() for m, t in zip(mails, got, strict=True)) and got[4].text.startswith("请联系")
+    for m, t in zip(mails[:4], got, strict=False):
+        marked = lambda x: re.sub(f"[{pii.MARKED}]", "é", re.sub("[a-z]", "x", x.lower().rsplit(".", 1)[0]))
+        assert marked(m) == marked(t.text)
+    assert got[0].text == feistel("jürgen", "email", "k") + "@" + feistel("müller.example.", "domain", "k") + "com"
+    (known,) = masked(spark, ["1999-12-31"])
+    y, m, d = known.text.split("-")
+    dates = masked(spark, ["31-12-1999", "1999/12/31", "31.12.1999", "12-31-1999", "1.2.2020", "01.02.2020", "12.13.14.15 2020/13/01 1-2-34", "v1.2.2020 555-12-31-1999"])
+    assert [r.text for r in dates[:4]] == [f"{d}-{m}-{y}", f"{y}/{m}/{d}", f"{d}.{m}.{y}", f"{m}-{d}-{y}"]
+    assert [int(x) for x in dates[4].text.split(".")] == [int(x) for x in dates[5].text.split(".")] and dates[4].text != "1.2.2020"
+    assert [r.n_date for r in dates] == [1] * 6 + [0, 0] and dates[7].text == "v1.2.2020 555-12-31-1999"
+
+
 def test_pii_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     out = pii.pseudonymise(df, "k")
