@@ -12,9 +12,10 @@ min(``min_words``, words of the item) words, of which at least ``min_identity``
 are looked for as exact runs, of all lengths that occur.
 
 Items of at most ``block_bytes`` of text together are broadcast as an index of their seeds, and the documents pass it once, with no shuffle.
-Where there are more, nothing that grows with them is: the seeds are a table, documents emit those seeds that a bitmap of fixed size
-(2^``filter_bits``) lets through, both are joined on the hash, and the items that share one with a text are compared with it as rows
-that stream past it. Equal texts are compared once there. Both ways give the same rows. Every window of every text is looked up.
+Where there are more, nothing that grows with them is: the seeds are a table, and documents emit those seeds that a bitmap of fixed size
+(2^``filter_bits``) lets through. Joined on the hash, these say which blocks of about ``block_bytes`` of items a document, and which blocks of about ``CELL_DOCS`` documents an item has to be sent to.
+Each such cell is done as the broadcast is: an index of its items, which its documents pass one after the other. So a passage that many documents
+and many items share makes no rows of both, but those of its overlaps. Equal texts are compared once there. Both ways give the same rows. Every window of every text is looked up.
 
 The diagonals of a hash that stands in many places of a document and an item are taken from a convolution, not from their pairs, and all hits of
 a diagonal are judged from two running extremes of its prefix sums, so repeated words cost no more than the diagonals that they have.
@@ -34,11 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._filter import bitmap, may_hold
 from ._store import fresh, stage, with_fields
 from ._words import hash_words, mix, splitmix
 
 #: Found greedily: one of them fits every pattern of at least min(13, words of the item) words that are at least 75 % equal.
 MASKS = ("1101111", "111010011", "1110001011", "10111011", "11001100011", "10100011011", "100101111", "1110010101", "1010011011", "111111")
+#: Places and seeds of one hash that are paired; beyond it their differences come from a convolution.
+PAIRS = 1 << 16
+#: Documents that pass one index of items, where these are a table.
+CELL_DOCS = 256
 _TO_WORDS = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i + 32 if 65 <= i <= 90 else i for i in range(256))
 _COEFF = splitmix(64, 91) | np.uint64(1)
 HITS = "array<struct<item_id:long,item_start:int,doc_start:int,n_words:int,n_equal:int,item_words:int>>"
@@ -180,14 +186,12 @@ class SeedIndex:
             maybe[keys >> np.uint64(44)] = True
         return cls(ids, words, sorted(masks.items()), keys[order], item[order], start[order], maybe)
 
-    def diagonals(self, w: np.ndarray, hashes: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
-        """The diagonals with a hit, by item; ``hashes`` keeps a document's seeds by mask for the next index."""
+    def diagonals(self, w: np.ndarray) -> dict[int, np.ndarray]:
+        """The diagonals with a hit, by item."""
         found: dict[int, list[np.ndarray]] = {}
-        hashes = {} if hashes is None else hashes
+        codes = []  # item and diagonal in one number
         for salt, positions in self.masks:
-            if salt not in hashes:
-                hashes[salt] = seed_hashes(w, positions, salt)
-            h = hashes[salt]
+            h = seed_hashes(w, positions, salt)
             at = np.flatnonzero(self.maybe[h >> np.uint64(44)]) if self.maybe is not None else np.arange(len(h))
             lo = np.searchsorted(self.keys, h[at])
             known = lo < len(self.keys)
@@ -197,20 +201,35 @@ class SeedIndex:
                 continue
             order = np.argsort(lo, kind="stable")
             at, lo = at[order], lo[order]
-            cuts = np.flatnonzero(lo[1:] != lo[:-1]) + 1
-            for places, a in zip(np.split(at, cuts), lo[np.concatenate([[0], cuts])].tolist(), strict=True):
-                b = int(np.searchsorted(self.keys, self.keys[a], side="right"))
+            firsts, places = np.unique(lo, return_counts=True)
+            size = np.searchsorted(self.keys, self.keys[firsts], side="right") - firsts
+            many = places * size > PAIRS
+            width = np.repeat(np.where(many, 0, size), places)
+            for rows in np.array_split(np.arange(len(at)), max(1, int(width.sum()) // (16 * PAIRS))):  # every place with every seed of its hash
+                k = np.repeat(rows, width[rows])
+                step = np.arange(len(k)) - np.repeat(np.cumsum(width[rows]) - width[rows], width[rows])
+                entry = lo[k] + step
+                codes.append(np.unique((self.item[entry].astype(np.int64) << 33) + (at[k] - self.start[entry] + (1 << 32))))
+            begins = np.cumsum(places) - places
+            for g in np.flatnonzero(many).tolist():
+                a, b = int(firsts[g]), int(firsts[g] + size[g])
                 items, starts = self.item[a:b], self.start[a:b]
                 edges = [0, *(np.flatnonzero(items[1:] != items[:-1]) + 1).tolist(), b - a]
                 for p, q in zip(edges, edges[1:], strict=False):
-                    found.setdefault(int(items[p]), []).append(differences(places, starts[p:q]))
-        return {i: np.unique(np.concatenate(d)) for i, d in found.items()}
-
-    def overlaps(self, text: str | None | np.ndarray, min_words: int, min_identity: float, rest: bool = False, hashes: dict[int, np.ndarray] | None = None) -> list[dict]:
+                    found.setdefault(int(items[p]), []).append(differences(at[begins[g] : begins[g] + places[g]], starts[p:q]))
+        if codes:
+            code = np.unique(np.concatenate(codes))
+            items = code >> 33
+            cuts = np.flatnonzero(items[1:] != items[:-1]) + 1
+            for i, part in zip(items[np.concatenate([[0], cuts])].tolist() if len(code) else [], np.split((code & ((1 << 33) - 1)) - (1 << 32), cuts), strict=False):
+                found.setdefault(i, []).append(part)
+        return {i: np.unique(np.concatenate(d)) if len(d) > 1 else d[0] for i, d in found.items()}
+
+    def overlaps(self, text: str | None | np.ndarray, min_words: int, min_identity: float, rest: bool = False) -> list[dict]:
         """The accepted best extents of the hits; with ``rest`` also the overlaps that these leave on the hits' diagonals."""
         w = text if isinstance(text, np.ndarray) else tokens(text)
         done = []
-        for item, diagonals in self.diagonals(w, hashes).items():
+        for item, diagonals in self.diagonals(w).items():
             for d in diagonals.tolist():
                 for begin, end, same in judge(self.words[item], w, d, min_words, min_identity, rest):
                     done.append({"item_id": self.ids[item], "item_start": begin, "doc_start": begin + d, "n_words": end - begin, "n_equal": same, "item_words": len(self.words[item])})
@@ -230,7 +249,7 @@ def find_overlaps(
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != hits_col])
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > block_bytes:
-        return _joined(kept, items, text_col, hits_col, min_words, min_identity, filter_bits)
+        return _joined(kept, items, text_col, hits_col, min_words, min_identity, max(block_bytes, 1), total, filter_bits)
     index = SeedIndex.of(sorted((r["item_id"], r["text"]) for r in items.collect()))
     shared = docs.sparkSession.sparkContext.broadcast(index)
     at = kept.columns.index(text_col)
@@ -255,70 +274,56 @@ def _seeds(items: DataFrame) -> DataFrame:
     return items.select("item", "text").mapInArrow(run, "key long, item long")
 
 
-def _bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
-    """The first bits of all keys, as a map of 2^bits bits that the parts are added to one after the other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, dtype=bool)
-        for b in batches:
-            seen[b.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(max(1, 1 << bits >> 3), dtype=np.uint8)
-    for r in seeds.select("key").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
-
-
-def _joined(docs: DataFrame, items: DataFrame, text_col: str, hits_col: str, min_words: int, min_identity: float, filter_bits: int) -> DataFrame:
-    """The same for any number of items, as joins of tables."""
+def _joined(docs: DataFrame, items: DataFrame, text_col: str, hits_col: str, min_words: int, min_identity: float, block_bytes: int, total: int, filter_bits: int) -> DataFrame:
+    """The same for any number of items: documents and items that share a seed are dealt into cells, and each cell is done as above, with an index of its items."""
     spark = docs.sparkSession
-    items = items.withColumn("item", F.xxhash64("item_id", "text"))
-    seeds, _ = stage(_seeds(items), "seeds")
-    shared = spark.sparkContext.broadcast(_bitmap(seeds, filter_bits))
+    n_blocks = -(-total // block_bytes)
+    items = items.withColumn("item", F.xxhash64("item_id", "text")).withColumn("iblock", F.pmod("item", F.lit(n_blocks)).cast("int"))
+    seeds, _ = stage(_seeds(items).withColumn("iblock", F.pmod("item", F.lit(n_blocks)).cast("int")), "seeds")
+    shared = spark.sparkContext.broadcast(bitmap(seeds, filter_bits))
     masks = [*enumerate(_POSITIONS), *(masks_of(n)[0] for n in range(1, SPAN))]
     text = F.col(f"`{text_col}`")
     texts = docs.filter(text.isNotNull()).select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(3), text).alias("h2"), text.alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
         for b in batches:
             for h1, h2, t in zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), b.column("text"), strict=True):
                 w = tokens(t.as_py())
                 keys = np.unique(np.concatenate([seed_hashes(w, positions, salt) for salt, positions in masks]))
-                at = (keys >> np.uint64(64 - filter_bits)).astype(np.int64)
-                keys = keys[(seen[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)].view(np.int64)
+                keys = keys[may_hold(shared.value, filter_bits, keys)].view(np.int64)
                 if len(keys):
                     yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), h, dtype=np.int64)) for h in (h1, h2))], ["key", "h1", "h2"])
 
-    pairs, _ = stage(texts.mapInArrow(emit, "key long, h1 long, h2 long").distinct().join(seeds, "key").select("h1", "h2", "item").distinct(), "seed-pairs")
-    # a text comes first, then the items to compare it with
-    first = texts.join(pairs.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("text"))
-    rows = first.select("h1", "h2", F.lit(None).cast("long").alias("item_id"), "text").unionByName(pairs.join(items, "item").select("h1", "h2", "item_id", "text"))
-    rows = rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", F.col("item_id").asc_nulls_first(), "text")
+    found, _ = stage(texts.mapInArrow(emit, "key long, h1 long, h2 long").distinct().join(seeds, "key", "left_semi"), "seed-hits")
+    n_docs = found.agg(F.approx_count_distinct("h1")).first()[0]
+    dblock = F.pmod("h1", F.lit(max(1, n_docs // CELL_DOCS))).alias("dblock")
+    # of a seed that many share: blocks by items and documents by blocks, never documents by items
+    cell_items = found.select("key", dblock).distinct().join(seeds.select("key", "item"), "key").select("dblock", "item").distinct()
+    cell_docs = found.join(seeds.select("key", "iblock").distinct(), "key").select("h1", "h2", dblock, "iblock").distinct()
+    first = texts.join(found.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("text"))
+    none = F.lit(None).cast("long")
+    rows = cell_items.join(items, "item").select("dblock", "iblock", "item_id", none.alias("h1"), none.alias("h2"), "text")
+    rows = rows.unionByName(cell_docs.join(first, ["h1", "h2"]).select("dblock", "iblock", none.alias("item_id"), "h1", "h2", "text"))
+    rows = rows.repartition("dblock", "iblock").sortWithinPartitions("dblock", "iblock", F.col("item_id").asc_nulls_last(), "text")  # a cell's items come first
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, w, hashes, hits = None, np.empty(0, dtype=np.uint64), {}, []
-
-        def out() -> pa.RecordBatch:
-            found = [sorted(hits, key=_place)] if hits else []
-            keys = [[here[0]], [here[1]]] if hits else [[], []]
-            return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(found, pa.list_(_HIT))], ["h1", "h2", "hits"])
-
+        cell, held, index = None, [], None
         for b in batches:
-            for h1, h2, item, text in zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "item_id", "text")), strict=True):
-                if item is None:
-                    if here is not None:
-                        yield out()
-                    here, w, hashes, hits = (h1, h2), tokens(text), {}, []
-                else:
-                    hits += SeedIndex.of([(item, text)], bitmap=False).overlaps(w, min_words, min_identity, True, hashes)
-        if here is not None:
-            yield out()
+            for dblock, iblock, item, h1, h2, text in zip(*(b.column(c).to_pylist() for c in ("dblock", "iblock", "item_id", "h1", "h2")), b.column("text"), strict=True):
+                if (dblock, iblock) != cell:
+                    cell, held, index = (dblock, iblock), [], None
+                if item is not None:
+                    held.append((item, text.as_py()))
+                    continue
+                if index is None:
+                    index, held = SeedIndex.of(held), []
+                if hits := index.overlaps(text.as_py(), min_words, min_identity, rest=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([h1]), pa.array([h2]), pa.array([hits], pa.list_(_HIT))], ["h1", "h2", "hits"])
 
     f1, f2, hits = fresh(docs.columns, "f1", "f2", "hits")
-    found, _ = stage(rows.mapInArrow(compare, f"h1 long, h2 long, hits {HITS}"), "overlaps")
-    found = found.select(F.col("h1").alias(f1), F.col("h2").alias(f2), F.col("hits").alias(hits))
+    place = ["item_id", "doc_start", "item_start", "item_words", "n_words", "n_equal"]  # the order of _place
+    ordered = F.array_sort(F.flatten(F.collect_list(F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in place])))))
+    parts = rows.mapInArrow(compare, f"h1 long, h2 long, hits {HITS}").groupBy("h1", "h2").agg(ordered.alias("hits"))
+    result, _ = stage(parts.select(F.col("h1").alias(f1), F.col("h2").alias(f2), F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in _HIT.names])).cast(HITS).alias(hits)), "overlaps")
     keyed = docs.withColumns({f1: F.xxhash64(text), f2: F.xxhash64(F.lit(3), text)})
-    none = F.array().cast(HITS)
-    return keyed.join(found, [f1, f2], "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(hits), none).alias(hits_col))
+    return keyed.join(result, [f1, f2], "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(hits), F.array().cast(HITS)).alias(hits_col))

@@ -122,6 +122,37 @@ def test_joined_tables_give_the_rows_of_the_index(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_a_passage_of_many_documents_and_items(spark, monkeypatch):
+    """Cells send an item once to each block of documents; what is made of both is the overlaps themselves."""
+    rng = random.Random(12)
+    opening = " ".join(WORDS[:16])
+    tail = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    items = [(i, f"{opening} {tail(20)}") for i in range(60)]
+    docs = [(i, f"{tail(30)} {opening} {tail(30)}") for i in range(70)] + [(1000, tail(50))]
+    monkeypatch.setattr(decontaminate, "CELL_DOCS", 16)
+    made = []
+    inner = decontaminate.stage
+    monkeypatch.setattr(decontaminate, "stage", lambda df, name: made.append((name, inner(df, name))) or made[-1][1])
+    found = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=4000, filter_bits=18).collect()
+    for r in found:
+        assert [h.item_id for h in r.overlaps] == ([] if r.doc_id == 1000 else list(range(60))) and all(h.n_equal >= 16 for h in r.overlaps)
+    hits = dict((name, df[0]) for name, df in made)["seed-hits"]
+    assert hits.select("h1").distinct().count() == 70 and hits.groupBy("key").count().agg({"count": "max"}).first()[0] == 70
+
+
+@pytest.mark.parametrize("pairs", [0, 3])
+def test_diagonals_from_pairs_and_convolutions_are_the_same(monkeypatch, pairs):
+    rng = random.Random(13)
+    items = [(i, " ".join(rng.choices("a b c".split() + WORDS[:9], k=rng.choice([4, 12, 40])))) for i in range(15)]
+    index = decontaminate.SeedIndex.of(items)
+    for _ in range(10):
+        w = decontaminate.tokens(" ".join(rng.choices("a b c".split() + WORDS[:9], k=80)))
+        want = {i: d.tolist() for i, d in index.diagonals(w).items()}
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, "PAIRS", max(pairs, 1))
+            assert {i: d.tolist() for i, d in index.diagonals(w).items()} == want
+
+
 @pytest.mark.parametrize("words", [["a"], ["a", "b"], ["a", "b", "c"]])
 def test_repeated_words_take_seconds(words):
     import time
