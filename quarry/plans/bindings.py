@@ -6,13 +6,18 @@ Each binding gives one of the engine's tables; the SQL twins in ``oracles`` say
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import catalog, skipping
+from ..sources.files import Files, shared_folder
 from . import assembly_writer
 from .service import Backend
 
@@ -191,6 +196,53 @@ def _assembly(key: int, nation: int) -> bytes:
     return b.build()
 
 
+_INGESTED: dict[tuple, str] = {}
+_PROSE_ROWS = 20_000
+
+
+def _ingested(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[str], None]) -> str:
+    """A folder in which ``write`` has put what a source of the driver's tables holds; once for each state of these files in a session."""
+    files = Files(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, kind, *((n, files.changed(f"{sf_dir}/{n}")) for n in files.names(sf_dir)))
+    if key not in _INGESTED:
+        place = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        write(place)
+        _INGESTED[key] = place
+    return _INGESTED[key]
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> list[Backend]:
+    """``backends`` as a service has them after ingest: their tables stored, with indexes of names, uses and prose."""
+    made = backends(spark, sf_dir)
+
+    def write(place: str) -> None:
+        for name in ("types", "members", "prose", "uses", "skipped"):
+            parts = [b.tables[name].withColumn("backend", F.lit(i)) for i, b in enumerate(made) if name in b.tables]
+            rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+            rows.write.option("maxRecordsPerFile", _PROSE_ROWS if name == "prose" else 0).parquet(f"{place}/{name}")
+            catalog.build_index(spark, f"{place}/{name}", f"{place}/index/{name}", name)
+
+    place = _ingested(spark, sf_dir, "backends", write)
+    out = []
+    for i, b in enumerate(made):
+        mine = lambda df, b=b, name=None: df.select(*b.tables[name].columns)
+        tables = {n: mine(spark.read.parquet(f"{place}/{n}").filter(F.col("backend") == i), name=n) for n in b.tables}
+        indexes = {n: catalog.open_index(spark, f"{place}/{n}", f"{place}/index/{n}", n, only=f"backend = {i}") for n in ("types", "uses", "prose") if n in b.tables}
+        out.append(replace(b, tables=tables, indexes=indexes))
+    return out
+
+
+def stored_docs(spark: SparkSession, sf_dir: str) -> skipping.Skipping:
+    """``docs`` as a stored table whose files have trigram filters."""
+
+    def write(place: str) -> None:
+        docs(spark, sf_dir).repartitionByRange("repo", "path").sortWithinPartitions("repo", "path").write.option("maxRecordsPerFile", _PROSE_ROWS // 80).parquet(f"{place}/docs")
+        catalog.build_index(spark, f"{place}/docs", f"{place}/index/docs", "docs")
+
+    place = _ingested(spark, sf_dir, "docs", write)
+    return catalog.open_index(spark, f"{place}/docs", f"{place}/index/docs", "docs")
+
+
 def backends(spark: SparkSession, sf_dir: str) -> list[Backend]:
     """A source of repositories only, ``lib``, and one with two packages, ``app``.
 

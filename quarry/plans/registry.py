@@ -233,7 +233,7 @@ def page_cursor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def api_lookup_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a look-up over all sources at a framework, its members put together again by type."""
-    c = service.compose(bindings.backends(spark, sf_dir), framework="NET9.0")
+    c = service.compose(bindings.ingested(spark, sf_dir), framework="NET9.0")
     nested = service.nest(service.lookup_page(c, "Supplier7", 5, 5))
     return nested.select("full_name", "revision", "detail", F.to_json("members").alias("members"), "is_partial")
 
@@ -241,14 +241,14 @@ def api_lookup_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def api_lookup_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A look-up by type and member: each backend without such a type takes the last segment as the member; documentation in full."""
-    c = service.compose(bindings.backends(spark, sf_dir))
+    c = service.compose(bindings.ingested(spark, sf_dir))
     return service.lookup_page(c, "Supplier7.Part4", 50).select("full_name", "revision", "detail", "name", "signature", "member_origin", "summary", "returns", "position", "is_partial")
 
 
 @query
 def api_lookup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of four symbols: a type, one of its members, a member that it doesn't have, and no type."""
-    c = service.compose(bindings.backends(spark, sf_dir))
+    c = service.compose(bindings.ingested(spark, sf_dir))
     rows = [service.lookup_outcome(c, s).select(F.lit(s).alias("symbol"), "outcome", F.array_join("resolved_types", " ").alias("resolved_types")) for s in ("Supplier7<T>", "Supplier7.Part4", "Supplier7.Part77", "Nothing.Such")]
     return reduce(lambda a, b: a.unionByName(b), rows)
 
@@ -256,33 +256,33 @@ def api_lookup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def api_search_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a name search over all sources; of a type that several backends have the first one's row."""
-    c = service.compose(bindings.backends(spark, sf_dir))
+    c = service.compose(bindings.ingested(spark, sf_dir))
     return service.search_page(c, "Supplier", 4, 4).select("name", "matched_on", "namespace_depth", "revision", "position", "is_partial")
 
 
 @query
 def api_text_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prose search of one source, repositories and packages, two hits of a symbol at most."""
-    c = service.compose(bindings.backends(spark, sf_dir), source="app")
+    c = service.compose(bindings.ingested(spark, sf_dir), source="app")
     return service.text_page(c, "tion", 40).select("symbol", "element", "text", "is_truncated", "more_from_symbol", "revision", "position", "is_partial")
 
 
 @query
 def api_references_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute applications that mean the long name's type are left out where that type exists, and kept elsewhere."""
-    c = service.compose(bindings.backends(spark, sf_dir))
+    c = service.compose(bindings.ingested(spark, sf_dir))
     return service.references_page(c, "System.ECONOMY", kind="attribute", limit=60).select("symbol", "kind", "type_expression", "attribute_type", "is_exact", "revision", "position", "is_partial")
 
 
 @query
 def api_references_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return service.reference_summary(service.compose(bindings.backends(spark, sf_dir)), "System.ECONOMY")
+    return service.reference_summary(service.compose(bindings.ingested(spark, sf_dir)), "System.ECONOMY")
 
 
 @query
 def api_skipped_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the packages of an answer left out, by reason."""
-    return service.skipped_summary(service.compose(bindings.backends(spark, sf_dir)))
+    return service.skipped_summary(service.compose(bindings.ingested(spark, sf_dir)))
 
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,6 +7,7 @@ job; the functions that return a dict collect one page of at most 100 rows and a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryError
 from ..functions import matching, text
 from ..operators import cursor, ranked
-from ..sources import catalog
+from ..sources import catalog, inverted, skipping
 from . import api
 
 DETAIL = ("signatures", "full")
@@ -35,6 +36,7 @@ class Backend:
     package: tuple[str, ...] = ()  # id, assembly, version, digest, feed
     default_framework: str | None = None
     frameworks: tuple[str, ...] = ()
+    indexes: dict[str, inverted.Inverted | skipping.Skipping] = field(default_factory=dict)  # of types, uses (by name) and prose (by trigrams)
 
     @property
     def order(self) -> tuple:
@@ -57,8 +59,29 @@ class Composition:
             self._cache[name] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         return self._cache[name]
 
-    def _one(self, priority: int, b: Backend, name: str) -> DataFrame:
-        rows = b.tables[name]
+    def narrowed(self, name: str, pick: Callable[[inverted.Inverted | skipping.Skipping], DataFrame | None]) -> DataFrame:
+        """As ``table``, but of a backend with an index of that table the rows that ``pick`` takes from it."""
+        parts = []
+        for i, b in enumerate(self.backends):
+            if name in b.tables:
+                index = b.indexes.get(name)
+                parts.append(self._one(i, b, name, pick(index) if index is not None else None))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def types_for(self, pattern: str) -> DataFrame:
+        return self.narrowed("types", lambda index: inverted.types_for(index, pattern))
+
+    def types_spelled(self, *names: str) -> DataFrame:
+        return self.narrowed("types", lambda index: inverted.types_spelled(index, list(names)))
+
+    def uses_of(self, symbol: str) -> DataFrame:
+        return self.narrowed("uses", lambda index: inverted.uses_of(index, symbol))
+
+    def prose_with(self, query: str) -> DataFrame:
+        return self.narrowed("prose", lambda index: index.read([query]))
+
+    def _one(self, priority: int, b: Backend, name: str, found: DataFrame | None = None) -> DataFrame:
+        rows = b.tables[name] if found is None else found
         if b.origin == "nuget" and "framework" in rows.columns:
             rows = rows.filter(F.col("framework") == self.framework)
         own = {"origin": F.lit(b.origin), "source": F.lit(b.source), "priority": F.lit(priority), "revision": F.lit(b.revision)}
@@ -99,7 +122,7 @@ def snapshot_backends(spark: SparkSession, sources: dict[str, catalog.Source], c
             continue
         state, tables = catalog.snapshot(spark, sources, cache, name)
         revision = catalog.revision_key("git", repository=state["repository"], ref=state["ref"], commit=state["commit"])
-        out.append(Backend("git", name, revision, {t: df for t, df in tables.items() if t != "skipped"}))
+        out.append(Backend("git", name, revision, {t: df for t, df in tables.items() if t != "skipped"}, indexes=catalog.indexes(spark, cache, name, state)))
         for p, found in catalog.package_tables(spark, cache, name, state):
             revision = catalog.revision_key("nuget", package=p["packageId"], version=p["version"], sha512=p["sha512"], feed=p["feed"])
             package = tuple(p[k] for k in ("packageId", "assemblyName", "version", "sha512", "feed"))
@@ -127,7 +150,7 @@ def resolve(c: Composition, symbol: str) -> DataFrame:
     One pass over the types; what a backend has is decided among the rows that match.
     """
     matching.check_symbol(symbol)
-    types = c.table("types")
+    types = c.types_spelled(symbol, symbol.rpartition(".")[0] or symbol)
     types = types if "display_name" in types.columns else types.withColumn("display_name", F.col("type_name"))
     head, dot, tail = symbol.rpartition(".")
     whole = F.coalesce(selects_type(symbol), F.lit(False))
@@ -192,24 +215,24 @@ def lookup_outcome(c: Composition, symbol: str) -> DataFrame:
 
 
 def search_page(c: Composition, pattern: str, limit: int = 20, offset: int = 0) -> DataFrame:
-    return ranked.page(api.search_names(c.table("types"), pattern, first=("priority",)), [*api.NAME_ORDER, "revision"], limit, offset, more="is_partial")
+    return ranked.page(api.search_names(c.types_for(pattern), pattern, first=("priority",)), [*api.NAME_ORDER, "revision"], limit, offset, more="is_partial")
 
 
-def dotted_miss(pattern: str, n: int) -> str | None:
-    """What to call instead where a dotted pattern finds no type."""
-    segments = pattern.split(".")
-    if n or len(segments) < 2 or not all(segments):
+def hint_for(pattern: str, n: int) -> str | None:
+    """Advice for a search by a name in several parts that found nothing: look the whole up, as it may be a member, or search for its last part."""
+    last = pattern.rpartition(".")[2]
+    if n or last == pattern or "" in pattern.split("."):
         return None
-    return f"No type name matched '{pattern}'. If it names a member, call lookup_api(symbol: \"{pattern}\"). If it is a generic type's full name, search its simple name: search_api(pattern: \"{segments[-1]}\")."
+    return f"Nothing is named {pattern!r}. A member is found with lookup_api({pattern!r}); a type with type parameters with search_api({last!r})."
 
 
 def text_page(c: Composition, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
-    return ranked.page(api.search_prose(c.table("prose"), query), [*api.PROSE_ORDER[:-1], "revision", "declaration_id"], limit, offset, more="is_partial")
+    return ranked.page(api.search_prose(c.prose_with(query), query), [*api.PROSE_ORDER[:-1], "revision", "declaration_id"], limit, offset, more="is_partial")
 
 
 def references(c: Composition, symbol: str) -> DataFrame:
     """All references with their sibling flag. Whether the attribute's long name is a type, each backend's own types decide."""
-    return api.find_references(c.table("uses"), symbol, c.table("types"), by=("priority",), siblings=True)
+    return api.find_references(c.uses_of(symbol), symbol, c.types_spelled(symbol, f"{symbol}Attribute"), by=("priority",), siblings=True)
 
 
 def reference_order() -> list[str | Column]:
@@ -225,7 +248,7 @@ def reference_summary(c: Composition, symbol: str) -> DataFrame:
     """One row: the totals by kind, the sibling type that takes the symbol's short form, if one exists, and how often it is applied so."""
     found = references(c, symbol)
     totals = found.agg(*[F.count_if((F.col("kind") == k) & ~F.col("is_sibling")).alias(f"n_{k}") for k in matching.KINDS], F.count_if("is_sibling").alias("sibling_applications"))
-    sibling = c.table("types").filter(F.col("full_name") == f"{symbol}Attribute").agg(F.min("full_name").alias("sibling_type"))
+    sibling = c.types_spelled(f"{symbol}Attribute").filter(F.col("full_name") == f"{symbol}Attribute").agg(F.min("full_name").alias("sibling_type"))
     return totals.withColumn("k", F.lit(0)).join(sibling.withColumn("k", F.lit(0)), "k").drop("k")
 
 
@@ -291,18 +314,18 @@ def search_api(backends: list[Backend], pattern: str, framework: str | None = No
     _limit(limit)
     c = compose(backends, None, framework)
     scope = cursor.scope(_said(pattern, "pattern"), c.framework)
-    found = api.search_names(c.table("types"), pattern, first=("priority",))
+    found = api.search_names(c.types_for(pattern), pattern, first=("priority",))
     offset = _start("search", scope, c, token, found)
     out = _page(search_page(c, pattern, limit, offset).select("name", "matched_on", "namespace_depth", "revision", "position", "is_partial"), "search", scope, c, offset, limit)
     items = out.pop("rows")
-    return {"items": items, "note": dotted_miss(pattern, len(items) + offset), **out}
+    return {"items": items, "note": hint_for(pattern, len(items) + offset), **out}
 
 
 def search_api_text(backends: list[Backend], query: str, source: str | None = None, framework: str | None = None, limit: int = 20, token: str | None = None) -> dict:
     _limit(limit)
     c = compose(backends, source, framework)
     scope = cursor.scope(_said(query, "query"), source, c.framework)
-    offset = _start("search-text", scope, c, token, api.search_prose(c.table("prose"), query))
+    offset = _start("search-text", scope, c, token, api.search_prose(c.prose_with(query), query))
     page = text_page(c, query, limit, offset).select("symbol", "element", "text", "is_truncated", "more_from_symbol", "revision", "position", "is_partial")
     out = _page(page, "search-text", scope, c, offset, limit)
     return {"hits": out.pop("rows"), **out}
@@ -320,7 +343,7 @@ def find_api_references(
     page = ranked.page(found, reference_order(), limit, offset, more="is_partial")
     out = _page(page.select("symbol", "kind", "parameter_name", "type_expression", "attribute_type", "is_exact", "revision", "position", "is_partial"), "references", scope, c, offset, limit)
     s = reference_summary(c, symbol).first()
-    note = {"sibling_type": s["sibling_type"], "applications": s["sibling_applications"], "next": f"Call find_api_references with symbol \"{s['sibling_type']}\" to reach its attribute applications, which are excluded here."} if s["sibling_type"] else None
+    note = {"sibling_type": s["sibling_type"], "applications": s["sibling_applications"], "next": f"Its own uses are found with find_api_references({s['sibling_type']!r})."} if s["sibling_type"] else None
     return {"hits": out.pop("rows"), "totals": {k: s[f"n_{k}"] for k in matching.KINDS}, "note": note, **out}
 
 

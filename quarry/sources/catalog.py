@@ -17,9 +17,10 @@ from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from . import assemblies, corpus_rules, packages
+from . import assemblies, corpus_rules, inverted, packages, skipping
 from .files import Files
 from .packages import safe_framework, valid_package_id, valid_version
 
@@ -94,8 +95,33 @@ def _unfinished(files: Files, place: str, origin: str, current: str | None) -> s
     return None
 
 
-STEPS = ("prepare", "read", "write", "publish", "prune")
-PACKAGE_STEPS = ("prepare", "read", "write", "fetch packages", "validate packages", "build corpora", "publish", "prune")
+def build_index(spark: SparkSession, table: str, index: str, name: str) -> None:
+    """The index of a stored table, if its kind has one: of types and uses by name, of prose and documents the trigrams of each file."""
+    if name == "types":
+        inverted.write_names(spark.read.parquet(table), index)
+    elif name == "uses":
+        inverted.write_uses(spark.read.parquet(table), index)
+    elif name in ("prose", "docs"):
+        skipping.build(spark, table, index, F.lower("text") if name == "prose" else F.col("text"))
+
+
+def open_index(spark: SparkSession, table: str, index: str, name: str, only: str | None = None) -> inverted.Inverted | skipping.Skipping:
+    if name in ("types", "uses"):
+        return inverted.Inverted(spark, index, spark.read.parquet(table).schema, only=only)
+    return skipping.Skipping(spark, table, index, folds=name == "prose", only=only)
+
+
+INDEXED = ("types", "uses", "prose", "docs")
+
+
+def indexes(spark: SparkSession, cache: str, name: str, state: dict) -> dict[str, inverted.Inverted | skipping.Skipping]:
+    """The indexes of a snapshot's tables."""
+    here = f"{cache}/{name}/{state['generation']}"
+    return {t: open_index(spark, f"{here}/{t}", f"{here}/index/{t}", t) for t in state.get("indexes", [])}
+
+
+STEPS = ("prepare", "read", "write", "index", "publish", "prune")
+PACKAGE_STEPS = ("prepare", "read", "write", "index", "fetch packages", "validate packages", "build corpora", "publish", "prune")
 
 
 def sync_source(
@@ -132,6 +158,11 @@ def sync_source(
             for table, df in tables.items():
                 if not files.exists(f"{here}/{table}/_SUCCESS"):
                     df.write.mode("overwrite").parquet(f"{here}/{table}")
+            at("index")
+            indexed = [t for t in INDEXED if t in tables]
+            for t in indexed:
+                if not files.exists(f"{here}/index/{t}/_SUCCESS"):
+                    build_index(spark, f"{here}/{t}", f"{here}/index/{t}", t)
             supplements = [_supplement(spark, files, here, d, fetch, read_metadata, fetched, at) for d in source.api_packages]
         except Exception as e:
             if isinstance(e, QueryError):  # the content is refused; another attempt would find the same
@@ -141,7 +172,7 @@ def sync_source(
         at("publish")
         state = {
             "schemaVersion": STATE_VERSION, "name": name, "repository": source.repository, "url": source.url, "ref": said, "commit": commit, "fetchedAt": fetched, "sparse": source.sparse,
-            "generation": generation, "tables": sorted(tables), "corpusSchema": corpus_rules.VERSION, "apiPackages": supplements,
+            "generation": generation, "tables": sorted(tables), "indexes": indexed, "corpusSchema": corpus_rules.VERSION, "apiPackages": supplements,
         }
         files.create(f"{here}/published", fetched, overwrite=True)
         files.replace(f"{place}/state.json", json.dumps(state))

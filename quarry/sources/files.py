@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 import uuid
 from contextlib import contextmanager
@@ -11,6 +12,19 @@ from pyspark.sql import SparkSession
 from ..errors import QueryError
 
 
+_PLACES: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is set and all runs on one machine."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise QueryError("invalid_request", "set spark.checkpoint.dir to a folder that driver and executors share")
+        place = _PLACES.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quarry-"))
+    return f"{place.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
+
+
 class Files:
     """Paths are strings, with or without a scheme; without one they are on Spark's default file system."""
 
