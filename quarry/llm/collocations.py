@@ -2,10 +2,11 @@
 
 Texts are lower-cased (A-Z), cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and these into words ``[^\\x20\\x09]+``. In each language
 
-1. words are counted, combined before the shuffle. A phrase with a word under ``min_count`` has itself fewer occurrences, so pieces
-   are cut at such words too. Which words are frequent the tasks read from a bitmap of fixed size (2^``filter_bits`` bits); the few
-   rare words that it lets through cost time only.
-2. each word begins a suffix of its piece, of ``max_n`` words at most. Equal suffixes of a chunk are combined, then shuffled by language and
+1. words are counted, combined before the shuffle. A phrase with a word, or a beginning of up to ``LONGEST`` words, that has fewer than ``min_count`` occurrences has fewer itself, so
+   suffixes are cut there. Which words are frequent the tasks read from a bitmap of at most 2^``filter_bits`` bits. Phrases of up to ``LONGEST`` words are counted in at most
+   2^``filter_bits`` hashed counters, which a task keeps as bytes; what they add up to says which are rare. What either filter lets through besides costs time only.
+   The most frequent words (32,509 at most) are written as short numbers.
+2. each word begins a suffix of its piece, of ``max_n`` words at most. Equal suffixes of a task are combined, then shuffled by language and
    first word. First words that make up more than 1/``HOT`` of all words (fewer than ``HOT``, by counting) would be too much for a task: their
    suffixes are dealt by the words up to and with the first that isn't one of them, and what only such words make up is summed afterwards.
 3. each partition is sorted in reverse lexicographic order and read once with one stack, which holds the count of every prefix of the
@@ -23,6 +24,7 @@ there; equal scores go to the larger count, then to the phrase that is first in
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +42,14 @@ from ._words import hash_words, mix, splitmix
 HOT = 4096
 #: Bytes of text that are taken together; fewer than 2^21 distinct words.
 CHUNK = 4 << 20
+#: Phrases of up to so many words are counted beforehand, to cut suffixes at rare ones.
+LONGEST = 2
+#: The most frequent words are written as numbers of one or two bytes (codes have no bytes under 3); others are spelled, after a byte 2.
+ONE_BYTE, TWO_BYTES = 125, 128 * 253
+#: Suffixes that a task combines at a time.
+HELD = 1 << 20
+#: Hashed counters that are added up together.
+RANGE = 1 << 16
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[0x20, 0x09]] = 1
 _CLASS[[*b".,;:!?", 10, 11, 12, 13]] = 2
@@ -49,6 +59,14 @@ _SALT = splitmix(8, 5) | np.uint64(1)
 SEP = b"\0"
 
 
+def code(rank: int) -> bytes:
+    """The number of a word, by its rank."""
+    if rank < ONE_BYTE:
+        return bytes([131 + rank])
+    first, second = divmod(rank - ONE_BYTE, 253)
+    return bytes([3 + first, 3 + second])
+
+
 def escaped(text: bytes) -> bytes:
     """The text without the bytes 0 and, but for escapes, 1; the order of texts stays."""
     return text.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1") if b"\0" in text or b"\1" in text else text
@@ -96,6 +114,10 @@ class Words:
         lang = np.array([number[p[0]] for p in parts], dtype=np.int64)[part]
         return cls(words.dictionary, words.indices.to_numpy().astype(np.int64), lang, np.cumsum(kind == 2)[start], own, langs)
 
+    def keys(self) -> np.ndarray:
+        """The hash of each distinct word in each language."""
+        return np.stack([word_keys(lang, self.words) for lang in self.langs])
+
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language, word, n) of what stands there."""
         keys, n = np.unique(self.lang[self.own] * len(self.words) + self.ids[self.own], return_counts=True)
@@ -149,20 +171,102 @@ def frequent_keys(counts: DataFrame) -> DataFrame:
     return counts.select("lang", "word").mapInArrow(run, "key long")
 
 
-def chunk_suffixes(w: Words, seen: np.ndarray, bits: int, hot: dict[bytes, list[bytes]], max_n: int) -> pa.RecordBatch:
-    """(key, part, hot, n): the distinct suffixes of a chunk."""
-    size = len(w.words)
-    hashes = np.stack([word_keys(lang, w.words) for lang in w.langs]) if size else np.empty((len(w.langs), 0), dtype=np.uint64)
-    is_hot = np.stack([pc.is_in(w.words, value_set=pa.array(hot.get(lang, []), pa.binary())).to_numpy(zero_copy_only=False) for lang in w.langs])
-    kept = may_hold(seen, bits, hashes[w.lang, w.ids])
-    columns, alive = [], kept
-    for j in range(max_n):  # the word at distance j, from 1; 0 where the piece has ended
-        if j:
-            longer = np.zeros(len(kept), dtype=bool)
-            longer[:-j] = alive[:-j] & kept[j:] & (w.piece[j:] == w.piece[:-j])
+@dataclass
+class Frequent:
+    """What tasks know of the corpus: bitmaps of frequent words and phrases, the words that have codes, and the hot words by language."""
+
+    words: np.ndarray
+    word_bits: int
+    phrases: np.ndarray | None
+    phrase_bits: int
+    longest: int
+    top: list[bytes]
+    hot: dict[bytes, list[bytes]]
+
+    def grams(self, w: Words, hashes: np.ndarray, max_n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1, 2, ... max_n words: whether as many from each place on are one piece's and may all be frequent, and their hash."""
+        mine = hashes[w.lang, w.ids]
+        kept = may_hold(self.words, self.word_bits, mine)
+        alive, key = kept, mine
+        yield alive, key
+        for j in range(1, max_n):
+            longer, both = np.zeros(len(kept), dtype=bool), mix(key * _SALT[5])
+            if j < len(kept):
+                longer[:-j] = alive[:-j] & kept[j:] & (w.piece[j:] == w.piece[:-j])
+                both[:-j] += mine[j:] * _SALT[6]
+            key = mix(both)
+            if self.phrases is not None and j < self.longest:
+                longer[longer] = may_hold(self.phrases, self.phrase_bits, key[longer])
             alive = longer
-        columns.append(np.where(alive, np.concatenate([w.ids[j:], np.zeros(min(j, len(kept)), dtype=np.int64)]) + 1, 0))
-    rows = np.flatnonzero(kept & w.own)
+            yield alive, key
+
+
+def _width(cap: int) -> int:
+    return 1 if cap < 1 << 8 else 4
+
+
+def _ranges(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """Ranges of counters, compressed: most are 0."""
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([zlib.compress(r[1].tobytes(), 1) for r in rows], pa.binary())], ["at", "counts"])
+
+
+def frequent_phrases(texts: DataFrame, known: Frequent, min_count: int, bits: int) -> np.ndarray:
+    """The bitmap of 2^bits hashed counters of pairs that reach min_count. Tasks count in bytes up to a cap; ranges of counters are added up in two steps."""
+    cap = min_count
+    kind = f"u{_width(cap)}"
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, dtype=kind)
+        for w in _read(batches, known.longest - 1):
+            for j, (alive, key) in enumerate(shared.value.grams(w, w.keys(), known.longest)):
+                if j:
+                    at, n = np.unique((key[alive & w.own] >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+                    held[at] = np.minimum(held[at].astype(np.int64) + n, cap)
+        for at in range(0, len(held), RANGE):
+            part = held[at : at + RANGE]
+            if part.any():
+                yield _ranges([(at // RANGE, part)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, total = None, None
+        for b in batches:  # sorted by range
+            for at, counts in zip(b.column("at").to_pylist(), b.column("counts"), strict=True):
+                part = np.frombuffer(zlib.decompress(counts.as_buffer()), dtype=kind)
+                if at == here:
+                    total = np.minimum(total + part, cap)
+                    continue
+                if here is not None:
+                    yield _ranges([(here, total.astype(kind))])
+                here, total = at, part.astype(np.int64)
+        if here is not None:
+            yield _ranges([(here, total.astype(kind))])
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in add(batches):
+            (part,) = b.column("counts").to_pylist()
+            full = np.frombuffer(zlib.decompress(part), dtype=kind) >= cap
+            if full.any():
+                yield pa.RecordBatch.from_arrays([b.column("at"), pa.array([np.packbits(full).tobytes()], pa.binary())], ["at", "counts"])
+
+    ddl = "at int, counts binary"
+    parts = texts.mapInArrow(count, ddl).withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(64)))
+    parts = parts.repartition("at", "slot").sortWithinPartitions("at").select("at", "counts").mapInArrow(add, ddl)
+    parts = parts.repartition("at").sortWithinPartitions("at").mapInArrow(reached, ddl)
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in parts.toLocalIterator():  # 2^bits / 8 bytes at most
+        out[r["at"] * RANGE // 8 :][: len(r["counts"])] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return out
+
+
+def chunk_suffixes(w: Words, known: Frequent, max_n: int) -> pa.RecordBatch:
+    """(key, part, hot, n): the distinct suffixes of a chunk."""
+    hashes = w.keys()
+    is_hot = np.stack([pc.is_in(w.words, value_set=pa.array(known.hot.get(lang, []), pa.binary())).to_numpy(zero_copy_only=False) for lang in w.langs])
+    columns = []
+    for j, (alive, _) in enumerate(known.grams(w, hashes, max_n)):  # the word at distance j, from 1; 0 where the piece has ended
+        columns.append(np.where(alive, np.concatenate([w.ids[j:], np.zeros(min(j, len(w.ids)), dtype=np.int64)]) + 1, 0))
+    rows = np.flatnonzero((columns[0] > 0) & w.own)
     packed = [w.lang[rows], *(c[rows] for c in columns)]
     keys = []
     for at in range(0, len(packed), 3):  # three fields of 21 bits
@@ -183,14 +287,38 @@ def chunk_suffixes(w: Words, seen: np.ndarray, bits: int, hot: dict[bytes, list[
     leading, open_ = np.zeros(len(first), dtype=np.int32), np.ones(len(first), dtype=bool)
     for j, c in enumerate(ids):  # the part: all words up to and with the first that isn't hot
         present = c >= 0
-        part += np.where(present & open_, hashes[lang, c] * _SALT[j % 7] + np.uint64(j), np.uint64(0))
+        part += np.where(present & open_, hashes[lang, c] * _SALT[j % 5] + np.uint64(j), np.uint64(0))
         open_ &= present
         open_[open_] = is_hot[lang[open_], c[open_]]
         leading += open_
     names = pa.array(w.langs, pa.binary()).take(pa.array(lang))
-    texts = [w.words.take(pa.array(c, mask=c < 0)) for c in ids]
+    rank = pc.index_in(w.words, value_set=pa.array(known.top, pa.binary()))
+    codes = pa.array([code(i) for i in range(len(known.top))], pa.binary())
+    words = pc.coalesce(codes.take(rank), pc.binary_join_element_wise(pa.scalar(b"\2", pa.binary()), w.words, pa.scalar(b"", pa.binary())))
+    texts = [words.take(pa.array(c, mask=c < 0)) for c in ids]
     key = pc.binary_join_element_wise(names, *texts, pa.scalar(SEP, pa.binary()), null_handling="skip")
-    return pa.RecordBatch.from_arrays([key, pa.array(mix(part).view(np.int64)), pa.array(leading), pa.array(n.astype(np.int64))], ["key", "part", "hot", "n"])
+    # 32 bits of the part are enough to deal rows by
+    return pa.RecordBatch.from_arrays([key, pa.array((mix(part) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(leading), pa.array(n.astype(np.int64))], ["key", "part", "hot", "n"])
+
+
+def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up equal suffixes of several chunks, ``HELD`` rows at a time."""
+    held, size = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        if len(held) > 1:
+            table = table.group_by(["key", "part", "hot"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        return iter(table.sort_by([("part", "ascending"), ("key", "ascending")]).to_batches(max_chunksize=1 << 16))
+
+    for b in batches:
+        held.append(b)
+        size += len(b)
+        if size >= HELD:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
 
 
 class PrefixStack:
@@ -251,21 +379,32 @@ def phrase_counts(texts: DataFrame, counts: DataFrame, total: int, min_count: in
     hot: dict[bytes, list[bytes]] = {}
     for r in counts.filter(F.col("n") > total // HOT).select("lang", "word").collect():  # fewer than HOT
         hot.setdefault(bytes(r["lang"]), []).append(bytes(r["word"]))
-    shared = spark.sparkContext.broadcast((bitmap(frequent_keys(counts.filter(F.col("n") >= min_count)), filter_bits), hot))
+    frequent = counts.filter(F.col("n") >= min_count)
+    bits = lambda n: min(max(int(n).bit_length(), 16), filter_bits)
+    top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "lang", "word").limit(ONE_BYTE + TWO_BYTES).select("word").collect()]
+    top = list(dict.fromkeys(top))
+    word_bits, phrase_bits = bits(frequent.count() * 64), bits(total // 8)
+    known = Frequent(bitmap(frequent_keys(frequent), word_bits), word_bits, None, phrase_bits, min(LONGEST, max_n), top, hot)
+    known.phrases = frequent_phrases(texts, known, min_count, phrase_bits)
+    shared = spark.sparkContext.broadcast(known)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, often = shared.value
-        for w in _read(batches, max_n - 1):
-            yield chunk_suffixes(w, seen, filter_bits, often, max_n)
+        return combined(chunk_suffixes(w, shared.value, max_n) for w in _read(batches, max_n - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = PrefixStack(max_n, min_count)
-        of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["key", "f"])
+        of_code = {code(i): word for i, word in enumerate(shared.value.top)}
+
+        def spelled(key: bytes) -> bytes:
+            lang, *words = key.split(SEP)
+            return SEP.join([lang, *(w[1:] if w[:1] == b"\2" else of_code[w] for w in words)])
+
+        of = lambda rows: pa.RecordBatch.from_arrays([pa.array([spelled(r[0]) for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["key", "f"])
         for b in batches:
             yield of(stack.add(b.column("key"), b.column("hot").to_numpy(), b.column("n").to_numpy()))
         yield of(stack.end())
 
-    suffixes = texts.mapInArrow(emit, "key binary, part long, hot int, n long")
+    suffixes = texts.mapInArrow(emit, "key binary, part int, hot int, n long")
     dealt = suffixes.repartition("part").drop("part").sortWithinPartitions(F.col("key").desc())
     return dealt.mapInArrow(count, "key binary, f long").groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
 
