@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import catalog, skipping
+from ..sources import catalog, inverted, skipping
 from ..sources.files import Files, shared_folder
 from . import assembly_writer
 from .service import Backend
@@ -243,6 +243,20 @@ def stored_docs(spark: SparkSession, sf_dir: str) -> skipping.Skipping:
     return catalog.open_index(spark, f"{place}/docs", f"{place}/index/docs", "docs")
 
 
+def canonical_uses(spark: SparkSession, sf_dir: str) -> inverted.Inverted:
+    """``uses`` as an inverted table, package rows with the canonical names of the types in their expression: a part's type, and what holds it."""
+    first = F.concat(F.lit("System."), F.regexp_extract("type_expression", r"System\.([A-Z]{2,})", 1))
+    holder = F.when(F.startswith("type_expression", F.lit("System.Collections")), F.array(F.lit("System.Collections.Generic.IEnumerable"), first))
+    names = holder.when(F.endswith("type_expression", F.lit("Comparer")), F.array(F.lit("System.Comparer"))).otherwise(F.array(first))
+
+    def write(place: str) -> None:
+        uses(spark, sf_dir).withColumn("type_names", F.when(F.col("origin") == "nuget", names)).write.parquet(f"{place}/uses")
+        catalog.build_index(spark, f"{place}/uses", f"{place}/index/uses", "uses")
+
+    place = _ingested(spark, sf_dir, "uses", write)
+    return catalog.open_index(spark, f"{place}/uses", f"{place}/index/uses", "uses")
+
+
 def backends(spark: SparkSession, sf_dir: str) -> list[Backend]:
     """A source of repositories only, ``lib``, and one with two packages, ``app``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryError
 from ..functions import matching, ranking, text
 from ..operators import cursor, outline, paging, ranked
-from ..sources import catalog, markdown
+from ..sources import catalog, markdown, skipping
 
 ORDER = ("tier", "head", "path", "line_no", "repo")
 
@@ -30,12 +31,18 @@ def line_hits(docs: DataFrame, query: str, regex: bool = False) -> DataFrame:
     return found.withColumns({"tier": ranking.document_tier(F.col("path")), "head": ranking.heading_rank(F.col("line")), "text": cut, "is_truncated": more}).drop("line")
 
 
-def search(docs: DataFrame, query: str, regex: bool = False, limit: int = 20, offset: int = 0, sections: DataFrame | None = None) -> DataFrame:
-    """One ranked page of line hits, with their sections if these are given. Sections are looked up for the page's rows only."""
+def page_sections(page: DataFrame, docs: DataFrame) -> DataFrame:
+    """A page's lines with their sections. Of the documents those on the page are parsed only; these are as few as its rows, which the page's limit bounds."""
+    here = docs.join(F.broadcast(page.select("repo", "path").distinct()), ["repo", "path"], "left_semi")
+    return outline.attribute_sections(page, outline.section_paths(markdown.heading_rows(markdown.structured(here))))
+
+
+def search(docs: DataFrame, query: str, regex: bool = False, limit: int = 20, offset: int = 0, sections_of: DataFrame | None = None) -> DataFrame:
+    """One ranked page of line hits, with their sections if documents to take them from are given."""
     if not query:
         raise QueryError("invalid_request", "the query is empty")
     page = ranked.page(line_hits(docs, query, regex), list(ORDER), limit, offset).drop("tier", "head")
-    return outline.attribute_sections(page, sections) if sections is not None else page
+    return page_sections(page, sections_of) if sections_of is not None else page
 
 
 def search_repaired(docs: DataFrame, query: str, regex: bool = False, limit: int = 20, offset: int = 0) -> tuple[DataFrame, str, bool]:
@@ -62,26 +69,53 @@ def snapshot_documents(spark: SparkSession, sources: dict[str, catalog.Source],
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), revisions
 
 
-def search_docs(docs: DataFrame, query: str, regex: bool = False, source: str | None = None, limit: int = 20, token: str | None = None, revisions: list[str] | None = None) -> dict:
+def snapshot_filters(spark: SparkSession, sources: dict[str, catalog.Source], cache: str, source: str | None = None) -> Callable[[list[str]], DataFrame]:
+    """For ``search_docs``: what gives the documents of one source, or of all, that may hold some literals, from the files that their filters don't leave out."""
+    names = sorted(n for n, s in sources.items() if s.markdown) if source is None else [source]
+
+    def narrow(literals: list[str]) -> DataFrame:
+        parts = []
+        for name in names:
+            state, tables = catalog.snapshot(spark, sources, cache, name)
+            index = catalog.indexes(spark, cache, name, state).get("docs")
+            parts.append(index.read(literals) if index else tables["docs"])
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    return narrow
+
+
+def search_docs(
+    docs: DataFrame, query: str, regex: bool = False, source: str | None = None, limit: int = 20, token: str | None = None, revisions: list[str] | None = None,
+    narrow: Callable[[list[str]], DataFrame] | None = None,
+) -> dict:
     """One page of line hits with their sections, where it ends, and notes: how the query was read, and which documents could not be.
 
-    ``docs`` are a source's documents, those that could not be read marked by ``skipped``. The cursor is bound to the query as it was used.
+    ``docs`` are a source's documents, those that could not be read marked by ``skipped``. ``narrow`` gives those among which all are that hold some literals, by
+    their filters (see ``snapshot_filters``). The cursor is bound to the query as it was used.
     """
     if not 1 <= limit <= 100:
         raise QueryError("invalid_request", "limit is 1 to 100")
     if not query or not query.strip():
         raise QueryError("invalid_request", "the query is empty")
     missing = docs.filter("skipped is not null").select("repo", "path", F.col("skipped").alias("reason")) if "skipped" in docs.columns else None
-    readable = markdown.structured(docs.filter("skipped is null").drop("skipped") if missing is not None else docs)
+
+    def readable(asked: str) -> DataFrame:
+        found = narrow(skipping.literals_of(asked, regex)) if narrow else docs
+        return markdown.structured(found.filter("skipped is null").drop("skipped") if "skipped" in found.columns else found)
+
     used, fixed = query, text.repair_input(query)[0]
-    if not regex and fixed != query and fixed.strip() and line_hits(readable, query).isEmpty() and not line_hits(readable, fixed).isEmpty():
+    if not regex and fixed != query and fixed.strip() and line_hits(readable(query), query).isEmpty() and not line_hits(readable(fixed), fixed).isEmpty():
         used = fixed
     here = cursor.scope(used, regex, source, limit)
     offset = cursor.decode(token, "lang-search", here, revisions or [])
-    found = line_hits(readable, used, regex)
+    found = line_hits(readable(used), used, regex)
     ranked.check_offset(found, offset)
     page = ranked.page(found, list(ORDER), limit, offset, more="is_partial").drop("tier", "head")
-    rows = outline.attribute_sections(page, outline.section_paths(markdown.heading_rows(readable))).orderBy("position").collect()
+    rows = page.collect()  # the limit bounds them
+    if rows:
+        on_page = reduce(lambda a, b: a | b, [(F.col("repo") == r) & (F.col("path") == p) for r, p in sorted({(r["repo"], r["path"]) for r in rows})])
+        lines_ = docs.sparkSession.createDataFrame(rows, page.schema)
+        rows = outline.attribute_sections(lines_, outline.section_paths(markdown.heading_rows(readable(used).filter(on_page)))).orderBy("position").collect()
     partial = bool(rows) and rows[0]["is_partial"]
     skips = [r.asDict() for r in missing.orderBy("repo", "path").collect()] if missing is not None else []
     read = f"The query was read as {used!r}." if used != query else None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cursor, outline, paging, ranked
-from ..sources import api_xml, assemblies, documents, markdown, packages
+from ..sources import api_xml, assemblies, documents, inverted, markdown, packages, skipping
 from . import api, bindings, docs, service
 from .oracles import ORACLES
 
@@ -34,6 +34,30 @@ def doc_line_search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.search(bindings.docs(spark, sf_dir), r"(?i)\b(th|qu)[a-z]+ (de|of|the) ", regex=True, limit=40)
 
 
+@query
+def doc_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal search of stored documents: files without its trigrams are not read."""
+    return docs.search(bindings.stored_docs(spark, sf_dir).read(["tionle"]), "tionle", limit=50)
+
+
+@query
+def doc_pattern_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern's literals decide which files are read."""
+    pattern = r"[Tt]ionel[a-z]*\."
+    return docs.search(bindings.stored_docs(spark, sf_dir).read(skipping.literals_of(pattern, True)), pattern, regex=True, limit=50)
+
+
+@query
+def search_filters_keep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For some needles the documents that hold it, and those among the files that its trigrams leave: the same numbers."""
+    stored = bindings.stored_docs(spark, sf_dir)
+    needles = ("tion", "tionle", "ouè", "benchmark", "zzzz", "e, l")
+    whole = spark.read.parquet(stored.table).agg(*[F.count_if(F.col("text").contains(n)).alias(f"n{i}") for i, n in enumerate(needles)])
+    whole = whole.select(F.explode(F.array(*[F.struct(F.lit(n).alias("needle"), F.col(f"n{i}").alias("n")) for i, n in enumerate(needles)])).alias("r")).select("r.*")
+    kept = reduce(lambda a, b: a.unionByName(b), [stored.read([n]).agg(F.count_if(F.col("text").contains(n)).alias("n_read")).select(F.lit(n).alias("needle"), "n_read") for n in needles])
+    return whole.join(kept, "needle")
+
+
 def _talks(spark: SparkSession, sf_dir: str, front_matter: bool = False) -> tuple[DataFrame, DataFrame]:
     d = markdown.structured(bindings.conversations_md(spark, sf_dir, front_matter))
     return d, outline.section_paths(markdown.heading_rows(d))
@@ -41,14 +65,14 @@ def _talks(spark: SparkSession, sf_dir: str, front_matter: bool = False) -> tupl
 
 @query
 def doc_search_with_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, sections = _talks(spark, sf_dir)
-    return docs.search(d, "e", limit=60, sections=sections)
+    raw = bindings.conversations_md(spark, sf_dir)
+    return docs.search(markdown.structured(raw), "e", limit=60, sections_of=raw)
 
 
 @query
 def doc_search_frontmatter_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, sections = _talks(spark, sf_dir, True)
-    return docs.search(d, "user", limit=60, sections=sections)
+    raw = bindings.conversations_md(spark, sf_dir, True)
+    return docs.search(markdown.structured(raw), "user", limit=60, sections_of=raw)
 
 
 @query
@@ -178,6 +202,15 @@ def api_reference_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.reference_totals(api.find_references(bindings.uses(spark, sf_dir), "System.ECONOMY", bindings.types(spark, sf_dir)))
 
 
+@query
+def api_references_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by the canonical names of packages and the expressions of repositories, from the inverted table; those that are not the type alone."""
+    symbol = "System.ECONOMY"
+    found = api.find_references(inverted.uses_of(bindings.canonical_uses(spark, sf_dir), symbol), symbol, bindings.types(spark, sf_dir))
+    found = api.filter_references(found, exact=False)
+    return ranked.page(found, ["symbol", "kind", F.coalesce("parameter_name", F.lit("")), "type_expression"], 100).select("origin", "symbol", "kind", "parameter_name", "type_expression", "is_exact", "position")
+
+
 @query
 def api_attribute_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.attribute_references(bindings.attribute_uses(spark, sf_dir), bindings.attribute_types(spark, sf_dir))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from . import assemblies, corpus_rules, inverted, packages, skipping
+from . import assemblies, corpus_rules, inverted, markdown, packages, skipping
 from .files import Files
 from .packages import safe_framework, valid_package_id, valid_version
 
@@ -154,6 +154,8 @@ def sync_source(
         try:
             at("read")
             tables = build(source)
+            if "docs" in tables:  # parsed once
+                tables["docs"] = markdown.structured(tables["docs"])
             at("write")
             for table, df in tables.items():
                 if not files.exists(f"{here}/{table}/_SUCCESS"):

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import normalise_line_breaks
 
@@ -82,23 +83,27 @@ def scan(text: str) -> dict:
     return {"headings": headings, "blocks": blocks, "body_start": body, "n_lines": len(lines)}
 
 
+_PARSED = (
+    ("headings", pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string()), ("start_line", pa.int32())]))),
+    ("blocks", pa.list_(pa.struct([("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))),
+    ("body_start", pa.int32()), ("n_lines", pa.int32()),
+)
+
+
 def structured(docs: DataFrame) -> DataFrame:
-    """(repo, path, text, headings, blocks, body_start, n_lines) of (repo, path, text)."""
-    arrow = pa.schema([
-        ("repo", pa.string()), ("path", pa.string()), ("text", pa.string()),
-        ("headings", pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string()), ("start_line", pa.int32())]))),
-        ("blocks", pa.list_(pa.struct([("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))),
-        ("body_start", pa.int32()), ("n_lines", pa.int32()),
-    ])
+    """The documents (repo, path, text, ...) with headings, blocks, body_start and n_lines; those that have them already, as stored ones do, as they are."""
+    if "headings" in docs.columns:
+        return docs
+    rows = docs.withColumn("text", normalise_line_breaks(F.col("text")))
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [scan(t or "") for t in b.column("text").to_pylist()]
-            more = [pa.array([f[n] for f in found], arrow.field(n).type) for n in ("headings", "blocks", "body_start", "n_lines")]
-            yield pa.RecordBatch.from_arrays([b.column("repo"), b.column("path"), b.column("text"), *more], schema=arrow)
+            found = [scan(t or "") for t in b.column(at).to_pylist()]
+            more = [pa.array([f[n] for f in found], kind) for n, kind in _PARSED]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], schema=pa.schema([*b.schema, *(pa.field(n, kind) for n, kind in _PARSED)]))
 
-    rows = docs.select("repo", "path", normalise_line_breaks(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, f"repo string, path string, text string, {STRUCTURE}")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(STRUCTURE).fields]))
 
 
 def heading_rows(docs: DataFrame) -> DataFrame:
