@@ -1,8 +1,12 @@
 """The catalog of sources, their snapshots, and the two queries about them.
 
-A snapshot is a folder of Parquet tables and package corpora that is never changed; a small file names the current one. A reader resolves
-that name once, so a query sees one generation whatever is published meanwhile: generations that are no longer current stay for ``grace`` seconds, for
+A snapshot is a folder of Parquet tables, their indexes and package corpora that is never changed. Numbered versions, each a small file that only one writer can
+create, name a generation; the last that can be read is the current one. There is no lock: writers work in generations of their own, to which they hold a claim with a
+number. Who wants to go on with one that was left takes the next number, after which the first can't publish it any more. A reader resolves
+the version once, so a query sees one generation whatever is published meanwhile: generations that are no longer current stay for ``grace`` seconds, for
 the readers that still hold their tables. Everything goes through Spark's file systems, so writers and readers may be on any machine.
+
+A generation's manifest has for each table the number of rows and a fingerprint, both taken while it is written, and a digest of its files' names and lengths, which every reader compares.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -24,7 +28,8 @@ from . import assemblies, corpus_rules, inverted, markdown, packages, skipping
 from .files import Files
 from .packages import safe_framework, valid_package_id, valid_version
 
-CATALOG_VERSION, STATE_VERSION = 1, 2
+CATALOG_VERSION, STATE_VERSION = 1, 3
+KEPT_VERSIONS = 20
 
 
 @dataclass(frozen=True)
@@ -68,14 +73,21 @@ def read_catalog(text: str) -> dict[str, Source]:
     return out
 
 
+def _versions(files: Files, place: str) -> list[int]:
+    return sorted(int(n[:-5]) for n in files.names(f"{place}/versions") if re.fullmatch(r"\d+\.json", n))
+
+
 def _published(files: Files, cache: str, name: str) -> dict | None:
-    """The published state; none if there is no readable one of this version, or its tables or corpora are of another."""
-    try:
-        state = json.loads(files.read(f"{cache}/{name}/state.json") or "null")
-        fits = state["schemaVersion"] == STATE_VERSION and state.get("corpusSchema", corpus_rules.VERSION) == corpus_rules.VERSION
-        return state if fits and files.exists(f"{cache}/{name}/{state['generation']}") else None
-    except Exception:  # noqa: BLE001  whatever is wrong with it, it isn't there
-        return None
+    """The last published state that is written whole; none if there is no readable one of this version, or its tables or corpora are of another."""
+    place = f"{cache}/{name}"
+    for version in reversed(_versions(files, place)[-KEPT_VERSIONS:]):
+        try:
+            state = json.loads(files.read(f"{place}/versions/{version:012d}.json") or "null")
+            fits = state["schemaVersion"] == STATE_VERSION and state.get("corpusSchema", corpus_rules.VERSION) == corpus_rules.VERSION
+            return state if fits and files.exists(f"{place}/{state['generation']}") else None
+        except Exception:  # noqa: BLE001  whatever is wrong with it, it isn't there yet
+            continue
+    return None
 
 
 def read_state(spark: SparkSession, cache: str, name: str) -> dict | None:
@@ -87,12 +99,55 @@ def _origin(source: Source, ref: str, commit: str) -> str:
     return json.dumps({"repository": source.repository, "url": source.url, "sparse": source.sparse, "ref": ref, "commit": commit, "packages": source.api_packages}, sort_keys=True)
 
 
-def _unfinished(files: Files, place: str, origin: str, current: str | None) -> str | None:
-    """A generation of this origin that was begun and not published."""
+def _begun(files: Files, place: str, origin: str, stale: float) -> tuple[str, int]:
+    """(generation, claim): one of this origin that was left unpublished, or a new one."""
     for name in files.names(place):
-        if name.startswith("gen-") and name != current and files.read(f"{place}/{name}/origin.json") == origin and not files.exists(f"{place}/{name}/published"):
-            return name
-    return None
+        if name.startswith("gen-") and files.read(f"{place}/{name}/origin.json") == origin and not files.exists(f"{place}/{name}/published"):
+            if (token := files.claim(f"{place}/{name}", stale)) is not None:
+                return name, token
+    name = f"gen-{uuid.uuid4().hex}"
+    token = files.claim(f"{place}/{name}", stale)
+    files.create(f"{place}/{name}/origin.json", origin)
+    return name, token
+
+
+def _write(df: DataFrame, path: str) -> dict:
+    """Writes a table; its number of rows and an order-independent fingerprint, taken meanwhile."""
+    seen = Observation()
+    row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes])
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("sum"), F.bit_xor(row).alias("xor")).write.mode("overwrite").parquet(path)
+    got = seen.get
+    return {"rows": int(got.get("rows") or 0), "fingerprint": f"{got.get('sum') or 0}/{got.get('xor') or 0}"}
+
+
+def _require_unique(spark: SparkSession, path: str, table: str) -> None:
+    """Refuses a stored table in which an id is repeated. Ids are counted before they are shuffled; no other column is read."""
+    again = spark.read.parquet(path).groupBy("declaration_id").agg(F.count("*").alias("n")).filter("n > 1 AND declaration_id IS NOT NULL").select("declaration_id").first()
+    if again is not None:
+        raise QueryError("source_invalid", f"{table} has the id {again[0]!r} more than once")
+
+
+def _publish(files: Files, place: str, here: str, token: int, state: dict) -> dict:
+    """Makes the state the next version, after those that others publish meanwhile; refused if the generation has been taken over."""
+    version = (_versions(files, place) or [0])[-1]
+    while True:
+        version += 1
+        if not files.holds(here, token):
+            raise QueryError("sync_failed", "another writer has taken this generation over")
+        if files.create(f"{place}/versions/{version:012d}.json", json.dumps(state | {"version": version})):
+            return state | {"version": version}
+
+
+def verify_tables(spark: SparkSession, cache: str, name: str, state: dict) -> list[str]:
+    """The tables of a snapshot whose rows are not those that were written; reads all of them."""
+    here, wrong = f"{cache}/{name}/{state['generation']}", []
+    for t, m in state["manifest"].items():
+        df = spark.read.parquet(f"{here}/{t}")
+        row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes])
+        got = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first()
+        if (got[0], f"{got[1] or 0}/{got[2] or 0}") != (m["rows"], m["fingerprint"]):
+            wrong.append(t)
+    return wrong
 
 
 def build_index(spark: SparkSession, table: str, index: str, name: str) -> None:
@@ -120,19 +175,19 @@ def indexes(spark: SparkSession, cache: str, name: str, state: dict) -> dict[str
     return {t: open_index(spark, f"{here}/{t}", f"{here}/index/{t}", t) for t in state.get("indexes", [])}
 
 
-STEPS = ("prepare", "read", "write", "index", "publish", "prune")
-PACKAGE_STEPS = ("prepare", "read", "write", "index", "fetch packages", "validate packages", "build corpora", "publish", "prune")
+STEPS = ("prepare", "read", "write", "publish", "prune")
+PACKAGE_STEPS = ("prepare", "read", "write", "fetch packages", "validate packages", "build corpora", "publish", "prune")
 
 
 def sync_source(
     spark: SparkSession, catalog: dict[str, Source], cache: str, name: str, build: Callable[[Source], dict[str, DataFrame]], ref: str | None = None, commit: str | None = None,
     progress: Callable[[int, int, str], None] = lambda i, n, what: None, fetch: Callable[[dict], bytes] | None = None, read_metadata: Callable[[bytes], dict] | None = None,
-    grace: float = 24 * 3600.0,
+    grace: float = 24 * 3600.0, stale: float = 6 * 3600.0,
 ) -> dict:
-    """Writes the tables that ``build`` gives, and the corpora of the source's packages, as a new generation, then makes it the current one.
+    """Writes the tables that ``build`` gives, their indexes, and the corpora of the source's packages, as a new generation, then makes it the current one.
 
     A failure leaves the published generation as it was; what was written of the new one is taken up by the next attempt at the same
-    origin. ``fetch`` gives the archive of a package's definition; ``read_metadata`` the corpus of an assembly, if not by its compiled metadata.
+    origin, also if its writer has not been heard of for ``stale`` seconds. A source in which two types, or two members, have one id is refused. ``fetch`` gives the archive of a package's definition; ``read_metadata`` the corpus of an assembly, if not by its compiled metadata.
     """
     if name not in catalog:
         raise QueryError("unknown_source", f"no source {name!r}")
@@ -141,48 +196,52 @@ def sync_source(
     source, files, place = catalog[name], Files(spark), f"{cache}/{name}"
     steps = PACKAGE_STEPS if source.api_packages else STEPS
     at = lambda what: progress(steps.index(what) + 1, len(steps), what)
-    with files.lock(f"{place}/.lock"):
-        at("prepare")
-        state = _published(files, cache, name)
-        said, commit = source.head if ref else "pin", commit or source.pin
-        origin = _origin(source, said, commit)
-        generation = _unfinished(files, place, origin, (state or {}).get("generation"))
-        if generation is None:
-            generation = f"gen-{uuid.uuid4().hex}"
-            files.create(f"{place}/{generation}/origin.json", origin)
-        here, fetched = f"{place}/{generation}", datetime.now(UTC).isoformat()
-        try:
-            at("read")
-            tables = build(source)
-            if "docs" in tables:  # parsed once
-                tables["docs"] = markdown.structured(tables["docs"])
-            at("write")
-            for table, df in tables.items():
-                if not files.exists(f"{here}/{table}/_SUCCESS"):
-                    df.write.mode("overwrite").parquet(f"{here}/{table}")
-            at("index")
-            indexed = [t for t in INDEXED if t in tables]
-            for t in indexed:
-                if not files.exists(f"{here}/index/{t}/_SUCCESS"):
-                    build_index(spark, f"{here}/{t}", f"{here}/index/{t}", t)
-            supplements = [_supplement(spark, files, here, d, fetch, read_metadata, fetched, at) for d in source.api_packages]
-        except Exception as e:
-            if isinstance(e, QueryError):  # the content is refused; another attempt would find the same
-                files.delete(here)
-                raise
-            raise QueryError("sync_failed", str(e)) from e
-        at("publish")
-        state = {
-            "schemaVersion": STATE_VERSION, "name": name, "repository": source.repository, "url": source.url, "ref": said, "commit": commit, "fetchedAt": fetched, "sparse": source.sparse,
-            "generation": generation, "tables": sorted(tables), "indexes": indexed, "corpusSchema": corpus_rules.VERSION, "apiPackages": supplements,
-        }
-        files.create(f"{here}/published", fetched, overwrite=True)
-        files.replace(f"{place}/state.json", json.dumps(state))
-        at("prune")
-        now = datetime.now(UTC).timestamp()
-        for old in files.names(place):
-            if old.startswith("gen-") and old != generation and now - files.changed(f"{place}/{old}") >= grace:
-                files.delete(f"{place}/{old}")
+    at("prepare")
+    said, commit = source.head if ref else "pin", commit or source.pin
+    generation, token = _begun(files, place, _origin(source, said, commit), stale)
+    here, fetched = f"{place}/{generation}", datetime.now(UTC).isoformat()
+    try:
+        at("read")
+        tables = build(source)
+        if "docs" in tables:  # parsed once
+            tables["docs"] = markdown.structured(tables["docs"])
+        at("write")
+        manifest = {}
+        for table, df in tables.items():
+            note = f"{here}/manifest/{table}.json"
+            if not files.exists(note):
+                entry = _write(df, f"{here}/{table}")
+                if table in ("types", "members") and "declaration_id" in df.columns:
+                    _require_unique(spark, f"{here}/{table}", table)
+                files.create(note, json.dumps(entry | {"listing": files.listing(f"{here}/{table}")}), overwrite=True)
+            manifest[table] = json.loads(files.read(note))
+        indexed = [t for t in INDEXED if t in tables]
+        for t in indexed:
+            if not files.exists(f"{here}/index/{t}/_SUCCESS"):
+                build_index(spark, f"{here}/{t}", f"{here}/index/{t}", t)
+        supplements = [_supplement(spark, files, here, d, fetch, read_metadata, fetched, at) for d in source.api_packages]
+    except Exception as e:
+        if isinstance(e, QueryError):  # the content is refused; another attempt would find the same
+            files.delete(here)
+            raise
+        files.release(here, token)
+        raise QueryError("sync_failed", str(e)) from e
+    at("publish")
+    state = {
+        "schemaVersion": STATE_VERSION, "name": name, "repository": source.repository, "url": source.url, "ref": said, "commit": commit, "fetchedAt": fetched, "sparse": source.sparse,
+        "generation": generation, "tables": sorted(tables), "manifest": manifest, "indexes": indexed, "corpusSchema": corpus_rules.VERSION, "apiPackages": supplements,
+    }
+    files.create(f"{here}/published", fetched, overwrite=True)
+    state = _publish(files, place, here, token, state)
+    files.release(here, token)
+    at("prune")
+    now = datetime.now(UTC).timestamp()
+    current = (_published(files, cache, name) or state)["generation"]
+    for old in files.names(place):
+        if old.startswith("gen-") and old not in (generation, current) and not files.claimed(f"{place}/{old}", stale) and now - files.changed(f"{place}/{old}") >= grace:
+            files.delete(f"{place}/{old}")
+    for version in _versions(files, place)[:-KEPT_VERSIONS]:
+        files.delete(f"{place}/versions/{version:012d}.json")
     return state
 
 
@@ -249,6 +308,9 @@ def snapshot(spark: SparkSession, catalog: dict[str, Source], cache: str, name:
     state, source = read_state(spark, cache, name), catalog[name]
     if not _current(state, source) or not all(supplement_state(d, state) for d in source.api_packages):
         raise QueryError("source_not_synced", f"sync {name!r} first")
+    files, here = Files(spark), f"{cache}/{name}/{state['generation']}"
+    if any(files.listing(f"{here}/{t}") != m["listing"] for t, m in state["manifest"].items()):
+        raise QueryError("source_not_synced", f"files of {name!r} were changed or lost; sync it again")
     return state, {t: spark.read.parquet(f"{cache}/{name}/{state['generation']}/{t}") for t in state["tables"]}
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import time
-import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -62,9 +62,13 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str | bytes, overwrite: bool = False) -> bool:
-        """Writes a new file; without ``overwrite`` false if there is one, which is decided by the file system."""
+        """Writes a new file; without ``overwrite`` false if there is one, which is decided by the file system: of several writers one makes it."""
         fs, where = self._at(path)
         try:
+            if not overwrite and fs.getUri().getScheme() == "file":  # Hadoop's local files are looked for and then made, which two can do
+                fs.mkdirs(where.getParent())
+                self._jvm.java.nio.file.Files.createFile(self._jvm.java.io.File(where.toUri().getPath()).toPath(), self._gateway.new_array(self._jvm.java.nio.file.attribute.FileAttribute, 0))
+                overwrite = True
             stream = fs.create(where, overwrite)
         except Exception:  # noqa: BLE001  what it is called differs by file system
             if fs.exists(where):
@@ -76,33 +80,44 @@ class Files:
             stream.close()
         return True
 
-    def replace(self, path: str, text: str) -> None:
-        """Readers see the old text or the new one, never a part."""
-        temporary = f"{path}.{uuid.uuid4().hex}"
-        self.create(temporary, text)
+    def listing(self, path: str) -> str:
+        """A digest of the names and lengths of a folder's files, at any depth; those that begin with a dot or underscore are left out, as Spark does."""
         fs, where = self._at(path)
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        kinds = self._gateway.new_array(rename, 1)
-        kinds[0] = rename.OVERWRITE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
-        context.rename(fs.makeQualified(self._jvm.org.apache.hadoop.fs.Path(temporary)), fs.makeQualified(where), kinds)
+        found, digest = [], hashlib.sha256()
+        if fs.exists(where):
+            base, files = fs.makeQualified(where).toString(), fs.listFiles(where, True)
+            while files.hasNext():
+                status = files.next()
+                name = status.getPath().toString()[len(base) :]
+                if not re.search(r"/[._]", name):
+                    found.append(f"{name} {status.getLen()}\n")
+        for line in sorted(found):
+            digest.update(line.encode())
+        return digest.hexdigest()
 
     def delete(self, path: str) -> None:
         fs, where = self._at(path)
         fs.delete(where, True)
 
-    @contextmanager
-    def lock(self, path: str, wait: float = 600.0, stale: float = 6 * 3600.0):
-        """One holder at a time: a file that only one can create. One that was left behind for longer than ``stale`` seconds is taken over."""
-        began = time.monotonic()
-        while not self.create(path, uuid.uuid4().hex):
-            if self.exists(path) and time.time() - self.changed(path) > stale:
-                self.delete(path)
-            elif time.monotonic() - began > wait:
-                raise QueryError("sync_failed", f"{path} is held by another writer")
-            else:
-                time.sleep(0.05)
-        try:
-            yield
-        finally:
-            self.delete(path)
+    def claim(self, folder: str, stale: float) -> int | None:
+        """A token for the sole use of a folder, larger than all before; none while another holds one that is neither released nor older than ``stale`` seconds.
+
+        Tokens are files that only one can create. Who holds the largest one goes on; one whose claim was taken over finds that out by ``holds``.
+        """
+        last = max((int(n) for n in self.names(f"{folder}/claims") if n.isdigit()), default=0)
+        if self.claimed(folder, stale):
+            return None
+        return last + 1 if self.create(f"{folder}/claims/{last + 1:012d}", "") else None
+
+    def release(self, folder: str, token: int) -> None:
+        self.create(f"{folder}/claims/{token:012d}.released", "", overwrite=True)
+
+    def holds(self, folder: str, token: int) -> bool:
+        """Whether no later token than this one has been given."""
+        return max((int(n) for n in self.names(f"{folder}/claims") if n.isdigit()), default=0) == token
+
+    def claimed(self, folder: str, stale: float) -> bool:
+        """Whether somebody is at work in a folder."""
+        names = self.names(f"{folder}/claims")
+        last = max((int(n) for n in names if n.isdigit()), default=0)
+        return bool(last) and f"{last:012d}.released" not in names and time.time() - self.changed(f"{folder}/claims/{last:012d}") <= stale

@@ -238,7 +238,8 @@ def test_sync_and_snapshots(spark, tmp_path):
         assert e.value.code == code
     moved = catalog.read_catalog(json.dumps({"schemaVersion": 1, "sources": {"s": SOURCE | {"sparse": ["other"]}}}))
     assert not catalog.list_sources(spark, moved, cache).first().synced
-    (tmp_path / "s/state.json").write_text("{")
+    for v in (tmp_path / "s/versions").glob("*.json"):
+        v.write_text("{")
     assert catalog.read_state(spark, cache, "s") is None
     assert catalog.revision_key("git", repo="o/r", fetched_at="t") == catalog.revision_key("git", repo="o/r", fetched_at="u")
     assert catalog.combined_note("A.", None, " ", "B.") == "A. B." and catalog.combined_note(None) is None
@@ -311,7 +312,7 @@ def test_packages_are_built_published_and_asked(spark, tmp_path):
     assert [h["symbol"] for h in service.search_api_text(b, "an a.")["hits"]] == ["Lib.A"]
     refs = service.find_api_references(b, "System.String")
     assert refs["totals"]["parameter"] == 1 and refs["totals"]["return"] == 2 and refs["note"] is None
-    assert service.search_api(b, "Lib.A.Nothing")["note"].endswith('search_api(pattern: "Nothing").') and service.search_api(b, "nothing")["note"] is None
+    assert service.search_api(b, "Lib.A.Nothing")["note"].endswith("search_api('Nothing').") and service.search_api(b, "nothing")["note"] is None
     for kw, code in (({"framework": "net1"}, "framework_not_available"), ({"source": "x"}, "invalid_request"), ({"limit": 0}, "invalid_request"), ({"token": "x"}, "invalid_cursor")):
         with pytest.raises(QueryError) as e:
             service.lookup_api(b, "A", **kw)
