@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -175,13 +175,15 @@ def _held(c: Composition, symbol: str) -> DataFrame:
     return found.join(m, (F.col("priority") == F.col("_p")) & (F.col("type_id") == F.col("_t")) & selected, "left").drop("_p", "_t")
 
 
-def lookup_rows(c: Composition, symbol: str) -> DataFrame:
-    """One row of each member of each type found, and one with a null member of each type without; with ``detail``, in no order.
+def lookup_rows(c: Composition, symbol: str, seen: Observation | None = None) -> DataFrame:
+    """One row of each member of each type found, and one with a null member of each type without; with ``detail``, in no order. ``seen`` takes the outcome meanwhile.
 
     A type that is found as the holder of a member counts only if some backend has that member. Of the types with one id the first backend's
     gives the type's row; the members of all of them are merged by id.
     """
     rows = _held(c, symbol)
+    if seen is not None:
+        rows = rows.observe(seen, *_outcome())
     by_type = Window.partitionBy("type_id")
     first = F.first(F.struct("full_name", "revision", "source", F.when(F.col("wanted").isNull(), "signatures").otherwise("full").alias("detail"))).over(by_type.orderBy("priority", "full_name"))
     counts = F.bool_or(F.col("wanted").isNull() | F.col("member_id").isNotNull()).over(by_type)
@@ -208,9 +210,14 @@ def nest(page: DataFrame) -> DataFrame:
     return rows.select("position", "full_name", "revision", "detail", F.transform("m", lambda m: F.struct(*[m[f].alias(f) for f in fields])).alias("members"), "is_partial")
 
 
+def _outcome() -> list[Column]:
+    """What a look-up's outcome is told from: the rows that count, and the names of all types that the symbol resolved to."""
+    return [F.count_if(F.col("wanted").isNull() | F.col("member_id").isNotNull()).alias("n"), F.array_sort(F.collect_set("full_name")).alias("resolved_types")]
+
+
 def lookup_outcome(c: Composition, symbol: str) -> DataFrame:
     """One row: outcome, and the names of all types that the symbol resolved to, sorted."""
-    got = _held(c, symbol).agg(F.count_if(F.col("wanted").isNull() | F.col("member_id").isNotNull()).alias("n"), F.array_sort(F.collect_set("full_name")).alias("resolved_types"))
+    got = _held(c, symbol).agg(*_outcome())
     return got.select(F.when(F.col("n") > 0, "found").when(F.size("resolved_types") > 0, "member_not_found").otherwise("not_found").alias("outcome"), "resolved_types")
 
 
@@ -244,12 +251,19 @@ def references_page(c: Composition, symbol: str, kind: str | None = None, exact:
     return ranked.page(found, reference_order(), limit, offset, more="is_partial")
 
 
+def _reference_totals() -> list[Column]:
+    return [*[F.count_if((F.col("kind") == k) & ~F.col("is_sibling")).alias(f"n_{k}") for k in matching.KINDS], F.count_if("is_sibling").alias("sibling_applications")]
+
+
+def sibling_type(c: Composition, symbol: str) -> DataFrame:
+    """One row: the attribute type that takes the symbol's short form, if it exists."""
+    return c.types_spelled(f"{symbol}Attribute").filter(F.col("full_name") == f"{symbol}Attribute").agg(F.min("full_name").alias("sibling_type"))
+
+
 def reference_summary(c: Composition, symbol: str) -> DataFrame:
     """One row: the totals by kind, the sibling type that takes the symbol's short form, if one exists, and how often it is applied so."""
-    found = references(c, symbol)
-    totals = found.agg(*[F.count_if((F.col("kind") == k) & ~F.col("is_sibling")).alias(f"n_{k}") for k in matching.KINDS], F.count_if("is_sibling").alias("sibling_applications"))
-    sibling = c.types_spelled(f"{symbol}Attribute").filter(F.col("full_name") == f"{symbol}Attribute").agg(F.min("full_name").alias("sibling_type"))
-    return totals.withColumn("k", F.lit(0)).join(sibling.withColumn("k", F.lit(0)), "k").drop("k")
+    totals = references(c, symbol).agg(*_reference_totals())
+    return totals.withColumn("k", F.lit(0)).join(sibling_type(c, symbol).withColumn("k", F.lit(0)), "k").drop("k")
 
 
 def skipped_summary(c: Composition) -> DataFrame:
@@ -258,31 +272,35 @@ def skipped_summary(c: Composition) -> DataFrame:
     return api.merge_histograms(api.skip_histogram(rows))
 
 
-# -- answers: one page collected, with what a caller needs to go on
+# -- answers: one page collected, with what a caller needs to go on. Totals, outcome and the length of the whole answer are taken in the job that makes the page.
 
 
-def _page(rows: DataFrame, kind: str, scope: str, c: Composition, offset: int, limit: int) -> dict:
-    got = rows.orderBy("position").collect()
+def _page(rows: DataFrame, order: list[str | Column], show: Callable[[DataFrame], DataFrame], kind: str, scope: str, c: Composition, token: str | None, limit: int) -> dict:
+    offset, seen = cursor.decode(token, kind, scope, c.revisions), Observation()
+    page = ranked.page(rows.observe(seen, F.count(F.lit(1)).alias("n")), order, limit, offset, more="is_partial")
+    got = show(page).orderBy("position").collect()
+    if offset > (seen.get.get("n") or 0):
+        raise QueryError("invalid_cursor", "the cursor is beyond the last row")
     partial = bool(got) and got[0]["is_partial"]
     return {
         "rows": [{k: v for k, v in r.asDict(recursive=True).items() if k != "is_partial"} for r in got], "is_partial": partial,
-        "next_page_token": cursor.encode(kind, scope, offset + limit, c.revisions) if partial else None, "searched_sources": c.revisions,
+        "next_page_token": cursor.encode(kind, scope, offset + limit, c.revisions) if partial else None, "searched_sources": c.revisions, "offset": offset,
         "effective_framework": c.framework, "default_framework": c.default_framework, "available_frameworks": list(c.frameworks) or None, "skipped_declarations": _skipped(c),
     }
 
 
 def _skipped(c: Composition) -> dict | None:
+    """What the packages left out, by reason: one job over ten reasons of each package at most, which have the package's number with them."""
     if not any("skipped" in b.tables for b in c.backends if b.origin == "nuget"):
         return None
-    got = skipped_summary(c).orderBy(F.desc("n"), "reason").collect()
-    total = c.table("skipped").count()
-    return {"declarations": total, "reasons": [{"reason": r["reason"], "count": r["n"]} for r in got], "reasons_are_partial": any(r["partial"] for r in got)} if total else None
-
-
-def _start(kind: str, scope: str, c: Composition, token: str | None, rows: DataFrame) -> int:
-    offset = cursor.decode(token, kind, scope, c.revisions)
-    ranked.check_offset(rows, offset)
-    return offset
+    rows = c.table("skipped").select("package_id", F.col("reason").alias("message"))
+    got = api.skip_histogram(rows).collect()
+    reasons: dict[str, int] = {}
+    for r in got:
+        reasons[r["reason"]] = reasons.get(r["reason"], 0) + r["n"]
+    total = sum({r["package_id"]: r["total"] for r in got}.values())
+    listed = [{"reason": k, "count": n} for k, n in sorted(reasons.items(), key=lambda x: (-x[1], x[0]))]
+    return {"declarations": total, "reasons": listed, "reasons_are_partial": any(r["partial"] for r in got)} if total else None
 
 
 def _limit(limit: int) -> int:
@@ -302,32 +320,31 @@ def lookup_api(backends: list[Backend], symbol: str, source: str | None = None,
     _limit(limit)
     matching.check_symbol(_said(symbol, "symbol"))
     c = compose(backends, source, framework)
-    scope = cursor.scope(symbol, source, c.framework)
-    rows = lookup_rows(c, symbol)
-    offset = _start("lookup", scope, c, token, rows)
-    out = _page(nest(ranked.page(rows, lookup_order(), limit, offset, more="is_partial")), "lookup", scope, c, offset, limit)
-    outcome = lookup_outcome(c, symbol).first()
-    return {"types": [{k: v for k, v in t.items() if k != "position"} for t in out.pop("rows")], "outcome": outcome["outcome"], "resolved_types": outcome["resolved_types"], **out}
+    scope, seen = cursor.scope(symbol, source, c.framework), Observation()
+    out = _page(lookup_rows(c, symbol, seen), lookup_order(), nest, "lookup", scope, c, token, limit)
+    out.pop("offset")
+    resolved = list(seen.get.get("resolved_types") or [])
+    outcome = "found" if seen.get.get("n") else "member_not_found" if resolved else "not_found"
+    return {"types": [{k: v for k, v in t.items() if k != "position"} for t in out.pop("rows")], "outcome": outcome, "resolved_types": resolved, **out}
 
 
 def search_api(backends: list[Backend], pattern: str, framework: str | None = None, limit: int = 20, token: str | None = None) -> dict:
     _limit(limit)
     c = compose(backends, None, framework)
     scope = cursor.scope(_said(pattern, "pattern"), c.framework)
-    found = api.search_names(c.types_for(pattern), pattern, first=("priority",))
-    offset = _start("search", scope, c, token, found)
-    out = _page(search_page(c, pattern, limit, offset).select("name", "matched_on", "namespace_depth", "revision", "position", "is_partial"), "search", scope, c, offset, limit)
+    show = lambda page: page.select("name", "matched_on", "namespace_depth", "revision", "position", "is_partial")
+    out = _page(api.search_names(c.types_for(pattern), pattern, first=("priority",)), [*api.NAME_ORDER, "revision"], show, "search", scope, c, token, limit)
     items = out.pop("rows")
-    return {"items": items, "note": hint_for(pattern, len(items) + offset), **out}
+    return {"items": items, "note": hint_for(pattern, len(items) + out.pop("offset")), **out}
 
 
 def search_api_text(backends: list[Backend], query: str, source: str | None = None, framework: str | None = None, limit: int = 20, token: str | None = None) -> dict:
     _limit(limit)
     c = compose(backends, source, framework)
     scope = cursor.scope(_said(query, "query"), source, c.framework)
-    offset = _start("search-text", scope, c, token, api.search_prose(c.prose_with(query), query))
-    page = text_page(c, query, limit, offset).select("symbol", "element", "text", "is_truncated", "more_from_symbol", "revision", "position", "is_partial")
-    out = _page(page, "search-text", scope, c, offset, limit)
+    show = lambda page: page.select("symbol", "element", "text", "is_truncated", "more_from_symbol", "revision", "position", "is_partial")
+    out = _page(api.search_prose(c.prose_with(query), query), [*api.PROSE_ORDER[:-1], "revision", "declaration_id"], show, "search-text", scope, c, token, limit)
+    out.pop("offset")
     return {"hits": out.pop("rows"), **out}
 
 
@@ -337,14 +354,14 @@ def find_api_references(
     """One page of references, the totals by kind before ``kind`` and ``exact`` narrow them, and the sibling attribute that is left out, if there is one."""
     _limit(limit)
     c = compose(backends, source, framework)
-    scope = cursor.scope(_said(symbol, "symbol"), kind, exact, source, c.framework)
-    found = api.filter_references(references(c, symbol).filter("not is_sibling"), kind, exact)
-    offset = _start("references", scope, c, token, found)
-    page = ranked.page(found, reference_order(), limit, offset, more="is_partial")
-    out = _page(page.select("symbol", "kind", "parameter_name", "type_expression", "attribute_type", "is_exact", "revision", "position", "is_partial"), "references", scope, c, offset, limit)
-    s = reference_summary(c, symbol).first()
-    note = {"sibling_type": s["sibling_type"], "applications": s["sibling_applications"], "next": f"Its own uses are found with find_api_references({s['sibling_type']!r})."} if s["sibling_type"] else None
-    return {"hits": out.pop("rows"), "totals": {k: s[f"n_{k}"] for k in matching.KINDS}, "note": note, **out}
+    scope, seen = cursor.scope(_said(symbol, "symbol"), kind, exact, source, c.framework), Observation()
+    found = api.filter_references(references(c, symbol).observe(seen, *_reference_totals()).filter("not is_sibling"), kind, exact)
+    show = lambda page: page.select("symbol", "kind", "parameter_name", "type_expression", "attribute_type", "is_exact", "revision", "position", "is_partial")
+    out = _page(found, reference_order(), show, "references", scope, c, token, limit)
+    out.pop("offset")
+    totals, sibling = seen.get, sibling_type(c, symbol).first()["sibling_type"]
+    note = {"sibling_type": sibling, "applications": totals.get("sibling_applications") or 0, "next": f"Its own uses are found with find_api_references({sibling!r})."} if sibling else None
+    return {"hits": out.pop("rows"), "totals": {k: totals.get(f"n_{k}") or 0 for k in matching.KINDS}, "note": note, **out}
 
 
 def to_json(answer: dict | list | str | int | float | bool | None) -> str:

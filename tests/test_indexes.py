@@ -141,3 +141,16 @@ def test_empty_tables_have_indexes(spark, tmp_path):
         catalog.build_index(spark, f"{tmp_path}/{name}", f"{tmp_path}/i/{name}", name)
         index = catalog.open_index(spark, f"{tmp_path}/{name}", f"{tmp_path}/i/{name}", name)
         assert (index.rows(["rx"]) if name in ("types", "uses") else index.read(["abc"])).count() == 0
+
+
+def test_answers_take_few_jobs(spark, small, monkeypatch):
+    """The page, its totals, outcome and length come from one action; one more counts what packages left out, one looks for a sibling type, and each table with filters is asked which files to read."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    b, ran = bindings.ingested(spark, small), []
+    for name in ("collect", "count", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, _f=getattr(DataFrame, name), **k: ran.append(1) or _f(self, *a, **k))
+    for ask, most in ((lambda: service.lookup_api(b, "Supplier7.Part4"), 2), (lambda: service.search_api(b, "Supplier"), 2), (lambda: service.search_api_text(b, "tion", source="app"), 2 + 3), (lambda: service.find_api_references(b, "System.ECONOMY"), 3)):
+        ran.clear()
+        ask()
+        assert len(ran) <= most
