@@ -16,7 +16,7 @@ first of a distinct line stands for it, whether or not that line is itself dropp
    either kind, so a key shared by many lines yields one partner a line and never their pairs.
 5. The partner is verified by edit distance on the lines themselves.
 
-Lines of white space only are never dropped. Defined results: null and
+Lines of white space only are never dropped. Ids are whole numbers, or texts of them; others are an error. Defined results: null and
 empty texts stay as they are; texts are split at line feeds and joined by them again, whatever their length; rows with the same id and
 text count as one document, and all of them are kept; rows with a null id come last, as one document where their texts are equal; an empty
 table gives an empty one; other columns are kept, whatever their names, but for those with the names of the added ones.

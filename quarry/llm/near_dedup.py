@@ -15,7 +15,7 @@ only those whose distance to the pivot is within the link distance of the neares
 go on, without the pivot. After at most ``rounds`` pivots what is left is compared by pairs of blocks of bounded size, but for pairs that one pivot
 connects already. No link is dropped for the size of a group.
 
-A link has 100 * |A & B| >= percent * |A | B|. Defined results: documents without words (null or empty texts) have no set, link with nothing and are
+A link has 100 * |A & B| >= percent * |A | B|. Ids are whole numbers, or texts of them; others are an error. Defined results: documents without words (null or empty texts) have no set, link with nothing and are
 their own component; with fewer words than a shingle the whole sequence is one; texts are read whole; rows with one id count as one document; a row with a null id links with nothing, has no component and is kept.
 """
 
