@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -127,18 +127,18 @@ def lookup(members: DataFrame, type_ids: DataFrame, framework: str | None = None
 
 
 def resolve_symbol(types: DataFrame, symbol: str) -> DataFrame:
-    """(type_id, member): the whole symbol as a type; only where no type has that name, its last segment as a member."""
+    """(type_id, member): the whole symbol as a type; only where no type has that name, its last segment as a member. What there is, is told from the rows that match."""
     matching.check_symbol(symbol)
 
-    def named(name: str) -> DataFrame:
+    def named(name: str) -> Column:
         full = F.col("full_name") if "." in name else F.col("type_name")
-        return types.filter((full == name) | (text.strip_arity(full) == name)).select(F.col("declaration_id").alias("type_id"))
+        return F.coalesce((full == name) | (text.strip_arity(full) == name), F.lit(False))
 
-    whole = named(symbol).withColumn("member", F.lit(None).cast("string"))
-    if "." not in symbol:
-        return whole
-    head, _, tail = symbol.rpartition(".")
-    return named(head).withColumn("member", F.lit(tail)) if whole.isEmpty() else whole
+    head, dot, tail = symbol.rpartition(".")
+    whole = named(symbol)
+    found = types.filter(whole | named(head) if dot else whole).select(F.col("declaration_id").alias("type_id"), whole.alias("_whole"))
+    found = found.withColumn("_any", F.bool_or("_whole").over(Window.partitionBy(F.lit(0)))).filter("_whole OR NOT _any")
+    return found.select("type_id", F.when(~F.col("_whole"), F.lit(tail)).alias("member"))
 
 
 def containers(types: DataFrame) -> DataFrame:

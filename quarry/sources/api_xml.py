@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -16,6 +17,7 @@ from pyspark.sql.types import StructType
 from ..errors import QueryError
 from ..functions import declaration_ids as ids
 from ..functions.text import PLACEHOLDER
+from .files import shared_folder
 
 TYPES = "declaration_id string, namespace string, type_name string, full_name string, search_name string"
 MEMBERS = "type_id string, declaration_id string, name string, kind string, signature string, ord int, parameters array<struct<name:string,description:string>>, summary string, returns string, value string, remarks string"
@@ -186,14 +188,13 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
 def scan(spark: SparkSession, root: str, staging: str | None = None) -> dict[str, DataFrame]:
     """The tables types, members, prose, uses and skipped (files and members that can't be read) of a tree of XML files.
 
-    The files are parsed where a table is read. Whoever reads more than one names a folder for the parsed rows, which are then written once.
+    The files are parsed once: the parsed rows are written to ``staging``, or a folder of their own in the one that the cluster shares, and the tables read them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(root)
     parsed = parse_files(files)
-    if staging is not None:
-        parsed.write.mode("overwrite").parquet(staging)
-        parsed = spark.read.schema(_SCHEMA).parquet(staging)
-    return tables(parsed)
+    staging = staging or f"{shared_folder(spark)}/xml-{uuid.uuid4().hex}"
+    parsed.write.mode("overwrite").parquet(staging)
+    return tables(spark.read.schema(_SCHEMA).parquet(staging))
 
 
 def check_unique(df: DataFrame, key: str = "declaration_id") -> DataFrame:
