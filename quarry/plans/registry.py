@@ -43,7 +43,7 @@ def doc_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def doc_pattern_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern's literals decide which files are read."""
-    pattern = r"[Tt]ionel[a-z]*\."
+    pattern = r"[Tt]ion[a-z]*\."
     return docs.search(bindings.stored_docs(spark, sf_dir).read(skipping.literals_of(pattern, True)), pattern, regex=True, limit=50)
 
 
