@@ -260,7 +260,7 @@ def frequent_phrases(texts: DataFrame, known: Frequent, min_count: int, bits: in
 
 
 def chunk_suffixes(w: Words, known: Frequent, max_n: int) -> pa.RecordBatch:
-    """(key, part, hot, n): the distinct suffixes of a chunk."""
+    """(key, head, n_hot): the distinct suffixes of a chunk, the bytes of each key that it is dealt by, and in one number its count and, in three bits, its hot words at the beginning."""
     hashes = w.keys()
     is_hot = np.stack([pc.is_in(w.words, value_set=pa.array(known.hot.get(lang, []), pa.binary())).to_numpy(zero_copy_only=False) for lang in w.langs])
     columns = []
@@ -283,12 +283,9 @@ def chunk_suffixes(w: Words, known: Frequent, max_n: int) -> pa.RecordBatch:
     n = np.diff(np.concatenate([starts, [len(order)]]))
     first = order[starts]
     lang, ids = packed[0][first], [c[first] - 1 for c in packed[1:]]
-    part = np.zeros(len(first), dtype=np.uint64)
-    leading, open_ = np.zeros(len(first), dtype=np.int32), np.ones(len(first), dtype=bool)
-    for j, c in enumerate(ids):  # the part: all words up to and with the first that isn't hot
-        present = c >= 0
-        part += np.where(present & open_, hashes[lang, c] * _SALT[j % 5] + np.uint64(j), np.uint64(0))
-        open_ &= present
+    leading, open_ = np.zeros(len(first), dtype=np.int64), np.ones(len(first), dtype=bool)
+    for c in ids:
+        open_ &= c >= 0
         open_[open_] = is_hot[lang[open_], c[open_]]
         leading += open_
     names = pa.array(w.langs, pa.binary()).take(pa.array(lang))
@@ -297,8 +294,12 @@ def chunk_suffixes(w: Words, known: Frequent, max_n: int) -> pa.RecordBatch:
     words = pc.coalesce(codes.take(rank), pc.binary_join_element_wise(pa.scalar(b"\2", pa.binary()), w.words, pa.scalar(b"", pa.binary())))
     texts = [words.take(pa.array(c, mask=c < 0)) for c in ids]
     key = pc.binary_join_element_wise(names, *texts, pa.scalar(SEP, pa.binary()), null_handling="skip")
-    # 32 bits of the part are enough to deal rows by
-    return pa.RecordBatch.from_arrays([key, pa.array((mix(part) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(leading), pa.array(n.astype(np.int64))], ["key", "part", "hot", "n"])
+    # the head, in bytes: all words up to and with the first that isn't hot
+    size = pc.binary_length(words).to_numpy().astype(np.int64) if len(words) else np.empty(0, dtype=np.int64)
+    head = pc.binary_length(names).to_numpy().astype(np.int64)
+    for j, c in enumerate(ids):
+        head += np.where((c >= 0) & (leading >= j), size[c] + 1, 0) if len(size) else 0
+    return pa.RecordBatch.from_arrays([key, pa.array(head.astype(np.int32)), pa.array(n.astype(np.int64) << 3 | np.minimum(leading, 7))], ["key", "head", "n_hot"])
 
 
 def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +309,10 @@ def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         if len(held) > 1:
-            table = table.group_by(["key", "part", "hot"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
-        return iter(table.sort_by([("part", "ascending"), ("key", "ascending")]).to_batches(max_chunksize=1 << 16))
+            n, hot = pc.shift_right(table.column("n_hot"), 3), pc.bit_wise_and(table.column("n_hot"), 7)
+            table = pa.table({"key": table.column("key"), "head": table.column("head"), "hot": hot, "n": n}).group_by(["key", "head", "hot"]).aggregate([("n", "sum")])
+            table = pa.table({"key": table.column("key"), "head": table.column("head"), "n_hot": pc.bit_wise_or(pc.shift_left(table.column("n_sum"), 3), table.column("hot"))})
+        return iter(table.sort_by("key").to_batches(max_chunksize=1 << 16))  # neighbours share their beginnings, which compresses well
 
     for b in batches:
         held.append(b)
@@ -401,11 +404,12 @@ def phrase_counts(texts: DataFrame, counts: DataFrame, total: int, min_count: in
 
         of = lambda rows: pa.RecordBatch.from_arrays([pa.array([spelled(r[0]) for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["key", "f"])
         for b in batches:
-            yield of(stack.add(b.column("key"), b.column("hot").to_numpy(), b.column("n").to_numpy()))
+            n = b.column("n_hot").to_numpy()
+            yield of(stack.add(b.column("key"), n & 7, n >> 3))
         yield of(stack.end())
 
-    suffixes = texts.mapInArrow(emit, "key binary, part int, hot int, n long")
-    dealt = suffixes.repartition("part").drop("part").sortWithinPartitions(F.col("key").desc())
+    suffixes = texts.mapInArrow(emit, "key binary, head int, n_hot long")
+    dealt = suffixes.repartition(F.substring("key", F.lit(1), F.col("head"))).select("key", "n_hot").sortWithinPartitions(F.col("key").desc())
     return dealt.mapInArrow(count, "key binary, f long").groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
 
 
@@ -420,6 +424,8 @@ def _unescaped(c: F.Column) -> F.Column:
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = 100, max_n: int = 5, top: int = 2000, inside_percent: int = 100, filter_bits: int = 27) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of 2 to max_n words."""
+    if not 2 <= max_n <= 7:
+        raise ValueError("max_n is 2 to 7")
     text, lang = F.col(f"`{text_col}`"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
     texts = docs.filter(F.length(text) > 0).select(lang.cast("binary").alias("lang"), text.cast("binary").alias("text"))
     counts, counts_path = stage(word_counts(texts), "word-counts")
