@@ -149,11 +149,14 @@ def _read(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[Words]:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, word, n) of texts (lang, text: both binary)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in _read(batches, 0):
             lang, word, n = w.counts()
             yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.binary()).take(pa.array(lang)), w.words.take(pa.array(word)), pa.array(n)], ["lang", "word", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added(chunks(batches), ["lang", "word"])
+
     return texts.mapInArrow(run, "lang binary, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -207,7 +210,7 @@ def _width(cap: int) -> int:
 
 def _ranges(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     """Ranges of counters, compressed: most are 0."""
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([zlib.compress(r[1].tobytes(), 1) for r in rows], pa.binary())], ["at", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([zlib.compress(r[1].tobytes(), 6) for r in rows], pa.binary())], ["at", "counts"])
 
 
 def frequent_phrases(texts: DataFrame, known: Frequent, min_count: int, bits: int) -> np.ndarray:
@@ -302,17 +305,13 @@ def chunk_suffixes(w: Words, known: Frequent, max_n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([key, pa.array(head.astype(np.int32)), pa.array(n.astype(np.int64) << 3 | np.minimum(leading, 7))], ["key", "head", "n_hot"])
 
 
-def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up equal suffixes of several chunks, ``HELD`` rows at a time."""
+def added(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """Adds up ``n`` of equal rows of several chunks, ``HELD`` rows at a time, and sorts them: neighbours share their beginnings, which compresses well."""
     held, size = [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        if len(held) > 1:
-            n, hot = pc.shift_right(table.column("n_hot"), 3), pc.bit_wise_and(table.column("n_hot"), 7)
-            table = pa.table({"key": table.column("key"), "head": table.column("head"), "hot": hot, "n": n}).group_by(["key", "head", "hot"]).aggregate([("n", "sum")])
-            table = pa.table({"key": table.column("key"), "head": table.column("head"), "n_hot": pc.bit_wise_or(pc.shift_left(table.column("n_sum"), 3), table.column("hot"))})
-        return iter(table.sort_by("key").to_batches(max_chunksize=1 << 16))  # neighbours share their beginnings, which compresses well
+        table = pa.Table.from_batches(held).group_by(by).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select([*by, "n"])
+        return iter(table.sort_by([(c, "ascending") for c in by]).to_batches(max_chunksize=1 << 16))
 
     for b in batches:
         held.append(b)
@@ -324,6 +323,18 @@ def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+def combined(suffixes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up equal suffixes of several chunks."""
+
+    def apart() -> Iterator[pa.RecordBatch]:
+        for b in suffixes:
+            n_hot = b.column("n_hot")
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("head"), pc.bit_wise_and(n_hot, 7), pc.shift_right(n_hot, 3)], ["key", "head", "hot", "n"])
+
+    for b in added(apart(), ["key", "head", "hot"]):
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("head"), pc.bit_wise_or(pc.shift_left(b.column("n"), 3), b.column("hot"))], ["key", "head", "n_hot"])
+
+
 class PrefixStack:
     """Counts all prefixes of keys that come in reverse lexicographic order: one open prefix for each number of words."""
 
