@@ -12,8 +12,10 @@ that share that many tokens: all of it goes on as one candidate group. Groups th
 Confirmation, on whole sets. A small group is compared exhaustively in memory, leaving out pairs that are known to be
 connected. In a large one, pivots are compared with every member; members linked to a pivot are connected by it, and by the triangle inequality
 only those whose distance to the pivot is within the link distance of the nearest unlinked member can still link to one: these and the unlinked
-go on, without the pivot. After at most ``rounds`` pivots what is left is compared by pairs of blocks of bounded size, but for pairs that one pivot
-connects already. No link is dropped for the size of a group.
+go on, without the pivot. After at most ``rounds`` pivots what is left is joined exactly, but for pairs that one pivot connects already: a member is
+written as its differences from the pivot that links most (from the empty set, if none does), the rarest first; two members that link have so few others that
+the first difference that they share is among a member's first (100 - percent) / percent of its size, and among the first half of these for one of them. Members that share
+such a difference are compared by a map of parities, which never exceeds the true distance, then on whole sets. No link is dropped for the size of a group.
 
 A link has 100 * |A & B| >= percent * |A | B|. Ids are whole numbers, or texts of them; others are an error. Defined results: documents without words (null or empty texts) have no set, link with nothing and are
 their own component; with fewer words than a shingle the whole sequence is one; texts are read whole; rows with one id count as one document; a row with a null id links with nothing, has no component and is kept.
@@ -38,6 +40,8 @@ _B = splitmix(SIGNATURE, 2002)
 LEAF = 64  # a node with more documents branches
 SMALL_DOCS, SMALL_SHINGLES, SMALL_BYTES = 256, 1 << 20, 16 << 20  # a group within these is compared in memory
 BLOCK_DOCS = 128
+NODE_DOCS = 2048  # members that share a difference and are compared at once
+MAP_BITS = 512
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
@@ -256,11 +260,117 @@ def _pivots(free: DataFrame) -> DataFrame:
     return rows.groupBy("grp").agg(F.min_by("doc_id", F.struct("differ", "doc_id")).alias("pivot"))
 
 
+def _differences(rows: DataFrame, k: int) -> DataFrame:
+    """(grp, doc_id, part, n, map, diff) of (grp, doc_id, part, text, ptext): the set's size, the parities of its hashes dealt to MAP_BITS, and its differences from the pivot's set; what the pivot alone has is written as its complement."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, np.empty(0, dtype=np.uint64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                n, maps, diff = [], [], []
+                for text, ptext in zip(b.column("text"), b.column("ptext").to_pylist(), strict=True):
+                    if ptext != last:
+                        last, pivot = ptext, shingle_set(ptext, k)
+                    x = shingle_set(text.as_py(), k)
+                    n.append(len(x))
+                    maps.append(np.packbits((np.bincount((x % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1).astype(bool)).tobytes())
+                    diff.append(np.concatenate([np.setdiff1d(x, pivot, assume_unique=True), ~np.setdiff1d(pivot, x, assume_unique=True)]).view(np.int64))
+                cols = [b.column("grp"), b.column("doc_id"), b.column("part"), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), pa.array(diff, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["grp", "doc_id", "part", "n", "map", "diff"])
+
+    return rows.select("grp", "doc_id", "part", "text", "ptext").mapInArrow(run, "grp long, doc_id long, part long, n long, map binary, diff array<long>")
+
+
+def node_pairs(node: np.ndarray, doc: np.ndarray, n: np.ndarray, part: np.ndarray, first: np.ndarray, side: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (x, y) of one node, of different parts, that may link: sizes and maps allow it, and one of them at least is marked as first. Rows are sorted by node and n; sides other than 2 are compared with each other only."""
+    at = np.arange(len(node))
+    for step in range(1, len(node)):
+        at = at[at + step < len(node)]
+        at = at[(node[at] == node[at + step]) & (percent * n[at + step] <= 100 * n[at])]
+        if not len(at):
+            return
+        x, y = at, at + step
+        ok = (first[x] | first[y]) & (part[x] != part[y]) & (doc[x] != doc[y]) & ((side[x] == 2) | (side[x] != side[y]))
+        x, y = x[ok], y[ok]
+        most = (100 - percent) * (n[x] + n[y]) // (100 + percent)
+        ok = np.bitwise_count(maps[x, 0] ^ maps[y, 0]) <= most
+        x, y, most = x[ok], y[ok], most[ok]
+        ok = np.bitwise_count(maps[x] ^ maps[y]).sum(1, dtype=np.int64) <= most
+        if ok.any():
+            yield x[ok], y[ok]
+
+
+def _node_candidates(nodes: DataFrame, percent: int, hubs: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members of one node that may link; with ``hubs``, of each row's only the one with the smallest id."""
+
+    def flush(t: pa.Table) -> pa.RecordBatch | None:
+        node, doc, n, part, first, side = (t.column(c).to_numpy() for c in ("node", "doc_id", "n", "part", "first", "side"))
+        maps = np.frombuffer(b"".join(t.column("map").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+        least, out_a, out_b = doc.copy(), [], []
+        for x, y in node_pairs(node, doc, n, part, first, side, maps, percent):
+            a, b = np.where(doc[x] < doc[y], x, y), np.where(doc[x] < doc[y], y, x)
+            if hubs:
+                np.minimum.at(least, b, doc[a])
+            else:
+                out_a.append(doc[a])
+                out_b.append(doc[b])
+        if hubs:
+            some = least < doc
+            out_a, out_b = [least[some]], [doc[some]]
+        return _edges(np.concatenate(out_a), np.concatenate(out_b)) if out_a and len(out_a[0]) else None
+
+    rows = nodes.select("node", "doc_id", "n", "part", "first", "side", "map").repartition("node").sortWithinPartitions("node", "n", "doc_id")
+    return rows.mapInArrow(lambda it: _runs(it, "node", flush), "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs that link, on whole sets; a document's pairs are dealt to groups of about BLOCK_DOCS."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("parts"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("grp"))
+    one = dealt.select("grp", F.col("a").alias("doc_id"), F.lit(0).alias("side")).distinct()
+    other = dealt.select("grp", F.col("b").alias("doc_id"), F.lit(1).alias("side"))
+    return small_group_edges(one.unionByName(other).join(texts, "doc_id"), k, percent)
+
+
+def _left_edges(left: DataFrame, texts: DataFrame, k: int, percent: int, paths: list[str]) -> DataFrame:
+    """Links that connect the components of what the pivots leave, (grp, doc_id, lab); members with one lab are connected already.
+
+    Hubs first: each member is confirmed with the smallest candidate of each of its nodes; of the other candidates those that are in another component then.
+    """
+    main = left.filter("lab is not null").groupBy("grp", "lab").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("lab", F.struct("c", "lab")).alias("pivot"))
+    ptext = main.join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("ptext")), "pivot").select("grp", "ptext")
+    rows = left.withColumn("part", F.coalesce("lab", "doc_id")).join(texts, "doc_id").join(ptext, "grp", "left")
+    sets, sets_path = stage(_differences(rows, k), "differences")
+    each = sets.select("grp", "doc_id", "part", F.explode("diff").alias("d"))
+    # differences that no two parts share come first in the order, then by their number; any order that all members have in common is right
+    shared = each.groupBy("grp", "d").agg(F.count("*").alias("k"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("grp", "d", "k")
+    ranked = each.join(shared, ["grp", "d"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "d"))).alias("ds"))
+    most = F.floor(F.col("n") * (100 - percent) / percent + 1e-9)
+    own = sets.select("grp", "doc_id", "part", "n", "map", most.alias("most"), F.size("diff").alias("m")).join(ranked, "doc_id")
+    alone = F.col("m") - F.size("ds")
+    heads = own.select("grp", "doc_id", "part", "n", "map", "most", alone.alias("alone"), F.posexplode(F.slice("ds", F.lit(1), F.greatest(F.lit(0), F.col("most") + 1 - alone).cast("int"))).alias("i", "x"))
+    nodes = heads.select(F.xxhash64("grp", "x.d").alias("node"), "doc_id", "part", "n", "map", (F.col("alone") + F.col("i") <= F.floor(F.col("most") / 2)).alias("first"))
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("k"), F.min("part").alias("p"), F.max("part").alias("q"), F.max("first").alias("any")).filter("p <> q and any")
+    # crowded nodes are compared by pairs of blocks
+    blocks = nodes.join(sizes.select("node", F.ceil(F.col("k") / NODE_DOCS).cast("int").alias("nb")), "node").withColumn("x", F.pmod(F.xxhash64("doc_id", "node"), "nb").cast("int"))
+    blocks = blocks.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    key = F.when(F.col("nb") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")))
+    side = F.when(F.col("x") < F.col("y"), 0).when(F.col("x") > F.col("y"), 1).otherwise(2)
+    # a block meets itself once, and so is compared within itself there
+    keyed, keyed_path = stage(blocks.select(key.alias("node"), "doc_id", "n", "part", "first", side.alias("side"), "map"), "difference-nodes")
+    hubs, hubs_path = stage(_confirmed(_node_candidates(keyed, percent, True), texts, k, percent), "hub-links")
+    known = connected_components(hubs.union(left.filter("lab is not null").select("lab", "doc_id")))
+    parted = keyed.join(known.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+    paths += [sets_path, keyed_path, hubs_path]
+    return _confirmed(_node_candidates(parted, percent, False), texts, k, percent).union(hubs)
+
+
 def large_group_edges(large: DataFrame, texts: DataFrame, k: int, percent: int, rounds: int, paths: list[str]) -> DataFrame:
     """Links that connect the components within large groups. large: (grp, doc_id, s1, s2); texts: (doc_id, text).
 
-    While more than SMALL_DOCS members of a group have no pivot, another pivot is compared with all that is left of it. In the end only pairs
-    that don't both belong to the pivot with the most members are compared, in blocks: with r of n members outside, that is n * r / BLOCK_DOCS rows.
+    While more than SMALL_DOCS members of a group have no pivot, another pivot is compared with all that is left of it. In the end what is left is
+    joined by its differences from the pivot with the most members.
     """
     spark = large.sparkSession
     link = 1 - percent / 100
@@ -300,16 +410,7 @@ def large_group_edges(large: DataFrame, texts: DataFrame, k: int, percent: int,
         left, left_path = stage(on.unionByName(rest), "left")
         paths += [done_path, left_path]
         drop(spark, p_path)
-    main = left.filter("lab is not null").groupBy("grp", "lab").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("lab", F.struct("c", "lab")).alias("main"))
-    marked = left.join(main, "grp", "left").withColumn("out", F.coalesce(F.col("lab") != F.col("main"), F.lit(True)))
-    per = lambda c: F.ceil(F.count_if(c) / BLOCK_DOCS).cast("int")
-    sizes = marked.groupBy("grp").agg(per(~F.col("out")).alias("nm"), per(F.col("out")).alias("nr")).filter("nr > 0")
-    # blocks 0 to nm - 1 hold the main pivot's members, the next nr the others; a pair needs one of these
-    x = F.when(F.col("out"), F.col("nm") + F.pmod(F.xxhash64("doc_id"), F.col("nr"))).otherwise(F.try_mod(F.abs(F.hash("doc_id").cast("long")), F.col("nm"))).cast("int")
-    y = F.explode(F.sequence(F.when(F.col("out"), 0).otherwise(F.col("nm")), F.col("nm") + F.col("nr") - 1))
-    pairs = marked.join(sizes, "grp").withColumn("x", x).select("grp", "doc_id", "x", y.alias("y"))
-    keyed = pairs.select(F.xxhash64("grp", F.least("x", "y"), F.greatest("x", "y")).alias("grp"), "doc_id", F.when(F.col("x") < F.col("y"), 0).when(F.col("x") > F.col("y"), 1).cast("int").alias("side"))
-    out = small_group_edges(keyed.join(texts, "doc_id"), k, percent)
+    out = _left_edges(left, texts, k, percent, paths)
     for f in found:
         out = out.union(f)
     return out

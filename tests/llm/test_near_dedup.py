@@ -92,6 +92,41 @@ def test_large_groups_take_pivots(spark, monkeypatch):
         assert got == brute_force(rows, 3, 70)
 
 
+def of_lines(rng, n, lines):
+    """Documents made of a few lines of a small pool, some with a word changed: alike, but hardly any of them near duplicates."""
+    pool = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(4, 12))) for _ in range(lines)]
+    rows = []
+    for i in range(n):
+        w = "\n".join(rng.choice(pool) for _ in range(rng.randint(2, 6))).split(" ")
+        if i % 3 == 0:
+            w = rows[rng.randrange(len(rows))][1].split(" ") if rows else w
+            w[rng.randrange(len(w))] = f"v{rng.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("k, percent, rounds, node", [(3, 85, 1, 2048), (3, 85, 0, 8), (1, 60, 2, 16)])
+def test_documents_of_one_template_are_not_compared_by_all_pairs(spark, monkeypatch, k, percent, rounds, node):
+    """Their comparison on whole sets took n * r / BLOCK_DOCS rows, with r of n members that no pivot connects."""
+    rows = of_lines(random.Random(2), 400, 15)
+    df = spark.createDataFrame([(7, i, t, i * 11, i * 13) for i, t in rows], "grp long, doc_id long, text string, s1 long, s2 long").cache()
+    given = []
+
+    def counting(rows, *a, f=near_dedup.small_group_edges):
+        given.append(rows.count())
+        return f(rows, *a)
+
+    monkeypatch.setattr(near_dedup, "SMALL_DOCS", 12)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 6)
+    monkeypatch.setattr(near_dedup, "NODE_DOCS", node, raising=False)
+    monkeypatch.setattr(near_dedup, "small_group_edges", counting)
+    links = near_dedup.large_group_edges(df.select("grp", "doc_id", "s1", "s2"), df.select("doc_id", "text"), k, percent, rounds, [])
+    label = {r.id: r.component for r in connected_components(links).collect()}
+    want = brute_force(rows, k, percent)
+    assert {i: label.get(i, i) for i, _ in rows} == want and len(set(want.values())) < 400
+    assert percent < 85 or sum(given) < 4 * len(rows)
+
+
 def test_edges(spark):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (7, None), (8, ""), (9, " \t"), (None, "a b c d e f"), (10, "x y"), (11, "x y"), (12, "w " * 50_000), (13, "W " * 60_000)]
     got = run(spark, rows, k=3, percent=85)
