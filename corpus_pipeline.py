@@ -19,6 +19,8 @@ from quarry.llm.queries import MODEL_FILE, table
 
 #: Documents that score at least this much are rejected.
 TOXIC = 0.3
+#: Segmentations of a document.
+N_BEST = 3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +65,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
-    """The best segmentation of each document: (doc_id, n_tokens, token_ids). Null and empty texts have no tokens; repeated rows are encoded each."""
+    """The N_BEST best segmentations of each document: (doc_id, n_tokens, token_ids: the best's, n_best: all with their scores, best first).
+
+    Null and empty texts have no tokens and one (empty) segmentation; repeated rows are encoded each.
+    """
     tidy(spark)
-    return pieces.encode(docs.select("doc_id", "text"), pieces.read_model(spark, model_file)).select("doc_id", "n_tokens", "token_ids")
+    return pieces.encode(docs.select("doc_id", "text"), pieces.read_model(spark, model_file), n_best=N_BEST).select("doc_id", "n_tokens", "token_ids", "n_best")
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -10,6 +11,7 @@ from quarry.llm import pieces, queries  # noqa: E402
 
 from .test_lines import brute_force as lines_left  # noqa: E402
 from .test_near_dedup import brute_force as components  # noqa: E402
+from .test_pieces import brute_force as segmentations  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +74,12 @@ def test_run_is_its_stages(spark):
         docs.count()
     want = sorted((r.doc_id, r.n_tokens, tuple(r.token_ids)) for r in docs.collect())
     assert sorted((r.doc_id, r.n_tokens, tuple(r.token_ids)) for r in corpus_pipeline.run(spark, SF).collect()) == want and len(want) > 50
+
+
+def test_pieces_are_the_n_best(spark):
+    """The last stage took the forward pass only, and gave one segmentation."""
+    vocab = pieces.Vocabulary(pieces.read_model(None, queries.MODEL_FILE))
+    docs = spark.createDataFrame([(1, "the cat"), (2, "a \n b"), (3, "日本 x"), (4, ""), (5, None)], "doc_id long, text string")
+    for (i, text), r in zip(docs.collect(), sorted(corpus_pipeline.encode(spark, docs, SF).collect()), strict=True):
+        assert r.doc_id == i and [x.score for x in r.n_best] == segmentations(vocab, text, 3) if text else len(r.n_best) == 1
+        assert r.token_ids == r.n_best[0].ids and all(vocab.decode(np.array(x.ids, dtype=np.int32)) == (text or "") for x in r.n_best)
