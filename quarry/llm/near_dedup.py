@@ -12,7 +12,7 @@ that share that many tokens: all of it goes on as one candidate group. Groups th
 Confirmation, on whole sets. A small group is compared exhaustively in memory, leaving out pairs that are known to be
 connected. In a large one, pivots are compared with every member; members linked to a pivot are connected by it, and by the triangle inequality
 only those whose distance to the pivot is within the link distance of the nearest unlinked member can still link to one: these and the unlinked
-go on, without the pivot. After at most ``rounds`` pivots what is left is joined exactly, but for pairs that one pivot connects already: a member is
+go on, without the pivot. After at most ``rounds`` pivots, or one that links few, what is left is joined exactly, but for pairs that one pivot connects already: a member is
 written as its differences from the pivot that links most (from the empty set, if none does), the rarest first; two members that link have so few others that
 the first difference that they share is among a member's first (100 - percent) / percent of its size, and among the first half of these for one of them. Members that share
 such a difference are compared by a map of parities, which never exceeds the true distance, then on whole sets. No link is dropped for the size of a group.
@@ -40,6 +40,8 @@ _B = splitmix(SIGNATURE, 2002)
 LEAF = 64  # a node with more documents branches
 SMALL_DOCS, SMALL_SHINGLES, SMALL_BYTES = 256, 1 << 20, 16 << 20  # a group within these is compared in memory
 BLOCK_DOCS = 128
+PAIR_PARTS = 8  # of a document's pairs, before they are dealt to blocks
+GAIN = 16  # a group takes another pivot if its last one linked one in so many of its members without a pivot
 NODE_DOCS = 2048  # members that share a difference and are compared at once
 MAP_BITS = 512
 
@@ -302,7 +304,7 @@ def node_pairs(node: np.ndarray, doc: np.ndarray, n: np.ndarray, part: np.ndarra
 
 
 def _node_candidates(nodes: DataFrame, percent: int, hubs: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members of one node that may link; with ``hubs``, of each row's only the one with the smallest id."""
+    """Pairs (a, b), a < b, with repeats, of members of one node that may link; with ``hubs``, of each row's only the one with the smallest id."""
 
     def flush(t: pa.Table) -> pa.RecordBatch | None:
         node, doc, n, part, first, side = (t.column(c).to_numpy() for c in ("node", "doc_id", "n", "part", "first", "side"))
@@ -321,16 +323,17 @@ def _node_candidates(nodes: DataFrame, percent: int, hubs: bool) -> DataFrame:
         return _edges(np.concatenate(out_a), np.concatenate(out_b)) if out_a and len(out_a[0]) else None
 
     rows = nodes.select("node", "doc_id", "n", "part", "first", "side", "map").repartition("node").sortWithinPartitions("node", "n", "doc_id")
-    return rows.mapInArrow(lambda it: _runs(it, "node", flush), "a long, b long").distinct()
+    return rows.mapInArrow(lambda it: _runs(it, "node", flush), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs that link, on whole sets; a document's pairs are dealt to groups of about BLOCK_DOCS."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("parts"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("grp"))
-    one = dealt.select("grp", F.col("a").alias("doc_id"), F.lit(0).alias("side")).distinct()
-    other = dealt.select("grp", F.col("b").alias("doc_id"), F.lit(1).alias("side"))
-    return small_group_edges(one.unionByName(other).join(texts, "doc_id"), k, percent)
+    """Those of the pairs, which may repeat, that link, on whole sets; a document's pairs are dealt to PAIR_PARTS by a hash, and each part to groups of BLOCK_DOCS."""
+    # in order, so that a task that runs again makes the same groups
+    held = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(PAIR_PARTS)).alias("x")).agg(F.sort_array(F.collect_set("b")).alias("bs"))
+    blocks = F.posexplode(F.expr(f"transform(sequence(0, int((size(bs) - 1) div {BLOCK_DOCS})), i -> slice(bs, i * {BLOCK_DOCS} + 1, {BLOCK_DOCS}))")).alias("i", "block")
+    member = F.explode(F.expr("concat(array(named_struct('doc_id', a, 'side', 0)), transform(block, b -> named_struct('doc_id', b, 'side', 1)))")).alias("m")
+    dealt = held.select("a", "x", blocks).select(F.xxhash64("a", "x", "i").alias("grp"), member).select("grp", "m.doc_id", "m.side")
+    return small_group_edges(dealt.join(texts, "doc_id"), k, percent)
 
 
 def _left_edges(left: DataFrame, texts: DataFrame, k: int, percent: int, paths: list[str]) -> DataFrame:
@@ -360,7 +363,8 @@ def _left_edges(left: DataFrame, texts: DataFrame, k: int, percent: int, paths:
     # a block meets itself once, and so is compared within itself there
     keyed, keyed_path = stage(blocks.select(key.alias("node"), "doc_id", "n", "part", "first", side.alias("side"), "map"), "difference-nodes")
     hubs, hubs_path = stage(_confirmed(_node_candidates(keyed, percent, True), texts, k, percent), "hub-links")
-    known = connected_components(hubs.union(left.filter("lab is not null").select("lab", "doc_id")))
+    # most members are next to a hub or a pivot; what one round leaves apart is compared, though it may be connected
+    known = connected_components(hubs.union(left.filter("lab is not null").select("lab", "doc_id")), rounds=1)
     parted = keyed.join(known.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
     paths += [sets_path, keyed_path, hubs_path]
     return _confirmed(_node_candidates(parted, percent, False), texts, k, percent).union(hubs)
@@ -369,13 +373,13 @@ def _left_edges(left: DataFrame, texts: DataFrame, k: int, percent: int, paths:
 def large_group_edges(large: DataFrame, texts: DataFrame, k: int, percent: int, rounds: int, paths: list[str]) -> DataFrame:
     """Links that connect the components within large groups. large: (grp, doc_id, s1, s2); texts: (doc_id, text).
 
-    While more than SMALL_DOCS members of a group have no pivot, another pivot is compared with all that is left of it. In the end what is left is
-    joined by its differences from the pivot with the most members.
+    While more than SMALL_DOCS members of a group have no pivot, and the last pivot linked one in GAIN of them at least, another pivot is compared with all
+    that is left of it. In the end what is left is joined by its differences from the pivot with the most members.
     """
     spark = large.sparkSession
     link = 1 - percent / 100
     found: list[DataFrame] = []
-    left, left_path = stage(large.withColumn("lab", F.lit(None).cast("long")), "large-groups")
+    left, left_path = stage(large.withColumns({"lab": F.lit(None).cast("long"), "more": F.lit(True)}), "large-groups")
     paths.append(left_path)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +397,7 @@ def large_group_edges(large: DataFrame, texts: DataFrame, k: int, percent: int,
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], [*names, "linked", "far"])
 
     for _ in range(rounds):
-        free = left.filter("lab is null")
+        free = left.filter("lab is null and more")
         busy = free.groupBy("grp").agg(F.count("*").alias("k")).filter(F.col("k") > SMALL_DOCS).select("grp")
         p, p_path, seen = stage_counting(_pivots(free.join(busy, "grp")), "pivots", all=F.lit(True))
         if not seen["all"]:
@@ -404,12 +408,14 @@ def large_group_edges(large: DataFrame, texts: DataFrame, k: int, percent: int,
         done, done_path = stage(rows.mapInArrow(compare, "grp long, doc_id long, s1 long, s2 long, lab long, pivot long, linked boolean, far double"), "compared")
         found.append(done.filter("linked").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
         # where sizes alone forbid a link the distance is a lower bound, which only keeps more
-        nearest = done.filter("not linked").groupBy("grp").agg(F.min("far").alias("near"))
-        on = done.join(nearest, "grp").filter(f"not linked or far >= near - {link} - 1e-9").select("grp", "doc_id", "s1", "s2", F.when(F.col("lab").isNull() & F.col("linked"), F.col("pivot")).otherwise(F.col("lab")).alias("lab"))
-        rest = left.join(p.select("grp"), "grp", "left_anti").select("grp", "doc_id", "s1", "s2", "lab")
-        left, left_path = stage(on.unionByName(rest), "left")
+        nearest = done.groupBy("grp").agg(F.min(F.expr("if(linked, null, far)")).alias("near"), F.expr(f"count_if(lab is null and linked) * {GAIN} >= count_if(lab is null)").alias("more"))
+        on = done.join(nearest, "grp").filter(f"not linked or far >= near - {link} - 1e-9").select("grp", "doc_id", "s1", "s2", F.when(F.col("lab").isNull() & F.col("linked"), F.col("pivot")).otherwise(F.col("lab")).alias("lab"), "more")
+        rest = left.join(p.select("grp"), "grp", "left_anti").select("grp", "doc_id", "s1", "s2", "lab", F.lit(False).alias("more"))
+        left, left_path, seen = stage_counting(on.unionByName(rest), "left", free=F.expr("lab is null and more"))
         paths += [done_path, left_path]
         drop(spark, p_path)
+        if seen["free"] <= SMALL_DOCS:
+            break
     out = _left_edges(left, texts, k, percent, paths)
     for f in found:
         out = out.union(f)

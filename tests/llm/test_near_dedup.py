@@ -127,6 +127,34 @@ def test_documents_of_one_template_are_not_compared_by_all_pairs(spark, monkeypa
     assert percent < 85 or sum(given) < 4 * len(rows)
 
 
+def test_a_pivot_that_links_few_is_the_last(spark, monkeypatch):
+    """All rounds were made before, each with four tables, though the join of what is left does the rest at once."""
+    rows = of_lines(random.Random(2), 400, 15)
+    df = spark.createDataFrame([(7, i, t, i * 11, i * 13) for i, t in rows], "grp long, doc_id long, text string, s1 long, s2 long").cache()
+    names = []
+
+    def naming(rows, name, f=near_dedup.stage_counting, **conditions):
+        names.append(name)
+        return f(rows, name, **conditions)
+
+    monkeypatch.setattr(near_dedup, "SMALL_DOCS", 12)
+    monkeypatch.setattr(near_dedup, "stage_counting", naming)
+    links = near_dedup.large_group_edges(df.select("grp", "doc_id", "s1", "s2"), df.select("doc_id", "text"), 3, 85, 3, [])
+    label = {r.id: r.component for r in connected_components(links).collect()}
+    assert {i: label.get(i, i) for i, _ in rows} == brute_force(rows, 3, 85)
+    assert names.count("pivots") == 1
+
+
+@pytest.mark.parametrize("block, parts", [(4, 1), (4, 3), (128, 8)])
+def test_pairs_are_confirmed_once_each(spark, monkeypatch, block, parts):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block)
+    monkeypatch.setattr(near_dedup, "PAIR_PARTS", parts)
+    texts = [(i, "a b c d e f g h" + (" x" if i % 3 == 0 else f" {i} {i} y")) for i in range(40)]
+    pairs = [(a, b) for a in (0, 1, 3) for b in range(4, 40)] * 2
+    got = near_dedup._confirmed(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted((a, b) for a in (0, 3) for b in range(6, 40, 3))
+
+
 def test_edges(spark):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (7, None), (8, ""), (9, " \t"), (None, "a b c d e f"), (10, "x y"), (11, "x y"), (12, "w " * 50_000), (13, "W " * 60_000)]
     got = run(spark, rows, k=3, percent=85)
@@ -165,3 +193,25 @@ def test_connected_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: root(i) for i in part if any(i in e and e[0] != e[1] for e in edges)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_edges_of_components_are_computed_once(spark, tmp_path):
+    """Both directions were computed on their own, so whole sets were compared twice."""
+    place = str(tmp_path)
+
+    def seen(batches):
+        for b in batches:
+            for a in b.column("a").to_pylist():
+                with open(f"{place}/seen", "a") as f:
+                    f.write(f"{a}\n")
+            yield b
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long").mapInArrow(seen, "a long, b long")
+    assert {r.component for r in connected_components(edges).collect()} == {0}
+    assert len((tmp_path / "seen").read_text().split()) == 20
+
+
+def test_components_of_one_round_are_connected(spark):
+    edges = [(i, i + 1) for i in range(100)] + [(i, i + 1) for i in range(200, 300)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), rounds=1).collect()}
+    assert len(got) == 202 and 2 < len(set(got.values())) < 202 and all((i < 200) == (c < 200) and c <= i for i, c in got.items())
